@@ -12,8 +12,8 @@ import heapq
 import json
 import os
 import re
-import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -25,19 +25,13 @@ from .common import documents
 CACHE, CACHE_CHARS = 300_000, 64
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies use for each byte: itself if it is printable, else the next free code point from 256."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class Encoder:
-    """Encoding as the tokenizers library does it, for files with NFC + lower-casing normaliser, split pattern, byte letters and word ends."""
+    """Encoding as the tokenizers library does it, for files with a split pattern, byte letters and word ends."""
 
     def __init__(self, path: str):
-        import regex
+        from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(path)  # for its normaliser and split pattern, which follow a Unicode version of its own
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
@@ -47,9 +41,6 @@ class Encoder:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.added_re = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split_re = regex.compile(pattern)
-        self.letters = byte_letters()
         self.inside = {t[i : i + 2] for t in self.vocab for t in [t.removesuffix(self.end) if self.end else t] for i in range(len(t) - 1)}
         self.fragments: dict[tuple[str, bool], list[int]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
@@ -92,10 +83,8 @@ class Encoder:
                 self.fragments[part, last] = got
         return got
 
-    def piece(self, word: str) -> list[int]:
-        """Ids of a piece of the split pattern: forced cuts, then each fragment for itself."""
-        letters = self.letters
-        s = "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
+    def piece(self, s: str) -> list[int]:
+        """Ids of a piece of the split pattern, in byte letters: forced cuts, then each fragment for itself."""
         inside, at, out = self.inside, 0, []
         for i in range(1, len(s)):
             if s[i - 1 : i + 1] not in inside:
@@ -105,10 +94,8 @@ class Encoder:
 
     def chunk(self, text: str) -> tuple[bytes, str]:
         """Little-endian ids and decoded text (with a blank before it) of a text without added tokens; white space in it separates."""
-        low = unicodedata.normalize("NFC", text)
-        # each character for itself: str.lower() would make a word's last capital sigma another letter
-        low = "".join(map(str.lower, low)) if "Σ" in low else low.lower()
-        ids = [i for m in self.split_re.finditer(low) for i in self.piece(m[0])]
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        ids = [i for letters, _ in pieces for i in self.piece(letters)]
         return b"".join([i.to_bytes(4, "little") for i in ids]), "".join([f" {self.token[i]}" for i in ids])
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
@@ -159,8 +146,8 @@ def default_path() -> str:
         return "/opt/tokenizers/word_bpe_49k.json"
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", digests_only: bool = False) -> DataFrame:
-    """Per row of docs: ``d`` (the row as a struct, with digests_only: doc_id alone), n_tokens, ids (array; not with digests_only), ids_sha256, decoded (not with digests_only), decoded_sha256.
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", digests_only: bool = False, with_decoded: bool = True) -> DataFrame:
+    """Per row of docs: ``d`` (the row as a struct, with digests_only: doc_id alone), n_tokens, ids (array; not with digests_only), ids_sha256, decoded (not with digests_only, or without with_decoded), decoded_sha256.
 
     Null and empty texts have no ids and decode to an empty text. Lone surrogates can't occur in Spark's strings. Very long texts are encoded whole, in time proportional to n log n of the longest
     fragment. Repeated rows get a result each; the other columns, whatever their names, stay in ``d``. ``path`` must be readable on all executors, or be in spark.files by its base name.
@@ -178,12 +165,15 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", dig
             if digests_only:
                 yield pa.RecordBatch.from_arrays([batch.column("d"), *ids, *digests], ["d", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                lists = pa.array([memoryview(b).cast("I").tolist() if b else [] for b, _ in got], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("d"), *ids, lists, digests[0], pa.array([s for _, s in got], pa.string()), digests[1]], ["d", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
+                ends = np.cumsum([0, *[len(b) // 4 for b, _ in got]], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([b for b, _ in got]), "<i4")))
+                decoded = {"decoded": pa.array([s for _, s in got], pa.string())} if with_decoded else {}
+                cols = {"d": batch.column("d"), "n_tokens": ids[0], "ids": lists, "ids_sha256": digests[0], **decoded, "decoded_sha256": digests[1]}
+                yield pa.RecordBatch.from_arrays([*cols.values()], [*cols])
 
     rows = docs.select(F.struct("doc_id" if digests_only else "*").alias("d"), F.col(text_col).alias("t"))
     kind = rows.schema["d"].dataType.simpleString()
-    more = "ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, ids_sha256 string, decoded string, decoded_sha256 string"
+    more = "ids_sha256 string, decoded_sha256 string" if digests_only else f"ids array<int>, ids_sha256 string, {'decoded string, ' if with_decoded else ''}decoded_sha256 string"
     return rows.mapInArrow(each, f"d {kind}, n_tokens bigint, {more}")
 
 

@@ -142,8 +142,8 @@ with l as (select doc_id, source, text, unnest(string_split(text, chr(10))) as l
 lw as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as w, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[1-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from l),
 hosts as (select source, count(distinct text) as docs from documents where text is not null group by 1),
 above as (select source, norm from (select source, norm, count(distinct text) as n from lw where w > 0 group by all) join hosts using (source) where n > 50 and n > 0.1 * docs),
-lost as (select doc_id, sum(w) as n_line_words from lw join above using (source, norm) where w > 0 group by 1),
-dup as (select doc_id, sum(c - 1) as n_dup_lines from (select doc_id, line, count(*) as c from lw where w > 0 group by all) group by 1),
+lost as (select doc_id, sum(w)::bigint as n_line_words from lw join above using (source, norm) where w > 0 group by 1),
+dup as (select doc_id, sum(c - 1)::bigint as n_dup_lines from (select doc_id, line, count(*) as c from lw where w > 0 group by all) group by 1),
 t as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w, text from documents),
 g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as x from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from t)),
 twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, x) as c from g) where c > 1),

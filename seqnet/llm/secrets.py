@@ -27,6 +27,8 @@ EXTRA = {
 }
 BASE = ("assign", "access", "hex")
 ORDER = {k: i for i, k in enumerate((*BASE, *EXTRA))}
+#: What any span holds, for Spark's regular expressions.
+POSSIBLE = "(?i:passw(or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{16}|-----BEGIN|gh[pousr]_|eyJ"
 #: Raise this with any change of the patterns: blobs are then scanned anew.
 VERSION = "1"
 
@@ -66,7 +68,9 @@ def blob_id(text_col: str = "text"):
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, version: str = VERSION, text_col: str = "text") -> DataFrame:
     """Ledger rows (blob, version, found) for the contents of docs that the ledger doesn't have under this version."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(blob_id(text_col).alias("blob"), F.col(text_col).alias("t"))
+    # only texts that can hold a span are moved; the others' blobs are entered without
+    t = F.col(text_col)
+    rows = docs.where(t.isNotNull()).select(blob_id(text_col).alias("blob"), F.when(t.rlike(POSSIBLE), t).alias("t"))
     if ledger is not None:
         rows = rows.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
     return _scan(rows.groupBy("blob").agg(F.first("t").alias("t"))).select("blob", F.lit(version).alias("version"), "found")

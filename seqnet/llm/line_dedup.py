@@ -22,7 +22,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     lines = stage(lines.select("k", "g", "p", F.unhex(F.md5("line")).alias("id"), F.regexp_count("line", F.lit(WORD)).alias("w")), "lines")
     # a line that occurs once ends every repeat, so only stretches of lines that occur again are looked at from here on
     again = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    kept = lines.join(again, "id", "left_semi").dropDuplicates(["k", "g", "p"])
+    kept = lines.join(again.hint("merge"), "id", "left_semi").dropDuplicates(["k", "g", "p"])
     doc = Window.partitionBy("k", "g").orderBy("p")
     kept = kept.withColumn("seg", F.col("p") - F.row_number().over(doc))
     seg = Window.partitionBy("k", "g", "seg")
@@ -54,7 +54,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     last = names.select("k", "g", F.lit(1).alias("kind"), F.explode(F.expr(prefixes("b", "i - a[i].b + 1"))).alias("x")).select("kind", "x.name", "x.n", "k", "g", (F.col("x.p") - F.col("x.n") + 1).alias("s"), F.col("x.p").alias("lo"), F.col("x.p").alias("hi"))
     suffixes = stage(first.unionByName(last), "suffixes")
     intervals = suffixes.groupBy("kind", "name", "n").agg(F.min(F.struct("k", "g", "s")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = suffixes.join(intervals, ["kind", "name", "n"]).where(F.struct("k", "g", "s") > F.col("first"))
+    later = suffixes.join(intervals.hint("merge"), ["kind", "name", "n"]).where(F.struct("k", "g", "s") > F.col("first"))
     return later.select("k", "g", F.explode(F.sequence("lo", "hi")).alias("p")).groupBy("k", "g").agg(F.collect_set("p").alias("gone"))
 
 
@@ -68,7 +68,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     gone = stage(repeated_lines(docs, min_words, id_col, text_col), "gone")
     rows = docs.select(F.struct("*").alias("d"), F.col(text_col).alias("t"), *row_key(id_col, text_col))
     lines = F.split("t", "\n")
-    rows = rows.join(gone, ["k", "g"], "left").select("d", "t", "gone", lines.alias("ls"))
+    rows = rows.join(gone.hint("merge"), ["k", "g"], "left").select("d", "t", "gone", lines.alias("ls"))
     left = F.expr("array_join(transform(array_except(sequence(0, size(ls) - 1), gone), i -> ls[i]), '\n')")
     return rows.select(
         "d",

@@ -1,4 +1,412 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name over the driver's tables, and the SQL that gives the same rows.
+
+Alignments are made from whole tables: ``texts`` cuts every document into rows of 24 letters (the last one padded with gaps), ``phones`` writes a customer's balance and key as 15 letters.
+"""
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from seqnet.functions import residues as R
+from seqnet.operators import cluster, contacts, geometry, glasso, matrix, msa, reports
+
+LOWER = "arndcqeghilkmfpstwyv-"
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts_cells(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("source").alias("family"), "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,24}"), 0)).alias("row", "t"))
+    long = rows.select("family", "doc_id", "row", F.posexplode(F.split(F.rpad("t", 24, "-"), "")).alias("p", "ch"))
+    return long.select("family", "doc_id", "row", (F.col("p") + 1).alias("pos"), F.coalesce(F.nullif(F.instr(F.lit(LOWER), F.col("ch")), F.lit(0)) - 1, F.lit(20)).alias("aa"))
+
+
+def phones(spark, d) -> DataFrame:
+    c = table(spark, d, "customer")
+    digits = F.concat(F.lpad((F.round(F.col("c_acctbal") * 100).cast("long") + 10000000).cast("string"), 8, "0"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))
+    return c.select(F.col("c_nationkey").cast("string").alias("family"), F.col("c_custkey").alias("seq_id"), F.translate(digits, "0123456789", "ARNDCQEGB-").alias("seq"))
+
+
+PHONES = """p0 as (select c_nationkey::varchar as family, c_custkey as seq_id, translate(lpad((round(c_acctbal * 100)::bigint + 10000000)::varchar, 8, '0') || lpad(c_custkey::varchar, 7, '0'), '0123456789', 'ARNDCQEGB-') as raw from customer),
+msa as (select family, seq_id, raw as seq, translate(raw, 'B', 'N') as norm from p0),
+cell as (select family, seq_id, p as pos, instr('ARNDCQEGHILKMFPSTWYV-', substr(norm, p, 1)) - 1 as aa from msa, range(1, 16) r(p)),
+prs as (select a.family, a.seq_id as i, b.seq_id as j, len(list_filter(range(1, 16), lambda p: substr(a.raw, p, 1) = substr(b.raw, p, 1) and substr(a.raw, p, 1) <> '-')) as m, length(replace(a.raw, '-', '')) as li from p0 a join p0 b on a.family = b.family and a.seq_id <> b.seq_id),
+wt as (select msa.family, msa.seq_id, 1.0::double / (1 + coalesce(n, 0)) as wt from msa left join (select family as f, i, count(*) as n from prs where m > 0.62 * li group by all) on msa.family = f and msa.seq_id = i)"""
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def _msa(spark, d):
+    return phones(spark, d).withColumn("seq", R.normalize(F.col("seq")))
+
+
+def _wt(spark, d):
+    return msa.weights(phones(spark, d))
+
+
+@query("column_freq", """with c as (select source as family, unnest(regexp_extract_all(text, '(?s).{1,24}')) as t from documents),
+e as (select family, p as pos, coalesce(nullif(instr('arndcqeghilkmfpstwyv-', substr(rpad(t, 24, '-'), p, 1)), 0), 21) - 1 as aa from c, range(1, 25) r(p)),
+n as (select family, pos, aa, count(*) as n from e group by all), t as (select family, pos, sum(n) as total from n group by all),
+g as (select family, pos, total, aa from t, range(0, 21) q(aa))
+select g.family, g.pos, g.aa::int as aa, round((1.0::double + coalesce(n, 0)) / (21.0::double + total), 6) as freq from g left join n on g.family = n.family and g.pos = n.pos and g.aa = n.aa""")
+def column_freq(spark, d):
+    cells = texts_cells(spark, d)
+    return msa.column_freq(cells).select("family", F.col("pos").cast("long").alias("pos"), "aa", r6("freq").alias("freq"))
+
+
+@query("gap_freq", f"with {PHONES}, s as (select family, pos, sum(case when aa = 20 then wt else 0 end) as g, sum(wt) as t from cell join wt using (family, seq_id) group by all) select family, pos, round((1 + g) / (21 + t), 6) as gap from s")
+def gap_freq(spark, d):
+    f = msa.column_freq(msa.cells(_msa(spark, d)), _wt(spark, d))
+    return msa.gap_freq(f).select("family", F.col("pos").cast("long").alias("pos"), r6("gap").alias("gap"))
+
+
+@query("msa_parse", f"with {PHONES} select family, seq_id, pos, aa::int as aa from cell where aa >= 0")
+def msa_parse(spark, d):
+    return msa.cells(_msa(spark, d)).select("family", "seq_id", F.col("pos").cast("long").alias("pos"), "aa")
+
+
+@query("residue_normalize", f"with {PHONES} select family, seq_id, norm as seq from msa")
+def residue_normalize(spark, d):
+    return _msa(spark, d)
+
+
+@query("ungapped_length", f"with {PHONES} select family, seq_id, length(replace(seq, '-', '')) as n from msa")
+def ungapped_length(spark, d):
+    return phones(spark, d).select("family", "seq_id", R.ungapped_length(F.col("seq")).cast("long").alias("n"))
+
+
+@query("seq_gap_filter", f"with {PHONES}, g as (select family, seq_id, round((length(norm) - length(replace(norm, '-', ''))) / length(norm), 3) as gap from msa), r as (select *, row_number() over (partition by family order by gap, seq_id) - 1 as rk, count(*) over (partition by family) as n from g) select family, seq_id, gap from r where gap < 0.1 or rk / n < 0.5")
+def seq_gap_filter(spark, d):
+    return msa.filter_gaps(phones(spark, d), 0.1, 0.5).select("family", "seq_id", "gap")
+
+
+@query("seq_weights", f"with {PHONES} select family, seq_id, round(wt, 6) as wt from wt")
+def seq_weights(spark, d):
+    return _wt(spark, d).select("family", "seq_id", r6("wt").alias("wt"))
+
+
+@query("seq_weights_mismatch", f"with {PHONES}, x as (select a.family as f, a.seq_id as i, count(*) as n from p0 a join p0 b on a.family = b.family and a.seq_id <> b.seq_id where floor(15 * 0.38) > 15 - len(list_filter(range(1, 16), lambda p: substr(a.raw, p, 1) = substr(b.raw, p, 1))) group by all) select family, seq_id, round(1.0::double / (1 + coalesce(n, 0)), 6) as wt from msa left join x on family = f and seq_id = i")
+def seq_weights_mismatch(spark, d):
+    return msa.weights_by_mismatch(phones(spark, d)).select("family", "seq_id", r6("wt").alias("wt"))
+
+
+@query("effective_count", f"with {PHONES} select family, round(sum(wt), 6) as meff from wt group by 1")
+def effective_count(spark, d):
+    return msa.total_weight(_wt(spark, d)).select("family", r6("meff").alias("meff"))
+
+
+@query("letters_per_column", f"with {PHONES} select family, pos, string_agg(distinct aa::varchar, ',' order by aa::varchar) as letters from cell where aa >= 0 group by all")
+def letters_per_column(spark, d):
+    out = msa.letters_per_column(msa.cells(_msa(spark, d)))
+    return out.select("family", F.col("pos").cast("long").alias("pos"), F.array_join(F.array_sort(F.transform("letters", lambda x: x.cast("string"))), ",").alias("letters"))
+
+
+FREQ = """tot as (select family, sum(wt) as meff from wt group by 1),
+cf as (select g.family, g.pos, g.aa, (1.0::double + coalesce(w, 0)) / (21 + meff) as f from (select family, meff, pos, aa from tot, range(1, 16) p(pos), range(0, 21) q(aa)) g left join (select family, pos, aa, sum(wt) as w from cell join wt using (family, seq_id) group by all) s on g.family = s.family and g.pos = s.pos and g.aa = s.aa),
+pf as (select a.family, a.pos as i, b.pos as j, a.aa as a, b.aa as b, (1.0::double / 21 + sum(wt)) / (21 + any_value(meff)) as f from cell a join cell b on a.family = b.family and a.seq_id = b.seq_id and a.pos < b.pos join wt on wt.family = a.family and wt.seq_id = a.seq_id join tot on tot.family = a.family group by all)"""
+
+
+def _pairs(spark, d):
+    cells = msa.cells(_msa(spark, d))
+    w = _wt(spark, d)
+    return cells, msa.pair_freq(cells, w), msa.column_freq(cells, w)
+
+
+def _ij(df, value):
+    return df.select("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), r6(value).alias(value))
+
+
+@query("pair_freq", f"with {PHONES}, {FREQ} select family, i, j, a, b, round(f, 6) as freq from pf")
+def pair_freq(spark, d):
+    return _ij(_pairs(spark, d)[1], "freq")
+
+
+COV = "cv as (select pf.family, i, j, a, b, pf.f - x.f * y.f as cov, ln(pf.f) - ln(x.f) - ln(y.f) as mi from pf join cf x on x.family = pf.family and x.pos = i and x.aa = a join cf y on y.family = pf.family and y.pos = j and y.aa = b)"
+
+
+@query("covariance_long", f"with {PHONES}, {FREQ}, {COV} select family, i, j, a, b, round(cov, 6) as cov from cv")
+def covariance_long(spark, d):
+    _, p, f = _pairs(spark, d)
+    return _ij(msa.covariance(p, f), "cov")
+
+
+@query("mutual_info", f"with {PHONES}, {FREQ}, {COV} select family, i, j, a, b, round(mi, 6) as mi from cv")
+def mutual_info(spark, d):
+    _, p, f = _pairs(spark, d)
+    return _ij(msa.log_odds(p, f), "mi")
+
+
+def _bad(spark, d):
+    return matrix.bad_positions(msa.gap_freq(msa.column_freq(msa.cells(_msa(spark, d)), _wt(spark, d))), 0.09)
+
+
+BAD = "bad as (select family as bf, pos as bp from cf where aa = 20 and f > 0.09)"
+
+
+@query("gap_remove", f"with {PHONES}, {FREQ}, {COV}, {BAD} select family, i, j, a, b, round(cov, 6) as cov from cv where not exists (select 1 from bad where bf = family and (bp = i or bp = j))")
+def gap_remove(spark, d):
+    _, p, f = _pairs(spark, d)
+    return _ij(matrix.remove_positions(msa.covariance(p, f), _bad(spark, d)), "cov")
+
+
+@query("gap_mask", f"with {PHONES}, {FREQ}, {COV}, {BAD} select family, i, j, a, b, round(case when exists (select 1 from bad where bf = family and (bp = i or bp = j)) then 0 else cov end, 6) as cov from cv")
+def gap_mask(spark, d):
+    _, p, f = _pairs(spark, d)
+    return _ij(matrix.mask_positions(msa.covariance(p, f).withColumnRenamed("cov", "v"), _bad(spark, d)).withColumnRenamed("v", "cov"), "cov")
+
+
+@query("density", f"with {PHONES}, {FREQ}, {COV} select family, round(avg(case when abs(cov) >= 1e-3 then 1.0 else 0 end), 6) as density from cv group by 1")
+def density(spark, d):
+    _, p, f = _pairs(spark, d)
+    return matrix.density(msa.covariance(p, f).withColumnRenamed("cov", "v"), ["family"]).select("family", r6("density").alias("density"))
+
+
+SCORE = "sc as (select family, i, j, sum(abs(cov)) as score from cv where a < 20 and b < 20 group by all)"
+
+
+def _scores(spark, d):
+    _, p, f = _pairs(spark, d)
+    return contacts.contact_norm(msa.covariance(p, f).withColumnRenamed("cov", "v"), ["family"])
+
+
+def _sij(df):
+    return df.select("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("score").alias("score"))
+
+
+@query("contact_norm", f"with {PHONES}, {FREQ}, {COV}, {SCORE} select family, i, j, round(score, 6) as score from sc")
+def contact_norm(spark, d):
+    return _sij(_scores(spark, d))
+
+
+@query("apc", f"with {PHONES}, {FREQ}, {COV}, {SCORE}, bo as (select family, i, score from sc union all select family, j, score from sc), pr as (select family, i, sum(score) as s from bo group by all), tt as (select family, sum(s) as t from pr group by 1) select sc.family, sc.i, sc.j, round(score - x.s * y.s / t, 6) as score from sc join pr x on x.family = sc.family and x.i = sc.i join pr y on y.family = sc.family and y.i = sc.j join tt on tt.family = sc.family")
+def apc(spark, d):
+    return _sij(contacts.apc(_scores(spark, d), ["family"]))
+
+
+def _supplier_pairs(spark, d):
+    s = table(spark, d, "supplier")
+    a = s.select((F.col("s_nationkey") % 3).cast("string").alias("family"), F.col("s_suppkey").alias("i"))
+    p = a.join(a.withColumnRenamed("i", "j"), "family").where("i < j")
+    scores = p.select("family", "i", "j", (((F.col("i") * 7919 + F.col("j") * 104729) % 1009) / 1009.0).alias("score"))
+    native = p.select("family", "i", "j", ((F.col("i") * 31 + F.col("j") * 17) % 23).cast("double").alias("dist"), ((F.col("i") + F.col("j")) % 19 != 0).alias("valid"))
+    return scores, native
+
+
+SUP = "sp as (select (a.s_nationkey % 3)::varchar as family, a.s_suppkey as i, b.s_suppkey as j from supplier a join supplier b on a.s_nationkey % 3 = b.s_nationkey % 3 and a.s_suppkey < b.s_suppkey), ss as (select *, ((i * 7919 + j * 104729) % 1009) / 1009.0::double as score, ((i * 31 + j * 17) % 23)::double as dist, (i + j) % 19 <> 0 as valid from sp)"
+
+
+@query("topk_precision", f"with {SUP}, r as (select *, row_number() over (partition by family order by score desc, i, j) as rk, case when dist <= 8 and valid then 1 else 0 end as hit from ss where j - i >= 5) select family, 5 as min_sep, k::int as k, round(sum(hit)::double / k, 6) as precision from r, (select unnest([1, 2, 5, 10]) as k) where rk <= k group by family, k")
+def topk_precision(spark, d):
+    scores, native = _supplier_pairs(spark, d)
+    out = contacts.topk_precision(scores, native, ["family"], [(5, None)], [1, 2, 5, 10])
+    return out.select("family", "min_sep", "k", r6("precision").alias("precision"))
+
+
+@query("native_contacts", f"with {SUP} select family, i, j from ss where dist <= 8 and valid and j - i between 5 and 50")
+def native_contacts(spark, d):
+    _, n = _supplier_pairs(spark, d)
+    return n.where(R.native_contact(F.col("dist"), F.col("valid")) & R.band(F.col("i"), F.col("j"), 5, 50)).select("family", "i", "j")
+
+
+@query("target_similarity", f"with {PHONES}, t as (select family, arg_min(seq, seq_id) as target from msa group by 1) select family, seq_id from msa join t using (family) where len(list_filter(range(1, 16), lambda p: substr(seq, p, 1) = substr(target, p, 1))) / 15 > 0.5")
+def target_similarity(spark, d):
+    m = phones(spark, d)
+    return msa.similar_to(m, m.groupBy("family").agg(F.min_by("seq", "seq_id").alias("target")), 0.5).select("family", "seq_id")
+
+
+RANDOM = "rc as (select family, seq_id, (row_number() over (partition by family order by (seq_id * 7919 + 3) % 104729, seq_id) - 1) // (count(*) over (partition by family) // 4 + 1) as cluster_idx from msa)"
+
+
+@query("random_partition", f"with {PHONES}, {RANDOM} select family, cluster_idx::int as cluster_idx, seq_id from rc")
+def random_partition(spark, d):
+    return cluster.random_clusters(phones(spark, d), 4, 3)
+
+
+@query("all_sequence_cluster", f"with {PHONES}, {RANDOM} select family, 0 as cluster_idx, seq_id from msa union all select family, cluster_idx::int + 1, seq_id from rc where cluster_idx < 2")
+def all_sequence_cluster(spark, d):
+    m = phones(spark, d)
+    return cluster.with_all_first(m, cluster.random_clusters(m, 4, 3), 3)
+
+
+@query("chain_edges", f"with {PHONES}, {RANDOM} select family, (dst - 1)::int as src, dst::int as dst from (select distinct family, cluster_idx as dst from rc) where dst > 0")
+def chain_edges(spark, d):
+    return cluster.chain_edges(cluster.random_clusters(phones(spark, d), 4, 3))
+
+
+@query("cluster_order", f"with {SUP}, c as (select family, i % 4 as ga, j % 4 as gb, max(dist) as d from ss where i % 4 <> j % 4 group by all) select family, ga, gb, row_number() over (partition by family, ga order by d, gb)::int - 1 as place from c")
+def cluster_order(spark, d):
+    _, n = _supplier_pairs(spark, d)
+    c = n.where("i % 4 <> j % 4").groupBy("family", (F.col("i") % 4).alias("ga"), (F.col("j") % 4).alias("gb")).agg(F.max("dist").alias("d"))
+    return c.select("family", "ga", "gb", (F.row_number().over(Window.partitionBy("family", "ga").orderBy("d", "gb")) - 1).alias("place"))
+
+
+@query("linkages", f"with {SUP}, c as (select family, least(i % 4, j % 4) as ga, greatest(i % 4, j % 4) as gb, dist from ss where i % 4 <> j % 4) select family, ga, gb, max(dist) as largest, round(quantile_cont(dist, 0.8), 6) as q80, round(avg(dist), 6) as mean from c group by all")
+def linkages(spark, d):
+    _, n = _supplier_pairs(spark, d)
+    s = table(spark, d, "supplier").select((F.col("s_nationkey") % 3).cast("string").alias("family"), F.col("s_suppkey").alias("seq_id"), (F.col("s_suppkey") % 4).alias("g"))
+    return cluster.linkage(n.select("family", "i", "j", F.col("dist").alias("d")), s).select("family", "ga", "gb", "largest", r6("q80").alias("q80"), r6("mean").alias("mean"))
+
+
+def records(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.select(F.col("l_returnflag").alias("method"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_linenumber").alias("sep"), F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("target"))
+
+
+@query("quantiles_avg", "select l_returnflag as method, l_linenumber as sep, quantile_cont(l_quantity, 0.25) as q25, quantile_cont(l_quantity, 0.5) as q50, quantile_cont(l_quantity, 0.75) as q75, quantile_cont(l_quantity, 1.0) as q100, round(avg(l_quantity), 6) as mean from lineitem group by all")
+def quantiles_avg(spark, d):
+    return reports.quantiles_avg(records(spark, d), ["method", "sep"], "x").withColumn("mean", r6("mean"))
+
+
+@query("upper_quartile_mean", "select method, round(avg(q), 6) as mean_q75 from (select l_returnflag as method, l_suppkey, quantile_cont(l_quantity, 0.75) as q from lineitem group by all) group by 1")
+def upper_quartile_mean(spark, d):
+    return reports.upper_quartile_mean(records(spark, d), ["method"], ["target"], "x").withColumn("mean_q75", r6("mean_q75"))
+
+
+@query("equal_width_buckets", "with e as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem) select floor((l_quantity - lo) / ((hi - lo) / 6 + 1e-8))::bigint as bucket, count(*) as n, round(avg(l_discount), 6) as mean, round(stddev_pop(l_discount), 6) as std from lineitem, e group by 1 having count(*) > 1")
+def equal_width_buckets(spark, d):
+    return reports.equal_width_buckets(records(spark, d), "x", "y", 6).withColumn("mean", r6("mean")).withColumn("std", r6("std"))
+
+
+@query("equal_count_bins", "with b as (select s_nationkey, s_acctbal, s_suppkey, ntile(3) over (partition by s_nationkey order by s_acctbal, s_suppkey) as bin from supplier) select s_nationkey, bin::int as bin, round(avg(s_suppkey), 6) as mean, min(s_acctbal) as lo, max(s_acctbal) as hi from b group by all")
+def equal_count_bins(spark, d):
+    return reports.equal_count_bins(table(spark, d, "supplier"), "s_acctbal", "s_suppkey", "s_suppkey", 3, ["s_nationkey"]).select("s_nationkey", "bin", r6("mean").alias("mean"), "lo", "hi")
+
+
+@query("pearson", "select l_returnflag as method, round(corr(l_quantity, l_extendedprice), 3) as r from lineitem group by 1")
+def pearson(spark, d):
+    return reports.pearson(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "method"), ["method"], "l_quantity", "l_extendedprice")
+
+
+@query("sparsity_brackets", "select low, high, l_returnflag as method, round(avg(l_quantity), 6) as mean from lineitem, (values (0.0::double, 0.03::double), (0.03, 0.07), (0.05, 0.2)) b(low, high) where l_discount > low and l_discount < high group by all")
+def sparsity_brackets(spark, d):
+    return reports.brackets(records(spark, d), "y", [(0.0, 0.03), (0.03, 0.07), (0.05, 0.2)], ["method"], "x").withColumn("mean", r6("mean"))
+
+
+WIDE = "w as (select l_returnflag as method, l_linenumber as sep, max(l_quantity) as a, max(l_discount) as b, max(l_tax) as c from lineitem group by all)"
+
+
+def _wide(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("method"), F.col("l_linenumber").alias("sep")).agg(F.max("l_quantity").alias("a"), F.max("l_discount").alias("b"), F.max("l_tax").alias("c"))
+
+
+@query("unpivot_records", f"with {WIDE} unpivot w on a, b, c into name cutoff value precision")
+def unpivot_records(spark, d):
+    return reports.unpivot(_wide(spark, d), ["method", "sep"], ["a", "b", "c"])
+
+
+@query("pivot_report", f"with {WIDE} select method, max(case when sep = 1 then a end) as s1, max(case when sep = 2 then a end) as s2, max(case when sep = 3 then a end) as s3 from w group by 1")
+def pivot_report(spark, d):
+    w = _wide(spark, d).select("method", F.concat(F.lit("s"), "sep").alias("cutoff"), F.col("a").alias("precision"))
+    return reports.pivot(w, ["method"], ["s1", "s2", "s3"])
+
+
+@query("method_averages", "select l_returnflag as method, l_linenumber as sep, l_suppkey as target, round(avg(l_quantity), 6) as mean from lineitem group by all")
+def method_averages(spark, d):
+    return reports.method_averages(records(spark, d), ["method", "sep", "target"], "x").withColumn("mean", r6("mean"))
+
+
+@query("best_method", "with m as (select l_returnflag as method, l_suppkey as target, round(avg(l_quantity), 6) as mean from lineitem group by all) select target, arg_min(method, (-mean, method)) as best, max(mean) as mean from m group by 1")
+def best_method(spark, d):
+    means = reports.method_averages(records(spark, d), ["method", "target"], "x").withColumn("mean", r6("mean"))
+    return reports.best_method(means, ["target"])
+
+
+@query("model_average", "select l_orderkey as r, l_linenumber as c, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) as v from lineitem group by all")
+def model_average(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("c"), F.col("l_discount").alias("v"), F.col("l_quantity").alias("w"))
+    return matrix.average(li, ["r", "c"]).withColumn("v", r6("v"))
+
+
+@query("acc_class", "select event_id, case when value <= 10 then 0 when value <= 43 then 1 else 2 end as acc from events")
+def acc_class(spark, d):
+    return table(spark, d, "events").select("event_id", F.when(F.col("value") <= 10, 0).when(F.col("value") <= 43, 1).otherwise(2).alias("acc"))
+
+
+@query("pair_distance", "with e as (select label, vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings) select a.label::varchar as family, a.vec_id as i, b.vec_id as j, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) as dist from e a join e b on a.label = b.label")
+def pair_distance(spark, d):
+    xyz = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    c = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("family"), F.col("vec_id").alias("res"), *[xyz.alias(a) for a in ("n", "ca", "cb", "cg", "o")])
+    return geometry.distances(c).where("atom_pair = 'CaCa'").select("family", "i", "j", r6("dist").alias("dist"))
+
+
+@query("cluster_names_join", f"with {PHONES}, {RANDOM} select family, cluster_idx::int as cluster_idx, seq_id, seq from rc join msa using (family, seq_id)")
+def cluster_names_join(spark, d):
+    m = phones(spark, d)
+    return cluster.random_clusters(m, 4, 3).join(m, ["family", "seq_id"]).select("family", "cluster_idx", "seq_id", "seq")
+
+
+@query("msa_depth", "select c_nationkey::varchar as family, count(*) as depth from customer group by 1")
+def msa_depth(spark, d):
+    return phones(spark, d).groupBy("family").agg(F.count("*").alias("depth"))
+
+
+@query("weekly_counts", "select date_diff('day', timestamp '2024-01-01', ts) // 7 as week, user_id, event_type, count(*) as n from events group by all")
+def weekly_counts(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy((F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7).cast("long").alias("week"), "user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+DIM = 6
+
+
+def _covs(spark, d):
+    """Packed covariances of the first DIM components by label: families 0 and 1 (label mod 2), their labels in order a chain."""
+    e = table(spark, d, "embeddings").select((F.col("label") % 2).cast("string").alias("family"), F.floor(F.col("label") / 2).cast("int").alias("cluster_idx"), *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(DIM)])
+    tri = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+    return e.groupBy("family", "cluster_idx").agg(F.count("*").cast("double").alias("wt"), F.array(*[F.covar_samp(f"x{i}", f"x{j}") for i, j in tri]).alias("theta"))
+
+
+@query("embedding_covariance", f"with e as (select label, embedding[1]::double as a, embedding[2]::double as b from embeddings) select (label % 2)::varchar as family, (label // 2)::int as cluster_idx, round(covar_samp(a, a), 6) as aa, round(covar_samp(a, b), 6) as ab, round(covar_samp(b, b), 6) as bb from e group by all")
+def embedding_covariance(spark, d):
+    return _covs(spark, d).select("family", "cluster_idx", r6(F.col("theta")[0]).alias("aa"), r6(F.col("theta")[1]).alias("ab"), r6(F.col("theta")[DIM]).alias("bb"))
+
+
+def _fit(penalty):
+    return lambda spark, d: glasso.fit_time_varying_glasso(_covs(spark, d), glasso.GlassoConfig(lam=0.01, beta=0.005, penalty=penalty))
+
+
+for _p in ("l1", "l2", "laplacian", "linf", "perturbation"):
+    QUERIES[f"glasso_fit_{_p}"] = _fit(_p)
+
+
+@query("density_search")
+def density_search(spark, d):
+    return glasso.fit_time_varying_glasso(_covs(spark, d), glasso.GlassoConfig(lam=0.01, beta=0.005, target_density=0.3, density_tol=0.05), searching=True)
+
+
+@query("agglomerative_clusters")
+def agglomerative_clusters(spark, d):
+    return cluster.phylo_clusters(phones(spark, d), 4)
+
+
+@query("greedy_identity_clusters")
+def greedy_identity_clusters(spark, d):
+    return cluster.greedy_clusters(phones(spark, d), 0.4)
+
+
+@query("shrinkage")
+def shrinkage(spark, d):
+    return matrix.each_matrix(_covs(spark, d).withColumn("theta", F.transform("theta", lambda v: F.round(v, 3))), lambda m: [float(matrix.shrink(m)[1])], "family string, cluster_idx int, lam double", ["family", "cluster_idx"])
+
+
+@query("spectral_projection")
+def spectral_projection(spark, d):
+    return matrix.each_matrix(_covs(spark, d), lambda m: [np.round(matrix.pack(matrix.project(m, 2)), 9).tolist()], "family string, cluster_idx int, theta array<double>", ["family", "cluster_idx"])

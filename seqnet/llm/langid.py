@@ -20,10 +20,10 @@ from .common import documents, stage
 #: Rows to learn from, at most about (a hash of the text decides); words and n-grams of each length that the model keeps, most frequent first. The model's size is bound by these.
 TRAIN_ROWS, WORDS, GRAMS = 20_000, 60_000, 30_000
 MAX_N = 4
-#: Learnt rows count this much of their first characters' words; prediction always reads whole texts.
+#: What each length of n-grams that is skipped costs.
 SKIP = math.log(4)
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE = 200_000
+CACHE = 300_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -62,19 +62,21 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", lang_
         for lang, word, c in zip(df["lang"], df["word"], df["c"]):
             table.setdefault(word, np.zeros(len(langs)))[langs.index(lang)] += c
         sums = np.sum(list(table.values()), axis=0) if table else np.ones(len(langs))
-        tables[k] = {w: np.log((v + 0.1) / (sums + 0.1 * max(len(table), 1))) for w, v in table.items()}
+        tables[k] = {w: tuple(np.log((v + 0.1) / (sums + 0.1 * max(len(table), 1))).tolist()) for w, v in table.items()}
     return {"langs": langs, "tables": tables}
 
 
-def word_score(model: dict, word: str) -> np.ndarray:
+def word_score(model: dict, word: str) -> tuple[float, ...]:
     got = model["tables"][0].get(word)
     if got is not None:
         return got
     for n in range(MAX_N, 0, -1):
-        known = [v for g in grams(word, n) if (v := model["tables"][n].get(g)) is not None]
+        table = model["tables"][n]
+        known = [table[g] for g in grams(word, n) if g in table]
         if known:
-            return np.mean(known, axis=0) - SKIP * (MAX_N - n + 1)
-    return np.zeros(len(model["langs"]))
+            less, size = SKIP * (MAX_N - n + 1), len(known)
+            return tuple([sum(v) / size - less for v in zip(*known)])
+    return (0.0,) * len(model["langs"])
 
 
 def predict_text(model: dict, text: str | None, cache: dict) -> tuple[str, float]:
@@ -83,14 +85,11 @@ def predict_text(model: dict, text: str | None, cache: dict) -> tuple[str, float
     if not words or not model["langs"]:
         return "und", 0.0
     c = Counter(words)
-    total = np.zeros(len(model["langs"]))
-    for w, n in c.items():
-        v = cache.get(w)
-        if v is None:
-            if len(cache) >= CACHE:
-                cache.clear()
-            v = cache[w] = word_score(model, w)
-        total += n * v
+    if len(cache) >= CACHE:
+        cache.clear()
+    for w in c.keys() - cache.keys():
+        cache[w] = word_score(model, w)
+    total = np.array([*c.values()], dtype=float) @ np.array([*map(cache.__getitem__, c)])
     p = total / math.sqrt(len(words))
     p = np.exp(p - p.max())
     i = int(total.argmax())

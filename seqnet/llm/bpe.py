@@ -94,7 +94,10 @@ class Encoder:
 
     def chunk(self, text: str) -> tuple[bytes, str]:
         """Little-endian ids and decoded text (with a blank before it) of a text without added tokens; white space in it separates."""
-        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        if text.isascii() and text.isalpha():  # one piece, and bytes that are their own letters
+            pieces = [(text.lower(), None)]
+        else:
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         ids = [i for letters, _ in pieces for i in self.piece(letters)]
         return b"".join([i.to_bytes(4, "little") for i in ids]), "".join([f" {self.token[i]}" for i in ids])
 

@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,15 @@ def test_ngram_join_brute_force(docs, empty):
     assert kept.where("text = 'x'").count() == 1 and kept.where("text is null").count() == 1
 
 
+def test_parity_never_exceeds_the_difference():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 9, 300, 5000):
+        a = np.unique(r.integers(0, 1 << 60, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 5 :], r.integers(0, 1 << 60, n // 4, dtype=np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (ngram_join.parity(a) ^ ngram_join.parity(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b)) and (len(a) != 300 or bits > 60)
+
+
 def test_line_dedup(docs, empty, texts):
     out = {(r.d.doc_id, r.d.text): r for r in line_dedup.line_dedup(docs).collect()}
     assert len(out) == docs.distinct().count()

@@ -78,6 +78,20 @@ def test_ngram_join_brute_force(docs, empty):
     assert kept.where("text = 'x'").count() == 1 and kept.where("text is null").count() == 1
 
 
+def test_word_hashes_do_not_depend_on_place_or_block():
+    r = random.Random(9)
+    some = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    text = "".join(w + r.choice([" ", "\n", "\t ", "\x0b"]) for w in some)
+    old, ngram_join.BLOCK = ngram_join.BLOCK, 7
+    try:
+        cut = ngram_join.word_hashes(text.upper().replace("É", "é").encode())
+    finally:
+        ngram_join.BLOCK = old
+    whole = ngram_join.word_hashes(text.encode())
+    assert (cut == whole).all() and len(whole) == len(some) and len({*zip(some, whole.tolist())}) == len({*some}) == len({*whole.tolist()})
+    assert not len(ngram_join.word_hashes(b" \n")) and not len(ngram_join.word_hashes(b""))
+
+
 def test_parity_never_exceeds_the_difference():
     r = np.random.default_rng(3)
     for n in (0, 1, 9, 300, 5000):

@@ -87,8 +87,9 @@ def predict_text(model: dict, text: str | None, cache: dict) -> tuple[str, float
     c = Counter(words)
     if len(cache) >= CACHE:
         cache.clear()
-    for w in c.keys() - cache.keys():
-        cache[w] = word_score(model, w)
+    for w in c:
+        if w not in cache:  # not by a difference of key sets, which would walk the whole cache
+            cache[w] = word_score(model, w)
     total = np.array([*c.values()], dtype=float) @ np.array([*map(cache.__getitem__, c)])
     p = total / math.sqrt(len(words))
     p = np.exp(p - p.max())

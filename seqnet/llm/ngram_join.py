@@ -272,8 +272,8 @@ def components(links: DataFrame) -> DataFrame:
         small = _join(large, low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         small = stage(small, "small")
         edges = small
-        # stars only: no centre has a centre of its own
-        if not small.select(F.col("b").alias("a")).distinct().join(small.select("a"), "a", "left_semi").head(1):
+        # stars only: no node has two centres, and no centre has a centre of its own
+        if not small.groupBy("a").count().where("count > 1").head(1) and not small.select(F.col("b").alias("a")).distinct().join(small.select("a"), "a", "left_semi").head(1):
             return edges.select(F.col("a").alias("v"), F.col("b").alias("comp"))
 
 

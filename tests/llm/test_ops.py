@@ -78,6 +78,29 @@ def test_ngram_join_brute_force(docs, empty):
     assert kept.where("text = 'x'").count() == 1 and kept.where("text is null").count() == 1
 
 
+def test_components_against_union_find(spark):
+    r = random.Random(7)
+    graphs = [[(1, 4), (4, 3), (3, 5), (5, 2)]]  # a node with two centres after the first round
+    for n in (6, 8):
+        graphs.append([*itertools.pairwise(r.sample(range(n), n))])
+    for _ in range(2):  # two hubs of 20 members that share one
+        x = r.sample(range(41), 41)
+        graphs.append([(x[0], v) for v in x[2:22]] + [(x[1], v) for v in x[21:41]])
+    for links in graphs:
+        up = {v: v for e in links for v in e}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+        got = [(x.v, x.comp) for x in ngram_join.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()]
+        assert sorted({*got, *((c, c) for _, c in got)}) == sorted((v, find(v)) for v in up) and len({v for v, _ in got}) == len(got)
+
+
 def test_word_hashes_do_not_depend_on_place_or_block():
     r = random.Random(9)
     some = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 12))) for _ in range(3000)]

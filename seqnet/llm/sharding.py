@@ -2,7 +2,7 @@
 
 A group is indivisible; its size is the sum of its rows' sizes. Groups of at least 1/GRAIN of the total are few (GRAIN at most) and are packed one by one. Smaller ones are first
 joined, in order of falling size, into bundles of about that size, by a running sum that is computed in pieces (one for each range of sizes); there are at most 2 GRAIN + pieces of these, whatever
-the table's size. Large groups and bundles, sorted by size, each go to the shard with the tightest remaining capacity that holds them, found in a balanced tree.
+the table's size. A group above a shard's fair share of what is left gets a shard of its own, first of all, and the total is that of the other groups. Large groups and bundles, sorted by size, each go to the shard with the tightest remaining capacity that holds them, found in a balanced tree.
 """
 
 from __future__ import annotations
@@ -77,10 +77,23 @@ def best_fit(items: list[tuple[int, object]], capacity: int) -> tuple[dict, int]
     return where, bins
 
 
+def alone(sizes: list[int], total: int, shards: int) -> tuple[int, int]:
+    """How many of the largest sizes, falling, get a shard of their own, each being above the fair share of what those before it leave of total; and what all of them leave."""
+    n = 0
+    while n < min(len(sizes), shards) and sizes[n] * (shards - n) > total:
+        total, n = total - sizes[n], n + 1
+    return n, total
+
+
 def pack_into(items: list[tuple[int, object]], shards: int) -> dict:
-    """Best fit with the least capacity (by bisection) that needs no more than ``shards`` bins."""
-    total = sum(s for s, _ in items)
-    lo = max([-(-total // shards), *(s for s, _ in items)], default=1)
+    """Items above the fair share of what is left go to the first shards, one each; the rest by best fit with the least capacity (by bisection) that needs no more than the other shards."""
+    items = sorted(items, key=lambda x: (-x[0], str(x[1])))
+    n, total = alone([s for s, _ in items], sum(s for s, _ in items), shards)
+    out = {item: b for b, (_, item) in enumerate(items[:n])}
+    items, shards = items[n:], shards - n
+    if not items:
+        return out
+    lo = max(-(-total // shards), items[0][0])
     hi = lo
     while best_fit(items, hi)[1] > shards:
         lo, hi = hi + 1, hi + max(1, hi // 16)
@@ -90,12 +103,25 @@ def pack_into(items: list[tuple[int, object]], shards: int) -> dict:
             hi = mid
         else:
             lo = mid + 1
-    return best_fit(items, hi)[0]
+    return out | {item: n + b for item, b in best_fit(items, hi)[0].items()}
+
+
+def _least(groups: DataFrame, total: int, shards: int, grain: int) -> int:
+    """Bytes from which a group is packed by itself: 1/grain of what the groups with a shard of their own leave. At most shards + grain sizes are looked at, and each round takes another such group off."""
+    rest = total
+    while True:
+        least = max(1, rest // grain)
+        large = sorted((r["bytes"] for r in groups.where(F.col("bytes") >= least).select("bytes").collect()), reverse=True)
+        _, left = alone(large, total, shards)
+        if left == rest:
+            return least
+        rest = left
 
 
 def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None, text_col: str = "text", id_col: str = "doc_id", grain: int = GRAIN) -> DataFrame:
     """Per row: k (doc_id), size, text_crc32, shard, slot. With ``capacity`` (bytes), as few shards of that capacity as best fit needs; else ``shards`` shards of nearly equal bytes.
 
+    Only a group above the fair share of what is left makes bytes unequal: it has a shard to itself, and the others are nearly equal.
     Rows with equal texts share a shard; null texts (size 1, crc32 of nothing) are one group of their own. A group over the capacity gets a shard of its own. Ties go to the smaller digest; repeated rows are separate rows
     with slots of their own. Slots run from 0 in each shard without gaps. Extra columns are ignored. Empty table: no rows.
     """
@@ -104,7 +130,7 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = N
     rows = stage(rows, "rows")
     groups = stage(rows.groupBy("grp").agg(F.sum("size").alias("bytes")), "groups")
     total = groups.agg(F.sum("bytes").alias("b")).first()["b"] or 0
-    least = max(1, (total if capacity is None else min(total, capacity * (shards or SHARDS))) // grain)
+    least = _least(groups, total, shards or SHARDS, grain) if capacity is None else max(1, min(total, capacity * (shards or SHARDS)) // grain)
 
     large = groups.where(F.col("bytes") >= least).select("grp", F.hex("grp").alias("unit"), "bytes")
     # the small ones: a piece for each range of sizes and a hash, the running sum in each piece by falling size

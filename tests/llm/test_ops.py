@@ -250,6 +250,24 @@ def test_sharding(docs, empty):
         assert where[i] == b
 
 
+def test_sharding_of_a_hot_group(spark):
+    for hot in (1 / 5, 1 / 3, 0.9995):
+        items = [(500, i) for i in range(1000)] + [(int(500_000 * hot / (1 - hot)), "hot")]
+        where = sharding.pack_into(items, 8)
+        load = [sum(s for s, i in items if where[i] == b) for b in range(8)]
+        assert load[where["hot"]] == items[-1][0]
+        load.pop(where["hot"])
+        assert max(load) - min(load) <= 500
+    assert len({*sharding.pack_into([(9, 0), (5, 1), (1, 2)], 8).values()}) == 3 and sharding.pack_into([], 8) == {}
+    # through the bundles, with a group of copies that holds a third of the bytes, and almost all of them
+    for copies in (500, 100_000):
+        docs = spark.range(1000 + copies).selectExpr("id as doc_id", "if(id < 1000, lpad(string(id), 99, 'x'), repeat('y', 99)) as text")
+        load = {x.shard: (x.b, x.g) for x in sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("b"), F.countDistinct("text_crc32").alias("g")).collect()}
+        assert set(load) == set(range(8))
+        rest = sorted(load.values())[:-1]
+        assert max(load.values()) == (100 * copies, 1) and rest[-1][0] <= 1.05 * rest[0][0]
+
+
 def test_langid(spark, empty):
     r = random.Random(3)
     en, fr = "the and of with that house water".split(), "le les des avec maison eau être".split()

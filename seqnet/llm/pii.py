@@ -1,8 +1,8 @@
 """Finds personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The network is trained in numpy from labelled spans: windows of the documents themselves, into which made-up addresses, numbers and the like are written. Texts are read in overlapping windows; a window
-that holds neither a digit nor an at sign can't hold a span of these kinds and is passed over. Each window is decoded by Viterbi, each character takes its tag from the window in whose middle it is most, and
-runs of tags that cross windows are joined. Spans that fail the kind's own test, or meet a base span, are dropped; base spans stay as they are.
+The network is trained in numpy from labelled spans: windows of the documents themselves, into which made-up addresses, numbers and the like are written. Texts are read in overlapping windows, each
+character taking its tag from the window in whose middle it is most, decoded by Viterbi. Any span that can count holds a digit, an at sign, ' at ' or '(at)' (see fits), so the windows of these are decoded
+first, and from them, as long as tags go on to a window's border, the windows beside them: the spans are those of decoding every window. Runs of tags that cross windows are joined. Spans that fail the kind's own test, or meet a base span, are dropped; base spans stay as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ HINT = re.compile("[0-9@]")
 SPAN, STRIDE, SAMPLE_ROWS, STEPS, BATCH, EMB, HIDDEN = 96, 64, 200, 220, 48, 12, 16
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789@.+-()_ \n,:;/'\"#*"
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-LONG = 64
+#: How addresses are written; hints() covers the first.
+AT, DOT = ("@", " at ", "(at)"), (".", " dot ", "(dot)")
 
 
 def luhn(digits: str) -> bool:
@@ -68,7 +69,8 @@ def fits(kind: str, s: str) -> bool:
     """What a span of the network's must be to count."""
     digits = sum("0" <= c <= "9" for c in s)
     if kind == "email":
-        return len(s) >= 6 and ("@" in s or " at " in s.lower()) and ("." in s or " dot " in s.lower())
+        low = s.lower()
+        return len(s) >= 6 and any(x in low for x in AT) and any(x in low for x in DOT)
     if kind == "ip":
         parts = re.split(r"[^0-9]+", s.strip("[]() "))
         return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -256,37 +258,50 @@ def train(texts: list[str], seed: int = 11, steps: int = STEPS) -> Tagger:
     return model
 
 
+def hints(c: np.ndarray) -> np.ndarray:
+    """Where codes c have a digit or one of AT, of which every span that fits() accepts holds one."""
+    hot = (c >= 26) & (c <= 36)
+    if len(c) > 3:
+        a, b, d, e = c[:-3], c[1:-2], c[2:-1], c[3:]
+        blank, left, right = (SYMBOLS.index(x) for x in " ()")
+        hot[:-3] |= (b == 0) & (d == 19) & (((a == blank) & (e == blank)) | ((a == left) & (e == right)))
+    return np.flatnonzero(hot)
+
+
 def network_spans(model: Tagger, texts: list[str], most: int = 2048) -> list[list[tuple[str, int, int]]]:
     """Spans the network finds in each text, ``most`` windows at a time."""
-    where: list[tuple[int, int]] = []
-    codes, tags = [], []
-    for k, t in enumerate(texts):
-        c = coded(t) if t and HINT.search(t) else np.empty(0, np.int8)
-        codes.append(c)
-        tags.append(None)
-        if len(c):
-            hot = np.nonzero((c >= 26) & (c <= 36))[0]  # digits and the at sign
-            firsts = set()
-            for h in np.unique(hot // STRIDE):
-                firsts |= {max(0, int(h) - 1), int(h)}
-            where += [(k, f * STRIDE) for f in sorted(firsts) if f * STRIDE < len(c)]
-    for lo in range(0, len(where), most):
-        part = where[lo : lo + most]
-        x = np.full((len(part), SPAN), PAD, np.int8)
-        for r, (k, at) in enumerate(part):
-            w = codes[k][at : at + SPAN]
-            x[r, : len(w)] = w
-        got = model.decode(x)
-        for r, (k, at) in enumerate(part):
-            if not got[r].any():
-                continue
-            if tags[k] is None:
-                tags[k] = np.zeros(len(codes[k]), np.int8)
-            n = min(SPAN, len(codes[k]) - at)
-            # the middle of a window decides; its edges only where the text ends
-            a = 0 if at == 0 else (SPAN - STRIDE) // 2
-            b = n if at + SPAN >= len(codes[k]) else (SPAN + STRIDE) // 2
-            tags[k][at + a : at + b] = got[r, a:b]
+    codes = [coded(t) if t else np.empty(0, np.int8) for t in texts]
+    tags: list[np.ndarray | None] = [None] * len(texts)
+    # a text's last window is the first that reaches its end; the middle of a window decides, its edges only where the text begins or ends
+    last = [max(0, -(-(len(c) - SPAN) // STRIDE)) for c in codes]
+    edge = (SPAN - STRIDE) // 2
+    where = [(k, int(f)) for k, c in enumerate(codes) for f in np.unique(np.clip((hints(c) - edge) // STRIDE, 0, last[k]))]
+    seen = set(where)
+    while where:
+        beside = set()
+        for lo in range(0, len(where), most):
+            part = where[lo : lo + most]
+            x = np.full((len(part), SPAN), PAD, np.int8)
+            for r, (k, f) in enumerate(part):
+                w = codes[k][f * STRIDE : f * STRIDE + SPAN]
+                x[r, : len(w)] = w
+            got = model.decode(x)
+            for r, (k, f) in enumerate(part):
+                at = f * STRIDE
+                a = edge if f else 0
+                b = edge + STRIDE if f < last[k] else len(codes[k]) - at
+                own = got[r, a:b]
+                if not own.any():
+                    continue
+                if tags[k] is None:
+                    tags[k] = np.zeros(len(codes[k]), np.int8)
+                tags[k][at + a : at + b] = own
+                if own[0] and f:
+                    beside.add((k, f - 1))
+                if own[-1] and f < last[k]:
+                    beside.add((k, f + 1))
+        where = sorted(beside - seen)
+        seen |= beside
     out = []
     for k, t in enumerate(texts):
         spans, g = [], tags[k]
@@ -303,7 +318,7 @@ def network_spans(model: Tagger, texts: list[str], most: int = 2048) -> list[lis
                     while lo < hi and t[lo] in " .,;:-)":
                         lo += 1
                     kind = KINDS[int(kinds[i])]
-                    if hi - lo <= LONG and fits(kind, t[lo:hi]):
+                    if fits(kind, t[lo:hi]):
                         spans.append((kind, lo, hi))
         out.append(spans)
     return out

@@ -190,6 +190,33 @@ def test_pii(docs, empty):
     assert [s for s in pii.base_spans(t) if s[0] == "email"] == plain
 
 
+def test_pii_reads_whole_spans():
+    r = random.Random(8)
+
+    class Marker:
+        """Tags as email whatever isn't '#'."""
+
+        def decode(self, x):
+            return np.where((x == pii.SYMBOLS.index("#")) | (x == pii.PAD), 0, 2).astype(np.int8)
+
+    fill = "#" * 500
+    for s in ("jo.miller at host dot com", "JO(at)host(DOT)com", "a" * 150 + "@" + "b" * 150 + ".com", "dot.com" + "x" * 300 + " At y"):
+        for n in (0, 1, 15, 16, 60, 79, 80, 81, 95, 96, 97, 300):
+            assert pii.network_spans(Marker(), [fill[:n] + s + fill]) == pii.network_spans(Marker(), [fill[:n] + s + fill], 1) == [[("email", n, n + len(s))]]
+            assert pii.network_spans(Marker(), [fill[:n] + s]) == [[("email", n, n + len(s))]]
+    # as if every window were decoded
+    model = pii.train(["some text to write numbers into, and more of it"], steps=30)
+    texts = ["##".join(r.choice([words(r, 9), "plain words at noon", "jo at host dot com", "a(at)b(dot)org", "+1 499 555 6503", "10 . 2 . 3 . 4"]) for _ in range(40)) for _ in range(30)]
+    got, old = [pii.network_spans(m, texts) for m in (model, Marker())], pii.hints
+    try:
+        pii.hints = lambda c: np.arange(len(c))
+        assert got == [pii.network_spans(m, texts) for m in (model, Marker())] and all(got[1])
+    finally:
+        pii.hints = old
+    # no other character becomes one of the hint's in lower case
+    assert {c for c in map(chr, range(0x110000)) if {*c.lower()} & {*"at()@ "}} == {*"aAtT()@ "}
+
+
 def test_pii_gradient():
     import numpy as np
 

@@ -37,6 +37,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def some_rows(df: DataFrame, rows: int, *columns: str, total: int | None = None) -> DataFrame:
+    """df if it has ``rows`` rows or fewer, else a sample by a 63-bit hash of the columns: about ``rows`` rows whatever the table's size. Rows that agree in the columns count once, so that no group of copies is taken whole."""
+    total = df.count() if total is None else total
+    if total <= rows:
+        return df
+    h = F.shiftrightunsigned(F.xxhash64(*columns), 1)
+    return df.withColumn("sample_h", h).where(F.col("sample_h") < int((1 << 63) / total * rows)).dropDuplicates(["sample_h"]).drop("sample_h")
+
+
+def pieces(batch, most: int = 4 << 20, column: str = "t"):
+    """A batch in slices of about ``most`` bytes of the column's values at most; a longer value is a slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        if batch.num_rows:
+            yield batch
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def row_key(doc_id: str, text: str) -> list:
     """Columns k and g, by which later joins find a row again. Rows that share both are copies of one row and get the same result."""
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.col(text)).alias("g")]

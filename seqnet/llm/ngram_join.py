@@ -7,12 +7,15 @@ Equal sets fall into one class first; classes are the nodes. A class gets keys s
 - large sets have these tokens as keys, with an s that grows with the set (slack), and are scanned by inverted lists; small sets have all subsets of two tokens of theirs (s = 2) as keys;
 - the boundary between small and large is the size at which the sampled cost of both ways is lowest; sets of 0.8 to 1 times the boundary go both ways, so that every pair is covered.
 
-Keys with one class only are dropped, and so are large classes that share fewer than s keys with others. In each remaining list, members are compared with one member of another component, and
-components are merged, as long as many pairs across components are left; these are then compared exactly if they share s keys or more. Members of one component are never paired, so a group of near copies
-costs a few comparisons a member. Nothing is dropped or capped.
+Keys with one class only are dropped, and so are large classes that share fewer than s keys with others. Lists with the same members are one list (a passage that the same texts share is one list, not one for each of
+its tokens). Lists are then scanned twice, each time in blocks of bounded length:
 
-A parity bitmap of each class goes with the last lists: each token flips one bit, so two bitmaps differ in no more bits than there are tokens in only one of the sets. Two sets of n and m tokens are
-similar only if these are (n + m) / 9 at most; a pair whose bitmaps differ in more bits is told apart where the list is read, before it is a row.
+- first, each class is linked with the nearest of the classes before it (by size) in its lists, one pair for each class, if the pair is similar; a group of near copies becomes a component by that, at a cost in proportion to its members;
+- then only lists that still hold several components are scanned, and pairs across components that can be similar are compared exactly. Long lists are dealt as pairs of blocks. Nothing is dropped or capped.
+
+Scans use a parity bitmap of each class, as many bits as it has tokens (512 to 4096): each token flips one bit, so two bitmaps differ in no more bits than there are tokens in only one of the sets. Two sets of n and m tokens are
+similar only if these are (n + m) / 9 at most; a pair whose bitmaps differ in more bits is told apart where the list is scanned, and never becomes a row. What stays quadratic is the number of bitmap comparisons in a list of texts that
+share a rare token and belong to different components.
 """
 
 from __future__ import annotations
@@ -24,20 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, row_key, stage
+from .common import NO_ID, documents, pieces, row_key, some_rows, stage
 
 SHINGLE = 5
 #: Rows of the sample that sets the order of tokens and the boundary; neither has a bearing on the result.
 SAMPLE_ROWS = 4000
 #: A token is frequent if so many rows of the sample have it.
 SAMPLE_DF = 4
-#: Rounds of comparing with one member of each list, at most, before all pairs across components.
-ROUNDS = 2
-#: Pairs across components for each row of the lists up to which they are compared at once, without another such round.
-PAIRS_A_ROW = 40
-#: Longs of a class's parity bitmap.
-PARITY = 16
-BITMAP = [f"p{i}" for i in range(PARITY)]
+#: Members of a list that are scanned together; longer lists are dealt in blocks of about so many.
+BLOCK_ROWS = 512
+#: Lists of one class are scanned in so many tasks at most (they share many pairs, which are then told once).
+HOMES = 4
+#: Bits of a parity bitmap: the power of two not below the number of tokens, within these.
+LEAST_BITS, MOST_BITS = 512, 4096
 #: Logarithm of the bits in the bitmap of rows whose sets are needed again.
 BITS = 27
 
@@ -151,18 +153,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(_long(np.concatenate([np.empty(0, np.uint64), *arrays]))))
 
 
-def _sampled(docs: DataFrame, text_col: str, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _sampled(docs: DataFrame, id_col: str, text_col: str, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Frequent tokens of a sample, their levels, and the boundary. The sample has about ``rows`` rows, whatever the table's size."""
-    total = docs.count()
-    part = docs.select(F.col(text_col).alias("t"))
-    if total > rows:
-        part = part.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int((1 << 20) * rows / total))
 
     def each(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([_lists([np.unique(shingles(t.as_py())) for t in b.column("t")])], ["s"])
 
-    sets = stage(part.mapInArrow(each, "s array<bigint>").where("size(s) > 0"), "sample")
+    part = some_rows(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), rows, "i", "t")
+    sets = stage(part.select("t").mapInArrow(each, "s array<bigint>").where("size(s) > 0"), "sample")
     top = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") >= SAMPLE_DF).toPandas()
     common = top["x"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(common)
@@ -185,22 +184,24 @@ def boundary(n: np.ndarray, count: np.ndarray, list_cost: float = 2.0) -> int:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """Bits that an odd number of tokens fall on, of PARITY longs."""
-    bits = np.bincount((_mix(tokens * _M[0]) >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Bits that an odd number of tokens fall on, as 64-bit words. A bitmap of half as many bits is one half against the other."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(tokens) - 1).bit_length())) if len(tokens) else LEAST_BITS
+    odd = np.bincount((_mix(tokens * _M[0]) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def _signed(rows: DataFrame, shared, bound: int) -> DataFrame:
-    """Rows k, g, t as k, g, n, cls, keys and the longs of parity."""
+    """Rows k, g, t as k, g, n, cls, keys and bits (parity)."""
 
     def each(batches):
         common, level = shared.value
-        for b in batches:
-            sets = [ordered(shingles(t.as_py()), common, level) for t in b.column("t")]
-            bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, PARITY)
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("g"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), _lists([keys(s, bound) for s in sets]), *[pa.array(bits[:, i]) for i in range(PARITY)]], ["k", "g", "n", "cls", "keys", *BITMAP])
+        for whole in batches:
+            for b in pieces(whole):
+                sets = [ordered(shingles(t.as_py()), common, level) for t in b.column("t")]
+                bits = pa.array([parity(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("g"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), _lists([keys(s, bound) for s in sets]), bits], ["k", "g", "n", "cls", "keys", "bits"])
 
-    return rows.mapInArrow(each, f"k bigint, g bigint, n bigint, cls bigint, keys array<bigint>, {', '.join(f'{p} bigint' for p in BITMAP)}")
+    return rows.mapInArrow(each, "k bigint, g bigint, n bigint, cls bigint, keys array<bigint>, bits binary")
 
 
 def class_of(tokens: np.ndarray) -> int | None:
@@ -222,11 +223,11 @@ def _sets(rows: DataFrame, shared, live: DataFrame) -> DataFrame:
 
     def each(batches):
         common, level = shared.value
-        for b in batches:
-            bit = b.column("bit").to_numpy()
-            b = b.filter(pa.array((bits.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0))
-            sets = [ordered(shingles(t.as_py()), common, level) for t in b.column("t")]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "x"])
+        for whole in batches:
+            bit = whole.column("bit").to_numpy()
+            for b in pieces(whole.filter(pa.array((bits.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0))):
+                sets = [ordered(shingles(t.as_py()), common, level) for t in b.column("t")]
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "x"])
 
     rows = rows.select("t", F.pmod(F.xxhash64("k", "g"), F.lit(1 << BITS)).alias("bit"))
     return rows.mapInArrow(each, "cls bigint, x binary")
@@ -277,62 +278,128 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("v"), F.col("b").alias("comp"))
 
 
+def _runs(batches, names: list[str]):
+    """Tables of consecutive rows that agree in the named columns."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        at = np.array([t.column(c).to_numpy() for c in names])
+        starts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist()] if t.num_rows else [0]
+        for i, j in zip(starts, starts[1:]):
+            yield t.slice(i, j - i)
+        rest = t.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def near_pairs(n: np.ndarray, comp: np.ndarray, block: np.ndarray, bits: list[bytes], nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) across components, n[i] <= n[j], that the bitmaps don't tell apart, and the bits in which they differ. n must ascend. Where there are two blocks, pairs across these. With ``nearest``, of each j the pair with fewest such bits."""
+    width = np.array([len(x) // 8 for x in bits])
+    apart = block[0] != block[-1] or (block != block[0]).any()
+    out, best, least = [], np.zeros(len(n), int), np.full(len(n), 1 << 40)
+    for w in np.unique(width).tolist():
+        lo, mid, hi = np.searchsorted(width, [w, w + 1, 2 * w + 1])
+        m = np.empty((hi - lo, w), np.uint64)
+        for r in range(lo, hi):
+            x = np.frombuffer(bits[r], np.uint64)
+            m[r - lo] = x if len(x) == w else x[:w] ^ x[w:]
+        ends = np.searchsorted(n[:hi], 5 * n[lo:mid] // 4, side="right")
+        for i in range(lo, mid):
+            e = int(ends[i - lo])
+            if e <= i + 1:
+                continue
+            may = comp[i + 1 : e] != comp[i]
+            if apart:
+                may &= block[i + 1 : e] != block[i]
+            j = np.flatnonzero(may)
+            if not len(j):
+                continue
+            d = np.bitwise_count(m[i + 1 - lo + j] ^ m[i - lo]).sum(axis=1).astype(np.int64)
+            j = j + i + 1
+            ok = 9 * d <= n[i] + n[j]
+            j, d = j[ok], d[ok]
+            if nearest:
+                less = d < least[j]
+                best[j[less]], least[j[less]] = i, d[less]
+            elif len(j):
+                out.append((np.full(len(j), i), j, d))
+    if nearest:
+        j = np.flatnonzero(least < 1 << 40)
+        return best[j], j, least[j]
+    return tuple(np.concatenate(x) if x else np.empty(0, int) for x in (zip(*out) if out else ((), (), ())))
+
+
+def _scanned(lists: DataFrame, nearest: bool) -> DataFrame:
+    """lists (key, home, rows, cls, n, comp, bits) -> pairs a, b and the share of bits in which they differ; a pair is told once for most of the lists it is in."""
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
+    dealt = lists.withColumn("blk", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    if nearest:
+        dealt = dealt.withColumn("bi", F.col("blk")).withColumn("bj", F.col("blk"))
+    else:
+        every = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda x: F.struct(F.least(x, "blk").alias("bi"), F.greatest(x, "blk").alias("bj")))
+        dealt = dealt.withColumn("x", F.explode(every)).select("*", "x.bi", "x.bj").drop("x")
+    dealt = dealt.withColumn("home", F.xxhash64("home", F.pmod("key", F.lit(HOMES)), "bi", "bj")).select("home", "key", "bi", "bj", "blk", "cls", "n", "comp", "bits")
+    dealt = dealt.repartition("home").sortWithinPartitions("home", "key", "bi", "bj", "n", "cls")
+
+    def each(batches):
+        home, told, out = None, set(), []
+        for t in _runs(batches, ["home", "key", "bi", "bj"]):
+            own = t.column("home")[0].as_py()
+            if own != home or len(told) > 200_000:
+                home, told = own, set()
+            n, cls = t.column("n").to_numpy(), t.column("cls").to_numpy()
+            i, j, d = near_pairs(n, t.column("comp").to_numpy(), t.column("blk").to_numpy(), t.column("bits").to_pylist(), nearest)
+            for a, b, x in zip(cls[j].tolist(), cls[i].tolist(), (d / (n[i] + n[j])).tolist()):
+                if (a, b) not in told:
+                    told.add((a, b))
+                    out.append((a, b, x))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "b", "d"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "b", "d"])
+
+    return dealt.mapInArrow(each, "a bigint, b bigint, d double")
+
+
 def similar_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row of docs: k, g (row key), n (size of its set), comp (the component's class; null for an empty set)."""
     if percent != 80:
         raise ValueError("prefixes are laid out for a similarity of 0.8")
     spark = docs.sparkSession
-    common, level, bound = _sampled(docs, text_col, sample_rows)
+    common, level, bound = _sampled(docs, id_col, text_col, sample_rows)
     shared = spark.sparkContext.broadcast((common, level))
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t"))
     signed = stage(_signed(rows, shared, bound), "signed")
 
-    # one exchange by key; a list is read as a stream, its rows being a key and a class
+    # one exchange by key; Spark's window buffer goes to disk where a list is long
     by_key = Window.partitionBy("key")
     lists = signed.where("cls is not null").select(F.explode("keys").alias("key"), "cls")
     lists = lists.withColumn("lo", F.min("cls").over(by_key)).withColumn("hi", F.max("cls").over(by_key)).where("lo <> hi").select("key", "cls")
-    lists = stage(lists, "lists").distinct()
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct("k", "g")).alias("r"), *[F.first(p).alias(p) for p in BITMAP])
+    lists = stage(lists.distinct(), "shared-keys")
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct("k", "g")).alias("r"), F.first("bits").alias("bits"))
     enough = f"n <= {bound} or c >= 1 + ((4 * n + 4) div 5) div 20"
-    live = _join(lists.groupBy("cls").agg(F.count("*").alias("c")), classes, "cls").where(enough).select("cls", "n", "r", *BITMAP)
-    live = stage(live, "live-classes")
-    nodes = live.select("cls", "n", F.col("cls").alias("comp"))
-    lists = stage(_join(lists, nodes, "cls"), "lists-0")
+    live = stage(_join(lists.groupBy("cls").agg(F.count("*").alias("c")), classes, "cls").where(enough).select("cls", "n", "r", "bits"), "live-classes")
+    lists = _join(lists, live.select("cls"), "cls", "left_semi")
+    # lists with the same members become one
+    hashed = F.xxhash64("cls")
+    same = lists.groupBy("key").agg(F.bit_xor(hashed).alias("s"), F.bit_xor(F.xxhash64(hashed)).alias("x"), F.count("*").alias("rows"), F.min(hashed).alias("home")).where("rows > 1")
+    same = same.groupBy("s", "x", "rows", "home").agg(F.min("key").alias("key")).select("key", "rows", "home")
+    lists = stage(_join(lists, same, "key"), "lists")
     sets = _join(_sets(rows, shared, live.select("r.k", "r.g")), live.select("cls"), "cls", "left_semi")
     sets = stage(sets.groupBy("cls").agg(F.first("x").alias("x")), "sets")
 
-    links, comp = None, None
-    for step in range(ROUNDS + 1):
-        across = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        lists = stage(_join(lists, across, "key"), f"across-{step}")
-        left = lists.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"), F.sum("c").alias("rows"))
-        left = left.agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows")).first()
-        if not left["rows"]:
-            break
-        last = step == ROUNDS or left["pairs"] <= PAIRS_A_ROW * left["rows"]
-        if last:
-            whole = _join(lists, live.select("cls", *BITMAP), "cls").select("key", "cls", "n", "comp", *BITMAP)
-            a, b = (whole.select("key", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), *[F.col(p).alias(f"{p}{x}") for p in BITMAP]) for x in "ab")
-            differ = " + ".join(f"bit_count({p}a ^ {p}b)" for p in BITMAP)
-            pairs = _join(a, b, "key").where(f"ca <> cb and (na < nb or (na = nb and a < b)) and 5 * na >= 4 * nb and 9 * ({differ}) <= na + nb")
-            need = f"nb <= {bound} or c >= 1 + na div 20"
-        else:
-            # one member of each list, by a hash of its component, then its own, that changes from round to round
-            pick = F.min(F.struct(F.xxhash64("comp", F.lit(step)).alias("h"), F.xxhash64("cls", F.lit(step)).alias("i"), "cls", "n", "comp")).alias("p")
-            pick = lists.groupBy("key").agg(pick).select("key", F.col("p.cls").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("cb"))
-            pairs = _join(lists.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), "comp"), pick, "key").where("comp <> cb and 5 * least(na, nb) >= 4 * greatest(na, nb)")
-            need = f"nb <= {bound} or na <= {bound} or c >= 1 + na div 80"
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(need).select("a", "b")
-        found = stage(_linked(pairs, sets, percent), f"links-{step}")
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-        if last:
-            break
-        # components are told to classes first, of which there are fewer than rows of lists
-        nodes = _join(live.select("cls", "n"), comp, F.col("cls") == F.col("v"), "left").select("cls", "n", F.coalesce("comp", "cls").alias("comp"))
-        lists = _join(lists.select("key", "cls"), nodes, "cls")
-    if comp is None:
-        return signed.select("k", "g", "n", F.col("cls").alias("comp"))
+    whole = _join(lists, live.select("cls", "n", "bits"), "cls").withColumn("comp", F.col("cls"))
+    pairs = _scanned(whole, True).groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    links = stage(_linked(pairs, sets, percent), "links-near")
+    comp = components(links)
+    nodes = _join(live.select("cls", "n", "bits"), comp, F.col("cls") == F.col("v"), "left").select("cls", "n", "bits", F.coalesce("comp", "cls").alias("comp"))
+    told = stage(_join(lists, nodes.select("cls", "comp"), "cls"), "told")
+    across = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    whole = _join(_join(told, across, "key", "left_semi"), live.select("cls", "n", "bits"), "cls")
+    pairs = _scanned(whole, False).select("a", "b").distinct()
+    found = stage(_linked(pairs, sets, percent), "links-across")
+    comp = components(links.unionByName(found))
     return _join(signed.select("k", "g", "n", "cls"), comp, F.col("cls") == F.col("v"), "left").select("k", "g", "n", F.coalesce("comp", "cls").alias("comp"))
 
 

@@ -117,11 +117,78 @@ def test_word_hashes_do_not_depend_on_place_or_block():
 
 def test_parity_never_exceeds_the_difference():
     r = np.random.default_rng(3)
-    for n in (0, 1, 9, 300, 5000):
+    for n in (0, 1, 9, 300, 600, 1100, 5000, 20000):
         a = np.unique(r.integers(0, 1 << 60, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[n // 5 :], r.integers(0, 1 << 60, n // 4, dtype=np.uint64)]))
-        bits = sum(int(x).bit_count() for x in (ngram_join.parity(a) ^ ngram_join.parity(b)).view(np.uint64))
-        assert bits <= len(np.setxor1d(a, b)) and (len(a) != 300 or bits > 60)
+        size, bits = np.array([len(a), len(b)]), [ngram_join.parity(x).tobytes() for x in (a, b)]
+        by = np.argsort(size, kind="stable")
+        i, _, d = ngram_join.near_pairs(size[by], np.array([1, 2]), np.zeros(2, int), [bits[k] for k in by], False)
+        apart = len(np.setxor1d(a, b))
+        assert (not len(i) and 9 * apart > len(a) + len(b)) or d[0] <= apart
+
+
+def test_near_pairs_brute_force():
+    r = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = np.unique(r.integers(0, 1 << 60, int(r.choice([30, 500, 530, 1000, 4200])), dtype=np.uint64))
+        sets += [base, base[r.random(len(base)) < r.choice([0.8, 0.9, 0.97])]]
+    sets.sort(key=len)
+    n, comp, block = np.array([*map(len, sets)]), r.integers(0, 40, 120), r.integers(0, 2, 120)
+    bits = [ngram_join.parity(s).tobytes() for s in sets]
+    similar = {(i, j) for i, j in itertools.combinations(range(120), 2) if comp[i] != comp[j] and len(np.intersect1d(sets[i], sets[j])) * 9 >= 4 * (n[i] + n[j])}
+    for own in (np.zeros(120, int), block):
+        i, j, _ = ngram_join.near_pairs(n, comp, own, bits, False)
+        want = {(a, b) for a, b in similar if own is not block or block[a] != block[b]}
+        assert want <= {*zip(i.tolist(), j.tolist())} and len(i) <= len(want) + 20
+    i, j, _ = ngram_join.near_pairs(n, comp, np.zeros(120, int), bits, True)
+    assert len({*j.tolist()}) == len(j) and (n[i] <= n[j]).all()
+
+
+def counted(monkeypatch):
+    """Rows that each scan of lists, and each exact comparison, hands on."""
+    made = {}
+    for name in ("_scanned", "_linked"):
+
+        def wrapped(*a, f=getattr(ngram_join, name), name=name):
+            out = ngram_join.stage(f(*a), "counted")
+            made.setdefault(name, []).append(out.count())
+            return out
+
+        monkeypatch.setattr(ngram_join, name, wrapped)
+    return made
+
+
+def test_ngram_join_of_many_near_copies(spark, monkeypatch):
+    r = random.Random(6)
+    origin = words(r, 150).split()
+    rows = []
+    for i in range(2000):
+        w = list(origin)
+        w[i % 150] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    docs, made = spark.createDataFrame(rows, "doc_id long, text string"), counted(monkeypatch)
+    assert {x.component_id for x in ngram_join.ngram_groups(docs).collect()} == {0}
+    assert max(made["_scanned"]) < 40_000 and sum(made["_linked"]) < 10_000
+
+
+def test_ngram_join_of_many_texts_with_a_passage(spark, monkeypatch):
+    r = random.Random(7)
+    passage = words(r, 60)
+    docs, made = spark.createDataFrame([(i, passage + " " + " ".join(f"w{r.random()}" for _ in range(25))) for i in range(2000)], "doc_id long, text string"), counted(monkeypatch)
+    monkeypatch.setattr(ngram_join, "SAMPLE_DF", 10**9)  # as if no sample had shown the passage to be frequent
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 100)
+    assert all(x.component_id == x.k for x in ngram_join.ngram_groups(docs).collect())
+    assert sum(made["_scanned"]) < 10_000 and sum(made["_linked"]) == 0
+
+
+def test_sample_of_any_table(spark):
+    from seqnet.llm.common import some_rows
+
+    docs = spark.range(100_000).selectExpr("id", "'one text' as t")
+    assert 200 < some_rows(docs, 300, "id", "t").count() < 400
+    assert 200 < some_rows(docs, 3 * 10**8, "id", "t", total=10**11).count() < 400  # no rounding to none
+    assert some_rows(docs.withColumn("id", docs.id * 0), 300, "id", "t", total=10**5).count() <= 1
 
 
 def test_line_dedup(docs, empty, texts):

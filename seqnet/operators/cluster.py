@@ -163,3 +163,34 @@ def linkage(dist: DataFrame, groups: DataFrame) -> DataFrame:
     b = groups.select("family", F.col("seq_id").alias("j"), F.col("g").alias("gb"))
     both = dist.join(a, ["family", "i"]).join(b, ["family", "j"]).where("ga <> gb")
     return both.groupBy("family", F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).agg(F.max("d").alias("largest"), F.percentile("d", F.lit(0.8)).alias("q80"), F.avg("d").alias("mean"))
+
+
+def supplied(lists: DataFrame) -> DataFrame:
+    """Clusters from lists (family, clusters: array of arrays of seq_id), in their order: family, cluster_idx, seq_id."""
+    return lists.select("family", F.posexplode("clusters").alias("cluster_idx", "ids")).select("family", "cluster_idx", F.explode("ids").alias("seq_id"))
+
+
+def with_target(clusters: DataFrame, msa: DataFrame, targets: DataFrame) -> DataFrame:
+    """family, cluster_idx, is_target: whether the cluster holds the family's target sequence (family, target), the all-sequence cluster 0 not counting."""
+    own = clusters.join(msa, ["family", "seq_id"]).join(targets, "family")
+    return own.groupBy("family", "cluster_idx").agg((F.max((F.col("seq") == F.col("target")).cast("int")) > 0).alias("holds")).select("family", "cluster_idx", (F.col("holds") & (F.col("cluster_idx") > 0)).alias("is_target"))
+
+
+def order_by_distance(dist: DataFrame, start: DataFrame) -> DataFrame:
+    """family, g, cluster_idx: groups in the order of their distance (family, ga, gb, d; both directions or one) from the family's start group (family, g), which comes first."""
+    both = dist.select("family", F.col("ga").alias("g"), F.col("gb").alias("other"), "d").unionByName(dist.select("family", F.col("gb").alias("g"), F.col("ga").alias("other"), "d"))
+    near = both.join(start, ["family", "g"]).groupBy("family", "other").agg(F.min("d").alias("d")).select("family", F.col("other").alias("g"), "d")
+    rows = near.unionByName(start.select("family", "g", F.lit(-1.0).alias("d")))
+    return rows.select("family", "g", (F.row_number().over(Window.partitionBy("family").orderBy("d", "g")) - 1).alias("cluster_idx"))
+
+
+def blosum_pairs(msa: DataFrame) -> DataFrame:
+    """family, i, j, d for i < j: 1 - score / max of the two self scores, over columns without a gap in either; by joining letters with the table. The matrix form is blosum_distance."""
+    spark = msa.sparkSession
+    table = spark.createDataFrame([(ALPHABET[x], ALPHABET[y], int(MATRIX[x, y])) for x in range(20) for y in range(20)], "x string, y string, s int")
+    cell = msa.select("family", "seq_id", F.posexplode(F.split("seq", "")).alias("p", "x")).join(F.broadcast(table.where("x = y").select("x", F.col("s").alias("own"))), "x")
+    a = cell.select("family", "p", F.col("seq_id").alias("i"), "x", F.col("own").alias("si"))
+    b = cell.select("family", "p", F.col("seq_id").alias("j"), F.col("x").alias("y"), F.col("own").alias("sj"))
+    sums = a.join(b, ["family", "p"]).where("i < j").join(F.broadcast(table), ["x", "y"]).groupBy("family", "i", "j").agg(F.sum("s").alias("s"), F.greatest(F.sum("si"), F.sum("sj")).alias("m"))
+    every = msa.select("family", F.col("seq_id").alias("i")).join(msa.select("family", F.col("seq_id").alias("j")), "family").where("i < j")
+    return every.join(sums, ["family", "i", "j"], "left").select("family", "i", "j", F.when(F.col("m") > 0, 1 - F.col("s") / F.col("m")).otherwise(1.0).alias("d"))

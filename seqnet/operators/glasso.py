@@ -26,6 +26,10 @@ class GlassoConfig:
     zero: float = 1e-3
     beta_ratio: float = 0.0
     seed: int = 0
+    offset: int = 1  # the off-diagonal from which densities count; 63 for letters: positions 3 apart or more
+    target_shift: float = 0.0
+    selected: tuple[int, ...] | None = None  # models whose densities must meet the target; all where there are none
+    single: bool = False  # one lambda for all models
 
 
 def expand(v, n: int) -> list[float]:
@@ -88,29 +92,35 @@ def inverse_lambda(dens: list[float], lams: list[float], target: float, noise: f
 
 
 def search(s: list[np.ndarray], cfg: GlassoConfig, weights=None) -> dict:
-    """Searches each model's lambda for the target density: random steps first and on even trials, the fitted inverse on odd ones; best lambda solved again at the end. Trials start from the last fit."""
+    """Searches each model's lambda for the target density (shifted by target_shift): random steps first and on even trials, the fitted inverse on odd ones (a random step of up to 15 % where it can't be fitted); best lambda solved again at the end. Trials start from the last fit."""
     rng, k = np.random.default_rng(cfg.seed), len(s)
     lam, seen, best, state = expand(cfg.lam, k), [], None, None
+    target, chosen = cfg.target_density + cfg.target_shift, [i for i in cfg.selected or range(k) if i < k]
     for trial in range(cfg.trials):
         beta = [lam[0] * cfg.beta_ratio] * (k - 1) if cfg.beta_ratio > 0 else expand(cfg.beta, k - 1) if k > 1 else []
         fit = solve(s, lam, beta, cfg.penalty, weights, cfg.max_iters, cfg.rho, cfg.eps_abs, cfg.eps_rel, state)
         state = fit["state"]
-        dens = [density_of(t, cfg.zero) for t in fit["theta"]]
+        dens = [density_of(t, cfg.zero, cfg.offset) for t in fit["theta"]]
         seen.append((dens, list(lam)))
-        gap = max(abs(d - cfg.target_density) for d in dens)
+        gap = max(abs(dens[i] - target) for i in chosen)
         if best is None or gap < best[0]:
             best = (gap, list(lam), list(beta))
         if gap <= cfg.density_tol:
             break
         for i in range(k):
-            err = (dens[i] - cfg.target_density) / cfg.target_density
+            err = (dens[i] - target) / target
             if trial >= 2 and trial % 2:
-                lam[i] = inverse_lambda([d[i] for d, _ in seen], [l[i] for _, l in seen], cfg.target_density)
+                try:
+                    lam[i] = inverse_lambda([d[i] for d, _ in seen], [l[i] for _, l in seen], target)
+                except np.linalg.LinAlgError:
+                    lam[i] = float(np.clip(lam[i] * rng.uniform(0.85, 1.15), 1e-7, 10))
             else:
                 step = rng.uniform(1, 1 + min(4, abs(err)))
                 lam[i] = float(np.clip(lam[i] * step if err > 0 else lam[i] / step, 1e-7, 10))
+        if cfg.single:
+            lam = [float(np.exp(np.mean(np.log(lam))))] * k
     out = solve(s, best[1], best[2], cfg.penalty, weights, cfg.final_iters, cfg.rho, cfg.eps_abs, cfg.eps_rel)
-    return out | {"lam": best[1], "beta": best[2], "density": [density_of(t, cfg.zero) for t in out["theta"]], "trials": len(seen)}
+    return out | {"lam": best[1], "beta": best[2], "density": [density_of(t, cfg.zero, cfg.offset) for t in out["theta"]], "trials": len(seen)}
 
 
 FIT = "family string, cluster_idx int, lam double, density double, converged boolean, iterations int, n int, theta array<double>"
@@ -127,6 +137,57 @@ def fit_time_varying_glasso(cov: DataFrame, cfg: GlassoConfig, searching: bool =
         w = list(w / w.min())
         got = search(s, cfg, w) if searching else solve(s, cfg.lam, cfg.beta, cfg.penalty, w, cfg.max_iters, cfg.rho, cfg.eps_abs, cfg.eps_rel)
         lam = got.get("lam", expand(cfg.lam, len(s)))
-        return pd.DataFrame({"family": pdf["family"].astype(str), "cluster_idx": pdf["cluster_idx"].astype("int32"), "lam": lam, "density": [density_of(t, cfg.zero) for t in got["theta"]], "converged": got["converged"], "iterations": np.int32(got["iterations"]), "n": np.int32(len(s[0])), "theta": [pack(t) for t in got["theta"]]})
+        return pd.DataFrame({"family": pdf["family"].astype(str), "cluster_idx": pdf["cluster_idx"].astype("int32"), "lam": lam, "density": [density_of(t, cfg.zero, cfg.offset) for t in got["theta"]], "converged": got["converged"], "iterations": np.int32(got["iterations"]), "n": np.int32(len(s[0])), "theta": [pack(t) for t in got["theta"]]})
 
     return cov.groupBy("family").applyInPandas(fit, FIT)
+
+
+def packed(cov: DataFrame, keys: list[str], q: int = 21) -> DataFrame:
+    """keys, theta: the packed upper triangle of each full covariance (keys, i, j, a, b, cov; i <= j from 1), which one task for each matrix lays out."""
+
+    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["j"].max()) * q
+        m = np.zeros((n, n))
+        m[((pdf["i"] - 1) * q + pdf["a"]).to_numpy(int), ((pdf["j"] - 1) * q + pdf["b"]).to_numpy(int)] = pdf["cov"].to_numpy(float)
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"theta": [pack(m)]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in cov.schema}
+    return cov.groupBy(*keys).applyInPandas(lay, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", theta array<double>")
+
+
+def fit_families(msa: DataFrame, clusters: DataFrame, cfg: GlassoConfig, searching: bool = True, share: float = 0.62) -> DataFrame:
+    """Alignment to fits: msa (family, seq_id, seq; equally long in a family) and ordered clusters (family, cluster_idx, seq_id) give sequence weights, full covariances of all 21 letters at all positions, one for each cluster, and the family's joint fit.
+
+    Weights are those of the whole family, by sequence. lambda and beta are sized by the clusters that there are. Results go to Parquet by family with write_fits."""
+    from seqnet.functions.residues import normalize
+    from seqnet.operators.msa import full_covariance, weights
+
+    wts = weights(msa, share)
+    own = msa.withColumn("seq", normalize(msa["seq"])).join(clusters, ["family", "seq_id"]).join(wts, ["family", "seq_id"])
+    own = own.selectExpr("concat(cluster_idx, ':', family) as family", "seq_id", "seq", "wt")
+    cov = packed(full_covariance(own.select("family", "seq_id", "seq"), own.select("family", "seq_id", "wt")), ["family"])
+    total = own.groupBy("family").agg({"wt": "sum"}).withColumnRenamed("sum(wt)", "wt")
+    both = cov.join(total, "family").selectExpr("substring(family, instr(family, ':') + 1) as family", "cast(substring_index(family, ':', 1) as int) as cluster_idx", "wt", "theta")
+    return fit_time_varying_glasso(both, cfg, searching)
+
+
+def write_fits(fits: DataFrame, path: str, cfg: GlassoConfig) -> None:
+    """Fits with the settings they were made with, a folder for each family; earlier fits of the same families are replaced."""
+    from dataclasses import asdict
+
+    from pyspark.sql import functions as F
+
+    args = F.create_map(*[F.lit(str(x)) for kv in asdict(cfg).items() for x in kv])
+    fits.withColumn("args", args).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("family").parquet(path)
+
+
+def chain_problem(clusters: DataFrame, lam: float, beta: float, loads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (family, node, lam) and edges (family, src, dst, kind, coef) of the fit's graph: temporal edges between consecutive clusters, a lasso edge for each node. loads (family, node, lam), such as read from CSV, overrides lam."""
+    from pyspark.sql import functions as F
+
+    from seqnet.operators.cluster import chain_edges
+
+    nodes = clusters.select("family", F.col("cluster_idx").alias("node")).distinct()
+    nodes = nodes.withColumn("lam", F.lit(lam)) if loads is None else nodes.join(loads, ["family", "node"], "left").withColumn("lam", F.coalesce("lam", F.lit(lam)))
+    chain = chain_edges(clusters).select("family", "src", "dst", F.lit("temporal").alias("kind"), F.lit(beta).alias("coef"))
+    return nodes, chain.unionByName(nodes.select("family", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit("lasso").alias("kind"), F.col("lam").alias("coef")))

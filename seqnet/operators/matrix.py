@@ -16,6 +16,33 @@ def unpack(v: np.ndarray) -> np.ndarray:
     return m + m.T - np.diag(np.diag(m))
 
 
+def unpack_banded(v: np.ndarray, eps: float) -> np.ndarray:
+    """As unpack, with entries within eps of 0 set to 0."""
+    return unpack(np.where(np.abs(v) <= eps, 0.0, v))
+
+
+def unpack_long(upper: DataFrame, keys: list[str]) -> DataFrame:
+    """All entries (keys, r, c, v) of symmetric matrices given by those with r <= c."""
+    return upper.select(*keys, "r", "c", "v").unionByName(upper.where("r < c").select(*keys, F.col("c").alias("r"), F.col("r").alias("c"), "v"))
+
+
+def reembed(m: DataFrame, removed: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Matrices (keys, r, c, v), from 0, over the indices that are left, as matrices over all: removed (keys, pos) come back as 0; sizes (keys, n) are the full sizes."""
+    gone = removed.groupBy(*keys).agg(F.collect_set("pos").alias("gone"))
+    kept = sizes.join(gone, keys, "left").select(*keys, F.posexplode(F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.coalesce("gone", F.array().cast("array<bigint>")))).alias("at", "pos"))
+    a, b = kept.select(*keys, F.col("at").alias("r"), F.col("pos").alias("rr")), kept.select(*keys, F.col("at").alias("c"), F.col("pos").alias("cc"))
+    known = m.join(a, [*keys, "r"]).join(b, [*keys, "c"]).select(*keys, F.col("rr").alias("r"), F.col("cc").alias("c"), "v")
+    every = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("r")).select(*keys, "r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("c"))
+    return every.join(known, [*keys, "r", "c"], "left").select(*keys, "r", "c", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def symmetric_only(m: DataFrame, keys: list[str], tol: float = 1e-9) -> DataFrame:
+    """Matrices (keys, r, c, v) that are symmetric, by comparing each entry with its mirror image in one aggregation."""
+    pair = m.groupBy(*keys, F.least("r", "c").alias("a"), F.greatest("r", "c").alias("b")).agg((F.max("v") - F.min("v")).alias("d"), F.count("*").alias("n"))
+    good = pair.groupBy(*keys).agg(F.max((F.col("d") > tol) | ((F.col("a") < F.col("b")) & (F.col("n") != 2))).alias("bad")).where("not bad")
+    return m.join(good.select(*keys), keys, "left_semi")
+
+
 def remove_positions(cov: DataFrame, bad: DataFrame, on: str = "family") -> DataFrame:
     """cov (family, …, i, j) without pairs that have a position of bad (family, pos) in either place."""
     return cov.join(bad.select(on, F.col("pos").alias("i")), [on, "i"], "left_anti").join(bad.select(on, F.col("pos").alias("j")), [on, "j"], "left_anti")
@@ -38,7 +65,9 @@ def threshold(m: DataFrame, t: float) -> DataFrame:
 
 
 def density(m: DataFrame, keys: list[str], t: float = 1e-3) -> DataFrame:
-    return m.groupBy(*keys).agg(F.avg((F.abs("v") >= t).cast("double")).alias("density"))
+    """Share of entries of at least t; m holds the whole matrix, or with a column ``times`` how often an entry stands in it."""
+    w = F.col("times") if "times" in m.columns else F.lit(1)
+    return m.groupBy(*keys).agg((F.sum(F.when(F.abs("v") >= t, w).otherwise(0)) / F.sum(w)).alias("density"))
 
 
 def average(models: DataFrame, keys: list[str], weight: str = "w") -> DataFrame:

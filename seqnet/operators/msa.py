@@ -1,5 +1,7 @@
 """Weights, frequencies, covariances and filters of alignments: rows (family, seq_id, seq)."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,23 +18,68 @@ def cells(msa: DataFrame, alphabet: str = ALPHABET, other: int | None = None) ->
     return long.where("aa is not null")
 
 
+#: Sequences that are compared with one another in one go, about.
+BLOCK = 512
+
+
+def _letters(seqs: list[str]) -> np.ndarray:
+    """Code points, a row for each of equally long sequences."""
+    return np.frombuffer("".join(seqs).encode("utf-32-le"), np.uint32).reshape(len(seqs), -1) if seqs else np.zeros((0, 0), np.uint32)
+
+
+def _neighbours(msa: DataFrame, near) -> DataFrame:
+    """family, seq_id, n: the number of other sequences of the family that are near by near(a, b) -> (rows of a x b). A family is cut in blocks; each pair of blocks is a row, so that its pairs are spread over tasks and compared as matrices."""
+    counts = msa.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = msa.join(counts, "family").withColumn("blk", F.pmod(F.xxhash64("seq_id"), F.col("blocks")))
+    blocks = dealt.groupBy("family", "blk").agg(F.collect_list(F.struct("seq_id", "seq")).alias("s"))  # about BLOCK sequences
+    a, b = blocks.select("family", F.col("blk").alias("ba"), F.col("s").alias("sa")), blocks.select("family", F.col("blk").alias("bb"), F.col("s").alias("sb"))
+    pairs = a.join(b, "family").where("ba <= bb")
+
+    def each(batches):
+        for batch in batches:
+            for family, ba, sa, bb, sb in zip(*(batch.column(c) for c in ("family", "ba", "sa", "bb", "sb"))):
+                sa, sb = sa.as_py(), sb.as_py()
+                x, y = (_letters([v["seq"] for v in s]) for s in (sa, sb))
+                ab, ba_ = near(x, y)
+                n = ab.sum(1) - (np.diag(ab).astype(int) if ba.as_py() == bb.as_py() else 0)
+                out = [(v["seq_id"], k) for v, k in zip(sa, n.tolist())]
+                if ba.as_py() != bb.as_py():
+                    out += [(v["seq_id"], k) for v, k in zip(sb, ba_.sum(0).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([family.as_py()] * len(out), pa.string()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["family", "seq_id", "n"])
+
+    part = pairs.mapInArrow(each, "family string, seq_id bigint, n bigint")
+    return part.groupBy("family", "seq_id").agg(F.sum("n").alias("n"))
+
+
+def _equal(x: np.ndarray, y: np.ndarray, skip: str = "") -> np.ndarray:
+    """Numbers of equal letters at equal positions (rows of x by rows of y)."""
+    out = np.zeros((len(x), len(y)), np.int32)
+    for k in range(x.shape[1]):
+        same = x[:, k, None] == y[None, :, k]
+        for c in skip:
+            same &= (x[:, k] != ord(c))[:, None]
+        out += same
+    return out
+
+
 def weights(msa: DataFrame, share: float = 0.62) -> DataFrame:
-    """Weight 1 / (1 + number of other sequences of the family that agree in more than ``share`` of this one's letters). Pairs are met in their family only, each once."""
-    a = msa.select("family", F.col("seq_id").alias("i"), F.col("seq").alias("si"), ungapped_length(F.col("seq")).alias("li"))
-    b = a.select("family", F.col("i").alias("j"), F.col("si").alias("sj"), F.col("li").alias("lj"))
-    same = a.join(b, "family").where("i < j").select("family", "i", "j", "li", "lj", matches(F.col("si"), F.col("sj"), "-").alias("m"))
-    near = same.select("family", F.explode(F.array(F.struct(F.col("i").alias("seq_id"), (F.col("m") > share * F.col("li")).alias("hit")), F.struct(F.col("j").alias("seq_id"), (F.col("m") > share * F.col("lj")).alias("hit")))).alias("x"))
-    count = near.where("x.hit").groupBy("family", "x.seq_id").agg(F.count("*").alias("n"))
-    return msa.select("family", "seq_id").join(count, ["family", "seq_id"], "left").select("family", "seq_id", (1 / (1 + F.coalesce("n", F.lit(0)))).alias("wt"))
+    """Weight 1 / (1 + number of other sequences of the family that agree in more than ``share`` of this one's letters)."""
+
+    def near(x, y):
+        m = _equal(x, y, "-")
+        return m > share * (x != ord("-")).sum(1)[:, None], m > share * (y != ord("-")).sum(1)[None, :]
+
+    return msa.select("family", "seq_id").join(_neighbours(msa, near), ["family", "seq_id"], "left").select("family", "seq_id", (1 / (1 + F.coalesce("n", F.lit(0)))).alias("wt"))
 
 
 def weights_by_mismatch(msa: DataFrame, share: float = 0.38) -> DataFrame:
     """The symmetric variant: neighbours differ in fewer than int(share * length) columns, gaps included."""
-    a = msa.select("family", F.col("seq_id").alias("i"), F.col("seq").alias("si"))
-    b = a.select("family", F.col("i").alias("j"), F.col("si").alias("sj"))
-    near = a.join(b, "family").where("i < j").where(F.floor(F.length("si") * share) > F.length("si") - matches(F.col("si"), F.col("sj")))
-    count = near.select("family", F.explode(F.array("i", "j")).alias("seq_id")).groupBy("family", "seq_id").agg(F.count("*").alias("n"))
-    return msa.select("family", "seq_id").join(count, ["family", "seq_id"], "left").select("family", "seq_id", (1 / (1 + F.coalesce("n", F.lit(0)))).alias("wt"))
+
+    def near(x, y):
+        hit = int(x.shape[1] * share) > x.shape[1] - _equal(x, y)
+        return hit, hit
+
+    return msa.select("family", "seq_id").join(_neighbours(msa, near), ["family", "seq_id"], "left").select("family", "seq_id", (1 / (1 + F.coalesce("n", F.lit(0)))).alias("wt"))
 
 
 def total_weight(wts: DataFrame) -> DataFrame:
@@ -41,13 +88,44 @@ def total_weight(wts: DataFrame) -> DataFrame:
 
 def column_freq(cells_: DataFrame, wts: DataFrame | None = None, pseudo: float = 1.0) -> DataFrame:
     """(pseudo + weight of the letter) / (21 pseudo + total weight) for each column and all 21 letters."""
-    w = cells_.withColumn("wt", F.lit(1.0)) if wts is None else cells_.join(wts, ["family", "seq_id"])
-    seen = w.groupBy("family", "pos", "aa").agg(F.sum("wt").alias("w"))
+    seen = cells_.groupBy("family", "pos", "aa").agg(F.count("*").cast("double").alias("w")) if wts is None else cells_.join(wts, ["family", "seq_id"]).groupBy("family", "pos", "aa").agg(F.sum("wt").alias("w"))
+    return _freq(seen, pseudo)
+
+
+def _freq(seen: DataFrame, pseudo: float) -> DataFrame:
+    """Frequencies from summed weights (family, pos, aa, w)."""
     per = seen.groupBy("family", "pos").agg(F.sum("w").alias("total"), F.map_from_entries(F.collect_list(F.struct("aa", "w"))).alias("m"))  # 21 entries at most
     out = per.select("family", "pos", "total", "m", F.explode(F.sequence(F.lit(0), F.lit(Q - 1))).alias("aa"))
     return out.select("family", "pos", "aa", ((pseudo + F.coalesce(F.try_element_at("m", F.col("aa")), F.lit(0.0))) / (Q * pseudo + F.col("total"))).alias("freq"))
 
 
+def letter_counts(rows: DataFrame, length: int, alphabet: str) -> DataFrame:
+    """family, pos, aa, w: counts of letters at each position of the pieces of ``length`` letters that texts (family, t) are cut into; the last piece is padded with the alphabet's last letter, which others count as, too. Each Arrow batch is counted as arrays before anything moves."""
+
+    def each(batches):
+        n = len(alphabet)
+        at = np.full(0x110000, n - 1, np.int64)
+        at[[ord(c) for c in alphabet]] = np.arange(n)
+        place = np.arange(length) * n
+        for batch in batches:
+            family = batch.column("family").dictionary_encode(null_encoding="encode")
+            texts = batch.column("t").to_pylist()
+            pieces = [-(-len(t) // length) for t in texts]
+            x = np.frombuffer("".join([t.ljust(k * length, alphabet[-1]) for t, k in zip(texts, pieces)]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+            cell = at[x] + place + np.repeat(family.indices.to_numpy(), pieces)[:, None] * (length * n)
+            count = np.bincount(cell.ravel(), minlength=len(family.dictionary) * length * n)
+            hit = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([family.dictionary.take(pa.array(hit // (length * n))), pa.array((hit // n % length + 1).astype(np.int32)), pa.array((hit % n).astype(np.int32)), pa.array(count[hit].astype(float))], ["family", "pos", "aa", "w"])
+
+    part = rows.where("t is not null").select("family", "t").mapInArrow(each, "family string, pos int, aa int, w double")
+    return part.groupBy("family", "pos", "aa").agg(F.sum("w").alias("w"))
+
+
+def letter_freq(rows: DataFrame, length: int, alphabet: str = ALPHABET, pseudo: float = 1.0) -> DataFrame:
+    """column_freq of the unweighted pieces of texts."""
+    return _freq(letter_counts(rows, length, alphabet), pseudo)
+
+
 def gap_freq(freq: DataFrame) -> DataFrame:
     return freq.where(F.col("aa") == Q - 1).select("family", "pos", F.col("freq").alias("gap"))
 
@@ -56,14 +134,54 @@ def letters_per_column(cells_: DataFrame) -> DataFrame:
     return cells_.groupBy("family", "pos").agg(F.sort_array(F.collect_set("aa")).alias("letters"))
 
 
-def pair_freq(cells_: DataFrame, wts: DataFrame, pseudo: float = 1.0) -> DataFrame:
-    """Weighted frequencies of letter pairs at positions i < j; pairs that are seen. The sum is taken in each map task before the shuffle."""
-    w = cells_.join(wts, ["family", "seq_id"])
-    a = w.select("family", "seq_id", F.col("pos").alias("i"), F.col("aa").alias("a"), "wt")
-    b = cells_.select("family", "seq_id", F.col("pos").alias("j"), F.col("aa").alias("b"))
-    seen = a.join(b, ["family", "seq_id"]).where("i < j").groupBy("family", "i", "j", "a", "b").agg(F.sum("wt").alias("w"))
-    total = total_weight(wts)
-    return seen.join(total, "family").select("family", "i", "j", "a", "b", ((pseudo / Q + F.col("w")) / (Q * pseudo + F.col("meff"))).alias("freq"))
+def _pair_sums(seqs: DataFrame) -> DataFrame:
+    """family, i, j, a, b, w: summed weights of letter pairs at positions i < j of rows (family, seq, wt). Each Arrow batch is counted as arrays before anything moves."""
+
+    def each(batches):
+        at = np.full(0x110000, -1, np.int64)
+        at[[ord(c) for c in ALPHABET]] = np.arange(Q)
+        for batch in batches:
+            df = batch.to_pandas()
+            for family, part in df.groupby("family"):
+                x, w = at[_letters(list(part["seq"]))], part["wt"].to_numpy(float)
+                cols = {k: [] for k in ("i", "j", "a", "b", "w")}
+                for i in range(x.shape[1]):
+                    for j in range(i + 1, x.shape[1]):
+                        ok = (x[:, i] >= 0) & (x[:, j] >= 0)
+                        cell = x[ok, i] * Q + x[ok, j]
+                        n, total = np.bincount(cell, minlength=Q * Q), np.bincount(cell, weights=w[ok], minlength=Q * Q)
+                        hit = np.flatnonzero(n)
+                        for k, v in (("i", np.full(len(hit), i + 1)), ("j", np.full(len(hit), j + 1)), ("a", hit // Q), ("b", hit % Q), ("w", total[hit])):
+                            cols[k].append(v)
+                cols = {k: np.concatenate(v) if v else np.zeros(0) for k, v in cols.items()}
+                yield pa.RecordBatch.from_arrays([pa.array([family] * len(cols["i"]), pa.string()), *[pa.array(cols[k].astype(np.int32)) for k in "ijab"], pa.array(cols["w"].astype(float))], ["family", *"ijab", "w"])
+
+    return seqs.select("family", "seq", "wt").mapInArrow(each, "family string, i int, j int, a int, b int, w double").groupBy("family", "i", "j", "a", "b").agg(F.sum("w").alias("w"))
+
+
+def pair_freq(msa: DataFrame, wts: DataFrame, pseudo: float = 1.0) -> DataFrame:
+    """Weighted frequencies of letter pairs at positions i < j; pairs that are seen."""
+    seen = _pair_sums(msa.join(wts, ["family", "seq_id"]))
+    return seen.join(total_weight(wts), "family").select("family", "i", "j", "a", "b", ((pseudo / Q + F.col("w")) / (Q * pseudo + F.col("meff"))).alias("freq"))
+
+
+def full_covariance(msa: DataFrame, wts: DataFrame, pseudo: float = 1.0) -> DataFrame:
+    """family, i, j, a, b, cov and times (how often the entry stands in the symmetric matrix) for all positions i <= j and all 21 x 21 letters: pairs that are never seen have the pseudo count alone; blocks i = j hold pa - pa pa on their diagonal and 0 beside it."""
+    freq, total = column_freq(cells(msa), wts, pseudo), total_weight(wts)
+    a = freq.select("family", F.col("pos").alias("i"), F.col("aa").alias("a"), F.col("freq").alias("fa"))
+    b = freq.select("family", F.col("pos").alias("j"), F.col("aa").alias("b"), F.col("freq").alias("fb"))
+    every = a.join(b, "family").where("i <= j").join(total, "family").join(_pair_sums(msa.join(wts, ["family", "seq_id"])), ["family", "i", "j", "a", "b"], "left")
+    pair = (pseudo / Q + F.coalesce("w", F.lit(0.0))) / (Q * pseudo + F.col("meff"))
+    own = F.when(F.col("a") == F.col("b"), F.col("fa") - F.col("fa") * F.col("fa")).otherwise(0.0)
+    return every.select("family", "i", "j", "a", "b", F.when(F.col("i") == F.col("j"), own).otherwise(pair - F.col("fa") * F.col("fb")).alias("cov"), F.when(F.col("i") == F.col("j"), 1).otherwise(2).alias("times"))
+
+
+def weighted_covariance(rows: DataFrame, keys: list[str], columns: list[str], weight: str) -> DataFrame:
+    """keys, x, y, cov: covariances of columns with reliability weights, sum w (x - mx)(y - my) / (W - sum w^2 / W)."""
+    means = rows.groupBy(*keys).agg(F.sum(weight).alias("sum_w"), F.sum(F.col(weight) * F.col(weight)).alias("sum_ww"), *[(F.sum(F.col(weight) * F.col(c)) / F.sum(weight)).alias(f"m_{c}") for c in columns])
+    pairs = [(x, y) for k, x in enumerate(columns) for y in columns[k:]]
+    both = rows.join(means, keys).groupBy(*keys).agg(*[(F.sum(F.col(weight) * (F.col(x) - F.col(f"m_{x}")) * (F.col(y) - F.col(f"m_{y}"))) / (F.first("sum_w") - F.first("sum_ww") / F.first("sum_w"))).alias(f"{x}|{y}") for x, y in pairs])
+    return both.unpivot(keys, [f"{x}|{y}" for x, y in pairs], "xy", "cov").select(*keys, F.split("xy", r"\|")[0].alias("x"), F.split("xy", r"\|")[1].alias("y"), "cov")
 
 
 def covariance(pairs: DataFrame, freq: DataFrame) -> DataFrame:

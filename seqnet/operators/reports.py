@@ -24,9 +24,20 @@ def equal_width_buckets(records: DataFrame, x: str, y: str, n: int, keys: list[s
     return both.groupBy(*keys, b).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("std")).where("n > 1")
 
 
-def equal_count_bins(records: DataFrame, x: str, y: str, tie: str, n: int, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(x, tie)
-    return records.withColumn("bin", F.ntile(n).over(w)).groupBy(*keys, "bin").agg(F.avg(y).alias("mean"), F.min(x).alias("lo"), F.max(x).alias("hi")).withColumn("label", F.concat_ws("-", F.bround("lo", 1).cast("string"), F.bround("hi", 1).cast("string")))
+def equal_count_bins(records: DataFrame, x: str, y: str, tie: str, n: int, keys: list[str], pieces: int = 64) -> DataFrame:
+    """n bins of (nearly) equal counts in the order of x and tie, the first ones taking one more. Places are counted in ``pieces`` ranges of x, so that a large group is not sorted as a whole."""
+    ends = records.groupBy(*keys).agg(F.count("*").alias("total"), F.min(x).alias("x_lo"), F.max(x).alias("x_hi"))
+    width = (F.col("x_hi") - F.col("x_lo")) / pieces
+    rows = records.join(ends, keys).withColumn("piece", F.when(F.col("x_hi") > F.col("x_lo"), F.floor((F.col(x) - F.col("x_lo")) / width)).otherwise(0))
+    counts = rows.groupBy(*keys, "piece").agg(F.count("*").alias("c"))
+    before = counts.select(*keys, "piece", (F.sum("c").over(Window.partitionBy(*keys).orderBy("piece")) - F.col("c")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "piece").orderBy(x, tie)) - 1
+    # the first total % n bins hold one more than the others
+    small, more = F.expr(f"total div {n}"), F.expr(f"total % {n}")
+    head = more * (small + 1)
+    bin_ = F.when(F.col("place") < head, F.floor(F.col("place") / (small + 1))).otherwise(more + F.floor((F.col("place") - head) / F.greatest(small, F.lit(1)))) + 1
+    binned = rows.join(before, [*keys, "piece"]).withColumn("place", place).withColumn("bin", bin_.cast("int"))
+    return binned.groupBy(*keys, "bin").agg(F.avg(y).alias("mean"), F.min(x).alias("lo"), F.max(x).alias("hi")).withColumn("label", F.concat_ws("-", F.bround("lo", 1).cast("string"), F.bround("hi", 1).cast("string")))
 
 
 def pearson(records: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -82,3 +93,53 @@ def members(sheet: DataFrame, names: DataFrame, on: str) -> DataFrame:
 def with_metadata(records: DataFrame, meta: DataFrame, on: str = "target") -> DataFrame:
     """meta is small or not: the planner broadcasts it if its size allows."""
     return records.join(meta, on, "left")
+
+
+#: The kinds of models that a report tells apart.
+KINDS = ("ALL", "FIRST", "TARGET", "NOT FIRST OR TARGET", "AVG")
+
+
+def of_kind(kind: str, low: float = 0.0, high: float = 1.0) -> Column:
+    """The condition of a report's kind on records with model_idx, is_avg, is_target, s2."""
+    inside = F.col("s2").between(low, high)
+    first, target = inside & (F.col("model_idx") == 0), inside & F.col("is_target")
+    return {"ALL": F.lit(True), "FIRST": first, "TARGET": target, "NOT FIRST OR TARGET": ~first & ~target & ~F.col("is_avg"), "AVG": F.col("is_avg")}[kind]
+
+
+def gathered(records: DataFrame, keys: list[str], value: str = "precision") -> DataFrame:
+    """All values of each key as a sorted list; a key's values are as many as it has models."""
+    return records.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("values"))
+
+
+def values_by_separation(records: DataFrame, x: str, scaled: bool = True) -> DataFrame:
+    """target, min_sep, cutoff, x, precision: what is plotted against a field of the records, times the sequence's length if ``scaled``."""
+    return records.select("target", "min_sep", "cutoff", (F.col(x) * F.col("seq_len") if scaled else F.col(x)).alias("x"), "precision")
+
+
+def report(records: DataFrame, meta: DataFrame, cutoffs: list[str], ty: str, final: bool) -> DataFrame:
+    """One sheet: records (method, target, ty, is_final, model_idx, is_avg, is_target, s2, min_sep, max_sep, cutoff, precision) of a type, final or not (methods with 'psicov' count in any case), by kind; exact quantiles and the mean for each method, target and separation, with the target's length, depth and meff (meta), the cutoffs as columns."""
+    own = records.where((F.col("ty") == ty) & ((F.col("is_final") == final) | F.col("method").contains("psicov")))
+    psicov = F.col("method").contains("psicov")
+    kinds = own.withColumn("kind", F.explode(F.filter(F.array(*[F.when(of_kind(k) | psicov, k) for k in KINDS]), lambda x: x.isNotNull())))
+    keys = ["method", "target", "kind", "min_sep", "max_sep"]
+    q = quantiles_avg(kinds, [*keys, "cutoff"], "precision")
+    tall = q.unpivot([*keys, "cutoff"], ["q25", "q50", "q75", "q100", "mean"], "data_type", "precision")
+    return with_metadata(pivot(tall, [*keys, "data_type"], cutoffs), meta)
+
+
+def against(records: DataFrame, meta: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """keys, target, x, precision: one point for each method and target, such as precision against meff."""
+    return records.join(meta.select("target", x), "target").select(*keys, "target", x, "precision")
+
+
+def target_table(sheet: DataFrame, keys: list[str], cutoffs: list[str], data_type: str) -> DataFrame:
+    """A sheet's rows of one data type, a row for each cutoff."""
+    return sheet.where(F.col("data_type") == data_type).unpivot(keys, cutoffs, "cutoff", "precision")
+
+
+def result_files(files: DataFrame) -> DataFrame:
+    """Result and target folders worth reading (folder, file): names that begin with 'result' or 'target', hold 'remove_gaps' or 'psicov', and have more than one file."""
+    name = F.element_at(F.split("folder", "/"), -1)
+    fits = (name.startswith("result") | name.startswith("target")) & (name.contains("remove_gaps") | name.contains("psicov"))
+    many = files.where(fits).groupBy("folder").agg(F.count("*").alias("n")).where("n > 1").select("folder")
+    return files.join(many, "folder", "left_semi")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from seqnet.functions import residues as R
 from seqnet.operators import cluster, contacts, geometry, glasso, matrix, msa, reports
+from seqnet.sources import readers
+from seqnet.streaming import windows
 
 LOWER = "arndcqeghilkmfpstwyv-"
 
@@ -17,13 +19,6 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_cells(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
-    rows = docs.select(F.col("source").alias("family"), "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,24}"), 0)).alias("row", "t"))
-    long = rows.select("family", "doc_id", "row", F.posexplode(F.split(F.rpad("t", 24, "-"), "")).alias("p", "ch"))
-    return long.select("family", "doc_id", "row", (F.col("p") + 1).alias("pos"), F.coalesce(F.nullif(F.instr(F.lit(LOWER), F.col("ch")), F.lit(0)) - 1, F.lit(20)).alias("aa"))
-
-
 def phones(spark, d) -> DataFrame:
     c = table(spark, d, "customer")
     digits = F.concat(F.lpad((F.round(F.col("c_acctbal") * 100).cast("long") + 10000000).cast("string"), 8, "0"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))
@@ -68,8 +63,8 @@ n as (select family, pos, aa, count(*) as n from e group by all), t as (select f
 g as (select family, pos, total, aa from t, range(0, 21) q(aa))
 select g.family, g.pos, g.aa::int as aa, round((1.0::double + coalesce(n, 0)) / (21.0::double + total), 6) as freq from g left join n on g.family = n.family and g.pos = n.pos and g.aa = n.aa""")
 def column_freq(spark, d):
-    cells = texts_cells(spark, d)
-    return msa.column_freq(cells).select("family", F.col("pos").cast("long").alias("pos"), "aa", r6("freq").alias("freq"))
+    texts = table(spark, d, "documents").select(F.col("source").alias("family"), F.col("text").alias("t"))
+    return msa.letter_freq(texts, 24, LOWER).select("family", F.col("pos").cast("long").alias("pos"), "aa", r6("freq").alias("freq"))
 
 
 @query("gap_freq", f"with {PHONES}, s as (select family, pos, sum(case when aa = 20 then wt else 0 end) as g, sum(wt) as t from cell join wt using (family, seq_id) group by all) select family, pos, round((1 + g) / (21 + t), 6) as gap from s")
@@ -125,9 +120,8 @@ pf as (select a.family, a.pos as i, b.pos as j, a.aa as a, b.aa as b, (1.0::doub
 
 
 def _pairs(spark, d):
-    cells = msa.cells(_msa(spark, d))
-    w = _wt(spark, d)
-    return cells, msa.pair_freq(cells, w), msa.column_freq(cells, w)
+    m, w = _msa(spark, d), _wt(spark, d)
+    return None, msa.pair_freq(m, w), msa.column_freq(msa.cells(m), w)
 
 
 def _ij(df, value):
@@ -154,6 +148,21 @@ def mutual_info(spark, d):
     return _ij(msa.log_odds(p, f), "mi")
 
 
+def _full(spark, d):
+    return msa.full_covariance(_msa(spark, d), _wt(spark, d))
+
+
+#: All cells of the symmetric matrix: i < j twice, blocks i = j once.
+FULL = """fc as (select x.family, x.pos as i, y.pos as j, x.aa as a, y.aa as b, case when x.pos = y.pos then (case when x.aa = y.aa then x.f - x.f * x.f else 0 end) else coalesce(pf.f, (1.0::double / 21) / (21 + meff)) - x.f * y.f end as cov, case when x.pos = y.pos then 1 else 2 end as times
+from cf x join cf y on x.family = y.family and x.pos <= y.pos join tot on tot.family = x.family left join pf on pf.family = x.family and pf.i = x.pos and pf.j = y.pos and pf.a = x.aa and pf.b = y.aa)"""
+
+
+@query("covariance_full", f"with {PHONES}, {FREQ}, {FULL} select family, i, j, count(*) as n, round(sum(cov), 6) as total, round(sum(abs(cov)), 6) as size, round(max(cov), 6) as most, round(min(cov), 6) as least from fc group by family, i, j")
+def covariance_full(spark, d):
+    c = _full(spark, d)
+    return c.groupBy("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.count("*").alias("n"), r6(F.sum("cov")).alias("total"), r6(F.sum(F.abs("cov"))).alias("size"), r6(F.max("cov")).alias("most"), r6(F.min("cov")).alias("least"))
+
+
 def _bad(spark, d):
     return matrix.bad_positions(msa.gap_freq(msa.column_freq(msa.cells(_msa(spark, d)), _wt(spark, d))), 0.09)
 
@@ -161,42 +170,46 @@ def _bad(spark, d):
 BAD = "bad as (select family as bf, pos as bp from cf where aa = 20 and f > 0.09)"
 
 
-@query("gap_remove", f"with {PHONES}, {FREQ}, {COV}, {BAD} select family, i, j, a, b, round(cov, 6) as cov from cv where not exists (select 1 from bad where bf = family and (bp = i or bp = j))")
+SUMS = "count(*) as n, round(sum(cov), 6) as total, round(sum(abs(cov)), 6) as size"
+
+
+def _sums(df):
+    return df.groupBy("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.count("*").alias("n"), r6(F.sum("cov")).alias("total"), r6(F.sum(F.abs("cov"))).alias("size"))
+
+
+@query("gap_remove", f"with {PHONES}, {FREQ}, {FULL}, {BAD} select family, i, j, {SUMS} from fc where not exists (select 1 from bad where bf = family and (bp = i or bp = j)) group by family, i, j")
 def gap_remove(spark, d):
-    _, p, f = _pairs(spark, d)
-    return _ij(matrix.remove_positions(msa.covariance(p, f), _bad(spark, d)), "cov")
+    return _sums(matrix.remove_positions(_full(spark, d), _bad(spark, d)))
 
 
-@query("gap_mask", f"with {PHONES}, {FREQ}, {COV}, {BAD} select family, i, j, a, b, round(case when exists (select 1 from bad where bf = family and (bp = i or bp = j)) then 0 else cov end, 6) as cov from cv")
+@query("gap_mask", f"with {PHONES}, {FREQ}, {FULL}, {BAD}, m as (select family, i, j, case when i <> j and exists (select 1 from bad where bf = family and (bp = i or bp = j)) then 0 else cov end as cov from fc) select family, i, j, {SUMS} from m group by family, i, j")
 def gap_mask(spark, d):
-    _, p, f = _pairs(spark, d)
-    return _ij(matrix.mask_positions(msa.covariance(p, f).withColumnRenamed("cov", "v"), _bad(spark, d)).withColumnRenamed("v", "cov"), "cov")
+    masked = matrix.mask_positions(_full(spark, d).withColumnRenamed("cov", "v"), _bad(spark, d))
+    return _sums(masked.withColumnRenamed("v", "cov"))
 
 
-@query("density", f"with {PHONES}, {FREQ}, {COV} select family, round(avg(case when abs(cov) >= 1e-3 then 1.0 else 0 end), 6) as density from cv group by 1")
+@query("density", f"with {PHONES}, {FREQ}, {FULL} select family, round(sum(case when abs(cov) >= 1e-3 then times else 0 end)::double / sum(times), 6) as density from fc group by 1")
 def density(spark, d):
-    _, p, f = _pairs(spark, d)
-    return matrix.density(msa.covariance(p, f).withColumnRenamed("cov", "v"), ["family"]).select("family", r6("density").alias("density"))
+    return matrix.density(_full(spark, d).withColumnRenamed("cov", "v"), ["family"]).select("family", r6("density").alias("density"))
 
 
-SCORE = "sc as (select family, i, j, sum(abs(cov)) as score from cv where a < 20 and b < 20 group by all)"
+SCORE = "sc as (select family, i, j, sum(abs(cov)) as score from fc where i < j and a < 20 and b < 20 group by all)"
 
 
 def _scores(spark, d):
-    _, p, f = _pairs(spark, d)
-    return contacts.contact_norm(msa.covariance(p, f).withColumnRenamed("cov", "v"), ["family"])
+    return contacts.contact_norm(_full(spark, d).withColumnRenamed("cov", "v"), ["family"])
 
 
 def _sij(df):
     return df.select("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("score").alias("score"))
 
 
-@query("contact_norm", f"with {PHONES}, {FREQ}, {COV}, {SCORE} select family, i, j, round(score, 6) as score from sc")
+@query("contact_norm", f"with {PHONES}, {FREQ}, {FULL}, {SCORE} select family, i, j, round(score, 6) as score from sc")
 def contact_norm(spark, d):
     return _sij(_scores(spark, d))
 
 
-@query("apc", f"with {PHONES}, {FREQ}, {COV}, {SCORE}, bo as (select family, i, score from sc union all select family, j, score from sc), pr as (select family, i, sum(score) as s from bo group by all), tt as (select family, sum(s) as t from pr group by 1) select sc.family, sc.i, sc.j, round(score - x.s * y.s / t, 6) as score from sc join pr x on x.family = sc.family and x.i = sc.i join pr y on y.family = sc.family and y.i = sc.j join tt on tt.family = sc.family")
+@query("apc", f"with {PHONES}, {FREQ}, {FULL}, {SCORE}, bo as (select family, i, score from sc union all select family, j, score from sc), pr as (select family, i, sum(score) as s from bo group by all), tt as (select family, sum(s) as t from pr group by 1) select sc.family, sc.i, sc.j, round(score - x.s * y.s / t, 6) as score from sc join pr x on x.family = sc.family and x.i = sc.i join pr y on y.family = sc.family and y.i = sc.j join tt on tt.family = sc.family")
 def apc(spark, d):
     return _sij(contacts.apc(_scores(spark, d), ["family"]))
 
@@ -251,11 +264,12 @@ def chain_edges(spark, d):
     return cluster.chain_edges(cluster.random_clusters(phones(spark, d), 4, 3))
 
 
-@query("cluster_order", f"with {SUP}, c as (select family, i % 4 as ga, j % 4 as gb, max(dist) as d from ss where i % 4 <> j % 4 group by all) select family, ga, gb, row_number() over (partition by family, ga order by d, gb)::int - 1 as place from c")
+@query("cluster_order", f"with {SUP}, c as (select family, least(i % 4, j % 4) as ga, greatest(i % 4, j % 4) as gb, max(dist) as d from ss where i % 4 <> j % 4 group by all), b as (select family, ga as g, gb as o, d from c union all select family, gb, ga, d from c), n as (select family, o as g, min(d) as d from b where g = 1 group by all union all select distinct family, 1, -1 from c) select family, g, row_number() over (partition by family order by d, g)::int - 1 as cluster_idx from n")
 def cluster_order(spark, d):
     _, n = _supplier_pairs(spark, d)
-    c = n.where("i % 4 <> j % 4").groupBy("family", (F.col("i") % 4).alias("ga"), (F.col("j") % 4).alias("gb")).agg(F.max("dist").alias("d"))
-    return c.select("family", "ga", "gb", (F.row_number().over(Window.partitionBy("family", "ga").orderBy("d", "gb")) - 1).alias("place"))
+    g = n.where("i % 4 <> j % 4").groupBy("family", (F.col("i") % 4).alias("gi"), (F.col("j") % 4).alias("gj")).agg(F.max("dist").alias("d"))
+    g = g.groupBy("family", F.least("gi", "gj").alias("ga"), F.greatest("gi", "gj").alias("gb")).agg(F.max("d").alias("d"))
+    return cluster.order_by_distance(g, g.select("family", F.lit(1).cast("long").alias("g")).distinct())
 
 
 @query("linkages", f"with {SUP}, c as (select family, least(i % 4, j % 4) as ga, greatest(i % 4, j % 4) as gb, dist from ss where i % 4 <> j % 4) select family, ga, gb, max(dist) as largest, round(quantile_cont(dist, 0.8), 6) as q80, round(avg(dist), 6) as mean from c group by all")
@@ -312,10 +326,10 @@ def unpivot_records(spark, d):
     return reports.unpivot(_wide(spark, d), ["method", "sep"], ["a", "b", "c"])
 
 
-@query("pivot_report", f"with {WIDE} select method, max(case when sep = 1 then a end) as s1, max(case when sep = 2 then a end) as s2, max(case when sep = 3 then a end) as s3 from w group by 1")
+@query("pivot_report", f"with {WIDE} select method, max(case when sep = 1 then a end) as s1, max(case when sep = 2 then a end) as s2, max(case when sep = 3 then a end) as s3, max(case when sep = 4 then a end) as s4, max(case when sep = 5 then a end) as s5, max(case when sep = 6 then a end) as s6, max(case when sep = 7 then a end) as s7 from w group by 1")
 def pivot_report(spark, d):
     w = _wide(spark, d).select("method", F.concat(F.lit("s"), "sep").alias("cutoff"), F.col("a").alias("precision"))
-    return reports.pivot(w, ["method"], ["s1", "s2", "s3"])
+    return reports.pivot(w, ["method"], [f"s{k}" for k in range(1, 8)])
 
 
 @query("method_averages", "select l_returnflag as method, l_linenumber as sep, l_suppkey as target, round(avg(l_quantity), 6) as mean from lineitem group by all")
@@ -329,15 +343,17 @@ def best_method(spark, d):
     return reports.best_method(means, ["target"])
 
 
-@query("model_average", "select l_orderkey as r, l_linenumber as c, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) as v from lineitem group by all")
+@query("model_average", "select l_orderkey as r, l_linenumber as c, round(sum(round(l_discount * 100)::bigint * l_quantity::bigint)::double / sum(l_quantity::bigint) / 100, 9) as v from lineitem group by all")
 def model_average(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("c"), F.col("l_discount").alias("v"), F.col("l_quantity").alias("w"))
-    return matrix.average(li, ["r", "c"]).withColumn("v", r6("v"))
+    # discounts in whole cents, so that sums don't depend on their order
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("c"), F.round(F.col("l_discount") * 100).cast("long").alias("v"), F.col("l_quantity").cast("long").alias("w"))
+    return matrix.average(li, ["r", "c"]).withColumn("v", F.round(F.col("v") / 100, 9))
 
 
-@query("acc_class", "select event_id, case when value <= 10 then 0 when value <= 43 then 1 else 2 end as acc from events")
+@query("acc_class", "select event_id, case when pacc <= 10 then 0 when pacc <= 43 then 1 else 2 end::int as acc from (select event_id, case when event_id % 7 = 0 then 45 else value end as pacc from events)")
 def acc_class(spark, d):
-    return table(spark, d, "events").select("event_id", F.when(F.col("value") <= 10, 0).when(F.col("value") <= 43, 1).otherwise(2).alias("acc"))
+    value = F.when(F.col("event_id") % 7 != 0, F.col("value"))
+    return table(spark, d, "events").select("event_id", R.acc_class(F.coalesce(value, R.percent_acc(F.lit(None).cast("double")))).alias("acc"))
 
 
 @query("pair_distance", "with e as (select label, vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings) select a.label::varchar as family, a.vec_id as i, b.vec_id as j, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) as dist from e a join e b on a.label = b.label")
@@ -355,13 +371,15 @@ def cluster_names_join(spark, d):
 
 @query("msa_depth", "select c_nationkey::varchar as family, count(*) as depth from customer group by 1")
 def msa_depth(spark, d):
-    return phones(spark, d).groupBy("family").agg(F.count("*").alias("depth"))
+    lines = phones(spark, d).select(F.col("family").alias("file"), F.explode(F.array(F.concat(F.lit(">seq-"), "seq_id"), F.col("seq"))).alias("value"))
+    return readers.header_counts(lines).withColumnRenamed("file", "family")
 
 
-@query("weekly_counts", "select date_diff('day', timestamp '2024-01-01', ts) // 7 as week, user_id, event_type, count(*) as n from events group by all")
+@query("weekly_counts", "select date_diff('day', timestamp '1970-01-01', ts) // 7 as week, user_id, event_type, count(*) as n from events group by all")
 def weekly_counts(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy((F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7).cast("long").alias("week"), "user_id", "event_type").agg(F.count("*").alias("n"))
+    # windows of seven days begin on the day of the epoch
+    w = windows.windowed_counts(table(spark, d, "events"))
+    return w.select(F.expr("datediff(cast(start as date), date'1970-01-01') div 7").alias("week"), "user_id", "event_type", "n")
 
 
 DIM = 6
@@ -410,3 +428,6 @@ def shrinkage(spark, d):
 @query("spectral_projection")
 def spectral_projection(spark, d):
     return matrix.each_matrix(_covs(spark, d), lambda m: [np.round(matrix.pack(matrix.project(m, 2)), 9).tolist()], "family string, cluster_idx int, theta array<double>", ["family", "cluster_idx"])
+
+
+from seqnet.plans import more  # noqa: E402, F401  (adds its queries)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqnet.functions.residues import ALPHABET, mask_unknown
+from seqnet.functions.residues import ALPHABET, cluster_name, mask_unknown, three_to_one
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
@@ -24,6 +24,15 @@ def alignment_lines(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path).where(~F.startswith("value", F.lit(">")) & (F.length(F.trim("value")) > 0)).select("file", "line_no", F.trim("value").alias("seq"))
 
 
+def named_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """file, name (seq-<digits> of the header), seq: of each name the last sequence line under it."""
+    rows = _records(spark, path).where(F.length(F.trim("value")) > 0)
+    w = Window.partitionBy("file").orderBy("line_no")
+    head = F.when(F.startswith("value", F.lit(">")), F.col("value"))
+    under = rows.withColumn("head", F.last(head, ignorenulls=True).over(w)).where(~F.startswith("value", F.lit(">")))
+    return under.select("file", cluster_name(F.col("head")).alias("name"), "line_no", F.trim("value").alias("seq")).where("name is not null").groupBy("file", "name").agg(F.max_by("seq", "line_no").alias("seq"))
+
+
 def first_sequence(spark: SparkSession, path: str) -> DataFrame:
     return alignment_lines(spark, path).groupBy("file").agg(F.min_by("seq", "line_no").alias("seq"))
 
@@ -82,8 +91,58 @@ def atoms(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", at(22, 22).alias("chain"), at(23, 26).cast("int").alias("res_no"), at(18, 20).alias("residue"), at(13, 16).alias("atom"), *[at(31 + 8 * k, 38 + 8 * k).cast("double").alias(n) for k, n in enumerate("xyz")])
 
 
+def mmcif_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """As atoms(), of mmCIF files: columns of the _atom_site loop by their names, first model, author's chain and numbers."""
+    rows = _records(spark, path)
+    names = rows.where(F.startswith("value", F.lit("_atom_site."))).groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.trim("value").alias("v")))), lambda x: F.substring_index(x.getField("v"), ".", -1)).alias("names"))
+    cells = rows.where(F.startswith("value", F.lit("ATOM "))).withColumn("cell", F.split(F.trim("value"), r"\s+")).join(names, "file")
+    at = lambda name: F.element_at("cell", F.array_position("names", F.lit(name)).cast("int"))
+    first = cells.groupBy("file").agg(F.min(at("pdbx_PDB_model_num").cast("int")).alias("first"))
+    out = cells.join(first, "file").where(at("pdbx_PDB_model_num").cast("int") == F.col("first"))
+    return out.select("file", at("auth_asym_id").alias("chain"), at("auth_seq_id").cast("int").alias("res_no"), at("label_comp_id").alias("residue"), F.replace(at("label_atom_id"), F.lit('"'), F.lit("")).alias("atom"), *[at(f"Cartn_{c}").cast("double").alias(c) for c in "xyz"])
+
+
+def chain_sequences(atoms_: DataFrame) -> DataFrame:
+    """file, chain, seq: the 20 standard residues of each chain in order of their numbers."""
+    res = atoms_.select("file", "chain", "res_no", three_to_one(F.col("residue")).alias("letter")).where("letter is not null").distinct()
+    return res.groupBy("file", "chain").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("res_no", "letter"))), lambda x: x.getField("letter")), "").alias("seq"))
+
+
+def one_chain(atoms_: DataFrame, chain: str) -> DataFrame:
+    return atoms_.where(F.col("chain") == chain)
+
+
+def seqres(spark: SparkSession, path: str) -> DataFrame:
+    """file, chain, seq from the SEQRES records of PDB files, residues outside the 20 left out."""
+    rows = _records(spark, path).where(F.startswith("value", F.lit("SEQRES")))
+    codes = rows.select("file", "line_no", F.substring("value", 12, 1).alias("chain"), F.posexplode(F.split(F.trim(F.substring("value", 20, 60)), r"\s+")).alias("p", "code"))
+    letters = codes.select("file", "chain", "line_no", "p", three_to_one(F.col("code")).alias("letter")).where("letter is not null")
+    return letters.groupBy("file", "chain").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "p", "letter"))), lambda x: x.getField("letter")), "").alias("seq"))
+
+
+def annotation(spark: SparkSession, path: str) -> DataFrame:
+    """A precomputed residue annotation as CSV with a header: file, chain, res_no, ss8, acc (0 to 1), phi, psi."""
+    return spark.read.schema("file string, chain string, res_no int, ss8 string, acc double, phi double, psi double").csv(path, header=True)
+
+
+def write_sheet(sheet: DataFrame, path: str, digits: int = 5) -> None:
+    """A report as CSV with a header, numbers to ``digits`` digits."""
+    cols = [F.format_string(f"%.{digits}f", F.col(f.name)).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in sheet.schema]
+    cols = [F.when(F.col(f.name).isNotNull(), c).alias(f.name) for f, c in zip(sheet.schema, cols)]
+    sheet.select(*cols).write.mode("overwrite").csv(path, header=True)
+
+
+def read_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).csv(path, header=True)
+
+
 def depth(spark: SparkSession, path: str) -> DataFrame:
-    return _records(spark, path).groupBy("file").agg(F.count_if(F.startswith("value", F.lit(">"))).alias("depth"))
+    return header_counts(_records(spark, path))
+
+
+def header_counts(lines: DataFrame) -> DataFrame:
+    """file, depth: header lines of each file's lines (file, value)."""
+    return lines.groupBy("file").agg(F.count_if(F.startswith("value", F.lit(">"))).alias("depth"))
 
 
 def families(spark: SparkSession, path: str) -> DataFrame:
@@ -92,6 +151,7 @@ def families(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", F.substring_index("file", "_", 1).alias("family"), F.regexp_replace("file", r"\.npy$", "").alias("name"))
 
 
-def jobs(families_: DataFrame, most: int = 12000) -> DataFrame:
-    """A row for each family (with n_seqs) to fit: its number of models, min(5, max(3, n // 1100)); larger families are left out."""
-    return families_.where(F.col("n_seqs") <= most).withColumn("k", F.least(F.lit(5), F.greatest(F.lit(3), F.floor(F.col("n_seqs") / 1100))).cast("int"))
+def jobs(families_: DataFrame, most: int = 12000, lam: float = 0.004, beta_ratio: float = 0.125, zero: float = 1e-3) -> DataFrame:
+    """A row for each family (with n_seqs) to fit: its number of models, min(5, max(3, n // 1100)), and the settings of its fit; larger families are left out."""
+    k = F.least(F.lit(5), F.greatest(F.lit(3), F.floor(F.col("n_seqs") / 1100))).cast("int")
+    return families_.where(F.col("n_seqs") <= most).withColumn("k", k).withColumn("lam", F.lit(lam)).withColumn("beta", F.lit(lam * beta_ratio)).withColumn("zero", F.lit(zero))

@@ -1,6 +1,9 @@
+import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # tasks run side by side; before numpy is imported
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -10,8 +13,6 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    import os
-
     os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
     s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")

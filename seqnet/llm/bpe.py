@@ -1,8 +1,8 @@
 """Encodes texts with a public BPE vocabulary and decodes the ids again.
 
 A text is cut where no token can reach across: around added tokens, at white space, between the pieces of the vocabulary's split pattern, and inside a piece between two
-bytes that are neighbours in no vocabulary token (a merge over such a cut would make a token that holds the pair). The fragments are encoded independently, each distinct one once a worker as
-far as a bounded cache holds it, and their ids are concatenated. The tokenizer's file is a parameter; nothing is trained.
+bytes that are neighbours in no vocabulary token (a merge over such a cut would make a token that holds the pair). The fragments are encoded independently and their ids are
+concatenated; a worker remembers the ids of white-space-free chunks, in a cache that is bounded in bytes. The tokenizer's file is a parameter; nothing is trained.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import heapq
 import json
 import os
 import re
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,42 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, pieces
 
-#: Distinct white-space-free chunks that a worker remembers, and the longest of them in characters.
-CACHE, CACHE_CHARS = 300_000, 64
+#: Bytes (about) that each of the two generations of a worker's cache holds, and the longest chunk in it in characters.
+CACHE_BYTES, CACHE_CHARS = 12 << 20, 64
+#: Fixed value: the split pattern that PIECES follows for chunks of visible ASCII characters and Latin-1 letters, whose case and kind no Unicode version changes. Other chunks and other patterns go through the library.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Symbols from which a fragment is merged with a heap, in n log n.
+LONG = 100
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable Latin-1 characters for themselves, the others from U+0100 on in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Chunks(dict):
+    """Ids of chunks by text. When a generation is full it becomes the old one, from which chunks that come again are taken over; the old one before it goes."""
+
+    def __init__(self, find, most: int):
+        self.find, self.most, self.size, self.old = find, most, 0, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.find(chunk)
+        if len(chunk) <= CACHE_CHARS:
+            self.size += 180 + len(chunk) + len(ids)
+            if self.size > self.most:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 class Encoder:
@@ -39,14 +72,33 @@ class Encoder:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        self.tokens = [tokens.get(i, "") for i in range(max(tokens, default=-1) + 1)]
         self.added_re = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.inside = {t[i : i + 2] for t in self.vocab for t in [t.removesuffix(self.end) if self.end else t] for i in range(len(t) - 1)}
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.plain = PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and "Lowercase" in json.dumps(spec["normalizer"])
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        self.chunks = Chunks(self.chunk, CACHE_BYTES)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merges of one fragment, lowest rank first, then leftmost."""
+        if len(symbols) > LONG:
+            return self.merge_long(symbols)
+        never = len(self.rank)
+        rank = self.rank.get
+        ranks = [rank(pair, never) for pair in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), never)
+        return symbols
+
+    def merge_long(self, symbols: list[str]) -> list[str]:
+        """The same by a heap and a linked list."""
         n = len(symbols)
         nxt, prv, heap = [*range(1, n), -1], [*range(-1, n - 1)], []
         for i in range(n - 1):
@@ -71,61 +123,50 @@ class Encoder:
         return [s for s, g in zip(symbols, gone) if not g]
 
     def fragment(self, part: str, last: bool) -> list[int]:
-        got = self.fragments.get((part, last))
-        if got is None:
-            symbols = list(part)
-            if last:
-                symbols[-1] += self.end
-            got = [self.vocab[s] for s in self.merge(symbols) if s in self.vocab]
-            if len(part) <= CACHE_CHARS:
-                if len(self.fragments) >= CACHE:
-                    self.fragments.clear()
-                self.fragments[part, last] = got
-        return got
+        symbols = list(part)
+        if last:
+            symbols[-1] += self.end
+        return [self.vocab[s] for s in self.merge(symbols) if s in self.vocab]
 
     def piece(self, s: str) -> list[int]:
         """Ids of a piece of the split pattern, in byte letters: forced cuts, then each fragment for itself."""
-        inside, at, out = self.inside, 0, []
-        for i in range(1, len(s)):
-            if s[i - 1 : i + 1] not in inside:
+        pairs = [*map(self.inside.__contains__, map(add, s, s[1:]))]
+        if all(pairs):
+            return self.fragment(s, True)
+        at, out = 0, []
+        for i, whole in enumerate(pairs, 1):
+            if not whole:
                 out += self.fragment(s[at:i], False)
                 at = i
         return out + self.fragment(s[at:], True)
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
-        """Little-endian ids and decoded text (with a blank before it) of a text without added tokens; white space in it separates."""
-        if text.isascii() and text.isalpha():  # one piece, and bytes that are their own letters
-            pieces = [(text.lower(), None)]
+    def chunk(self, text: str) -> bytes:
+        """Little-endian ids of a text without added tokens; white space in it separates."""
+        if self.plain and PLAIN.fullmatch(text):
+            parts = PIECES.findall(text.lower())
+            if parts != [text]:
+                return b"".join(map(self.chunks.__getitem__, parts))
+            letters = [text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)]
         else:
-            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        ids = [i for letters, _ in pieces for i in self.piece(letters)]
-        return b"".join([i.to_bytes(4, "little") for i in ids]), "".join([f" {self.token[i]}" for i in ids])
+            letters = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+        return b"".join([i.to_bytes(4, "little") for p in letters for i in self.piece(p)])
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and their decoding."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if not text:
-            return b"", ""
-        ids, out, at = [], [], 0
+            return b""
+        out, at = [], 0
         found = [*self.added_re.finditer(text)] if self.added_re and any(a in text for a in self.added) else []
         for m in [*found, None]:
             part = text[at : m.start()] if m else text[at:] if at else text
-            plain = not ODD.search(part)
-            words = part.split() if plain else [part]
-            for w in words:
-                got = self.chunks.get(w)
-                if got is None:
-                    got = self.chunk(w)
-                    if len(w) <= CACHE_CHARS:
-                        if len(self.chunks) >= CACHE:
-                            self.chunks.clear()
-                        self.chunks[w] = got
-                ids.append(got[0])
-                out.append(got[1])
+            out += map(self.chunks.__getitem__, [part] if ODD.search(part) else part.split())
             if m:
-                ids.append(self.added[m[0]].to_bytes(4, "little"))
-                out.append(f" {m[0]}")
+                out.append(self.added[m[0]].to_bytes(4, "little"))
                 at = m.end()
-        return b"".join(ids), "".join(out)[1:]
+        return b"".join(out)
+
+    def decode(self, ids: bytes) -> str:
+        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 #: str.split() cuts at these, the split pattern's white space doesn't hold them.
@@ -161,17 +202,18 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", dig
     def each(batches):
         own = path if os.path.exists(path) else SparkFiles.get(base) if os.path.exists(SparkFiles.get(base)) else default_path()
         e = encoder(own)
-        for batch in batches:
-            got = [e.encode(t.as_py()) for t in batch.column("t")]
-            ids = [pa.array([len(b) // 4 for b, _ in got], pa.int64())]
-            digests = [pa.array([hashlib.sha256(b).hexdigest() for b, _ in got], pa.string()), pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in got], pa.string())]
-            if digests_only:
-                yield pa.RecordBatch.from_arrays([batch.column("d"), *ids, *digests], ["d", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                ends = np.cumsum([0, *[len(b) // 4 for b, _ in got]], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([b for b, _ in got]), "<i4")))
-                decoded = {"decoded": pa.array([s for _, s in got], pa.string())} if with_decoded else {}
-                cols = {"d": batch.column("d"), "n_tokens": ids[0], "ids": lists, "ids_sha256": digests[0], **decoded, "decoded_sha256": digests[1]}
+        for whole in batches:
+            for batch in pieces(whole):
+                got = [e.encode(t.as_py()) for t in batch.column("t")]
+                decoded = [e.decode(b) for b in got]
+                cols = {"d": batch.column("d"), "n_tokens": pa.array([len(b) // 4 for b in got], pa.int64())}
+                if not digests_only:
+                    ends = np.cumsum([0, *[len(b) // 4 for b in got]], dtype=np.int32)
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
+                cols["ids_sha256"] = pa.array([hashlib.sha256(b).hexdigest() for b in got], pa.string())
+                if with_decoded and not digests_only:
+                    cols["decoded"] = pa.array(decoded, pa.string())
+                cols["decoded_sha256"] = pa.array([hashlib.sha256(s.encode()).hexdigest() for s in decoded], pa.string())
                 yield pa.RecordBatch.from_arrays([*cols.values()], [*cols])
 
     rows = docs.select(F.struct("doc_id" if digests_only else "*").alias("d"), F.col(text_col).alias("t"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, stage
+from .common import documents, pieces, row_key, stage
 
 #: A line is above the limit if more than LINE_DOCS distinct documents of the host, and more than LINE_SHARE of them, have it.
 LINE_DOCS, LINE_SHARE = 50, 0.1
@@ -22,7 +22,6 @@ LEFT_SHARE = 0.5
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
 _LOWER_DIGITS = bytes(48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_ids: dict[bytes, int] = {}
 
 
 def stats(text: str | None) -> tuple[int, int, int, int, int]:
@@ -66,10 +65,11 @@ def with_stats(docs: DataFrame, host_col: str, text_col: str, id_col: str) -> Da
     """Per row: k, g, host, doc_id, the statistics."""
 
     def each(batches):
-        for b in batches:
-            got = [stats(t.as_py()) for t in b.column("t")]
-            cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("k", "g", "host", "doc_id")], *cols], ["k", "g", "host", "doc_id", *NAMES])
+        for whole in batches:
+            for b in pieces(whole):
+                got = [stats(t.as_py()) for t in b.column("t")]
+                cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("k", "g", "host", "doc_id")], *cols], ["k", "g", "host", "doc_id", *NAMES])
 
     rows = docs.select(*row_key(id_col, text_col), F.col(host_col).cast("string").alias("host"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(each, "k bigint, g bigint, host string, doc_id bigint, " + ", ".join(f"{n} bigint" for n in NAMES))
@@ -100,8 +100,8 @@ def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "t
     return _limits(_lines(docs, host_col, text_col, id_col), docs, host_col, text_col, line_docs, share)
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", line_docs: int = LINE_DOCS, share: float = LINE_SHARE) -> tuple[DataFrame, DataFrame]:
-    """Per row: k, g, host, doc_id, the statistics, n_line_words (words in lines above the limit), base_failed, kept; and the lines above the limit.
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", line_docs: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
+    """Per row: k, g, host, doc_id, the statistics, n_line_words (words in lines above the limit), gone (hashes of these lines; null without any), base_failed, kept.
 
     Null and empty texts have no words and fail. Null hosts are one host. Rows that agree in doc_id and text are one document to the line counts (as are all equal texts) and get the same verdict. A line that a document has
     twice counts once for the document, and all of it is removed. Other columns are ignored. Empty table: no rows.
@@ -109,32 +109,32 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_
     lines = stage(_lines(docs, host_col, text_col, id_col), "lines")
     above = stage(_limits(lines, docs, host_col, text_col, line_docs, share), "above")
     lost = lines.join(above, lines["h"].eqNullSafe(above["h"]) & lines["host"].eqNullSafe(above["host"]), "left_semi")
-    copies = lost.groupBy("k", "g", "host").agg(F.sum("w").alias("all_w"))
+    lost = lost.groupBy("k", "g", "host").agg(F.sum("w").alias("all_w"), F.collect_set("h").alias("gone"))
     rows = stage(with_stats(docs, host_col, text_col, id_col), "stats")
-    dups = rows.groupBy("k", "g", "host").agg(F.count("*").alias("copies"))
-    lost = copies.join(dups, copies["k"].eqNullSafe(dups["k"]) & copies["g"].eqNullSafe(dups["g"]) & copies["host"].eqNullSafe(dups["host"])).select(copies["k"].alias("k2"), copies["g"].alias("g2"), copies["host"].alias("host2"), (F.col("all_w") / F.col("copies")).cast("long").alias("n_line_words"))
+    copies = rows.groupBy("k", "g", "host").agg(F.count("*").alias("copies"))
+    same = lambda a, b: (a["k"] == b["k"]) & (a["g"] == b["g"]) & a["host"].eqNullSafe(b["host"])
+    lost = lost.join(copies, same(lost, copies)).select(lost["k"].alias("k2"), lost["g"].alias("g2"), lost["host"].alias("host2"), (F.col("all_w") / F.col("copies")).cast("long").alias("n_line_words"), "gone")
     out = rows.join(lost, (F.col("k") == F.col("k2")) & (F.col("g") == F.col("g2")) & F.col("host").eqNullSafe(F.col("host2")), "left").drop("k2", "g2", "host2")
     out = out.withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words") >= LEFT_SHARE * F.col("n_words"))), above
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words") >= LEFT_SHARE * F.col("n_words")))
 
 
 def apply_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", line_docs: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """The rows of docs that are kept, all columns, their text without the lines above the limit."""
-    verdict, above = judge(docs, host_col, text_col, id_col, line_docs, share)
-    kept = stage(verdict.where("kept").select("k", "g", F.col("host").alias("host1"), "n_line_words").dropDuplicates(["k", "g", "host1"]), "kept")
-    gone = stage(above.groupBy("host").agg(F.collect_list("h").alias("hs")).select(F.col("host").alias("host2"), "hs"), "gone")
-    rows = docs.select(F.struct("*").alias("d"), *row_key(id_col, text_col), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("t"))
-    rows = rows.join(kept.withColumnsRenamed({"k": "k1", "g": "g1"}), (F.col("k") == F.col("k1")) & (F.col("g") == F.col("g1")) & F.col("host").eqNullSafe(F.col("host1")))
-    rows = rows.join(gone, F.col("host").eqNullSafe(F.col("host2")), "left")
-    left = F.array_join(F.filter(F.split("t", "\n"), lambda x: ~F.array_contains("hs", line_hash(x))), "\n")
-    text = F.when((F.col("n_line_words") > 0) & F.col("hs").isNotNull(), left).otherwise(F.col("t"))
-    return rows.select(F.col("d").withField(text_col, text).alias("d")).select("d.*")
+    """The rows of docs that are kept, all columns, their text without the lines above the limit. Rows meet their verdict, and their own lines to remove, by document, never by host; texts move once."""
+    verdict = judge(docs, host_col, text_col, id_col, line_docs, share)
+    kept = stage(verdict.where("kept").select("k", "g", F.col("host").alias("host1"), "gone").dropDuplicates(["k", "g", "host1"]), "kept")
+    rows = docs.select(F.struct("*").alias("d"), *row_key(id_col, text_col))
+    host = F.col("d").getField(host_col).cast("string")
+    rows = rows.join(kept.withColumnsRenamed({"k": "k1", "g": "g1"}), (F.col("k") == F.col("k1")) & (F.col("g") == F.col("g1")) & host.eqNullSafe(F.col("host1")))
+    text = F.col("d").getField(text_col)
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("gone", line_hash(x)), F.lit(False))), "\n")
+    cols = [F.when(F.col("gone").isNotNull(), left).otherwise(text).alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*cols)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    out, _ = judge(documents(spark, sf_dir))
-    return out.select("doc_id", *NAMES, "base_failed", "kept", "n_line_words")
+    return judge(documents(spark, sf_dir)).select("doc_id", *NAMES, "base_failed", "kept", "n_line_words")
 
 
 SQL = r"""

@@ -238,10 +238,18 @@ def test_bpe(docs, empty):
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
     assert bpe.encode(empty).count() == 0
     e = bpe.encoder(bpe.default_path())
-    for t in ["a<|endoftext|>b", "x\x1cy", "q" * 5000, "é é ́", "it's I'LL"]:
-        b, s = e.encode(t)
-        ids = lib.encode(t, add_special_tokens=False).ids
-        assert [*struct.unpack(f"<{len(b) // 4}I", b)] == ids and s == lib.decode(ids, skip_special_tokens=False)
+    r = random.Random(12)
+    some = ["a<|endoftext|>b", "x\x1cy", "q" * 5000, "é é ́", "it's I'LL", "''s 'S'd -'s x''", "ÀÉ×÷ß µª¿Ÿÿ", "ab12c,d!!e"]
+    some += ["".join(r.choice("aBcde'stlmvrd 019,.!-é×ÉßÿŸ\u0301\u00b5ǅ漢\n") for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    some += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (99, 100, 101, 102, 400)]
+    for small in (False, True):
+        e.chunks = bpe.Chunks(e.chunk, 3000 if small else bpe.CACHE_BYTES)
+        for t in some:
+            b = e.encode(t)
+            ids = lib.encode(t, add_special_tokens=False).ids
+            assert [*struct.unpack(f"<{len(b) // 4}I", b)] == ids and e.decode(b) == lib.decode(ids, skip_special_tokens=False)
+    assert len(e.chunks) + len(e.chunks.old) < 40
+    e.chunks = bpe.Chunks(e.chunk, bpe.CACHE_BYTES)
 
 
 def test_pii(docs, empty):

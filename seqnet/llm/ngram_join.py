@@ -10,7 +10,7 @@ Equal sets fall into one class first; classes are the nodes. A class gets keys s
 Keys with one class only are dropped, and so are large classes that share fewer than s keys with others. Lists with the same members are one list (a passage that the same texts share is one list, not one for each of
 its tokens). Lists are then scanned twice, each time in blocks of bounded length:
 
-- first, each class is linked with the nearest of the classes before it (by size) in its lists, one pair for each class, if the pair is similar; a group of near copies becomes a component by that, at a cost in proportion to its members;
+- first, each class is linked with the nearest of the classes before it (by size) in its lists, NEAREST pairs for each class at most, where these are similar; a group of near copies becomes a component by that, at a cost in proportion to its members;
 - then only lists that still hold several components are scanned, and pairs across components that can be similar are compared exactly. Long lists are dealt as pairs of blocks. Nothing is dropped or capped.
 
 Scans use a parity bitmap of each class, as many bits as it has tokens (512 to 4096): each token flips one bit, so two bitmaps differ in no more bits than there are tokens in only one of the sets. Two sets of n and m tokens are
@@ -36,8 +36,10 @@ SAMPLE_ROWS = 4000
 SAMPLE_DF = 4
 #: Members of a list that are scanned together; longer lists are dealt in blocks of about so many.
 BLOCK_ROWS = 512
-#: Lists of one class are scanned in so many tasks at most (they share many pairs, which are then told once).
+#: Lists of one class or component are scanned in so many tasks (they share many pairs, which are then told once a task).
 HOMES = 4
+#: Pairs of a class in the first scan.
+NEAREST = 4
 #: Bits of a parity bitmap: the power of two not below the number of tokens, within these.
 LEAST_BITS, MOST_BITS = 512, 4096
 #: Logarithm of the bits in the bitmap of rows whose sets are needed again.
@@ -390,13 +392,17 @@ def similar_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     sets = stage(sets.groupBy("cls").agg(F.first("x").alias("x")), "sets")
 
     whole = _join(lists, live.select("cls", "n", "bits"), "cls").withColumn("comp", F.col("cls"))
-    pairs = _scanned(whole, True).groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    best = F.slice(F.sort_array(F.collect_set(F.struct("d", "b"))), 1, NEAREST)
+    pairs = _scanned(whole, True).groupBy("a").agg(best.alias("x")).select("a", F.explode("x.b").alias("b"))
     links = stage(_linked(pairs, sets, percent), "links-near")
     comp = components(links)
-    nodes = _join(live.select("cls", "n", "bits"), comp, F.col("cls") == F.col("v"), "left").select("cls", "n", "bits", F.coalesce("comp", "cls").alias("comp"))
-    told = stage(_join(lists, nodes.select("cls", "comp"), "cls"), "told")
-    across = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    whole = _join(_join(told, across, "key", "left_semi"), live.select("cls", "n", "bits"), "cls")
+    nodes = _join(live.select("cls"), comp, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
+    size = comp.groupBy("comp").agg(F.count("*").alias("size"))
+    nodes = _join(nodes, size, "comp", "left").select("cls", "comp", F.coalesce("size", F.lit(0)).alias("size"))
+    told = stage(_join(lists.drop("home"), nodes, "cls"), "told")
+    # lists of one large component stay together, as they share its pairs
+    across = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("size", F.xxhash64("comp").alias("h"))).alias("home")).where("lo <> hi").select("key", "home.h")
+    whole = _join(_join(told.drop("size"), across.withColumnRenamed("h", "home"), "key"), live.select("cls", "n", "bits"), "cls")
     pairs = _scanned(whole, False).select("a", "b").distinct()
     found = stage(_linked(pairs, sets, percent), "links-across")
     comp = components(links.unionByName(found))

@@ -21,11 +21,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests on one machine)."""
+    """The folder all executors share. Where the session names none, a local master takes a temporary one; on a cluster that would scatter parts over machines, so it fails."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
+        base = _own_dirs[app]
     return base.rstrip("/")
 
 

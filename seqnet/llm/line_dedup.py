@@ -1,9 +1,9 @@
 """Deletes later copies of repeated runs of lines. DataFrame operations only.
 
-Documents are sequences of line ids, in the order of doc_id. Prefix doubling names every block of 1, 2, 4, ... lines, so that two suffixes
-share a prefix of any length exactly if two overlapping block names agree. A suffix's interval is the set of suffixes that share its shortest prefix
-of ``min_words`` words or more; the interval's first suffix is kept and in each later one that prefix is a repeat. Repeats that overlap or touch make up the
-maximal repeated runs, also where a run's last lines are short, because the same is done from the ends of runs backwards.
+Documents are sequences of line ids, in the order of doc_id. Prefix doubling ranks the suffixes of the stretches of lines that occur again: a table of the first round holds the rank of each line's id, the next one that of each block of two lines, by the order of
+the two ranks it is made of, then of four, and so on; one join for each doubling. The suffixes that share a prefix of n lines are an interval of the suffix array of at least that common prefix length, told by two overlapping ranks: those of the blocks of the
+largest power of two of lines that begin and end the prefix. A suffix's interval is that of its shortest prefix of ``min_words`` words or more; the interval's first suffix in document order is kept and in each later one that prefix is a repeat. Repeats that
+overlap or touch make up the maximal repeated runs, also where a run's last lines are short, because the same is done from the ends of runs backwards.
 """
 
 from __future__ import annotations
@@ -16,13 +16,29 @@ from .common import WORD, row_key, stage
 MIN_WORDS = 50
 
 
+#: A line id is looked up by a broadcast table if it holds at least this share of all lines; there are 1000 such ids at most.
+HOT_SHARE = 1e-3
+
+
+def ranks(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Distinct values of the columns with r, their place (from 1) in the order of the columns: sorted by ranges, counted in each range."""
+    parts = stage(rows.select(*columns).distinct().repartitionByRange(*columns).withColumn("part", F.spark_partition_id()), f"{name}-ranges")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*columns))
+    return parts.withColumn("own", own).join(F.broadcast(before), "part").select(*columns, (F.col("own") + F.col("before")).alias("r"))
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row keys k, g and ``gone``, the numbers (from 0) of the lines to delete; only documents that lose lines."""
     lines = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("p", "line"))
     lines = stage(lines.select("k", "g", "p", F.unhex(F.md5("line")).alias("id"), F.regexp_count("line", F.lit(WORD)).alias("w")), "lines")
     # a line that occurs once ends every repeat, so only stretches of lines that occur again are looked at from here on
-    again = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    kept = lines.join(again.hint("merge"), "id", "left_semi").dropDuplicates(["k", "g", "p"])
+    again = stage(lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    hot = again.where(F.col("n") >= HOT_SHARE * lines.count()).select("id", F.lit(True).alias("hot"))
+    lines = lines.join(F.broadcast(hot), "id", "left")
+    rare = lines.where("hot is null").join(again.select("id").hint("merge"), "id", "left_semi")
+    kept = lines.where("hot").unionByName(rare).drop("hot").dropDuplicates(["k", "g", "p"])
     doc = Window.partitionBy("k", "g").orderBy("p")
     kept = kept.withColumn("seg", F.col("p") - F.row_number().over(doc))
     seg = Window.partitionBy("k", "g", "seg")
@@ -38,23 +54,26 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     kept = stage(kept, "stretches")
     longest = kept.agg(F.max(F.greatest("m", "b")).alias("x")).first()["x"] or 1
 
-    names = kept.groupBy("k", "g", "seg").agg(F.sort_array(F.collect_list(F.struct("p", "id", "m", "b"))).alias("a")).withColumn("l0", F.expr("transform(a, x -> x.id)"))
-    levels = ["l0"]
+    level = kept.join(ranks(kept, ["id"], "rank-0").hint("merge"), "id").select("k", "g", "seg", "p", "r")
+    table = level = stage(level, "level-0")
+    table = table.select("k", "g", "p", F.lit(0).alias("l"), "r")
     for j in range(1, int(longest).bit_length()):
-        half, low = 1 << (j - 1), f"l{j - 1}"
-        names = names.withColumn(f"l{j}", F.expr(f"if(size({low}) > {half}, transform(sequence(0, size({low}) - {half} - 1), i -> unhex(md5(concat({low}[i], {low}[i + {half}])))), cast(array() as array<binary>))"))
-        levels.append(f"l{j}")
-    names = names.withColumn("lv", F.array(*levels))
-
-    def prefixes(length: str, start: str) -> str:
-        level = f"length(bin(a[i].{length})) - 1"
-        return f"filter(transform(sequence(0, size(a) - 1), i -> struct(a[i].p as p, a[i].{length} as n, concat(lv[{level}][{start}], lv[{level}][{start} + a[i].{length} - cast(shiftleft(1, {level}) as int)]) as name)), x -> x.name is not null)"
-
-    first = names.select("k", "g", F.lit(0).alias("kind"), F.explode(F.expr(prefixes("m", "i"))).alias("x")).select("kind", "x.name", "x.n", "k", "g", F.col("x.p").alias("s"), F.col("x.p").alias("lo"), (F.col("x.p") + F.col("x.n") - 1).alias("hi"))
-    last = names.select("k", "g", F.lit(1).alias("kind"), F.explode(F.expr(prefixes("b", "i - a[i].b + 1"))).alias("x")).select("kind", "x.name", "x.n", "k", "g", (F.col("x.p") - F.col("x.n") + 1).alias("s"), F.col("x.p").alias("lo"), F.col("x.p").alias("hi"))
-    suffixes = stage(first.unionByName(last), "suffixes")
-    intervals = suffixes.groupBy("kind", "name", "n").agg(F.min(F.struct("k", "g", "s")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = suffixes.join(intervals.hint("merge"), ["kind", "name", "n"]).where(F.struct("k", "g", "s") > F.col("first"))
+        ahead = F.lead("r", 1 << (j - 1)).over(Window.partitionBy("k", "g", "seg").orderBy("p"))
+        pairs = stage(level.withColumn("q", ahead).where("q is not null"), f"pairs-{j}")
+        pairs = pairs.withColumnRenamed("r", "a")
+        level = stage(pairs.join(ranks(pairs, ["a", "q"], f"rank-{j}").hint("merge"), ["a", "q"]).select("k", "g", "seg", "p", "r"), f"level-{j}")
+        table = table.unionByName(level.select("k", "g", "p", F.lit(j).alias("l"), "r"))
+
+    # prefixes: from the front (kind 0) and from the back (kind 1); of n lines from s on, which repeat the lines lo to hi
+    first = kept.where("m is not null").select(F.lit(0).alias("kind"), "k", "g", F.col("p").alias("s"), F.col("m").alias("n"), F.col("p").alias("lo"), (F.col("p") + F.col("m") - 1).alias("hi"))
+    last = kept.where("b is not null").select(F.lit(1).alias("kind"), "k", "g", (F.col("p") - F.col("b") + 1).alias("s"), F.col("b").alias("n"), F.col("p").alias("lo"), F.col("p").alias("hi"))
+    suffixes = first.unionByName(last).withColumn("l", F.expr("length(bin(n)) - 1"))
+    suffixes = suffixes.withColumn("s2", F.expr("s + n - cast(shiftleft(1, l) as int)"))
+    suffixes = suffixes.join(table.select("k", "g", F.col("p").alias("s"), "l", F.col("r").alias("r1")).hint("merge"), ["k", "g", "s", "l"]).join(table.select("k", "g", F.col("p").alias("s2"), "l", F.col("r").alias("r2")).hint("merge"), ["k", "g", "s2", "l"])
+    suffixes = stage(suffixes.select("kind", "n", "r1", "r2", "k", "g", "s", "lo", "hi"), "suffixes")
+    own = ["kind", "n", "r1", "r2"]
+    intervals = suffixes.groupBy(*own).agg(F.min(F.struct("k", "g", "s")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    later = suffixes.join(intervals.hint("merge"), own).where(F.struct("k", "g", "s") > F.col("first"))
     return later.select("k", "g", F.explode(F.sequence("lo", "hi")).alias("p")).groupBy("k", "g").agg(F.collect_set("p").alias("gone"))
 
 

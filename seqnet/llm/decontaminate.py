@@ -1,24 +1,30 @@
-"""Finds benchmark passages in documents with one Aho-Corasick automaton over normalised windows of words.
+"""Finds benchmark passages in documents with Aho-Corasick automata over normalised windows of words.
 
-Both sides are lower-cased (A-Z) and cut into words; a window is ``window`` consecutive words of an item. The automaton holds each distinct window once, with blanks
+Both sides are lower-cased (A-Z) and cut into words; a window is ``window`` consecutive words of an item. An automaton holds each distinct window once, with blanks
 around its words, and scans a document's words once. A hit's end is mapped to word numbers and, for ``spans``, back to code points of the original text.
+
+A benchmark of up to MOST_NODES characters of windows is one automaton. The windows of a larger one are cut into blocks of that size. So that not every text is scanned for every block, one pass
+over all texts then looks each window of words up in a bitmap of fixed size first; texts without a match hold no window, and only the others are scanned by each block's automaton.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, pieces, stage
+from .ngram_join import _mix, word_hashes
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton; more than that is scanned in several passes, one automaton each.
-BLOCK_BYTES = 32 << 20
+#: Characters of windows (an upper bound of nodes) in one automaton, of some 40 bytes each, and eight for each item that has the window.
+MOST_NODES = 1_000_000
+#: Logarithm of the bits in the bitmap of windows, and the bits that a window sets.
+BITS, MARKS = 27, 4
 #: Word characters: digits, letters a-z after lower-casing, everything outside ASCII.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD_RE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -41,11 +47,12 @@ def windows(items: list[tuple[str, str | None]], size: int) -> list[tuple[str, i
     return [(k.decode("utf-8", "surrogatepass"), n, sorted(ids)) for k, (n, ids) in found.items()]
 
 
-def automaton(items, size):
+def automaton(found):
+    """found: (window, number of words, its items)."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for text, n, ids in windows(items, size):
+    for text, n, ids in found:
         a.add_word(f" {text} ", (n, ids))
     if len(a):
         a.make_automaton()
@@ -82,21 +89,90 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
 
 
-def _pass(rows: DataFrame, items: list[tuple[str, str]], size: int, key: str) -> DataFrame:
-    """rows (k, t) with n_words, ranges as a flat list and item ids."""
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+def _windows(items: DataFrame, size: int) -> DataFrame:
+    """Distinct windows w with their number of words and, sorted, their items; made where the items are."""
+
+    def each(batches):
+        for b in batches:
+            for item, text in zip(b.column("item_id").to_pylist(), b.column("text")):
+                got = windows([(item, text.as_py())], size)
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([item] * len(got), pa.string())], ["w", "n", "item_id"])
+
+    return items.mapInArrow(each, "w string, n int, item_id string").groupBy("w").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("item_id")).alias("ids"))
+
+
+def _pass(rows: DataFrame, own: DataFrame) -> tuple[DataFrame, object]:
+    """rows (d, t) with n_words, ranges as a flat list and item ids, by the automaton of own windows; and the broadcast, to be dropped after use."""
+    found = sorted((r["w"], r["n"], r["ids"]) for r in own.collect())
+    key = hashlib.sha256(repr(found).encode("utf-8", "surrogatepass")).hexdigest()
+    shared = rows.sparkSession.sparkContext.broadcast(found)
 
     def each(batches):
         if key not in _built:
             _built.clear()
-            _built[key] = automaton(shared.value, size)
+            _built[key] = automaton(shared.value)
         a = _built[key]
-        for batch in batches:
-            got = [scan(a, t.as_py()) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array([n for n, _, _ in got], pa.int64()), pa.array([[x for r in rs for x in r] for _, rs, _ in got], pa.list_(pa.int64())), pa.array([sorted(ids) for _, _, ids in got], pa.list_(pa.string()))], ["d", "n_words", "ranges", "items"])
+        for whole in batches:
+            for batch in pieces(whole):
+                got = [scan(a, t.as_py()) for t in batch.column("t")]
+                yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array([n for n, _, _ in got], pa.int64()), pa.array([[x for r in rs for x in r] for _, rs, _ in got], pa.list_(pa.int64())), pa.array([sorted(ids) for _, _, ids in got], pa.list_(pa.string()))], ["d", "n_words", "ranges", "items"])
 
     kind = rows.schema["d"].dataType.simpleString()
-    return rows.mapInArrow(each, f"d {kind}, n_words bigint, ranges array<bigint>, items array<string>")
+    return rows.mapInArrow(each, f"d {kind}, n_words bigint, ranges array<bigint>, items array<string>"), shared
+
+
+def window_hashes(text: str | bytes | None, size: int) -> np.ndarray:
+    """63-bit hashes of all windows of ``size`` words of a text."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    h = word_hashes(raw.translate(TABLE))
+    out = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    for i in range(size):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i])
+    return out >> np.uint64(1)
+
+
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """The MARKS bits of each hash (rows)."""
+    step = _mix(hashes * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+    return np.array([(hashes + np.uint64(i) * step) >> np.uint64(20) for i in range(MARKS)], np.uint64).T & np.uint64((1 << BITS) - 1)
+
+
+def _bitmap(found: DataFrame) -> np.ndarray:
+    """The bits of all windows, 16 MB whatever their number."""
+
+    def each(batches):
+        for b in batches:
+            bits = [marks(window_hashes(w.as_py(), n.as_py())).ravel() for w, n in zip(b.column("w"), b.column("n"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *bits]).astype(np.int64))], ["bit"])
+
+    bits = found.select("w", "n").mapInArrow(each, "bit bigint").selectExpr("cast(bit div 64 as int) as i", "shiftleft(1L, cast(bit % 64 as int)) as v").groupBy("i").agg(F.bit_or("v").alias("v")).toPandas()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[bits["i"].to_numpy()] = bits["v"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _possible(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (d, t) with n_words, t only where the bitmap lets a window of the text pass, and a number of the row."""
+    shared = rows.sparkSession.sparkContext.broadcast((_bitmap(found), [r["n"] for r in found.select("n").distinct().collect()]))
+
+    def each(batches):
+        bitmap, sizes = shared.value
+        for whole in batches:
+            for b in pieces(whole):
+                n, keep = [], []
+                for t in b.column("t"):
+                    t = t.as_py()
+                    n.append(len(words(t)))
+                    hit = False
+                    for size in sizes:
+                        if n[-1] >= size and not hit:
+                            bit = marks(window_hashes(t, size))
+                            hit = bool(((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).all(axis=1).any())
+                    keep.append(t if hit else None)
+                yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(n, pa.int64()), pa.array(keep, pa.string())], ["d", "n_words", "t"])
+
+    out = rows.mapInArrow(each, f"d {rows.schema['d'].dataType.simpleString()}, n_words bigint, t string")
+    return stage(out.withColumn("row", F.monotonically_increasing_id()), "possible")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int = WINDOW, text_col: str = "text") -> DataFrame:
@@ -104,36 +180,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str], windo
 
     Null or empty text has no words; a document without words, or a benchmark without items, has no hits. Items without text, words or id are skipped; items of the same text
     all count. An item shorter than a window is one window. Repeated rows get a result each. Extra columns are ignored unless carried.
-    The benchmark's size is looked up first: up to BLOCK_BYTES go into one automaton, larger ones are cut into blocks by id, scanned one after the other and merged.
+    The size of the benchmark's windows is looked up first: up to MOST_NODES characters go into one automaton. Of a larger benchmark, the driver holds one block at a time.
     """
-    items = _items(benchmark)
-    total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("d"), F.col(text_col).alias("t"))
-    parts = []
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        own = sorted((r["item_id"], r["text"]) for r in own.collect())
-        parts.append((own, hashlib.sha256(repr((own, window)).encode("utf-8", "surrogatepass")).hexdigest()))
+    found = stage(_windows(_items(benchmark), window), "windows")
+    total = found.agg(F.sum(F.octet_length("w") + 2 + 8 * F.size("ids")).alias("b")).first()["b"] or 0
+    blocks = max(1, -(-total // MOST_NODES))
     if blocks == 1:
-        return _pass(rows, parts[0][0], window, parts[0][1])
-    found = rows.withColumn("d", F.struct("d", F.xxhash64("t").alias("g"), F.monotonically_increasing_id().alias("row")))
-    for n, (own, key) in enumerate(parts):
-        more = _pass(found.select("d", "t"), own, window, key)
-        merged = more if n == 0 else merged.unionByName(more)
-    merged = merged.groupBy("d").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    @F.udf("array<bigint>")
-    def joined(flat):
-        out = []
-        for lo, hi in sorted(zip(flat[::2], flat[1::2])):
-            if out and lo <= out[-1]:
-                out[-1] = max(out[-1], hi)
-            else:
-                out += [lo, hi]
-        return out
-
-    return merged.select("d.d", "n_words", joined("ranges").alias("ranges"), "items")
+        return _pass(rows, found)[0]
+    found = stage(found.withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks)).cast("int")).repartition("block"), "blocks")
+    rows = _possible(rows, found)
+    few = rows.where("t is not null").select(F.struct("row").alias("d"), "t")
+    merged = None
+    for b in range(blocks):
+        more, shared = _pass(few, found.where(F.col("block") == b))
+        more = stage(more.where("size(ranges) > 0").select("d.row", "ranges", "items"), f"block-{b}")
+        shared.destroy()
+        merged = more if merged is None else merged.unionByName(more)
+    pairs = "array_sort(flatten(collect_list(transform(sequence(0, size(ranges) div 2 - 1), i -> struct(ranges[2 * i] as lo, ranges[2 * i + 1] as hi)))))"
+    merged = merged.groupBy("row").agg(F.expr(pairs).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    last = "element_at(s, -1)"
+    joined = f"aggregate(p, cast(array() as array<bigint>), (s, x) -> if(size(s) > 0 and x.lo <= {last}, if(x.hi > {last}, concat(slice(s, 1, size(s) - 1), array(x.hi)), s), concat(s, array(x.lo, x.hi))))"
+    out = rows.select("d", "n_words", "row").join(merged.select("row", F.expr(joined).alias("ranges"), "items"), "row", "left")
+    return out.select("d", "n_words", F.coalesce("ranges", F.array().cast("array<bigint>")).alias("ranges"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def spans(text: str, ranges: list[int]) -> list[tuple[int, int]]:

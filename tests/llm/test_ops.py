@@ -206,7 +206,7 @@ def test_line_dedup(docs, empty, texts):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-def test_decontaminate(spark, docs, empty, texts):
+def test_decontaminate(spark, docs, empty, texts, monkeypatch):
     w = texts[50].split() if len(texts[50].split()) >= 12 else next(t for t in texts if t and len(t.split()) >= 40).split()
     bench = spark.createDataFrame([(1, " ".join(w[:12])), (2, "zz yy"), (3, None), (4, ""), (5, " ".join(w[:12]))], "item_id long, text string")
     out = decontaminate.contamination(docs, bench, ["doc_id", "text"]).collect()
@@ -218,12 +218,11 @@ def test_decontaminate(spark, docs, empty, texts):
     hit = next(r for r in out if r["items"] and r.ranges[1] - r.ranges[0] == 12)
     lo, hi = decontaminate.spans(hit.d.text, hit.ranges)[0]
     assert hit.d.text[lo:hi].split() == w[:12]
-    old, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, 20
-    try:
-        again = decontaminate.contamination(docs, bench, ["doc_id"]).collect()
-    finally:
-        decontaminate.BLOCK_BYTES = old
-    assert sorted((r.d.doc_id or -1, r.n_words, r.ranges, r["items"]) for r in again) == sorted((r.d.doc_id or -1, r.n_words, r.ranges, r["items"]) for r in out)
+    key = lambda r: (r.d.doc_id or -1, r.n_words, r.ranges, r["items"])
+    for nodes in (300, 120):  # several blocks, and input in another order
+        monkeypatch.setattr(decontaminate, "MOST_NODES", nodes)
+        again = decontaminate.contamination(docs.repartition(5, "text"), bench, ["doc_id"]).collect()
+        assert sorted(map(key, again)) == sorted(map(key, out))
     assert decontaminate.contamination(empty, bench, ["doc_id"]).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0), ["doc_id"]).where("size(ranges) > 0").count() == 0
 

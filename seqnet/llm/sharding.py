@@ -1,8 +1,10 @@
 """Puts groups of equal texts into fixed-capacity shards by best-fit decreasing.
 
-A group is indivisible; its size is the sum of its rows' sizes. Groups of at least 1/GRAIN of the total are few (GRAIN at most) and are packed one by one. Smaller ones are first
-joined, in order of falling size, into bundles of about that size, by a running sum that is computed in pieces (one for each range of sizes); there are at most 2 GRAIN + pieces of these, whatever
-the table's size. A group above a shard's fair share of what is left gets a shard of its own, first of all, and the total is that of the other groups. Large groups and bundles, sorted by size, each go to the shard with the tightest remaining capacity that holds them, found in a balanced tree.
+A group is indivisible; its size is the sum of its rows' sizes. All groups are packed, in order of falling size, each into the shard with the tightest remaining capacity that holds it, found in a balanced tree. Groups of one size are alike to the packing,
+so the driver packs sizes with their counts: a shard that is the tightest for a size stays so until it can't hold another one, and takes as many as fit at once. The driver holds a number for each distinct size (at most the square root of twice the
+bytes of all texts) and each shard, never one for each group. Which groups of a size go where is then told by their rank among the groups of that size, which is counted in pieces.
+
+A group above a shard's fair share of what is left gets a shard of its own, first of all.
 """
 
 from __future__ import annotations
@@ -13,9 +15,10 @@ from pyspark.sql import functions as F
 from .common import documents, stage
 
 SHARDS = 8
-GRAIN = 1024
-#: Pieces of the running sum by size, and pieces of each shard in which slots are counted.
-PIECES, SLOT_PIECES = 64, 64
+#: Rows that are ranked in one piece, about; there are as many pieces as that needs.
+PIECE_ROWS = 500_000
+#: Ranks of one join key, where runs of ranks meet groups.
+BUCKET = 256
 
 
 class Tree:
@@ -62,19 +65,32 @@ class Tree:
         return t[0]
 
 
-def best_fit(items: list[tuple[int, object]], capacity: int) -> tuple[dict, int]:
-    """Bin of each (size, id), items in order of falling size, and the number of bins. An item over the capacity gets a bin of its own."""
-    tree, where, bins = Tree(), {}, 0
-    for size, item in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        got = tree.take(size)
-        if got is None:
-            left, b, bins = capacity - size, bins, bins + 1
-        else:
-            left, b = got[0] - size, got[1]
-        where[item] = b
-        if left >= 0:
-            tree.add(left, b)
-    return where, bins
+def best_fit(classes: list[tuple[int, int]], capacity: int, most: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int] | None:
+    """Runs (size, from rank, to rank, bin, items a bin) of (size, count) in order of falling size, and the number of bins: rank r of a run is in bin + (r - from) // items a bin. An item over the capacity gets a bin of its own. None if more than ``most`` bins are needed."""
+    tree, runs, bins = Tree(), [], 0
+    for size, count in sorted(classes, reverse=True):
+        at = 0
+        while at < count:
+            got = tree.take(size)
+            if got is not None:
+                left, b = got
+                n = min(count - at, left // size)
+                runs.append((size, at, at + n, b, n))
+                if left > n * size:
+                    tree.add(left - n * size, b)
+                at += n
+                continue
+            each = max(1, capacity // size)
+            new = -(-(count - at) // each)
+            if most is not None and bins + new > most:
+                return None
+            runs.append((size, at, count, bins, each))
+            for b in range(new):
+                left = capacity - size * min(each, count - at - b * each)
+                if left > 0:
+                    tree.add(left, bins + b)
+            bins, at = bins + new, count
+    return runs, bins
 
 
 def alone(sizes: list[int], total: int, shards: int) -> tuple[int, int]:
@@ -85,71 +101,64 @@ def alone(sizes: list[int], total: int, shards: int) -> tuple[int, int]:
     return n, total
 
 
-def pack_into(items: list[tuple[int, object]], shards: int) -> dict:
-    """Items above the fair share of what is left go to the first shards, one each; the rest by best fit with the least capacity (by bisection) that needs no more than the other shards."""
-    items = sorted(items, key=lambda x: (-x[0], str(x[1])))
-    n, total = alone([s for s, _ in items], sum(s for s, _ in items), shards)
-    out = {item: b for b, (_, item) in enumerate(items[:n])}
-    items, shards = items[n:], shards - n
-    if not items:
+def pack_into(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
+    """Runs as of best_fit. Items above the fair share of what is left go to the first shards, one each; the rest by best fit with the least capacity that needs no more than the other shards."""
+    classes = sorted(classes, reverse=True)
+    top = [s for s, c in classes[:shards] for _ in range(min(c, shards))][:shards]
+    n, total = alone(top, sum(s * c for s, c in classes), shards)
+    out, skipped = [], {}
+    for b, size in enumerate(top[:n]):
+        out.append((size, skipped.get(size, 0), skipped.get(size, 0) + 1, b, 1))
+        skipped[size] = skipped.get(size, 0) + 1
+    rest, shards = [(s, c - skipped.get(s, 0)) for s, c in classes if c > skipped.get(s, 0)], shards - n
+    if not rest:
         return out
-    lo = max(-(-total // shards), items[0][0])
-    hi = lo
-    while best_fit(items, hi)[1] > shards:
-        lo, hi = hi + 1, hi + max(1, hi // 16)
+    lo = hi = max(-(-total // shards), rest[0][0])
+    step = 1
+    while (got := best_fit(rest, hi, shards)) is None:
+        lo, hi, step = hi + 1, hi + step, 2 * step
     while lo < hi:
         mid = (lo + hi) // 2
-        if best_fit(items, mid)[1] <= shards:
-            hi = mid
+        less = best_fit(rest, mid, shards)
+        if less is not None:
+            hi, got = mid, less
         else:
             lo = mid + 1
-    return out | {item: n + b for item, b in best_fit(items, hi)[0].items()}
+    return out + [(s, lo + skipped.get(s, 0), hi + skipped.get(s, 0), n + b, each) for s, lo, hi, b, each in got[0]]
 
 
-def _least(groups: DataFrame, total: int, shards: int, grain: int) -> int:
-    """Bytes from which a group is packed by itself: 1/grain of what the groups with a shard of their own leave. At most shards + grain sizes are looked at, and each round takes another such group off."""
-    rest = total
-    while True:
-        least = max(1, rest // grain)
-        large = sorted((r["bytes"] for r in groups.where(F.col("bytes") >= least).select("bytes").collect()), reverse=True)
-        _, left = alone(large, total, shards)
-        if left == rest:
-            return least
-        rest = left
+def ranked(rows: DataFrame, group: str, order: list[str], pieces: int) -> DataFrame:
+    """rows with ``rank``, from 0 without gaps in each group: counted in pieces by a hash of the order's columns."""
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64(*order), F.lit(pieces)).cast("int"))
+    counts = rows.groupBy(group, "piece").agg(F.count("*").alias("n"))
+    before = counts.select(group, "piece", (F.sum("n").over(Window.partitionBy(group).orderBy("piece")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy(group, "piece").orderBy(*order)) - 1
+    return rows.withColumn("own", own).join(before, [group, "piece"]).withColumn("rank", (F.col("own") + F.col("before")).cast("long")).drop("piece", "own", "before")
 
 
-def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None, text_col: str = "text", id_col: str = "doc_id", grain: int = GRAIN) -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: k (doc_id), size, text_crc32, shard, slot. With ``capacity`` (bytes), as few shards of that capacity as best fit needs; else ``shards`` shards of nearly equal bytes.
 
     Only a group above the fair share of what is left makes bytes unequal: it has a shard to itself, and the others are nearly equal.
-    Rows with equal texts share a shard; null texts (size 1, crc32 of nothing) are one group of their own. A group over the capacity gets a shard of its own. Ties go to the smaller digest; repeated rows are separate rows
+    Rows with equal texts share a shard; null texts (size 1, crc32 of nothing) are one group of their own. A group over the capacity gets a shard of its own. Groups of equal size are alike (a hash tells their order); repeated rows are separate rows
     with slots of their own. Slots run from 0 in each shard without gaps. Extra columns are ignored. Empty table: no rows.
     """
-    t = F.col(text_col)
+    t, spark = F.col(text_col), docs.sparkSession
     rows = docs.select(F.col(id_col).alias("k"), (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.encode(F.coalesce(t, F.lit("")), "UTF-8")).alias("text_crc32"), F.coalesce(F.unhex(F.md5(F.encode(t, "UTF-8"))), F.lit(b"")).alias("grp"))
     rows = stage(rows, "rows")
-    groups = stage(rows.groupBy("grp").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.sum("bytes").alias("b")).first()["b"] or 0
-    least = _least(groups, total, shards or SHARDS, grain) if capacity is None else max(1, min(total, capacity * (shards or SHARDS)) // grain)
-
-    large = groups.where(F.col("bytes") >= least).select("grp", F.hex("grp").alias("unit"), "bytes")
-    # the small ones: a piece for each range of sizes and a hash, the running sum in each piece by falling size
-    small = groups.where(F.col("bytes") < least).withColumn("piece", F.pmod(F.xxhash64("grp"), F.lit(PIECES)))
-    run = Window.partitionBy("piece").orderBy(F.desc("bytes"), "grp")
-    small = small.withColumn("cut", F.floor((F.sum("bytes").over(run) - 1) / least)).select("grp", F.concat_ws("-", F.lit("small"), "piece", "cut").alias("unit"), "bytes")
-    units = stage(large.unionByName(small), "units")
-    sizes = [(r["b"], r["unit"]) for r in units.groupBy("unit").agg(F.sum("bytes").alias("b")).collect()]  # at most 2 * grain + PIECES rows
-    where = best_fit(sizes, capacity)[0] if capacity is not None else pack_into(sizes, shards or SHARDS)
-    spark = docs.sparkSession
-    placed = stage(spark.createDataFrame(list(where.items()) or [("", 0)], "unit string, shard int"), "placed")
-    dealt = units.join(placed, "unit").select("grp", "shard")
-
-    rows = rows.join(dealt, "grp").withColumn("piece", F.pmod(F.xxhash64("k", "text_crc32"), F.lit(SLOT_PIECES)).cast("int"))
-    rows = stage(rows.drop("grp"), "dealt")
-    counts = rows.groupBy("shard", "piece").agg(F.count("*").alias("n"))
-    before = counts.select("shard", "piece", (F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("k", "text_crc32", "size")) - 1
-    return rows.withColumn("own", own).join(stage(before, "before"), ["shard", "piece"]).select("k", "size", "text_crc32", "shard", (F.col("own") + F.col("before")).cast("long").alias("slot"))
+    groups = stage(rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "groups")
+    classes = [(r["bytes"], r["c"]) for r in groups.groupBy("bytes").agg(F.count("*").alias("c")).collect()]  # distinct sizes, see above
+    n_rows = groups.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    runs = best_fit(classes, capacity)[0] if capacity is not None else pack_into(classes, shards or SHARDS)
+    placed = stage(spark.createDataFrame(runs or [(0, 0, 0, 0, 1)], "bytes long, lo long, hi long, shard long, each long"), "placed")
+    placed = placed.where("hi > lo").select("*", F.explode(F.sequence(F.expr(f"lo div {BUCKET}"), F.expr(f"(hi - 1) div {BUCKET}"))).alias("bucket"))
+
+    few = sum(c for _, c in classes)
+    order = ranked(groups.select("grp", "bytes"), "bytes", ["grp"], -(-few // PIECE_ROWS) or 1).withColumn("bucket", F.expr(f"rank div {BUCKET}"))
+    dealt = order.join(placed, ["bytes", "bucket"]).where("rank >= lo and rank < hi").select("grp", F.expr("cast(shard + (rank - lo) div each as int)").alias("shard"))
+    # a group of copies may hold a third of the rows: the planner's skew join splits its rows
+    rows = stage(rows.join(dealt.hint("merge"), "grp").select("k", "size", "text_crc32", "shard"), "dealt")
+    return ranked(rows, "shard", ["k", "text_crc32", "size"], -(-n_rows // PIECE_ROWS) or 1).select("k", "size", "text_crc32", "shard", F.col("rank").alias("slot"))
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:

@@ -334,33 +334,79 @@ def test_sharding(docs, empty):
         same.setdefault(r.text, set()).add((len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())))
     assert {(r.size, r.text_crc32) for r in rows} == set().union(*same.values())
     assert sharding.shard(empty).count() == 0
-    r = random.Random(1)
-    items = [(r.randint(1, 60), i) for i in range(300)]
-    where, bins = sharding.best_fit(items, 100)
-    load = {}
-    for s, i in items:
-        load[where[i]] = load.get(where[i], 0) + s
-    assert max(load.values()) <= 100 and bins <= 1.23 * -(-sum(s for s, _ in items) // 100) + 1
-    left = []  # against a plain search for the tightest bin
-    for s, i in sorted(items, key=lambda x: (-x[0], str(x[1]))):
+    assert {tuple(x) for x in sharding.shard(docs).select("k", "size", "text_crc32", "shard").collect()} == {tuple(x) for x in sharding.shard(docs.repartition(3)).select("k", "size", "text_crc32", "shard").collect()}
+
+
+def plain_best_fit(sizes, capacity):
+    """Loads and the sizes in each bin, by a plain search for the tightest bin."""
+    left, held = [], []
+    for s in sorted(sizes, reverse=True):
         fit = [b for b in range(len(left)) if left[b] >= s]
         b = min(fit, key=lambda b: (left[b], b)) if fit else len(left)
         if b == len(left):
-            left.append(100)
+            left.append(capacity)
+            held.append([])
         left[b] -= s
-        assert where[i] == b
+        held[b].append(s)
+    return held
+
+
+def spread(runs):
+    held = {}
+    for size, lo, hi, b, each in runs:
+        for r in range(lo, hi):
+            held.setdefault(b + (r - lo) // each, []).append(size)
+    return held
+
+
+def test_best_fit_equals_a_plain_search():
+    r = random.Random(1)
+    for most, n, capacity in ((60, 300, 100), (7, 500, 50), (120, 200, 100), (5, 40, 4)):
+        sizes = [r.randint(1, most) for _ in range(n)]
+        classes = [(s, sizes.count(s)) for s in {*sizes}]
+        runs, bins = sharding.best_fit(classes, capacity)
+        held = spread(runs)
+        assert [sorted(held[b]) for b in range(bins)] == [sorted(x) for x in plain_best_fit(sizes, capacity)]
+        ranks = {}
+        for size, lo, hi, _, _ in runs:
+            ranks.setdefault(size, []).extend(range(lo, hi))
+        assert all(sorted(ranks[s]) == list(range(c)) for s, c in classes)
+        assert sharding.best_fit(classes, capacity, bins - 1) is None and sharding.best_fit(classes, capacity, bins)[1] == bins
+
+
+def test_shard_equals_plain_best_fit_on_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 50)
+    monkeypatch.setattr(sharding, "BUCKET", 8)
+    r = random.Random(2)
+    texts = ["x" * r.randint(1, 30) + str(r.randint(0, 99)) for _ in range(600)] + ["same"] * 40 + [None] * 3 + ["long" * 40]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    groups = {}
+    for t in texts:
+        groups[t] = groups.get(t, 0) + len(t or "") + 1
+    rows = sharding.shard(docs, capacity=150).collect()
+    held, at = {}, {}
+    for x in rows:
+        held.setdefault(x.shard, set()).add(texts[x.k])
+        at.setdefault(texts[x.k], set()).add(x.shard)
+    assert all(len(v) == 1 for v in at.values()) and len(rows) == len(texts)
+    want = plain_best_fit([*groups.values()], 150)
+    assert [sorted(groups[t] for t in held[b]) for b in range(len(held))] == [sorted(x) for x in want]
+    slots = {}
+    for x in rows:
+        slots.setdefault(x.shard, []).append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
 def test_sharding_of_a_hot_group(spark):
     for hot in (1 / 5, 1 / 3, 0.9995):
-        items = [(500, i) for i in range(1000)] + [(int(500_000 * hot / (1 - hot)), "hot")]
-        where = sharding.pack_into(items, 8)
-        load = [sum(s for s, i in items if where[i] == b) for b in range(8)]
-        assert load[where["hot"]] == items[-1][0]
-        load.pop(where["hot"])
-        assert max(load) - min(load) <= 500
-    assert len({*sharding.pack_into([(9, 0), (5, 1), (1, 2)], 8).values()}) == 3 and sharding.pack_into([], 8) == {}
-    # through the bundles, with a group of copies that holds a third of the bytes, and almost all of them
+        big = int(500_000 * hot / (1 - hot))
+        load = {b: sum(x) for b, x in spread(sharding.pack_into([(500, 1000), (big, 1)], 8)).items()}
+        assert load[0] == big and len(load) == 8
+        rest = [v for b, v in load.items() if b]
+        assert max(rest) - min(rest) <= 500
+    assert len(spread(sharding.pack_into([(9, 1), (5, 1), (1, 1)], 8))) == 3 and sharding.pack_into([], 8) == []
+    assert spread(sharding.pack_into([(900, 3), (1, 80)], 8)).keys() == {*range(8)}
+    # with a group of copies that holds a third of the bytes, and almost all of them
     for copies in (500, 100_000):
         docs = spark.range(1000 + copies).selectExpr("id as doc_id", "if(id < 1000, lpad(string(id), 99, 'x'), repeat('y', 99)) as text")
         load = {x.shard: (x.b, x.g) for x in sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("b"), F.countDistinct("text_crc32").alias("g")).collect()}

@@ -1,6 +1,6 @@
 """Predicts languages word by word, with shorter and shorter character n-grams for words the model doesn't know.
 
-Training counts words and the n-grams of distinct words by language over a bounded, documented sample of labelled rows. A known word scores its log relative frequency in each
+Training counts words, and distinct words that hold an n-gram, by language over a bounded, documented sample of labelled rows; all of them are kept, so the sample bounds the model. A known word scores its log relative frequency in each
 language. An unknown word falls back to its n-grams of the longest length of which any is known, from MAX_N down to 1; their mean log frequency, less a penalty for each length skipped, is its score.
 """
 
@@ -12,18 +12,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, pieces, stage
 
-#: Rows to learn from, at most about (a hash of the text decides); words and n-grams of each length that the model keeps, most frequent first. The model's size is bound by these.
-TRAIN_ROWS, WORDS, GRAMS = 20_000, 60_000, 30_000
+#: Distinct texts of each language to learn from, about (a hash decides).
+TRAIN_ROWS = 2_000
 MAX_N = 4
 #: What each length of n-grams that is skipped costs.
 SKIP = math.log(4)
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE = 300_000
+#: Words that a worker remembers the scores of.
+CACHE = 60_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -31,70 +33,100 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def key(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+
+
+def _logs(df, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """Words of (lang, word, c) and the log frequency of each in each language (rows)."""
+    at, words = {v: i for i, v in enumerate(langs)}, sorted({*df["word"]})
+    row = {w: i for i, w in enumerate(words)}
+    c = np.zeros((len(words), len(langs)))
+    np.add.at(c, ([row[w] for w in df["word"]], [at[v] for v in df["lang"]]), df["c"].to_numpy(float))
+    return words, np.log((c + 0.1) / (c.sum(0) + 0.1 * max(len(words), 1)))
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Model from the labelled rows of docs: languages, and log frequencies of words and n-grams as a vector over languages."""
+    """Model from the labelled rows of docs, about ``rows`` distinct texts of each language: languages, known words by a 64-bit hash with their log frequencies, and those of n-grams."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
-    n = labelled.count()
-    if n > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if any(n > rows for n in sizes.values()):
+        share = F.create_map(*[F.lit(x) for v, n in sizes.items() for x in (v, (1 << 63) - 1 if n <= rows else int((1 << 63) / n * rows))])
+        labelled = labelled.withColumn("h", F.shiftrightunsigned(F.xxhash64("lang", "t"), 1)).where(F.col("h") <= share[F.col("lang")]).dropDuplicates(["lang", "h"]).drop("h")
 
     def count(batches):
-        total: dict[str, Counter] = {}
-        for b in batches:
-            for lang, t in zip(b.column("lang").to_pylist(), b.column("t")):
-                total.setdefault(lang, Counter()).update(LETTERS.findall(t.as_py().lower()))
-        for lang, c in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "c"])
+        for whole in batches:
+            for b in pieces(whole):
+                total: dict[str, Counter] = {}
+                for lang, t in zip(b.column("lang").to_pylist(), b.column("t")):
+                    total.setdefault(lang, Counter()).update(LETTERS.findall(t.as_py().lower()))
+                for lang, c in total.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "c"])
 
     counts = stage(labelled.mapInArrow(count, "lang string, word string, c bigint").groupBy("lang", "word").agg(F.sum("c").alias("c")), "words")
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    top = counts.groupBy("word").agg(F.sum("c").alias("all")).orderBy(F.desc("all"), "word").limit(WORDS)
-    found = {0: counts.join(top, "word").select("lang", "word", "c").toPandas()}
-    for k in range(1, MAX_N + 1):
-        w = F.concat(F.lit("␂"), "word", F.lit("␃")) if k > 1 else F.col("word")
-        cut = counts.select("lang", "c", w.alias("w")).where(F.length("w") >= k).select("lang", "c", F.explode(F.expr(f"transform(sequence(1, length(w) - {k} + 1), i -> substring(w, i, {k}))")).alias("word"))
-        g = stage(cut.groupBy("lang", "word").agg(F.sum(F.least("c", F.lit(100))).alias("c")), f"grams-{k}")
-        top = g.groupBy("word").agg(F.sum("c").alias("all")).orderBy(F.desc("all"), "word").limit(GRAMS)
-        found[k] = g.join(top, "word").select("lang", "word", "c").toPandas()
-    tables = {}
-    for k, df in found.items():
-        table: dict[str, np.ndarray] = {}
-        for lang, word, c in zip(df["lang"], df["word"], df["c"]):
-            table.setdefault(word, np.zeros(len(langs)))[langs.index(lang)] += c
-        sums = np.sum(list(table.values()), axis=0) if table else np.ones(len(langs))
-        tables[k] = {w: tuple(np.log((v + 0.1) / (sums + 0.1 * max(len(table), 1))).tolist()) for w, v in table.items()}
-    return {"langs": langs, "tables": tables}
-
-
-def word_score(model: dict, word: str) -> tuple[float, ...]:
-    got = model["tables"][0].get(word)
-    if got is not None:
-        return got
-    for n in range(MAX_N, 0, -1):
-        table = model["tables"][n]
-        known = [table[g] for g in grams(word, n) if g in table]
-        if known:
-            less, size = SKIP * (MAX_N - n + 1), len(known)
-            return tuple([sum(v) / size - less for v in zip(*known)])
-    return (0.0,) * len(model["langs"])
-
-
-def predict_text(model: dict, text: str | None, cache: dict) -> tuple[str, float]:
+    known = counts.toPandas()
+    langs = sorted({*known["lang"]})
+    words, logs = _logs(known, langs)
+    k = key(words)
+    by = np.argsort(k)
+    model = {"langs": langs, "words": k[by], "logs": logs[by].astype(np.float32), "grams": {}}
+    for n in range(1, MAX_N + 1):
+        w = F.concat(F.lit("␂"), "word", F.lit("␃")) if n > 1 else F.col("word")
+        cut = counts.select("lang", w.alias("w")).where(F.length("w") >= n).select("lang", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(w) - {n} + 1), i -> substring(w, i, {n}))"))).alias("word"))
+        parts, logs = _logs(cut.groupBy("lang", "word").agg(F.count("*").alias("c")).toPandas(), langs)
+        model["grams"][n] = dict(zip(parts, logs.astype(np.float32)))
+    return model
+
+
+def word_scores(model: dict, words: list[str]) -> np.ndarray:
+    """Scores (words, languages)."""
+    out = np.zeros((len(words), len(model["langs"])), np.float32)
+    if not len(model["words"]):
+        return out
+    k = key(words)
+    at = np.minimum(np.searchsorted(model["words"], k), len(model["words"]) - 1)
+    known = model["words"][at] == k
+    out[known] = model["logs"][at[known]]
+    for i in np.flatnonzero(~known).tolist():
+        for n in range(MAX_N, 0, -1):
+            table = model["grams"][n]
+            found = [table[g] for g in grams(words[i], n) if g in table]
+            if found:
+                out[i] = sum(found) / len(found) - SKIP * (MAX_N - n + 1)
+                break
+    return out
+
+
+class Scores:
+    """Scores of words, those of earlier words remembered in a matrix of a bounded number of rows."""
+
+    def __init__(self, model: dict, most: int = CACHE):
+        self.model, self.most, self.row, self.held = model, most, {}, np.empty((most, len(model["langs"])), np.float32)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.row]
+        if len(self.row) + len(new) > self.most:
+            self.row, new = {}, words
+            if len(new) > self.most:
+                return word_scores(self.model, words)
+        if new:
+            at = len(self.row)
+            self.held[at : at + len(new)] = word_scores(self.model, new)
+            self.row.update(zip(new, range(at, at + len(new))))
+        return self.held[[*map(self.row.__getitem__, words)]]
+
+
+def predict_text(scores: Scores, text: str | None) -> tuple[str, float]:
     """The likeliest language and its probability if each word's evidence is independent, tempered by the square root of the number of words."""
-    words = LETTERS.findall(text.lower()) if text else []
-    if not words or not model["langs"]:
+    words, langs = LETTERS.findall(text.lower()) if text else [], scores.model["langs"]
+    if not words or not langs:
         return "und", 0.0
     c = Counter(words)
-    if len(cache) >= CACHE:
-        cache.clear()
-    for w in c:
-        if w not in cache:  # not by a difference of key sets, which would walk the whole cache
-            cache[w] = word_score(model, w)
-    total = np.array([*c.values()], dtype=float) @ np.array([*map(cache.__getitem__, c)])
+    total = np.array([*c.values()], dtype=float) @ scores.of([*c]).astype(float)
     p = total / math.sqrt(len(words))
     p = np.exp(p - p.max())
     i = int(total.argmax())
-    return model["langs"][i], float(p[i] / p.sum())
+    return langs[i], float(p[i] / p.sum())
 
 
 def predict(docs: DataFrame, model: dict, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -105,10 +137,11 @@ def predict(docs: DataFrame, model: dict, carry: list[str], text_col: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
-        cache: dict = {}
-        for b in batches:
-            got = [predict_text(shared.value, t.as_py(), cache) for t in b.column("t")]
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["d", "lang_pred", "score"])
+        scores = Scores(shared.value)
+        for whole in batches:
+            for b in pieces(whole):
+                got = [predict_text(scores, t.as_py()) for t in b.column("t")]
+                yield pa.RecordBatch.from_arrays([b.column("d"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["d", "lang_pred", "score"])
 
     rows = docs.select(F.struct(*carry).alias("d"), F.col(text_col).alias("t"))
     return rows.mapInArrow(each, f"d {rows.schema['d'].dataType.simpleString()}, lang_pred string, score double")

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, stage
+from .common import documents, pieces, some_rows
 
-#: Labelled rows to learn from, at most about (a hash of the text decides).
+#: Labelled documents to learn from, about (a hash of doc_id decides).
 TRAIN_ROWS = 20_000
 TREES, DEPTH, LEAST_LEAF, PENALTY = 24, 3, 10, 2e-3
 FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "digit_share", "distinct_share", "top_word_share", "dup_line_share", "words_a_line", "end_share", "mark_share", "stop_share")
@@ -43,9 +43,10 @@ def with_features(rows: DataFrame) -> DataFrame:
     """rows (d, t) as d and a double for each statistic."""
 
     def each(batches):
-        for b in batches:
-            got = np.array([features(t.as_py()) for t in b.column("t")], dtype=float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column("d"), *[pa.array(got[:, i]) for i in range(len(FEATURES))]], ["d", *FEATURES])
+        for whole in batches:
+            for b in pieces(whole):
+                got = np.array([features(t.as_py()) for t in b.column("t")], dtype=float).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([b.column("d"), *[pa.array(got[:, i]) for i in range(len(FEATURES))]], ["d", *FEATURES])
 
     return rows.mapInArrow(each, f"d {rows.schema['d'].dataType.simpleString()}, " + ", ".join(f"{f} double" for f in FEATURES))
 
@@ -126,14 +127,12 @@ def compile_rules(rules: list[tuple], weights: np.ndarray, intercept: float) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text") -> tuple[list[tuple], np.ndarray, float]:
-    """Rules from the labelled rows of docs, a bounded sample of them (by a hash of the text) if there are more than ``rows``. Labels other than 0 and 1 are left out."""
+    """Rules from the labelled documents, about ``rows`` of them (by a hash of doc_id) if there are more. Labels other than 0 and 1 are left out; of a doc_id with several labels the largest counts, of one with several texts the first in order."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).select(F.col("doc_id").alias("k"), "quality")
-    both = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k"), F.col(text_col).alias("t")).join(known, "k")
-    n = known.count()
-    if n > rows:
-        both = both.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    got = with_features(both.select(F.struct("k", "quality").alias("d"), "t")).orderBy("d.k").toPandas()
-    return fit_rules(got[list(FEATURES)].to_numpy(float), np.array([d["quality"] for d in got["d"]], dtype=float))
+    known = some_rows(known, rows, "k")
+    both = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k"), F.col(text_col).alias("t")).join(known, "k").groupBy("k", "quality").agg(F.min("t").alias("t"))
+    got = with_features(both.select(F.struct("k", "quality").alias("d"), "t")).select("d.k", "d.quality", *FEATURES).toPandas().sort_values("k")
+    return fit_rules(got[list(FEATURES)].to_numpy(float), got["quality"].to_numpy(float))
 
 
 def score(docs: DataFrame, model, carry: list[str], text_col: str = "text") -> DataFrame:

@@ -1,8 +1,8 @@
 """Finds personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The network is trained in numpy from labelled spans: windows of the documents themselves, into which made-up addresses, numbers and the like are written. Texts are read in overlapping windows, each
-character taking its tag from the window in whose middle it is most, decoded by Viterbi. Any span that can count holds a digit, an at sign, ' at ' or '(at)' (see fits), so the windows of these are decoded
-first, and from them, as long as tags go on to a window's border, the windows beside them: the spans are those of decoding every window. Runs of tags that cross windows are joined. Spans that fail the kind's own test, or meet a base span, are dropped; base spans stay as they are.
+The network is trained in numpy from labelled spans: windows of the documents themselves, whose own base spans are labelled and into which made-up addresses, numbers and near misses are written. Texts are read in overlapping windows. Where windows overlap, a
+character's tag scores are the mean of theirs, weighted by the distance to the window's border; each stretch of windows is then decoded once, by Viterbi over the whole stretch. Any span that can count holds a digit, an at sign, ' at ' or '(at)' (see fits), so
+stretches are made of the windows around these, and grow to both sides as long as tags go on to their borders. Spans that fail the kind's own test, or meet a base span, are dropped; base spans stay as they are.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, pieces, some_rows
 from .secrets import FOUND
 
 KINDS = ("email", "ip", "card", "phone")
@@ -28,7 +28,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HINT = re.compile("[0-9@]")
 
 #: Window and stride in characters; rows of the sample that training windows come from; steps and windows a step; the network's sizes.
-SPAN, STRIDE, SAMPLE_ROWS, STEPS, BATCH, EMB, HIDDEN = 96, 64, 200, 220, 48, 12, 16
+SPAN, STRIDE, SAMPLE_ROWS, STEPS, BATCH, EMB, HIDDEN = 96, 64, 400, 700, 64, 12, 24
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789@.+-()_ \n,:;/'\"#*"
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 #: How addresses are written; hints() covers the first.
@@ -93,91 +93,90 @@ def coded(text: str) -> np.ndarray:
 
 
 class Tagger:
-    """Weights p: E; for each direction W (inputs and state to gates), b; V and c to tag scores; T tag transitions."""
+    """Weights p: E; W (inputs and state to gates) and b, for both directions; V and c to tag scores; T tag transitions."""
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
 
     @staticmethod
     def start(rng) -> dict[str, np.ndarray]:
-        g = lambda *s: (rng.standard_normal(s) * np.sqrt(1.0 / s[0])).astype(np.float32)
-        p = {"E": g(PAD + 1, EMB), "V": g(2 * HIDDEN, TAGS), "c": np.zeros(TAGS, np.float32), "T": np.zeros((TAGS, TAGS), np.float32)}
-        for d in "fb":
-            p["W" + d], p["b" + d] = g(EMB + HIDDEN, 4 * HIDDEN), np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(np.float32)
-        return p
+        g = lambda size, *s: (rng.standard_normal(s) * np.sqrt(1.0 / size)).astype(np.float32)
+        b = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(np.float32)
+        return {"E": g(4, PAD + 1, EMB), "W": g(EMB + HIDDEN, 2, EMB + HIDDEN, 4 * HIDDEN), "b": np.array([b, b]), "V": g(2 * HIDDEN, 2 * HIDDEN, TAGS), "c": np.zeros(TAGS, np.float32), "T": np.zeros((TAGS, TAGS), np.float32)}
 
     def scores(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Tag scores (windows, characters, tags) of codes x."""
+        """Tag scores (windows, characters, tags) of codes x. The backward direction runs over the reversed windows beside the forward one; sigmoids are tanh of half."""
         p, (n, t) = self.p, x.shape
-        e = p["E"][x]
-        hs = []
-        for d in "fb":
-            h, c, out, saved = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.empty((n, t, HIDDEN), np.float32), []
-            gx = e @ p["W" + d][:EMB] + p["b" + d]
-            for i in range(t) if d == "f" else range(t - 1, -1, -1):
-                z = gx[:, i] + h @ p["W" + d][EMB:]
-                s = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
-                g = np.tanh(z[:, 3 * HIDDEN :])
-                was, c = c, s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * g
-                tc = np.tanh(c)
-                if keep is not None:
-                    saved.append((i, h, was, s, g, tc))
-                h = s[:, 2 * HIDDEN :] * tc
-                out[:, i] = h
-            hs.append(out)
+        e = p["E"][x.T]  # time first
+        half = np.full(4 * HIDDEN, 0.5, np.float32)
+        half[3 * HIDDEN :] = 1
+        gates = np.stack([e @ p["W"][0, :EMB] + p["b"][0], (e @ p["W"][1, :EMB] + p["b"][1])[::-1]], axis=1) * half
+        w = p["W"][:, EMB:] * half
+        h, c, out, saved = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32), np.empty((t, 2, n, HIDDEN), np.float32), []
+        for i in range(t):
+            u = np.tanh(gates[i] + h @ w)
+            s, g = 0.5 * u[..., : 3 * HIDDEN] + 0.5, u[..., 3 * HIDDEN :]
+            was, c = c, s[..., HIDDEN : 2 * HIDDEN] * c + s[..., :HIDDEN] * g
+            tc = np.tanh(c)
             if keep is not None:
-                keep[d] = saved
-        h = np.concatenate(hs, axis=2)
+                saved.append((h, was, s, g, tc))
+            h = s[..., 2 * HIDDEN :] * tc
+            out[i] = h
+        both = np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
         if keep is not None:
-            keep |= {"e": e, "h": h}
-        return h @ p["V"] + p["c"]
+            keep |= {"e": e, "h": both, "saved": saved}
+        return (both @ p["V"] + p["c"]).transpose(1, 0, 2)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log likelihood of tags y, and its gradients."""
+        """Mean negative log likelihood of tags y, and its gradients. Forward and backward probabilities are scaled at each character."""
         keep: dict = {}
-        s, tr, (n, t) = self.scores(x, keep).astype(np.float64), self.p["T"].astype(np.float64), x.shape
-        lse = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
-        al, be = np.empty((t, n, TAGS)), np.zeros((t, n, TAGS))
-        al[0] = s[:, 0]
-        for i in range(1, t):
-            al[i] = lse(al[i - 1][:, :, None] + tr, 1) + s[:, i]
+        s, tr, (n, t) = self.scores(x, keep).astype(np.float64).transpose(1, 0, 2), self.p["T"].astype(np.float64), x.shape
+        top = s.max(axis=2, keepdims=True)
+        es, et = np.exp(s - top), np.exp(tr)
+        al, be, scale = np.empty((t, n, TAGS)), np.ones((t, n, TAGS)), np.empty((t, n, 1))
+        for i in range(t):
+            a = es[i] if i == 0 else (al[i - 1] @ et) * es[i]
+            scale[i] = a.sum(axis=1, keepdims=True)
+            al[i] = a / scale[i]
         for i in range(t - 2, -1, -1):
-            be[i] = lse(tr + (s[:, i + 1] + be[i + 1])[:, None, :], 2)
-        z = lse(al[-1], 1)
-        rows = np.arange(n)
-        gold = s[rows[:, None], np.arange(t), y].sum(1) + tr[y[:, :-1], y[:, 1:]].sum(1)
-        ds = np.exp(al + be - z[:, None]).transpose(1, 0, 2)
-        dt = np.zeros_like(tr)
-        for i in range(t - 1):
-            dt += np.exp(al[i][:, :, None] + tr + (s[:, i + 1] + be[i + 1])[:, None, :] - z[:, None, None]).sum(0)
-        ds[rows[:, None], np.arange(t), y] -= 1
-        np.subtract.at(dt, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+            be[i] = ((es[i + 1] * be[i + 1]) @ et.T) / scale[i + 1]
+        rows, at = np.arange(n), y.T
+        gold = np.take_along_axis(s, at[:, :, None], 2)[:, :, 0].sum(0) + tr[at[:-1], at[1:]].sum(0)
+        z = (np.log(scale) + top).sum(0)[:, 0]
+        ds = al * be
+        after = es[1:] * be[1:] / scale[1:]
+        dt = et * (al[:-1].reshape(-1, TAGS).T @ after.reshape(-1, TAGS))
+        ds[np.arange(t)[:, None], rows, at] -= 1
+        np.subtract.at(dt, (at[:-1].ravel(), at[1:].ravel()), 1)
         ds = (ds / n).astype(np.float32)
-        g = {"T": (dt / n).astype(np.float32), "V": np.einsum("nth,ntk->hk", keep["h"], ds), "c": ds.sum((0, 1))}
-        dh, de = ds @ self.p["V"].T, np.zeros_like(keep["e"])
-        for k, d in enumerate("fb"):
-            w, own = self.p["W" + d], dh[:, :, k * HIDDEN : (k + 1) * HIDDEN]
-            gw, gb, hn, cn = np.zeros_like(w), np.zeros(4 * HIDDEN, np.float32), np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-            for i, h, was, sg, gg, tc in reversed(keep[d]):
-                a = own[:, i] + hn
-                si, sf, so = sg[:, :HIDDEN], sg[:, HIDDEN : 2 * HIDDEN], sg[:, 2 * HIDDEN :]
-                c = cn + a * so * (1 - tc * tc)
-                dz = np.concatenate([c * gg * si * (1 - si), c * was * sf * (1 - sf), a * tc * so * (1 - so), c * si * (1 - gg * gg)], axis=1)
-                gw[:EMB] += keep["e"][:, i].T @ dz
-                gw[EMB:] += h.T @ dz
-                gb += dz.sum(0)
-                de[:, i] += dz @ w[:EMB].T
-                hn, cn = dz @ w[EMB:].T, c * sf
-            g["W" + d], g["b" + d] = gw, gb
+        g = {"T": (dt / n).astype(np.float32), "V": keep["h"].reshape(-1, 2 * HIDDEN).T @ ds.reshape(-1, TAGS), "c": ds.sum((0, 1))}
+        dh = ds @ self.p["V"].T
+        dh = np.stack([dh[:, :, :HIDDEN], dh[::-1, :, HIDDEN:]], axis=1)
+        w, dz = self.p["W"], np.empty((t, 2, n, 4 * HIDDEN), np.float32)
+        hs, hn, cn = np.empty((t, 2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+        back = w[:, EMB:].transpose(0, 2, 1)
+        for i in range(t - 1, -1, -1):
+            h, was, sg, gg, tc = keep["saved"][i]
+            a = dh[i] + hn
+            si, sf, so = sg[..., :HIDDEN], sg[..., HIDDEN : 2 * HIDDEN], sg[..., 2 * HIDDEN :]
+            c = cn + a * so * (1 - tc * tc)
+            dz[i] = np.concatenate([c * gg * si * (1 - si), c * was * sf * (1 - sf), a * tc * so * (1 - so), c * si * (1 - gg * gg)], axis=2)
+            hs[i] = h
+            hn, cn = dz[i] @ back, c * sf
+        e = np.stack([keep["e"], keep["e"][::-1]], axis=1)
+        flat = lambda a: a.transpose(1, 0, 2, 3).reshape(2, t * n, -1)
+        g["W"] = np.concatenate([flat(e).transpose(0, 2, 1) @ flat(dz), flat(hs).transpose(0, 2, 1) @ flat(dz)], axis=1)
+        g["b"] = dz.sum((0, 2))
+        de = dz @ w[:, None, :EMB].transpose(1, 0, 3, 2)
         ge = np.zeros_like(self.p["E"])
-        np.add.at(ge, x, de)
+        np.add.at(ge, x.T.ravel(), (de[:, 0] + de[::-1, 1]).reshape(-1, EMB))
         g["E"] = ge
         return float((z - gold).mean()), g
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tags (windows, characters)."""
-        s, tr = self.scores(x), self.p["T"]
-        n, t = x.shape
+    def decode(self, s: np.ndarray) -> np.ndarray:
+        """Best tags (stretches, characters) of tag scores (stretches, characters, tags)."""
+        tr = self.p["T"]
+        n, t, _ = s.shape
         best, back = s[:, 0], np.empty((t, n, TAGS), np.int8)
         for i in range(1, t):
             a = best[:, :, None] + tr
@@ -208,35 +207,59 @@ def made_up(rng, kind: str) -> str:
     return a + one(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(4)} {d(6)}", f"({d(3)}) {d(3)} {d(4)}")
 
 
+def near_miss(rng) -> str:
+    """What isn't personal data: hex, numbers, dates, times, versions, prices, names of parts, words with 'at' and 'dot'."""
+    d = lambda n: "".join(str(v) for v in rng.integers(0, 10, n))
+    w = lambda: "".join(chr(97 + v) for v in rng.integers(0, 26, rng.integers(2, 9)))
+    k = int(rng.integers(0, 9))
+    if k == 0:
+        return "".join("0123456789abcdef"[v] for v in rng.integers(0, 16, rng.integers(12, 42)))
+    if k == 1:
+        return d(rng.integers(1, 13))
+    if k == 2:
+        return f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 32):02d}" + ("" if rng.random() < 0.5 else f" {rng.integers(0, 24):02d}:{rng.integers(0, 60):02d}")
+    if k == 3:
+        return f"{rng.integers(1, 32)}{'./'[rng.integers(0, 2)]}{rng.integers(1, 13)}{'./'[rng.integers(0, 2)]}{rng.integers(1900, 2100)}"
+    if k == 4:
+        return "v" * int(rng.integers(0, 2)) + ".".join(d(rng.integers(1, 4)) for _ in range(rng.integers(2, 4)))
+    if k == 5:
+        return f"{rng.integers(1, 999)},{d(3)}.{d(2)}"
+    if k == 6:
+        return f"{w().upper()}-{d(rng.integers(2, 6))}-{d(rng.integers(2, 4))}"
+    if k == 7:
+        return f"{w()} at {w()} {w()}"
+    return f"{d(rng.integers(1, 4))} {w()} {d(rng.integers(1, 4))}"
+
+
 def labelled(rng, texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the texts with made-up spans and near misses (hex, plain numbers, versions) written in, and their tags."""
+    """Windows of the texts with their own base spans tagged, most with a made-up span or a near miss written in, and their tags. Other digits of the texts are no span."""
     x, y = np.full((n, SPAN), PAD, np.int8), np.zeros((n, SPAN), np.int64)
     for r in range(n):
         t = texts[rng.integers(0, len(texts))]
         at = int(rng.integers(0, max(1, len(t) - SPAN)))
-        t = HINT.sub("", t[at : at + SPAN])
+        t = t[at : at + SPAN]
+        spans = base_spans(t)
         cut = int(rng.integers(0, len(t) + 1))
+        if any(a < cut < b for _, a, b in spans):
+            cut = 0
         what = int(rng.integers(0, 7))
+        s = made_up(rng, KINDS[what]) if what < 4 else near_miss(rng) if what < 6 else ""
+        left = t[:cut] + ("" if rng.random() < 0.1 or not s else " ")
+        tail = ("" if rng.random() < 0.3 or not s else " ") + t[cut:]
+        more = len(left) - cut + len(s) + len(tail) - len(t) + cut
+        spans = [(k, a + more * (a >= cut), b + more * (a >= cut)) for k, a, b in spans]
         if what < 4:
-            s = made_up(rng, KINDS[what])
-        elif what == 4:
-            s = "".join("0123456789abcdef"[v] for v in rng.integers(0, 16, rng.integers(12, 42)))
-        elif what == 5:
-            s = str(rng.integers(0, 10 ** int(rng.integers(1, 8))))
-        else:
-            s = ""
-        left = t[:cut] + ("" if rng.random() < 0.15 else " ")
-        tail = ("" if rng.random() < 0.3 else " ") + t[cut:]
-        shift = max(0, int(rng.integers(0, max(1, len(left) + len(s) - SPAN // 3))) if len(left) > SPAN // 2 else 0)
-        whole = (left + s + tail)[shift : shift + SPAN]
-        c = coded(whole)
+            spans.append((KINDS[what], len(left), len(left) + len(s)))
+        whole = left + s + tail
+        shift = int(rng.integers(0, max(1, len(whole) - SPAN + 1)))
+        c = coded(whole[shift : shift + SPAN])
         x[r, : len(c)] = c
-        if what < 4 and s:
-            lo, hi = len(left) - shift, min(SPAN, len(left) - shift + len(s))
-            if lo >= 0 and lo < hi:
-                y[r, lo], y[r, lo + 1 : hi] = 1 + 2 * what, 2 + 2 * what
-            elif hi > 0 > lo:
-                y[r, :hi] = 2 + 2 * what
+        for kind, a, b in spans:
+            tag, lo, hi = 1 + 2 * ORDER[kind], max(0, a - shift), min(SPAN, b - shift)
+            if lo < hi:
+                y[r, lo:hi] = tag + 1
+                if a >= shift:
+                    y[r, lo] = tag
     return x, y
 
 
@@ -250,7 +273,7 @@ def train(texts: list[str], seed: int = 11, steps: int = STEPS) -> Tagger:
     for i in range(1, steps + 1):
         _, g = model.step(*labelled(rng, texts, BATCH))
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-        rate = 0.02 * min(1.0, 5 / (norm + 1e-9)) if i < 0.7 * steps else 0.005 * min(1.0, 5 / (norm + 1e-9))
+        rate = 0.015 * min(1.0, 5 / (norm + 1e-9)) * min(1.0, i / 20) * max(0.03, 1 - i / steps)
         for k, a in g.items():
             m[k] = 0.9 * m[k] + 0.1 * a
             v2[k] = 0.99 * v2[k] + 0.01 * a * a
@@ -268,51 +291,74 @@ def hints(c: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hot)
 
 
+def _stitched(parts: list[tuple[int, np.ndarray]], first: int, length: int, whole: int) -> np.ndarray:
+    """Scores of characters first to first + length of a text of ``whole``: the weighted mean of its windows' (start, scores)."""
+    total, weight = np.zeros((length, TAGS), np.float32), np.zeros((length, 1), np.float32)
+    for at, s in parts:
+        n = min(len(s), whole - at)
+        i = np.arange(n, dtype=np.float32)
+        w = np.full(n, SPAN, np.float32)
+        w = np.minimum(w, i + 1) if at else w
+        w = (np.minimum(w, n - i) if at + n < whole else w)[:, None]
+        lo = at - first
+        total[lo : lo + n] += s[:n] * w
+        weight[lo : lo + n] += w
+    return total / np.maximum(weight, 1e-9)
+
+
 def network_spans(model: Tagger, texts: list[str], most: int = 2048) -> list[list[tuple[str, int, int]]]:
     """Spans the network finds in each text, ``most`` windows at a time."""
     codes = [coded(t) if t else np.empty(0, np.int8) for t in texts]
-    tags: list[np.ndarray | None] = [None] * len(texts)
-    # a text's last window is the first that reaches its end; the middle of a window decides, its edges only where the text begins or ends
+    # a text's last window is the first that reaches its end
     last = [max(0, -(-(len(c) - SPAN) // STRIDE)) for c in codes]
     edge = (SPAN - STRIDE) // 2
-    where = [(k, int(f)) for k, c in enumerate(codes) for f in np.unique(np.clip((hints(c) - edge) // STRIDE, 0, last[k]))]
-    seen = set(where)
-    while where:
-        beside = set()
-        for lo in range(0, len(where), most):
-            part = where[lo : lo + most]
+    chosen = [{*np.unique(np.clip((hints(c) - edge) // STRIDE, 0, last[k])).tolist()} for k, c in enumerate(codes)]
+    held: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    tags: list[dict[tuple[int, int], np.ndarray]] = [{} for _ in texts]
+    while True:
+        new = [(k, f) for k, own in enumerate(chosen) for f in sorted(own - held[k].keys())]
+        if not new:
+            break
+        for lo in range(0, len(new), most):
+            part = new[lo : lo + most]
             x = np.full((len(part), SPAN), PAD, np.int8)
             for r, (k, f) in enumerate(part):
                 w = codes[k][f * STRIDE : f * STRIDE + SPAN]
                 x[r, : len(w)] = w
-            got = model.decode(x)
-            for r, (k, f) in enumerate(part):
-                at = f * STRIDE
-                a = edge if f else 0
-                b = edge + STRIDE if f < last[k] else len(codes[k]) - at
-                own = got[r, a:b]
-                if not own.any():
-                    continue
-                if tags[k] is None:
-                    tags[k] = np.zeros(len(codes[k]), np.int8)
-                tags[k][at + a : at + b] = own
-                if own[0] and f:
-                    beside.add((k, f - 1))
-                if own[-1] and f < last[k]:
-                    beside.add((k, f + 1))
-        where = sorted(beside - seen)
-        seen |= beside
+            for (k, f), s in zip(part, model.scores(x)):
+                held[k][f] = s
+        # stretches of neighbouring windows that aren't decoded yet, those of like length together
+        due = []
+        for k, own in enumerate(chosen):
+            own = sorted(own)
+            stretches = {(own[i], own[j - 1]) for i, j in _consecutive(own)}
+            tags[k] = {x: v for x, v in tags[k].items() if x in stretches}
+            due += [(k, a, b) for a, b in stretches if (a, b) not in tags[k]]
+        due.sort(key=lambda x: (x[2] - x[1], x))
+        for lo in range(0, len(due), 256):
+            part = due[lo : lo + 256]
+            size = [min(len(codes[k]), b * STRIDE + SPAN) - a * STRIDE for k, a, b in part]
+            s = np.zeros((len(part), max(size), TAGS), np.float32)
+            s[:, :, 0] = 1e4  # after a stretch's end nothing but O
+            for r, (k, a, b) in enumerate(part):
+                s[r, : size[r]] = _stitched([(f * STRIDE, held[k][f]) for f in range(a, b + 1)], a * STRIDE, size[r], len(codes[k]))
+            for (k, a, b), n, g in zip(part, size, model.decode(s)):
+                tags[k][a, b] = g = g[:n]
+                if g[0] and a:
+                    chosen[k].add(a - 1)
+                if g[-1] and b < last[k]:
+                    chosen[k].add(b + 1)
     out = []
     for k, t in enumerate(texts):
-        spans, g = [], tags[k]
-        if g is not None:
+        spans = []
+        for (a, _), g in sorted(tags[k].items()):
             at = np.nonzero(g)[0]
             if len(at):
                 kinds = (g[at] - 1) // 2
                 new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (kinds[1:] != kinds[:-1]) | (g[at][1:] % 2 == 1)])
                 first = np.nonzero(new)[0]
                 for i, j in zip(first, [*first[1:], len(at)]):
-                    lo, hi = int(at[i]), int(at[j - 1]) + 1
+                    lo, hi = a * STRIDE + int(at[i]), a * STRIDE + int(at[j - 1]) + 1
                     while hi > lo and t[hi - 1] in " .,;:-(":
                         hi -= 1
                     while lo < hi and t[lo] in " .,;:-)":
@@ -324,6 +370,12 @@ def network_spans(model: Tagger, texts: list[str], most: int = 2048) -> list[lis
     return out
 
 
+def _consecutive(own: list[int]) -> list[tuple[int, int]]:
+    """From and to of runs of consecutive numbers."""
+    starts = [i for i in range(len(own)) if not i or own[i] != own[i - 1] + 1]
+    return [*zip(starts, [*starts[1:], len(own)])]
+
+
 def all_spans(model: Tagger, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
     texts = [t or "" for t in texts]
     out = []
@@ -346,22 +398,22 @@ def find(docs: DataFrame, model: Tagger, carry: list[str], text_col: str = "text
         tagger = Tagger(shared.value)
         as_rows = lambda spans: pa.array([[{"kind": k, "start": i, "stop": j} for k, i, j in s] for s in spans], kind)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
-                texts = b.column("t").to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column("d"), as_rows(all_spans(tagger, texts)), as_rows([base_spans(t or "") for t in texts])], ["d", "found", "base"])
+            for part in pieces(whole, 1 << 20):
+                for lo in range(0, part.num_rows, 512):
+                    b = part.slice(lo, 512)
+                    texts = b.column("t").to_pylist()
+                    yield pa.RecordBatch.from_arrays([b.column("d"), as_rows(all_spans(tagger, texts)), as_rows([base_spans(t or "") for t in texts])], ["d", "found", "base"])
 
     rows = docs.select(F.struct(*carry).alias("d"), F.col(text_col).alias("t"))
     return rows.mapInArrow(each, f"d {rows.schema['d'].dataType.simpleString()}, found {FOUND}, base {FOUND}")
 
 
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[str]:
-    """About ``rows`` texts at most, by a hash of the text, 2000 characters of each: what training windows are cut from."""
-    n = docs.count()
-    part = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, 2000).alias("t"))
-    if n > rows:
-        part = part.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    return [r["t"] for r in part.orderBy("h").collect()]
+    """About ``rows`` distinct texts (by a hash), of each 2000 characters from anywhere in it (by the hash): what training windows are cut from."""
+    h = F.xxhash64("t")
+    part = some_rows(docs.select(F.col(text_col).alias("t")).where("t is not null"), rows, "t")
+    part = part.select(F.substring("t", (F.pmod(h, F.greatest(F.length("t") - 1999, F.lit(1))) + 1).cast("int"), F.lit(2000)).alias("t"))
+    return sorted(r["t"] for r in part.collect())
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ordered clusters of a family's sequences. Merging is inherently sequential: a family is a task, families are spread."""
+"""Ordered clusters of a family's sequences. Linkage is sequential: a family is a task there, families are spread; greedy clusters are made in rounds over all families."""
 
 import numpy as np
 import pandas as pd
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqnet.functions.residues import ALPHABET
+from seqnet.operators.tables import written
 
 #: BLOSUM62, rows and columns in the order of the alphabet.
 BLOSUM62 = """
@@ -117,24 +118,65 @@ def phylo_clusters(msa: DataFrame, k: int | None = None, most: int = 12000) -> D
     return msa.select("family", "seq_id", "seq").groupBy("family").applyInPandas(run, "family string, cluster_idx int, seq_id bigint")
 
 
-def greedy_clusters(msa: DataFrame, identity: float = 0.8) -> DataFrame:
-    """Longest first: a sequence joins the first cluster whose head it agrees with in ``identity`` of its letters, else it heads a new one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(n=pdf["seq"].str.replace("-", "").str.len()).sort_values(["n", "seq_id"], ascending=[False, True])
-        at = np.array([[ord(c) for c in s] for s in pdf["seq"]])
-        heads, out = [], []
-        for i in range(len(at)):
-            same = ((at[heads] == at[i]) & (at[i] != 45)).sum(1) / max(1, int(pdf["n"].iloc[i])) if heads else np.zeros(0)
-            hit = np.nonzero(same >= identity)[0]
-            if len(hit):
-                out.append(int(hit[0]))
-            else:
+def _first_match(x: np.ndarray, n: np.ndarray, heads: np.ndarray, identity: float) -> np.ndarray:
+    """Of each row of letters x, with n letters, the first row of heads that it agrees with in ``identity`` of them, or -1."""
+    out, at = np.full(len(x), -1), np.arange(len(x))
+    for k in range(0, len(heads), 64):
+        if not len(at):
+            break
+        same = ((x[at, None, :] == heads[None, k : k + 64, :]) & (x[at, None, :] != 45)).sum(2) / np.maximum(1, n[at])[:, None] >= identity
+        hit = same.any(1)
+        out[at[hit]] = k + same[hit].argmax(1)
+        at = at[~hit]
+    return out
+
+
+def greedy_clusters(msa: DataFrame, identity: float = 0.8, batch: int = 2048) -> DataFrame:
+    """Longest first: a sequence joins the first cluster whose head it agrees with in ``identity`` of its letters, else it heads a new one.
+
+    Rounds over all families at once: the longest ``batch`` sequences that are left of each family are clustered in order, in one task; all others that are left meet the new heads in blocks, spread over the cluster, and join the first that matches. The result is that of going
+    through a family one by one; no task holds more than a batch and a block. A family takes a round for each ``batch`` sequences that match no earlier head."""
+    left = msa.select("family", "seq_id", "seq", F.length(F.replace("seq", F.lit("-"), F.lit(""))).alias("n"))
+    done, base = None, None
+    letters = lambda seqs: np.array([[ord(c) for c in s] for s in seqs], np.int32)
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "seq_id"], ascending=[False, True])
+        x, n, heads, out = letters(pdf["seq"]), pdf["n"].to_numpy(), [], []
+        for i in range(len(x)):
+            hit = int(_first_match(x[i : i + 1], n[i : i + 1], x[heads], identity)[0]) if heads else -1
+            if hit < 0:
                 heads.append(i)
-                out.append(len(heads) - 1)
-        return pd.DataFrame({"family": pdf["family"].astype(str), "cluster_idx": np.array(out, np.int32), "seq_id": pdf["seq_id"]})
-
-    return msa.select("family", "seq_id", "seq").groupBy("family").applyInPandas(run, "family string, cluster_idx int, seq_id bigint")
+                hit = len(heads) - 1
+            out.append(hit)
+        return pd.DataFrame({"family": pdf["family"].astype(str), "at": np.array(out, np.int32), "seq_id": pdf["seq_id"], "seq": pdf["seq"], "head": np.isin(np.arange(len(x)), heads)})
+
+    def against(batches):
+        for pdf in batches:
+            for heads, block in zip(pdf["heads"], pdf["block"]):
+                x, n = letters([v["seq"] for v in block]), np.array([v["n"] for v in block])
+                hit = _first_match(x, n, letters([h["seq"] for h in heads]), identity)
+                yield pd.DataFrame({"family": [v["family"] for v in block], "seq_id": [v["seq_id"] for v in block], "seq": [v["seq"] for v in block], "n": n.astype("int32"), "at": hit.astype("int32")})
+
+    order = Window.partitionBy("family").orderBy(F.desc("n"), "seq_id")
+    for turn in range(1 << 30):
+        now = written(left.withColumn("place", F.row_number().over(order)).where(f"place <= {batch}").drop("place").groupBy("family").applyInPandas(within, "family string, at int, seq_id bigint, seq string, head boolean"), f"batch-{turn}")
+        heads = now.where("head").groupBy("family").agg(F.sort_array(F.collect_list(F.struct("at", "seq"))).alias("heads"))  # batch at most
+        more = now.select("family", "at", "seq_id")
+        rest = left.join(now.select("family", "seq_id"), ["family", "seq_id"], "left_anti")
+        sizes = rest.groupBy("family").agg(F.ceil(F.count("*") / 512).alias("of"))
+        blocks = rest.join(sizes, "family").withColumn("blk", F.pmod(F.xxhash64("seq_id"), F.col("of"))).groupBy("family", "blk").agg(F.collect_list(F.struct("family", "seq_id", "seq", "n")).alias("block"))
+        met = written(blocks.join(heads, "family").select("heads", "block").mapInPandas(against, "family string, seq_id bigint, seq string, n int, at int"), f"met-{turn}")
+        more = more.unionByName(met.where("at >= 0").select("family", "at", "seq_id"))
+        # places of heads go on after those of earlier rounds
+        count = now.where("head").groupBy("family").agg(F.count("*").alias("c"))
+        more = more if base is None else more.join(base, "family", "left").select("family", (F.col("at") + F.coalesce("base", F.lit(0))).cast("int").alias("at"), "seq_id")
+        done = more if done is None else done.unionByName(more)
+        base = count.withColumnRenamed("c", "base") if base is None else base.join(count, "family", "full").select("family", (F.coalesce("base", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("base"))
+        base = written(base, f"base-{turn}")
+        left = met.where("at < 0").select("family", "seq_id", "seq", "n")
+        if not left.head(1):
+            return done.select("family", F.col("at").alias("cluster_idx"), "seq_id")
 
 
 def random_clusters(msa: DataFrame, k: int, seed: int = 0) -> DataFrame:

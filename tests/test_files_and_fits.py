@@ -150,3 +150,28 @@ def test_letters_in_batches(spark):
 def test_shapes():
     v = np.array([1.0, 1e-9, 2.0])
     assert (matrix.unpack_banded(v, 1e-6) == np.array([[1.0, 0.0], [0.0, 2.0]])).all()
+
+
+def test_greedy_clusters_in_rounds(spark):
+    r = np.random.default_rng(5)
+    heads = ["".join(r.choice(list("ARNDCQEG"), 12)) for _ in range(9)]
+    rows = []
+    for fam, size in (("f", 150), ("g", 7)):
+        for k in range(size):
+            s = list(heads[r.integers(0, 9)])
+            for _ in range(r.integers(0, 5)):
+                s[r.integers(0, 12)] = str(r.choice(list("ARND-")))
+            rows.append((fam, k, "".join(s)))
+    df = spark.createDataFrame(rows, "family string, seq_id long, seq string")
+    want = {}
+    for fam in "fg":
+        own = sorted(((f, k, s) for f, k, s in rows if f == fam), key=lambda v: (-len(v[2].replace("-", "")), v[1]))
+        found = []
+        for f, k, s in own:
+            hit = next((i for i, h in enumerate(found) if sum(a == b != "-" for a, b in zip(s, h)) / max(1, len(s.replace("-", ""))) >= 0.7), None)
+            if hit is None:
+                found.append(s)
+                hit = len(found) - 1
+            want[f, k] = hit
+    for batch in (2048, 10):
+        assert {(x.family, x.seq_id): x.cluster_idx for x in cluster.greedy_clusters(df, 0.7, batch).collect()} == want

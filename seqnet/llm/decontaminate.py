@@ -22,7 +22,7 @@ from .ngram_join import _mix, word_hashes
 
 WINDOW = 10
 #: Characters of windows (an upper bound of nodes) in one automaton, of some 40 bytes each, and eight for each item that has the window.
-MOST_NODES = 1_000_000
+MOST_NODES = 2_000_000
 #: Logarithm of the bits in the bitmap of windows, and the bits that a window sets.
 BITS, MARKS = 27, 4
 #: Word characters: digits, letters a-z after lower-casing, everything outside ASCII.

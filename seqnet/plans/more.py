@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from seqnet.functions import residues as R
 from seqnet.operators import cluster, contacts, geometry, glasso, matrix, msa, reports
+from seqnet.operators.tables import written
 from seqnet.plans.registry import FREQ, FULL, PHONES, QUERIES, SUP, _full, _msa, _supplier_pairs, phones, query, r6, table
 
 LETTERS = "ARNDCQEGHILKMFPSTWYVX"
@@ -289,8 +290,7 @@ cuts as (select * from (values ('NORMAL', '1', 1), ('NORMAL', '2', 2), ('NORMAL'
 
 @query("evaluate_records", f"with {PHONES}, {FREQ}, {FULL}, {EVAL} select r.family, r.ty, lo::int as min_sep, hi::int as max_sep, cutoff, k::bigint as k, round(sum(hit)::double / k, 9) as precision, round(2 * any_value(n1)::double / (315 * 315), 9) as s1, round(2 * any_value(n2)::double / 225, 9) as s2 from r join cuts on cuts.ty = r.ty and rk <= k join n1 on n1.family = r.family join n2 on n2.family = r.family group by r.family, r.ty, lo, hi, cutoff, k")
 def evaluate_records(spark, d):
-    theta = _full(spark, d).select("family", F.lit(0).alias("model_idx"), "i", "a", "j", "b", F.col("cov").alias("v"))
-    # rows of zero and more that are below the cutoff still count in s1 as they do in the whole matrix
+    theta = written(_full(spark, d).select("family", F.lit(0).alias("model_idx"), "i", "a", "j", "b", F.col("cov").alias("v")), "theta")
     lengths = theta.select("family", F.lit(15).alias("seq_len")).distinct()
     ij = theta.select("family", "i", "j").where("i < j").distinct()
     native = ij.select("family", "i", "j", ((F.col("i") * 31 + F.col("j") * 17) % 23).cast("double").alias("dist"), ((F.col("i") + F.col("j")) % 19 != 0).alias("valid"))

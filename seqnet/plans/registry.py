@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqnet.functions import residues as R
 from seqnet.operators import cluster, contacts, geometry, glasso, matrix, msa, reports
+from seqnet.operators.tables import written
 from seqnet.sources import readers
 from seqnet.streaming import windows
 
@@ -211,7 +212,7 @@ def contact_norm(spark, d):
 
 @query("apc", f"with {PHONES}, {FREQ}, {FULL}, {SCORE}, bo as (select family, i, score from sc union all select family, j, score from sc), pr as (select family, i, sum(score) as s from bo group by all), tt as (select family, sum(s) as t from pr group by 1) select sc.family, sc.i, sc.j, round(score - x.s * y.s / t, 6) as score from sc join pr x on x.family = sc.family and x.i = sc.i join pr y on y.family = sc.family and y.i = sc.j join tt on tt.family = sc.family")
 def apc(spark, d):
-    return _sij(contacts.apc(_scores(spark, d), ["family"]))
+    return _sij(contacts.apc(written(_scores(spark, d), "scores"), ["family"]))  # used several times
 
 
 def _supplier_pairs(spark, d):

@@ -74,7 +74,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", lang_
         w = F.concat(F.lit("␂"), "word", F.lit("␃")) if n > 1 else F.col("word")
         cut = counts.select("lang", w.alias("w")).where(F.length("w") >= n).select("lang", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(w) - {n} + 1), i -> substring(w, i, {n}))"))).alias("word"))
         parts, logs = _logs(cut.groupBy("lang", "word").agg(F.count("*").alias("c")).toPandas(), langs)
-        model["grams"][n] = dict(zip(parts, logs.astype(np.float32)))
+        model["grams"][n] = ({g: i for i, g in enumerate(parts)}, logs.astype(np.float32))
     return model
 
 
@@ -87,13 +87,21 @@ def word_scores(model: dict, words: list[str]) -> np.ndarray:
     at = np.minimum(np.searchsorted(model["words"], k), len(model["words"]) - 1)
     known = model["words"][at] == k
     out[known] = model["logs"][at[known]]
-    for i in np.flatnonzero(~known).tolist():
-        for n in range(MAX_N, 0, -1):
-            table = model["grams"][n]
-            found = [table[g] for g in grams(words[i], n) if g in table]
-            if found:
-                out[i] = sum(found) / len(found) - SKIP * (MAX_N - n + 1)
-                break
+    left = np.flatnonzero(~known).tolist()
+    for n in range(MAX_N, 0, -1):
+        (table, logs), found, size, own, rest = model["grams"][n], [], [], [], []
+        for i in left:
+            got = [table[g] for g in grams(words[i], n) if g in table]
+            if got:
+                found += got
+                size.append(len(got))
+                own.append(i)
+            else:
+                rest.append(i)
+        if own:
+            size = np.array(size)
+            out[own] = np.add.reduceat(logs[found], np.cumsum(size) - size, axis=0) / size[:, None] - SKIP * (MAX_N - n + 1)
+        left = rest
     return out
 
 

@@ -37,7 +37,7 @@ SAMPLE_DF = 4
 #: Members of a list that are scanned together; longer lists are dealt in blocks of about so many.
 BLOCK_ROWS = 512
 #: Lists of one class or component are scanned in so many tasks (they share many pairs, which are then told once a task).
-HOMES = 4
+HOMES = 16
 #: Pairs of a class in the first scan.
 NEAREST = 4
 #: Bits of a parity bitmap: the power of two not below the number of tokens, within these.

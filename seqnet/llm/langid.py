@@ -34,16 +34,13 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def key(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    """Spark's xxhash64 of the words."""
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words], np.uint64)
 
 
-def _logs(df, langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words of (lang, word, c) and the log frequency of each in each language (rows)."""
-    at, words = {v: i for i, v in enumerate(langs)}, sorted({*df["word"]})
-    row = {w: i for i, w in enumerate(words)}
-    c = np.zeros((len(words), len(langs)))
-    np.add.at(c, ([row[w] for w in df["word"]], [at[v] for v in df["lang"]]), df["c"].to_numpy(float))
-    return words, np.log((c + 0.1) / (c.sum(0) + 0.1 * max(len(words), 1)))
+def _logs(c: np.ndarray) -> np.ndarray:
+    """Log frequencies in each language (columns) of counts."""
+    return np.log((c + 0.1) / (c.sum(0) + 0.1 * max(len(c), 1))).astype(np.float32)
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", lang_col: str = "lang") -> dict:
@@ -64,17 +61,24 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", lang_
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "c"])
 
     counts = stage(labelled.mapInArrow(count, "lang string, word string, c bigint").groupBy("lang", "word").agg(F.sum("c").alias("c")), "words")
-    known = counts.toPandas()
-    langs = sorted({*known["lang"]})
-    words, logs = _logs(known, langs)
-    k = key(words)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+
+    def by_language(rows: DataFrame, of: str, value) -> tuple[np.ndarray, np.ndarray]:
+        """Values of a column, sorted, with a count for each language; the driver gets numbers, no more rows than the sample has words."""
+        wide = rows.groupBy(of).pivot("lang", langs).agg(value).na.fill(0).toPandas().sort_values(of)
+        return wide[of].to_numpy(), wide[langs].to_numpy(float).reshape(len(wide), len(langs))
+
+    if not langs:
+        return {"langs": [], "words": np.empty(0, np.uint64), "logs": np.empty((0, 0), np.float32), "grams": {}}
+    k, c = by_language(counts.select("lang", "c", F.xxhash64("word").alias("k")), "k", F.sum("c"))
+    k = k.astype(np.int64).view(np.uint64)
     by = np.argsort(k)
-    model = {"langs": langs, "words": k[by], "logs": logs[by].astype(np.float32), "grams": {}}
+    model = {"langs": langs, "words": k[by], "logs": _logs(c)[by], "grams": {}}
     for n in range(1, MAX_N + 1):
         w = F.concat(F.lit("␂"), "word", F.lit("␃")) if n > 1 else F.col("word")
         cut = counts.select("lang", w.alias("w")).where(F.length("w") >= n).select("lang", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(w) - {n} + 1), i -> substring(w, i, {n}))"))).alias("word"))
-        parts, logs = _logs(cut.groupBy("lang", "word").agg(F.count("*").alias("c")).toPandas(), langs)
-        model["grams"][n] = ({g: i for i, g in enumerate(parts)}, logs.astype(np.float32))
+        parts, c = by_language(cut, "word", F.count(F.lit(1)))
+        model["grams"][n] = ({g: i for i, g in enumerate(parts.tolist())}, _logs(c))
     return model
 
 

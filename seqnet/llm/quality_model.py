@@ -127,11 +127,14 @@ def compile_rules(rules: list[tuple], weights: np.ndarray, intercept: float) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text") -> tuple[list[tuple], np.ndarray, float]:
-    """Rules from the labelled documents, about ``rows`` of them (by a hash of doc_id) if there are more. Labels other than 0 and 1 are left out; of a doc_id with several labels the largest counts, of one with several texts the first in order."""
+    """Rules from the labelled documents, about ``rows`` of them (by a hash of doc_id) if there are more. Labels other than 0 and 1 are left out; of a doc_id with several labels the largest counts, of one with several texts the one with the least hash."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).select(F.col("doc_id").alias("k"), "quality")
-    known = some_rows(known, rows, "k")
-    both = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k"), F.col(text_col).alias("t")).join(known, "k").groupBy("k", "quality").agg(F.min("t").alias("t"))
-    got = with_features(both.select(F.struct("k", "quality").alias("d"), "t")).select("d.k", "d.quality", *FEATURES).toPandas().sort_values("k")
+    known = F.broadcast(some_rows(known, rows, "k"))  # about ``rows`` rows at most
+    both = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k"), F.col(text_col).alias("t")).join(known, "k")
+    # statistics are taken where the texts are; only numbers move
+    stats = with_features(both.select(F.struct("k", "quality", F.xxhash64("t").alias("h")).alias("d"), "t"))
+    one = stats.groupBy("d.k", "d.quality").agg(F.min_by(F.struct(*FEATURES), "d.h").alias("x"))
+    got = one.select("k", "quality", "x.*").toPandas().sort_values("k")
     return fit_rules(got[list(FEATURES)].to_numpy(float), got["quality"].to_numpy(float))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import struct
@@ -328,26 +329,30 @@ def test_pii_gradient():
             assert abs((up - down) / 2e-2 - g[k][i]) < 0.05 * abs(g[k][i]) + 1e-2
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_pii_learns(spark):
-    """Recall and precision of made-up spans that training hasn't seen, by kind, in texts that it hasn't seen."""
-    r, rng = random.Random(15), np.random.default_rng(77)
-    prose = [" ".join(r.choice("the of and street house at noon dot river schön 12 1987 3.5 years wrote to them, number garden window paper letter train under over quiet green before after table chair music summer winter road bridge light water stone".split()) for _ in range(120)) for _ in range(260)]
-    model = pii.train(prose[:200])
-    texts, gold = [], []
+    """Recall and precision of made-up spans that training hasn't seen, by kind, in documents that it hasn't seen."""
+    rng = np.random.default_rng(99)
+    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text <> ''").select("text").orderBy("doc_id").collect()]
+    model = pii.train([t[:2000] for t in prose[:400]])
+    test, texts, gold = prose[500:], [], []
     for kind in pii.KINDS:
-        for _ in range(100):
-            t, s = prose[200 + r.randrange(60)], pii.made_up(rng, kind)
-            cut = t.find(" ", r.randrange(400)) + 1
-            texts.append(t[:cut] + s + " " + t[cut:])
-            gold.append((kind, cut, cut + len(s)))
-    near = [t[:50] + " " + pii.near_miss(rng) + " " + t[50:] for t in prose[200:]]
-    found = pii.all_spans(model, texts)
+        for _ in range(200):
+            t = test[rng.integers(0, len(test))]
+            at = int(rng.integers(0, max(1, len(t) - 400)))
+            t, s = t[at : at + 400], pii.made_up(rng, kind)
+            cut = max(0, t.find(" ", int(rng.integers(0, max(1, len(t) - 50)))))
+            texts.append(f"{t[:cut]} {s} {t[cut:]}")
+            gold.append((kind, cut + 1, cut + 1 + len(s)))
+    near = [f"{t[:200]} {pii.near_miss(rng)} {t[200:400]}" for t in test[:400]]
+    found, other = pii.all_spans(model, texts), pii.all_spans(model, near)
     meets = lambda s, g: s[0] == g[0] and s[1] < g[2] and g[1] < s[2]
     for kind in pii.KINDS:
         own = [k for k, g in enumerate(gold) if g[0] == kind]
         assert sum(any(meets(s, gold[k]) for s in found[k]) for k in own) >= 0.9 * len(own), kind
-        said = [(s, gold[k]) for k in range(len(texts)) for s in found[k] if s[0] == kind]
-        wrong = sum(s[0] == kind for x in pii.all_spans(model, near) for s in x)
+        # of what the network adds to the base spans of texts
+        said = [(s, g) for t, x, g in zip(texts, found, gold) for s in x if s[0] == kind and (meets(s, g) or s not in pii.base_spans(t))]
+        wrong = sum(s[0] == kind and s not in pii.base_spans(t) for t, x in zip(near, other) for s in x)
         assert sum(meets(s, g) for s, g in said) >= 0.9 * (len(said) + wrong), kind
 
 

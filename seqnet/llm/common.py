@@ -41,6 +41,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def some_rows(df: DataFrame, rows: int, *columns: str, total: int | None = None) -> DataFrame:
     """df if it has ``rows`` rows or fewer, else a sample by a 63-bit hash of the columns: about ``rows`` rows whatever the table's size. Rows that agree in the columns count once, so that no group of copies is taken whole."""
     total = df.count() if total is None else total

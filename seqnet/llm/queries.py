@@ -1,6 +1,6 @@
 """The corpus operators' queries and, where SQL can express them on whole tables, their SQL."""
 
-from . import bpe, centroids, decontaminate, langid, line_dedup, ngram_join, pii, quality_model, quality_rules, secrets, sharding, variants
+from . import bpe, centroids, decontaminate, langid, line_dedup, ngram_join, pii, quality_model, quality_rules, secrets, sharding, substring_dedup, variants
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,7 +14,8 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_quality_classifier": quality_model.op10_quality_classifier,
     "op11_variants": variants.op11_variants,
+    "op12_substring_dedup": substring_dedup.op12_substring_dedup,
     "op13_centroids": centroids.op13_centroids,
 }
 
-SQL = {"op1_line_dedup": line_dedup.SQL, "op2_decontaminate": decontaminate.SQL, "op9_quality_rules": quality_rules.SQL, "op11_variants": variants.SQL, "op13_centroids": centroids.SQL}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op2_decontaminate": decontaminate.SQL, "op9_quality_rules": quality_rules.SQL, "op11_variants": variants.SQL, "op12_substring_dedup": substring_dedup.SQL, "op13_centroids": centroids.SQL}

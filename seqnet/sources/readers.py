@@ -1,54 +1,73 @@
-"""Readers and writers of sequence, matrix and structure files; each is a scan of text lines."""
+"""Readers and writers of sequence, matrix and structure files. Sequence, cluster and matrix files are read in splits, however large a file is; structure files, which are small, are a row each. ``file`` is a file's name; partition columns of the folder stay."""
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqnet.functions.residues import ALPHABET, cluster_name, mask_unknown, three_to_one
+from seqnet.sources import splits
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """Files as (file, line_no, value), lines numbered in each file. A file is one row first, so files are read in parallel."""
+    """Files as (file, line_no, value), lines numbered in each file; a file is one row first. For structure files."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
+def _without_place(rows: DataFrame) -> DataFrame:
+    return rows.drop("path", "split", "at")
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq_id (0, 1, ... in each file), name, seq; a sequence's lines are joined, blank lines are skipped."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    parts = whole.select("file", F.posexplode(F.filter(F.split("value", r"(?m)^>"), lambda x: F.trim(x) != "")).alias("seq_id", "part"))
-    return parts.select("file", "seq_id", F.trim(F.regexp_extract("part", r"^([^\r\n]*)", 1)).alias("name"), F.regexp_replace(F.regexp_replace("part", r"^[^\r\n]*", ""), r"\s", "").alias("seq")).where("seq <> ''")
+    """file, seq_id (0, 1, ... in each file), name, seq; a sequence's lines are joined, blank lines and headers without a sequence are skipped. A file is cut at records."""
+    found = _fasta(spark, path)
+    return _without_place(splits.numbered(found, "seq_id").withColumn("seq_id", F.col("seq_id").cast("int")))
+
+
+def _fasta(spark: SparkSession, path: str) -> DataFrame:
+    rows = splits.records(spark, path).where("marked")
+    name, seq = F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)), F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
+    return rows.withColumn("name", name).withColumn("seq", seq).drop("value", "marked").where("seq <> ''")
+
+
+def _sequence_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are sequences, with their places."""
+    rows = splits.lines(spark, path)
+    return rows.where(~F.startswith("value", F.lit(">")) & (F.length(F.trim("value")) > 0)).withColumn("seq", F.trim(F.translate("value", "\r", ""))).drop("value")
 
 
 def alignment_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One sequence a line, header lines and blank lines skipped: file, line_no, seq."""
-    return _records(spark, path).where(~F.startswith("value", F.lit(">")) & (F.length(F.trim("value")) > 0)).select("file", "line_no", F.trim("value").alias("seq"))
+    """One sequence a line, header lines and blank lines skipped: file, line_no (of all lines, from 0), seq."""
+    rows = splits.numbered(splits.lines(spark, path), "line_no").withColumn("line_no", F.col("line_no").cast("int"))
+    return _without_place(rows.where(~F.startswith("value", F.lit(">")) & (F.length(F.trim("value")) > 0)).withColumn("seq", F.trim(F.translate("value", "\r", ""))).drop("value"))
 
 
 def named_sequences(spark: SparkSession, path: str) -> DataFrame:
     """file, name (seq-<digits> of the header), seq: of each name the last sequence line under it."""
-    rows = _records(spark, path).where(F.length(F.trim("value")) > 0)
-    w = Window.partitionBy("file").orderBy("line_no")
-    head = F.when(F.startswith("value", F.lit(">")), F.col("value"))
-    under = rows.withColumn("head", F.last(head, ignorenulls=True).over(w)).where(~F.startswith("value", F.lit(">")))
-    return under.select("file", cluster_name(F.col("head")).alias("name"), "line_no", F.trim("value").alias("seq")).where("name is not null").groupBy("file", "name").agg(F.max_by("seq", "line_no").alias("seq"))
+    rows = splits.records(spark, path).where("marked")
+    name, body = cluster_name(F.regexp_extract("value", r"^([^\r\n]*)", 1)), F.filter(F.split(F.regexp_replace(F.translate("value", "\r", ""), r"^[^\n]*", ""), r"\n"), lambda x: F.trim(x) != "")
+    last = rows.select("path", "file", name.alias("name"), splits.place().alias("p"), F.trim(F.element_at(body, -1)).alias("seq")).where("name is not null and seq is not null")
+    return last.groupBy("path", "file", "name").agg(F.max_by("seq", "p").alias("seq")).drop("path")
 
 
 def first_sequence(spark: SparkSession, path: str) -> DataFrame:
-    return alignment_lines(spark, path).groupBy("file").agg(F.min_by("seq", "line_no").alias("seq"))
+    """file, seq: each file's first sequence line."""
+    return _sequence_lines(spark, path).groupBy("path", "file").agg(F.min_by("seq", splits.place()).alias("seq")).drop("path")
 
 
 def single_sequence(spark: SparkSession, path: str) -> DataFrame:
     """As fasta(), for files of exactly one record; fails otherwise."""
-    n = F.count("*").over(Window.partitionBy("file"))
-    return fasta(spark, path).withColumn("seq", F.when(n == 1, F.col("seq")).otherwise(F.raise_error(F.lit("more than one record"))))
+    found = _fasta(spark, path)
+    one = found.groupBy("path", "file").agg(F.count("*").alias("n"), F.first("name").alias("name"), F.first("seq").alias("seq"))
+    return one.select("file", F.lit(0).alias("seq_id"), "name", F.when(F.col("n") == 1, F.col("seq")).otherwise(F.raise_error(F.lit("more than one record"))).alias("seq"))
 
 
 def a2m(spark: SparkSession, path: str) -> DataFrame:
-    """One aligned sequence a line, all of a file equally long; fails otherwise."""
-    rows = alignment_lines(spark, path)
-    w = Window.partitionBy("file")
-    even = F.min(F.length("seq")).over(w) == F.max(F.length("seq")).over(w)
-    return rows.withColumn("seq", F.when(even, F.col("seq")).otherwise(F.raise_error(F.lit("sequences of unequal length"))))
+    """One aligned sequence a line, all of a file equally long; fails otherwise. Files are compared by a row each."""
+    rows = splits.numbered(splits.lines(spark, path), "line_no").withColumn("line_no", F.col("line_no").cast("int"))
+    rows = rows.where(~F.startswith("value", F.lit(">")) & (F.length(F.trim("value")) > 0)).withColumn("seq", F.trim(F.translate("value", "\r", ""))).drop("value")
+    size = _sequence_lines(spark, path).groupBy("path").agg(F.min(F.length("seq")).alias("least"), F.max(F.length("seq")).alias("most"))
+    checked = rows.join(size, "path").withColumn("seq", F.when(F.col("least") == F.col("most"), F.col("seq")).otherwise(F.raise_error(F.lit("sequences of unequal length"))))
+    return _without_place(checked.drop("least", "most"))
 
 
 def write_fasta(rows: DataFrame, path: str) -> None:
@@ -68,18 +87,24 @@ def converted(rows: DataFrame, target: str) -> DataFrame:
 
 
 def cluster_file(spark: SparkSession, path: str, name_pattern: str = r"(seq-\d+)") -> DataFrame:
-    """Cluster listings (a '>Cluster' line, then its members): file, cluster_idx, name; the last cluster included."""
-    rows = _records(spark, path)
-    at = F.sum(F.startswith("value", F.lit(">Cluster")).cast("int")).over(Window.partitionBy("file").orderBy("line_no"))
-    return rows.withColumn("cluster_idx", at - 1).select("file", "cluster_idx", F.regexp_extract("value", name_pattern, 1).alias("name")).where("name <> ''")
-
-
-def named_matrix(spark: SparkSession, path: str, marker: str, end: str = r"(?:\n\s*\n|$)") -> DataFrame:
-    """Numbers between a marker line and an end mark: file, r, c, v."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    body = F.trim(F.regexp_extract("value", rf"(?s)\Q{marker}\E[^\n]*\n(.*?){end}", 1))
-    rows = whole.select("file", F.posexplode(F.split(body, r"\s*\n\s*")).alias("r", "line"))
-    return rows.select("file", "r", F.posexplode(F.split("line", r"\s+")).alias("c", "v")).select("file", "r", "c", F.col("v").cast("double").alias("v"))
+    """Cluster listings (a '>Cluster' line, then its members): file, cluster_idx, name; the last cluster included. Clusters are counted in each split, then over splits, so a cluster may go on over several."""
+    rows = splits.counted(splits.lines(spark, path), F.startswith("value", F.lit(">Cluster")))
+    rows = splits.with_offsets(rows, "n", "clusters").where("clusters > 0")
+    return rows.select("file", (F.col("clusters") - 1).cast("int").alias("cluster_idx"), F.regexp_extract("value", name_pattern, 1).alias("name")).where("name <> ''")
+
+
+def named_matrix(spark: SparkSession, path: str, marker: str) -> DataFrame:
+    """Numbers between the first line with the marker and the first blank line after a row of them, or the end: file, r, c, v."""
+    rows = splits.lines(spark, path).select("path", "file", splits.place().alias("p"), F.trim(F.translate("value", "\t\r", " ")).alias("line"))
+    start = rows.where(F.contains("line", F.lit(marker.strip()))).groupBy("path").agg(F.min("p").alias("start"))
+    body = rows.join(start, "path").where("p > start")
+    first = body.where("line <> ''").groupBy("path").agg(F.min("p").alias("first"))
+    last = body.where("line = ''").join(first, "path").where("p > first").groupBy("path").agg(F.min("p").alias("end"))
+    body = body.where("line <> ''").join(last, "path", "left").where("end is null or p < end")
+    body = body.select("path", "file", F.col("p.split").alias("split"), F.col("p.at").alias("at"), F.col("line"))
+    ranked = body.withColumn("r", F.row_number().over(Window.partitionBy("path", "split").orderBy("at")))  # within a split
+    ranked = splits.with_offsets(ranked, "r", "r").withColumn("r", (F.col("r") - 1).cast("int"))
+    return ranked.select("file", "r", F.posexplode(F.split("line", r"\s+")).alias("c", "v")).select("file", "r", "c", F.col("v").cast("double").alias("v"))
 
 
 def atoms(spark: SparkSession, path: str) -> DataFrame:
@@ -137,7 +162,7 @@ def read_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def depth(spark: SparkSession, path: str) -> DataFrame:
-    return header_counts(_records(spark, path))
+    return header_counts(splits.lines(spark, path))
 
 
 def header_counts(lines: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Readers and writers of sequence, matrix and structure files. Sequence, cluster and matrix files are read in splits, however large a file is; structure files, which are small, are a row each. ``file`` is a file's name; partition columns of the folder stay."""
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,29 +111,88 @@ def named_matrix(spark: SparkSession, path: str, marker: str) -> DataFrame:
 
 
 def atoms(spark: SparkSession, path: str) -> DataFrame:
-    """ATOM records of the first model of PDB files: file, chain, res_no, residue (three letters), atom, x, y, z."""
-    rows = _records(spark, path)
-    models = F.sum(F.startswith("value", F.lit("ENDMDL")).cast("int")).over(Window.partitionBy("file").orderBy("line_no"))
-    rows = rows.withColumn("model", models).where("model = 0 and startswith(value, 'ATOM  ')")
+    """ATOM records of the first model of PDB files: file, chain, res_no, icode (insertion code, mostly empty), residue (three letters), atom, x, y, z."""
+    rows = splits.lines(spark, path).select("path", "file", splits.place().alias("p"), "value")
+    end = rows.where(F.startswith("value", F.lit("ENDMDL"))).groupBy("path").agg(F.min("p").alias("end"))
+    rows = rows.where(F.startswith("value", F.lit("ATOM  "))).join(end, "path", "left").where("end is null or p < end")
     at = lambda a, b: F.trim(F.substring("value", a, b - a + 1))
-    return rows.select("file", at(22, 22).alias("chain"), at(23, 26).cast("int").alias("res_no"), at(18, 20).alias("residue"), at(13, 16).alias("atom"), *[at(31 + 8 * k, 38 + 8 * k).cast("double").alias(n) for k, n in enumerate("xyz")])
+    return rows.select("file", at(22, 22).alias("chain"), at(23, 26).cast("int").alias("res_no"), at(27, 27).alias("icode"), at(18, 20).alias("residue"), at(13, 16).alias("atom"), *[at(31 + 8 * k, 38 + 8 * k).cast("double").alias(n) for k, n in enumerate("xyz")])
+
+
+#: A token of a mmCIF file: a value of several lines, a quoted one (a quote ends it only before white space), a comment, or a word.
+_CIF = re.compile(r"(?:^|(?<=\n));([^\n]*(?:\n(?!;)[^\n]*)*)\n;|'((?:[^'\n]|'(?=\S))*)'(?=\s|$)|\"((?:[^\"\n]|\"(?=\S))*)\"(?=\s|$)|(#[^\n]*)|(\S+)")
+
+
+def cif_tokens(text: str):
+    """(token, whether it was quoted) of a mmCIF text, comments left out."""
+    for m in _CIF.finditer(text):
+        block, single, double, comment, word = m.groups()
+        if comment is None:
+            yield (word, False) if word is not None else (next(x for x in (block, single, double) if x is not None), True)
+
+
+def cif_loop(text: str, category: str) -> tuple[list[str], list[list[str]]]:
+    """Names and rows of a category's loop, or the one row of its single items; no names where it isn't there. Null marks are empty texts."""
+    names, cells, single, key, loop = [], [], {}, None, False
+    inside = False
+    for token, quoted in cif_tokens(text):
+        low = token.lower()
+        special = not quoted and (low == "loop_" or low.startswith(("data_", "save_")) or token.startswith("_"))
+        if special:
+            if inside and cells:
+                break
+            key = None
+            if token.startswith("_"):
+                if low.startswith(f"{category}."):
+                    if loop:
+                        names.append(token.split(".", 1)[1])
+                        inside = True
+                    else:
+                        key = token.split(".", 1)[1]
+                elif inside:
+                    break
+                else:
+                    loop = False
+            else:
+                loop = low == "loop_"
+            continue
+        value = "" if token in (".", "?") and not quoted else token
+        if inside:
+            cells.append(value)
+        elif key is not None:
+            single[key] = value
+            key = None
+    if names:
+        return names, [cells[i : i + len(names)] for i in range(0, len(cells) - len(names) + 1, len(names))]
+    return list(single), [list(single.values())] if single else []
 
 
 def mmcif_atoms(spark: SparkSession, path: str) -> DataFrame:
-    """As atoms(), of mmCIF files: columns of the _atom_site loop by their names, first model, author's chain and numbers."""
-    rows = _records(spark, path)
-    names = rows.where(F.startswith("value", F.lit("_atom_site."))).groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.trim("value").alias("v")))), lambda x: F.substring_index(x.getField("v"), ".", -1)).alias("names"))
-    cells = rows.where(F.startswith("value", F.lit("ATOM "))).withColumn("cell", F.split(F.trim("value"), r"\s+")).join(names, "file")
-    at = lambda name: F.element_at("cell", F.array_position("names", F.lit(name)).cast("int"))
-    first = cells.groupBy("file").agg(F.min(at("pdbx_PDB_model_num").cast("int")).alias("first"))
-    out = cells.join(first, "file").where(at("pdbx_PDB_model_num").cast("int") == F.col("first"))
-    return out.select("file", at("auth_asym_id").alias("chain"), at("auth_seq_id").cast("int").alias("res_no"), at("label_comp_id").alias("residue"), F.replace(at("label_atom_id"), F.lit('"'), F.lit("")).alias("atom"), *[at(f"Cartn_{c}").cast("double").alias(c) for c in "xyz"])
+    """As atoms(), of mmCIF files: the _atom_site category by the names of its columns, with quoted values and those of several lines; first model, author's chain, numbers and insertion codes. A structure's file is a row."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    kinds = {"file": pa.string(), "chain": pa.string(), "res_no": pa.int32(), "icode": pa.string(), "residue": pa.string(), "atom": pa.string(), "x": pa.float64(), "y": pa.float64(), "z": pa.float64()}
+
+    def each(batches):
+        for b in batches:
+            for file, text in zip(b.column("file").to_pylist(), b.column("value")):
+                names, rows = cif_loop(text.as_py().replace("\r\n", "\n"), "_atom_site")
+                at = {n: i for i, n in enumerate(names)}
+                get = lambda r, n: r[at[n]] if n in at else ""
+                rows = [r for r in rows if get(r, "group_PDB") == "ATOM"]
+                first = min((int(get(r, "pdbx_PDB_model_num") or 1) for r in rows), default=1)
+                rows = [r for r in rows if int(get(r, "pdbx_PDB_model_num") or 1) == first]
+                number = lambda v: float(v) if v else None
+                out = [[file] * len(rows), [get(r, "auth_asym_id") for r in rows], [int(get(r, "auth_seq_id")) for r in rows], [get(r, "pdbx_PDB_ins_code") for r in rows], [get(r, "label_comp_id") for r in rows], [get(r, "label_atom_id") for r in rows], *[[number(get(r, f"Cartn_{c}")) for r in rows] for c in "xyz"]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds.values())], list(kinds))
+
+    return whole.mapInArrow(each, "file string, chain string, res_no int, icode string, residue string, atom string, x double, y double, z double")
 
 
 def chain_sequences(atoms_: DataFrame) -> DataFrame:
-    """file, chain, seq: the 20 standard residues of each chain in order of their numbers."""
-    res = atoms_.select("file", "chain", "res_no", three_to_one(F.col("residue")).alias("letter")).where("letter is not null").distinct()
-    return res.groupBy("file", "chain").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("res_no", "letter"))), lambda x: x.getField("letter")), "").alias("seq"))
+    """file, chain, seq: the 20 standard residues of each chain in order of their numbers, then of their insertion codes."""
+    icode = F.col("icode") if "icode" in atoms_.columns else F.lit("")
+    res = atoms_.select("file", "chain", "res_no", icode.alias("icode"), three_to_one(F.col("residue")).alias("letter")).where("letter is not null").distinct()
+    return res.groupBy("file", "chain").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("res_no", "icode", "letter"))), lambda x: x.getField("letter")), "").alias("seq"))
 
 
 def one_chain(atoms_: DataFrame, chain: str) -> DataFrame:

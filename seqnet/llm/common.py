@@ -41,6 +41,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_kinds(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """df's rows of kind 0 and of kind 1, staged in folders of their own."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/seqnet-{uuid.uuid4().hex}/{name}"
+    df.write.partitionBy("kind").parquet(path)
+    schema = df.drop("kind").schema
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/kind=0")  # either may have no rows
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/kind=1")
+    return spark.read.schema(schema).parquet(f"{path}/kind=0"), spark.read.schema(schema).parquet(f"{path}/kind=1")
+
+
 def drop_stage(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

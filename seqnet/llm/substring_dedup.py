@@ -2,7 +2,7 @@
 
 1. Each text is measured: its number of words, a digest of its words, and anchors. An anchor is the least-hashed gram of a window, so equal windows have equal anchors; only anchors that occur twice are looked at from here on. Of texts with the same words only the first goes on, the others are repeats as a whole.
 2. Windows with a recurring anchor are hashed, once for each block of documents, and confirmed: those that occur twice have a first place, given by the number of words before it in the corpus. Windows that come first side by side make up the recurring passages, cut from their documents.
-3. Each block of documents gets the passages whose windows it holds, compiles an Aho-Corasick automaton over their tiles (stretches of words, one of which every window holds), and streams its documents through it. A tile's occurrence is carried on to both sides, word by word, so hashes decide
+3. Each block of documents gets the passages whose windows it holds, compiles an Aho-Corasick automaton over their tiles (stretches of words, one of which every window holds), and streams its stretches of such windows through it. A tile's occurrence is carried on to both sides, word by word, so hashes decide
    only which passages a block is given, never what is removed. A passage that all blocks hold is sent once to each block, not to each document.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, pieces, row_key, stage
+from .common import documents, drop_stage, pieces, row_key, stage, stage_kinds
 from .ngram_join import _BLANK, _grown, _mix
 
 WINDOW = 20
@@ -144,7 +144,7 @@ def _bytes(column) -> list[bytes]:
 
 
 def measured(docs: DataFrame, carry: list[str], window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """d, k, g, n_words, sha (of the words), anchors (hashes of 63 bits, doubled, plus 1 where one occurs again in the document)."""
+    """Rows of kind 0, one for each document: d, k, g, n_words, sha (of the words), s (64 bits of sha); and of kind 1, one for each distinct anchor of a document: a (a hash of 63 bits), again (whether it occurs again in the document), s."""
 
     def each(batches):
         for whole in batches:
@@ -154,116 +154,188 @@ def measured(docs: DataFrame, carry: list[str], window: int, gram: int, id_col:
                 value, place = anchors(h, window, gram)
                 inner = own[: len(value)] == own[window - 1 :] if len(value) else np.empty(0, bool)
                 place, at = np.unique(place[inner], return_index=True)
-                value, doc = value[inner][at] & ~np.uint64(1), own[place] if len(place) else place
+                value, doc = value[inner][at] >> np.uint64(1), own[place] if len(place) else place
                 by = np.lexsort((value, doc))
                 value, doc = value[by], doc[by]
                 new = np.ones(len(value), bool)
                 new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
                 again = np.diff(np.append(np.flatnonzero(new), len(value))) > 1
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(texts)))]).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(ends), pa.array((value[new] | again.astype(np.uint64)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), b.column("g"), pa.array(n, pa.int64()), pa.array([joined_sha(t) for t in texts], pa.binary()), found], ["d", "k", "g", "n_words", "sha", "anchors"])
+                shas = [joined_sha(t) for t in texts]
+                s, m, w = np.array([int.from_bytes(x[:8], "little", signed=True) for x in shas], np.int64), len(texts), int(new.sum())
+                d = b.column("d")
+                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), d, b.column("k"), b.column("g"), pa.array(n, pa.int64()), pa.array(shas, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(s)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([1] * w, pa.int32()), pa.nulls(w, d.type), pa.nulls(w, pa.int64()), pa.nulls(w, pa.int64()), pa.nulls(w, pa.int64()), pa.nulls(w, pa.binary()), pa.array(value[new].view(np.int64)), pa.array(again), pa.array(s[doc[new]])], names)
 
+    names = ["kind", "d", "k", "g", "n_words", "sha", "a", "again", "s"]
     rows = docs.select(F.struct(*carry).alias("d"), F.col(text_col).alias("t"), *row_key(id_col, text_col))
-    return rows.mapInArrow(each, f"d {rows.schema['d'].dataType.simpleString()}, k bigint, g bigint, n_words bigint, sha binary, anchors array<bigint>")
+    return rows.mapInArrow(each, f"kind int, d {rows.schema['d'].dataType.simpleString()}, k bigint, g bigint, n_words bigint, sha binary, a bigint, again boolean, s bigint")
 
 
 def firsts(rows: DataFrame, window: int) -> DataFrame:
-    """k, g, ``at`` of the first document of each sequence of words with a window: at is the number of words before it, in the order of k and g, of such documents."""
-    first = rows.where(F.col("n_words") >= window).groupBy("sha").agg(F.min(F.struct("k", "g", "n_words")).alias("f")).select("f.*")
+    """k, g, ``at``, n_words, s of the first document of each sequence of words with a window: at is the number of words before it, in the order of k and g, of such documents."""
+    first = rows.where(F.col("n_words") >= window).groupBy("sha").agg(F.min(F.struct("k", "g", "n_words", "s")).alias("f")).select("f.*")
     ranges = stage(first.repartitionByRange("k", "g").withColumn("part", F.spark_partition_id()), "first-ranges")
     sizes = ranges.groupBy("part").agg(F.sum("n_words").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each range
     own = F.sum("n_words").over(Window.partitionBy("part").orderBy("k", "g")) - F.col("n_words")
-    return ranges.withColumn("own", own).join(F.broadcast(before), "part").select("k", "g", (F.col("own") + F.col("before")).alias("at"), "n_words")
+    return ranges.withColumn("own", own).join(F.broadcast(before), "part").select("k", "g", (F.col("own") + F.col("before")).alias("at"), "n_words", "s")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """Bits of the column ``key``, 16 MB however many there are; the more, the more rows pass that needn't."""
-    bit = F.explode(F.array(*[F.xxhash64("key", F.lit(i)).bitwiseAND((1 << BITS) - 1) for i in range(MARKS)])).alias("bit")
-    bits = keys.select(bit).selectExpr("cast(bit div 64 as int) as i", "shiftleft(1L, cast(bit % 64 as int)) as v").groupBy("i").agg(F.bit_or("v").alias("v")).toPandas()
+    bits = keys.select(F.explode(F.array(*_marks(F.col("key")))).alias("bit")).selectExpr("cast(bit div 64 as int) as i", "shiftleft(1L, cast(bit % 64 as int)) as v").groupBy("i").agg(F.bit_or("v").alias("v")).toPandas()
     out = np.zeros(1 << (BITS - 6), np.int64)
     out[bits["i"].to_numpy()] = bits["v"].to_numpy()
     return out.view(np.uint64)
 
 
-def _looked_at(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs (block, k, g, t) whose k and g may be among the keys; most repeats of a row go."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(keys.select(F.xxhash64("k", "g").alias("key"))))
-    marked = docs.select("*", F.array(*[F.xxhash64(F.xxhash64("k", "g"), F.lit(i)).bitwiseAND((1 << BITS) - 1) for i in range(MARKS)]).alias("bits"))
+def _marks(key) -> list:
+    """Numbers of the bits of a key."""
+    return [F.xxhash64(key, F.lit(i)).bitwiseAND((1 << BITS) - 1) for i in range(MARKS)]
+
+
+def _known(bitmap: np.ndarray, column) -> np.ndarray:
+    bit = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, MARKS)
+    return ((bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+
+
+def among(rows: DataFrame, key, keys: DataFrame, once: list[str] = ()) -> DataFrame:
+    """rows whose key may be in the column ``key`` of keys, so that the others aren't shuffled. Of rows that agree in the columns ``once``, most repeats go too."""
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(keys))
 
     def each(batches):
         bitmap, seen = shared.value, set()
         for b in batches:
-            bit = b.column("bits").flatten().to_numpy(zero_copy_only=False).reshape(-1, MARKS)
-            keep = ((bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
-            for i, key in zip(np.flatnonzero(keep), zip(*[b.column(c).filter(pa.array(keep)).to_pylist() for c in ("k", "g")])):
-                keep[i] = key not in seen
-                seen.add(key)
-            if len(seen) > 200_000:
-                seen.clear()
+            keep = _known(bitmap, b.column("bits"))
+            if once:
+                for i, x in zip(np.flatnonzero(keep), zip(*[b.column(c).filter(pa.array(keep)).to_pylist() for c in once])):
+                    keep[i] = x not in seen
+                    seen.add(x)
+                if len(seen) > 200_000:
+                    seen.clear()
             yield b.drop_columns(["bits"]).filter(pa.array(keep))
 
-    return marked.mapInArrow(each, "block int, k bigint, g bigint, t string")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.withColumn("bits", F.array(*_marks(key))).mapInArrow(each, kind)
 
 
-OCCURRENCES = "block int, k bigint, g bigint, at bigint, t string, h bigint, h2 bigint, gp bigint, again boolean"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("k", pa.int64()), ("g", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("t", pa.string()), ("h", pa.int64()), ("h2", pa.int32()), ("gp", pa.int64()), ("again", pa.bool_())])
+OCCURRENCES = "kind int, block int, k bigint, g bigint, at bigint, start bigint, t string, h bigint, h2 int, gp bigint, again boolean"
 
 
 def _occurrences(window: int, gram: int):
-    """For cogroups of a block's texts and its documents with recurring anchors: a row for each such document with a candidate window, and one for each distinct candidate window (h, h2), with its first place in the block."""
+    """For cogroups of a block's texts and its documents with recurring anchors: rows of kind 0, one for each stretch of words in windows with such anchors (``start``: its first word's number; ``t``: its words), and of kind 1, one for each distinct such window (by its hashes h, h2), with its first place in the block."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = {(k, g): (at, a) for k, g, at, a in zip(*[right.column(c).to_pylist() for c in ("k", "g", "at", "anchors")])}
         texts = {}
         for k, g, t in zip(*[left.column(c).to_pylist() for c in ("k", "g", "t")]):
             if (k, g) in wanted:
-                texts[k, g] = t
+                texts[k, g] = t.encode("utf-8", "surrogatepass")
         keys = sorted(texts, key=lambda x: wanted[x][0])
-        raw = [texts[x].encode("utf-8", "surrogatepass") for x in keys]
+        raw = [texts[x] for x in keys]
         h, own, n = _laid(raw)
         value, _ = anchors(h, window, gram)
+        value >>= np.uint64(1)
         known = np.unique(np.array([a for x in keys for a in wanted[x][1]], np.int64)).view(np.uint64)
-        known.sort()
         inner = own[: len(value)] == own[window - 1 :] if len(value) else np.empty(0, bool)
-        value = value & ~np.uint64(1)
         inner &= known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value if len(known) else False
         at = np.flatnonzero(inner)
-        total = sums(h)
-        # hashes are rolled over words that may be a block's, so places are taken relative to them
-        h1, h2 = rolled(h, window, total), _mix(rolled(h, window, total, 0x9E3779B97F4A7C15) ^ rolled(_mix(h + np.uint64(77)), window, sums(_mix(h + np.uint64(77)))))
-        start = np.cumsum(n) - n
-        base = np.array([wanted[x][0] for x in keys], np.int64)
+        start, base = np.cumsum(n) - n, np.array([wanted[x][0] for x in keys], np.int64)
+        block = (right if right.num_rows else left).column("block")[0].as_py()
+
+        covered = np.zeros(len(h) + 1, np.int32)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + window, -1)
+        covered = np.cumsum(covered)[:-1] > 0
+        change = np.flatnonzero((covered[1:] != covered[:-1]) | (own[1:] != own[:-1])) + 1 if len(h) else np.empty(0, int)
+        low, high = np.concatenate([[0], change]).astype(int), np.concatenate([change, [len(h)]]).astype(int)
+        low, high = (low[covered[low]], high[covered[low]]) if len(h) else (low[:0], high[:0])
+        ks, gs, ats, starts, ts = [], [], [], [], []
+        for i in np.unique(own[low]) if len(low) else ():
+            mine = own[low] == i
+            for (lo, hi), t in zip(zip(low[mine] - start[i], high[mine] - start[i]), stretches(raw[i], low[mine] - start[i], high[mine] - start[i])):
+                ks.append(keys[i][0])
+                gs.append(keys[i][1])
+                ats.append(int(base[i]))
+                starts.append(int(lo))
+                ts.append(t.decode("utf-8", "surrogatepass"))
+        m = len(ks)
+        one = pa.table([pa.array(v, f.type) if v is not None else pa.nulls(m, f.type) for v, f in zip([[0] * m, [block] * m, ks, gs, ats, starts, ts, None, None, None, None], _SCHEMA)], schema=_SCHEMA)
+
         gp = base[own[at]] + at - start[own[at]] if len(at) else at
-        h1, h2 = h1[at], h2[at]
+        other = _mix(h + np.uint64(77))
+        h1, h2 = rolled(h, window, sums(h))[at], (rolled(other, window, sums(other))[at] >> np.uint64(33)).astype(np.int32)
         by = np.lexsort((gp, h2, h1))
         h1, h2, gp = h1[by], h2[by], gp[by]
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         again = np.diff(np.append(np.flatnonzero(new), len(h1))) > 1
-        docs = np.unique(own[at])
-        m, w = len(docs), int(new.sum())
-        block = (right if right.num_rows else left).column("block")[0].as_py()
-        none = pa.nulls
-        one = pa.table([pa.array([block] * m, pa.int32()), pa.array([keys[i][0] for i in docs], pa.int64()), pa.array([keys[i][1] for i in docs], pa.int64()), pa.array(base[docs]), pa.array([texts[keys[i]] for i in docs], pa.string()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.bool_())], schema=_SCHEMA)
-        two = pa.table([pa.array([block] * w, pa.int32()), none(w, pa.int64()), none(w, pa.int64()), none(w, pa.int64()), none(w, pa.string()), pa.array(h1[new].view(np.int64)), pa.array(h2[new].view(np.int64)), pa.array(gp[new]), pa.array(again)], schema=_SCHEMA)
+        w = int(new.sum())
+        two = pa.table([pa.array(v, f.type) if v is not None else pa.nulls(w, f.type) for v, f in zip([np.ones(w, np.int32), np.full(w, block, np.int32), None, None, None, None, None, h1[new].view(np.int64), h2[new], gp[new], again], _SCHEMA)], schema=_SCHEMA)
         return pa.concat_tables([one, two])
 
     return each
 
 
-_SCHEMA = pa.schema([("block", pa.int32()), ("k", pa.int64()), ("g", pa.int64()), ("at", pa.int64()), ("t", pa.string()), ("h", pa.int64()), ("h2", pa.int64()), ("gp", pa.int64()), ("again", pa.bool_())])
+def stretches(raw: bytes, lows, highs) -> Iterator[bytes]:
+    """The words of a text from lows[i] to highs[i] (ascending, disjoint), joined by blanks."""
+    n, i, held = 0, 0, []
+    for w in words(raw):
+        at = 0
+        while i < len(lows):
+            held += w[max(at, lows[i] - n) : max(0, highs[i] - n)]
+            if highs[i] - n > len(w):
+                break
+            yield b" ".join(held)
+            at, held, i = max(0, highs[i] - n), [], i + 1
+        n += len(w)
+
+
+def _confirmed(chunk: int):
+    """From windows sorted by hashes and place, those that occur again: block, c (the chunk that the window's first place is in), gp (the place, of the first one only), again."""
+
+    def each(batches):
+        key, origin, held = None, 0, None  # of the last window: its first place, and the first row as long as it is alone
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            h, h2, gp, block, again = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "h2", "gp", "block", "again"))
+            new = np.ones(n, bool)
+            new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+            new[0] = key != (h[0], h2[0])
+            starts = np.flatnonzero(new)
+            number = np.cumsum(new)  # 0: goes on with the last batch's window
+            first = np.concatenate([[origin], gp[starts]])[number]
+            alone = new & ~again
+            alone[:-1] &= new[1:]
+            last = n - 1 if alone[-1] else None
+            out = ~alone
+            parts = [(block[out], first[out] // chunk, gp[out], gp[out] == first[out], again[out])]
+            if held is not None:
+                if not new[0]:
+                    parts.insert(0, tuple(np.array([x]) for x in held))
+                held = None
+            if last is not None:
+                held = (block[last], gp[last] // chunk, gp[last], True, False)
+            key, origin = (h[-1], h2[-1]), int(first[-1])
+            bs, cs, ps, own, ag = (np.concatenate(x) for x in zip(*parts))
+            yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(cs, pa.int64()), pa.array(ps, pa.int64(), mask=~own), pa.array(ag, pa.bool_())], ["block", "c", "gp", "again"])
+
+    return each
 
 
 def _passages(window: int, chunk: int):
-    """For cogroups of a block's texts and the places gp at which windows come first: the passages (c, gp, words) they make up, cut where a chunk ends."""
+    """For cogroups of a block's stretches and the places gp at which windows come first: the passages (c, gp, words) they make up, cut where a chunk ends."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         gp = np.unique(right.column("gp").to_numpy())
         cs, gps, texts = [], [], []
         ends = np.flatnonzero((np.diff(gp) > 1) | (gp[1:] // chunk > gp[:-1] // chunk)) + 1 if len(gp) else np.empty(0, int)
         lows, highs = gp[np.concatenate([[0], ends]).astype(int)] if len(gp) else gp, gp[np.concatenate([ends, [len(gp)]]).astype(int) - 1] if len(gp) else gp
-        for at, t in zip(left.column("at").to_pylist(), left.column("t")):
+        for at, start, t in zip(left.column("at").to_pylist(), left.column("start").to_pylist(), left.column("t")):
+            at += start
             raw, n = t.as_py().encode("utf-8", "surrogatepass"), at
             i = int(np.searchsorted(lows, at))
             held: list[bytes] = []  # words from place n on that a passage may still need
@@ -334,21 +406,44 @@ class PassageAutomaton:
 
 
 def _removed(window: int):
-    """For cogroups of a block's texts and its passages: k, g, ranges and the digest of what is kept, of documents that lose words."""
+    """For cogroups of a block's stretches and its passages: k, g, lo, hi of words that go."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         found = PassageAutomaton([(gp, w.encode("utf-8", "surrogatepass").split()) for gp, w in zip(right.column("gp").to_pylist(), right.column("words").to_pylist())], window)
-        rows = []
-        for k, g, at, t in zip(*[left.column(c).to_pylist() for c in ("k", "g", "at")], left.column("t")):
-            raw = t.as_py().encode("utf-8", "surrogatepass")
-            if gone := found.later(raw, at):
-                rows.append((k, g, gone, joined_sha(raw, gone)))
-        kinds = {"k": pa.int64(), "g": pa.int64(), "ranges": pa.list_(pa.int64()), "kept": pa.binary()}
-        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+        ks, gs, los, his = [], [], [], []
+        for k, g, at, start, t in zip(*[left.column(c).to_pylist() for c in ("k", "g", "at", "start")], left.column("t")):
+            gone = found.later(t.as_py().encode("utf-8", "surrogatepass"), at + start)
+            for lo, hi in zip(gone[::2], gone[1::2]):
+                ks.append(k)
+                gs.append(g)
+                los.append(start + lo)
+                his.append(start + hi)
+        return pa.table([pa.array(v, pa.int64()) for v in (ks, gs, los, his)], names=["k", "g", "lo", "hi"])
 
     return each
 
 
+def _digests(rows: DataFrame) -> DataFrame:
+    """k, g, ranges and ``kept``, the digest of the words that stay, of rows k, g, t, gone (structs of lo and hi)."""
+
+    def each(batches):
+        for whole in batches:
+            for b in pieces(whole):
+                ranges = []
+                for gone in b.column("gone").to_pylist():
+                    own: list[int] = []
+                    for lo, hi in sorted((x["lo"], x["hi"]) for x in gone):
+                        if own and lo <= own[-1]:
+                            own[-1] = max(own[-1], hi)
+                        else:
+                            own += [lo, hi]
+                    ranges.append(own)
+                kept = [joined_sha(t, r) for t, r in zip(_bytes(b.column("t")), ranges)]
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("g"), pa.array(ranges, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["k", "g", "ranges", "kept"])
+
+    return rows.mapInArrow(each, "k bigint, g bigint, ranges array<bigint>, kept binary")
+
+
 def substring_dedup(docs: DataFrame, carry: list[str], window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, chunk: int = CHUNK) -> DataFrame:
     """Per row of docs: ``d`` (the carried columns as a struct), n_words, ranges (removed words as from, to, from, to, ...; disjoint, ascending) and kept_sha256 (of the kept words, joined by blanks).
 
@@ -356,33 +451,36 @@ def substring_dedup(docs: DataFrame, carry: list[str], window: int = WINDOW, gra
     all others; rows of one id are ordered by a hash of their texts, and rows that agree in id and text are one document and get one result. Texts are read whole, in pieces. Other columns only come with ``carry``, whatever their names. Empty table: no rows.
     """
     gram = min(gram, window)
-    rows = stage(measured(docs, carry, window, gram, id_col, text_col), "measured")
+    rows, spread = stage_kinds(measured(docs, carry, window, gram, id_col, text_col), "measured")
+    rows, spread = rows.select("d", "k", "g", "n_words", "sha", "s"), spread.select("a", "again", "s")
     first = stage(firsts(rows, window), "firsts")
     total = first.agg(F.sum("n_words")).first()[0] or 0
     blocks = max(1, total // block_words)
     block = F.pmod(F.xxhash64("k", "g"), F.lit(blocks)).cast("int").alias("block")
 
-    # documents with anchors that recur
-    spread = rows.join(first, ["k", "g"]).select(F.explode("anchors").alias("r"), "at").select(F.shiftrightunsigned("r", 1).alias("a"), "at", F.col("r").bitwiseAND(1).alias("again"))
-    twice = spread.groupBy("a").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.max("again").alias("again")).where("lo < hi or again = 1")
+    # documents with anchors that recur, in another sequence of words or in their own
+    twice = spread.groupBy("a").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("again").alias("again")).where("lo < hi or again")
     twice = stage(twice.select("a"), "recurring")
-    wanted = spread.join(twice, "a", "left_semi").groupBy("at").agg(F.collect_set(F.shiftleft("a", 1)).alias("anchors"))
-    wanted = stage(first.join(wanted, "at").select(block, "k", "g", "at", "anchors"), "wanted")
+    wanted = among(spread.select("a", "s"), F.col("a"), twice.select(F.col("a").alias("key"))).distinct().join(twice, "a", "left_semi").groupBy("s").agg(F.collect_set("a").alias("anchors"))
+    wanted = stage(first.join(wanted, "s").select(block, "k", "g", "at", "anchors"), "wanted")
+    drop_stage(spread)
 
     # windows with such anchors, once for each block, and where they come first
-    texts = _looked_at(docs.select(F.col(text_col).alias("t"), *row_key(id_col, text_col)).where("t is not null").select(block, "k", "g", "t"), wanted)
-    seen = stage(texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_occurrences(window, gram), OCCURRENCES), "occurrences")
-    left = seen.where("t is not null").select("block", "k", "g", "at", "t")
-    spots = seen.where("h is not null").select("h", "h2", "gp", "block", "again").repartition("h", "h2")
-    origin = spots.groupBy("h", "h2").agg(F.count("*").alias("n"), F.max("again").alias("any"), F.min("gp").alias("origin"), F.max("block").alias("b")).where("n > 1 or any").select("h", "h2", "origin")
-    spots = spots.join(origin.hint("merge"), ["h", "h2"])
-    spots = stage(spots.select("block", F.floor(F.col("origin") / chunk).alias("c"), F.when(F.col("gp") == F.col("origin"), F.col("gp")).alias("gp"), "again"), "confirmed")
-    passages = left.select("block", "at", "t").groupBy("block").cogroup(spots.where("gp is not null").select("block", "gp").groupBy("block")).applyInArrow(_passages(window, chunk), "c bigint, gp bigint, words string")
-    needs = spots.where("gp is null or again").select("block", "c").distinct()
+    texts = docs.select(F.col(text_col).alias("t"), *row_key(id_col, text_col)).where("t is not null").select(block, "k", "g", "t")
+    looked_at = among(texts, F.xxhash64("k", "g"), wanted.select(F.xxhash64("k", "g").alias("key")), ["k", "g"])
+    left, spots = stage_kinds(looked_at.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_occurrences(window, gram), OCCURRENCES), "occurrences")
+    left = left.select("block", "k", "g", "at", "start", "t")
+    seen = stage(spots.select("h", "h2", "gp", "block", "again").repartition("h", "h2").sortWithinPartitions("h", "h2", "gp").mapInArrow(_confirmed(chunk), "block int, c bigint, gp bigint, again boolean"), "confirmed")
+    drop_stage(spots)
+    passages = left.select("block", "at", "start", "t").groupBy("block").cogroup(seen.where("gp is not null").select("block", "gp").groupBy("block")).applyInArrow(_passages(window, chunk), "c bigint, gp bigint, words string")
+    needs = seen.where("gp is null or again").select("block", "c").distinct()
     given = needs.join(stage(passages, "passages"), "c").select("block", "gp", "words")
 
-    gone = stage(left.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_removed(window), "k bigint, g bigint, ranges array<bigint>, kept binary"), "removed")
-    out = rows.select("d", "k", "g", "n_words", "sha").join(first.select("k", "g", "at").hint("merge"), ["k", "g"], "left").join(gone.hint("merge"), ["k", "g"], "left")
+    gone = stage(left.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_removed(window), "k bigint, g bigint, lo bigint, hi bigint"), "removed")
+    gone = gone.groupBy("k", "g").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    losing = among(texts.select("k", "g", "t"), F.xxhash64("k", "g"), gone.select(F.xxhash64("k", "g").alias("key")), ["k", "g"])
+    digests = stage(_digests(losing.join(gone.hint("merge"), ["k", "g"])), "digests").dropDuplicates(["k", "g"])
+    out = rows.join(first.select("k", "g", "at").hint("merge"), ["k", "g"], "left").join(digests.hint("merge"), ["k", "g"], "left")
     copy = F.col("at").isNull() & (F.col("n_words") >= window)
     ranges = F.when(copy, F.array(F.lit(0).cast("long"), F.col("n_words"))).otherwise(F.coalesce("ranges", F.array().cast("array<bigint>")))
     kept = F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "sha"))))

@@ -182,11 +182,18 @@ def firsts(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the column ``key``, 16 MB however many there are; the more, the more rows pass that needn't."""
-    bits = keys.select(F.explode(F.array(*_marks(F.col("key")))).alias("bit")).selectExpr("cast(bit div 64 as int) as i", "shiftleft(1L, cast(bit % 64 as int)) as v").groupBy("i").agg(F.bit_or("v").alias("v")).toPandas()
-    out = np.zeros(1 << (BITS - 6), np.int64)
-    out[bits["i"].to_numpy()] = bits["v"].to_numpy()
-    return out.view(np.uint64)
+    """Bits of the column ``key``, 16 MB however many there are; the more, the more rows pass that needn't. The driver gets them in pieces of 8 kB."""
+
+    def lay(key: tuple, part: pa.Table) -> pa.Table:
+        out = np.zeros(1 << 10, np.int64)
+        out[part.column("i").to_numpy() & 1023] = part.column("v").to_numpy()
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["c", "b"])
+
+    bits = keys.select(F.explode(F.array(*_marks(F.col("key")))).alias("bit")).selectExpr("cast(bit div 64 as int) as i", "shiftleft(1L, cast(bit % 64 as int)) as v").groupBy("i").agg(F.bit_or("v").alias("v"))
+    out = np.zeros((1 << (BITS - 16), 1 << 10), np.int64)
+    for r in bits.groupBy(F.shiftright("i", 10).alias("c")).applyInArrow(lay, "c int, b binary").toLocalIterator():
+        out[r["c"]] = np.frombuffer(r["b"], np.int64)
+    return out.ravel().view(np.uint64)
 
 
 def _marks(key) -> list:

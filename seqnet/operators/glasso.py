@@ -181,13 +181,14 @@ def write_fits(fits: DataFrame, path: str, cfg: GlassoConfig) -> None:
     fits.withColumn("args", args).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("family").parquet(path)
 
 
-def chain_problem(clusters: DataFrame, lam: float, beta: float, loads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes (family, node, lam) and edges (family, src, dst, kind, coef) of the fit's graph: temporal edges between consecutive clusters, a lasso edge for each node. loads (family, node, lam), such as read from CSV, overrides lam."""
+def chain_problem(clusters: DataFrame, lam: float, beta: float, loads: DataFrame | None = None, edge_loads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (family, node, lam) and edges (family, src, dst, kind, coef) of the fit's graph: temporal edges between consecutive clusters, a lasso edge for each node. loads (family, node, lam) and edge_loads (family, src, dst, coef), such as read from CSV, override lam and beta."""
     from pyspark.sql import functions as F
 
     from seqnet.operators.cluster import chain_edges
 
     nodes = clusters.select("family", F.col("cluster_idx").alias("node")).distinct()
     nodes = nodes.withColumn("lam", F.lit(lam)) if loads is None else nodes.join(loads, ["family", "node"], "left").withColumn("lam", F.coalesce("lam", F.lit(lam)))
-    chain = chain_edges(clusters).select("family", "src", "dst", F.lit("temporal").alias("kind"), F.lit(beta).alias("coef"))
+    chain = chain_edges(clusters).select("family", "src", "dst", F.lit("temporal").alias("kind"))
+    chain = chain.withColumn("coef", F.lit(beta)) if edge_loads is None else chain.join(edge_loads.select("family", "src", "dst", "coef"), ["family", "src", "dst"], "left").select("family", "src", "dst", "kind", F.coalesce("coef", F.lit(beta)).alias("coef"))
     return nodes, chain.unionByName(nodes.select("family", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit("lasso").alias("kind"), F.col("lam").alias("coef")))

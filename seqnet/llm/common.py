@@ -61,7 +61,7 @@ def drop_stage(df: DataFrame) -> None:
 
 
 def some_rows(df: DataFrame, rows: int, *columns: str, total: int | None = None) -> DataFrame:
-    """df if it has ``rows`` rows or fewer, else a sample by a 63-bit hash of the columns: about ``rows`` rows whatever the table's size. Rows that agree in the columns count once, so that no group of copies is taken whole."""
+    """df if it has ``rows`` rows or fewer, else a sample by a 63-bit hash of the columns: about ``rows`` rows whatever the table's size, where the columns tell rows apart. Rows that agree in the columns count once, so that no group of copies is taken whole; where most agree, use distinct_sample()."""
     total = df.count() if total is None else total
     if total <= rows:
         return df
@@ -69,6 +69,16 @@ def some_rows(df: DataFrame, rows: int, *columns: str, total: int | None = None)
     return df.withColumn("sample_h", h).where(F.col("sample_h") < int((1 << 63) / total * rows)).dropDuplicates(["sample_h"]).drop("sample_h")
 
 
+def distinct_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """Of rows that are distinct in the columns, the ``rows`` of the least hashes; all where there are fewer. The share to look at comes from an estimate of the number of distinct hashes, so copies don't thin it out."""
+    h = F.shiftrightunsigned(F.xxhash64(*columns), 1)
+    marked = df.withColumn("sample_h", h)
+    n = marked.agg(F.approx_count_distinct("sample_h", 0.02)).first()[0]
+    if n > 1.2 * rows:
+        marked = marked.where(F.col("sample_h") < int((1 << 63) / n * rows * 1.2))
+    return marked.dropDuplicates(["sample_h"]).orderBy("sample_h").limit(rows).drop("sample_h")
+
+
 def pieces(batch, most: int = 4 << 20, column: str = "t"):
     """A batch in slices of about ``most`` bytes of the column's values at most; a longer value is a slice of its own."""
     import numpy as np

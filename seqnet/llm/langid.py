@@ -46,10 +46,12 @@ def _logs(c: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", lang_col: str = "lang") -> dict:
     """Model from the labelled rows of docs, about ``rows`` distinct texts of each language: languages, known words by a 64-bit hash with their log frequencies, and those of n-grams."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if any(n > rows for n in sizes.values()):
-        share = F.create_map(*[F.lit(x) for v, n in sizes.items() for x in (v, (1 << 63) - 1 if n <= rows else int((1 << 63) / n * rows))])
-        labelled = labelled.withColumn("h", F.shiftrightunsigned(F.xxhash64("lang", "t"), 1)).where(F.col("h") <= share[F.col("lang")]).dropDuplicates(["lang", "h"]).drop("h")
+    labelled = labelled.withColumn("h", F.shiftrightunsigned(F.xxhash64("lang", "t"), 1))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # of distinct texts: copies don't thin out the sample
+    if any(n > 1.1 * rows for n in sizes.values()):
+        share = F.create_map(*[F.lit(x) for v, n in sizes.items() for x in (v, (1 << 63) - 1 if n <= 1.1 * rows else int((1 << 63) / n * rows))])
+        labelled = labelled.where(F.col("h") <= share[F.col("lang")])
+    labelled = labelled.dropDuplicates(["lang", "h"]).drop("h")
 
     def count(batches):
         for whole in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, pieces, some_rows
+from .common import distinct_sample, documents, pieces
 from .secrets import FOUND
 
 KINDS = ("email", "ip", "card", "phone")
@@ -80,6 +80,8 @@ def fits(kind: str, s: str) -> bool:
     return 7 <= digits <= 15 and ("(" in s or "-" in s or " " in s) and not set(s) - set("+0123456789 ().-/")
 
 
+#: Characters that are decoded together.
+CELLS = 1 << 19
 _code = np.full(0x10000, len(SYMBOLS) + 1, np.int8)
 for _i, _c in enumerate(SYMBOLS):
     _code[ord(_c)] = _i
@@ -306,8 +308,33 @@ def _stitched(parts: list[tuple[int, np.ndarray]], first: int, length: int, whol
     return total / np.maximum(weight, 1e-9)
 
 
-def network_spans(model: Tagger, texts: list[str], most: int = 2048) -> list[list[tuple[str, int, int]]]:
-    """Spans the network finds in each text, ``most`` windows at a time."""
+def _long(model: Tagger, held: dict[int, np.ndarray], a: int, b: int, size: int, whole: int, piece: int = 1 << 10) -> np.ndarray:
+    """Tags of a long stretch, windows a to b: scores are put together for ``piece`` windows at a time, and a character keeps a byte for each tag."""
+    tr, back, best = model.p["T"], np.empty((size, TAGS), np.int8), None
+    for lo in range(a, b + 1, piece):
+        hi = min(b, lo + piece - 1)
+        first, end = lo * STRIDE, a * STRIDE + size if hi == b else (hi + 1) * STRIDE
+        reach = (SPAN - 1) // STRIDE
+        near = [(f * STRIDE, held[f]) for f in range(max(a, lo - reach), min(b, hi + reach) + 1)]
+        start = near[0][0]
+        s = _stitched(near, start, min(whole, near[-1][0] + SPAN) - start, whole)[first - start : end - start]
+        for i in range(len(s)):
+            at = first - a * STRIDE + i
+            if best is None:
+                best = s[0]
+                continue
+            x = best[:, None] + tr
+            back[at] = x.argmax(0)
+            best = x.max(0) + s[i]
+    out = np.empty(size, np.int8)
+    out[-1] = best.argmax()
+    for i in range(size - 1, 0, -1):
+        out[i - 1] = back[i, out[i]]
+    return out
+
+
+def network_spans(model: Tagger, texts: list[str], most: int = 2048, cells: int = CELLS) -> list[list[tuple[str, int, int]]]:
+    """Spans the network finds in each text, ``most`` windows at a time. Stretches are decoded ``cells`` characters at a time; a longer one is decoded by itself, in pieces, and a stretch's scores go when it doesn't grow any more."""
     codes = [coded(t) if t else np.empty(0, np.int8) for t in texts]
     # a text's last window is the first that reaches its end
     last = [max(0, -(-(len(c) - SPAN) // STRIDE)) for c in codes]
@@ -316,9 +343,16 @@ def network_spans(model: Tagger, texts: list[str], most: int = 2048) -> list[lis
     held: list[dict[int, np.ndarray]] = [{} for _ in texts]
     tags: list[dict[tuple[int, int], np.ndarray]] = [{} for _ in texts]
     while True:
-        new = [(k, f) for k, own in enumerate(chosen) for f in sorted(own - held[k].keys())]
-        if not new:
+        # stretches of neighbouring windows that aren't decoded yet, those of like length together
+        due = []
+        for k, own in enumerate(chosen):
+            own = sorted(own)
+            stretches = {(own[i], own[j - 1]) for i, j in _consecutive(own)}
+            tags[k] = {x: v for x, v in tags[k].items() if x in stretches}
+            due += [(k, a, b) for a, b in stretches if (a, b) not in tags[k]]
+        if not due:
             break
+        new = [(k, f) for k, a, b in sorted(due) for f in range(a, b + 1) if f not in held[k]]
         for lo in range(0, len(new), most):
             part = new[lo : lo + most]
             x = np.full((len(part), SPAN), PAD, np.int8)
@@ -326,28 +360,31 @@ def network_spans(model: Tagger, texts: list[str], most: int = 2048) -> list[lis
                 w = codes[k][f * STRIDE : f * STRIDE + SPAN]
                 x[r, : len(w)] = w
             for (k, f), s in zip(part, model.scores(x)):
-                held[k][f] = s
-        # stretches of neighbouring windows that aren't decoded yet, those of like length together
-        due = []
-        for k, own in enumerate(chosen):
-            own = sorted(own)
-            stretches = {(own[i], own[j - 1]) for i, j in _consecutive(own)}
-            tags[k] = {x: v for x, v in tags[k].items() if x in stretches}
-            due += [(k, a, b) for a, b in stretches if (a, b) not in tags[k]]
+                held[k][f] = s.copy()  # a view would keep the whole batch
         due.sort(key=lambda x: (x[2] - x[1], x))
-        for lo in range(0, len(due), 256):
-            part = due[lo : lo + 256]
-            size = [min(len(codes[k]), b * STRIDE + SPAN) - a * STRIDE for k, a, b in part]
-            s = np.zeros((len(part), max(size), TAGS), np.float32)
-            s[:, :, 0] = 1e4  # after a stretch's end nothing but O
-            for r, (k, a, b) in enumerate(part):
-                s[r, : size[r]] = _stitched([(f * STRIDE, held[k][f]) for f in range(a, b + 1)], a * STRIDE, size[r], len(codes[k]))
-            for (k, a, b), n, g in zip(part, size, model.decode(s)):
-                tags[k][a, b] = g = g[:n]
-                if g[0] and a:
-                    chosen[k].add(a - 1)
-                if g[-1] and b < last[k]:
-                    chosen[k].add(b + 1)
+        length = lambda k, a, b: min(len(codes[k]), b * STRIDE + SPAN) - a * STRIDE
+        at = 0
+        while at < len(due):
+            end = at + 1
+            while end < len(due) and end - at < 256 and (end + 1 - at) * length(*due[end]) <= cells:
+                end += 1
+            part, at = due[at:end], end
+            size = [length(*x) for x in part]
+            if size[-1] > cells:
+                found = [_long(model, held[k], a, b, n, len(codes[k])) for (k, a, b), n in zip(part, size)]
+            else:
+                s = np.zeros((len(part), max(size), TAGS), np.float32)
+                s[:, :, 0] = 1e4  # after a stretch's end nothing but O
+                for r, (k, a, b) in enumerate(part):
+                    s[r, : size[r]] = _stitched([(f * STRIDE, held[k][f]) for f in range(a, b + 1)], a * STRIDE, size[r], len(codes[k]))
+                found = model.decode(s)
+            for (k, a, b), n, g in zip(part, size, found):
+                tags[k][a, b] = g = g[:n].copy()
+                grows = [a - 1] * bool(g[0] and a) + [b + 1] * bool(g[-1] and b < last[k])
+                chosen[k].update(grows)
+                if not grows:
+                    for f in range(a, b + 1):
+                        del held[k][f]
     out = []
     for k, t in enumerate(texts):
         spans = []
@@ -409,9 +446,9 @@ def find(docs: DataFrame, model: Tagger, carry: list[str], text_col: str = "text
 
 
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[str]:
-    """About ``rows`` distinct texts (by a hash), of each 2000 characters from anywhere in it (by the hash): what training windows are cut from."""
+    """At most ``rows`` distinct texts (by a hash), of each 2000 characters from anywhere in it (by the hash): what training windows are cut from. Fewer only if there are fewer."""
     h = F.xxhash64("t")
-    part = some_rows(docs.select(F.col(text_col).alias("t")).where("t is not null"), rows, "t")
+    part = distinct_sample(docs.select(F.col(text_col).alias("t")).where("t is not null"), rows, "t")
     part = part.select(F.substring("t", (F.pmod(h, F.greatest(F.length("t") - 1999, F.lit(1))) + 1).cast("int"), F.lit(2000)).alias("t"))
     return sorted(r["t"] for r in part.collect())
 

@@ -184,12 +184,26 @@ def test_ngram_join_of_many_texts_with_a_passage(spark, monkeypatch):
 
 
 def test_sample_of_any_table(spark):
-    from seqnet.llm.common import some_rows
+    from seqnet.llm.common import distinct_sample, some_rows
 
     docs = spark.range(100_000).selectExpr("id", "'one text' as t")
     assert 200 < some_rows(docs, 300, "id", "t").count() < 400
     assert 200 < some_rows(docs, 3 * 10**8, "id", "t", total=10**11).count() < 400  # no rounding to none
-    assert some_rows(docs.withColumn("id", docs.id * 0), 300, "id", "t", total=10**5).count() <= 1
+    for k in range(4):  # tables of copies, whatever their hash
+        copies = docs.selectExpr("id", f"concat('text ', id % {k + 1}, ' of {k}') as t")
+        assert distinct_sample(copies, 300, "t").count() == k + 1
+    assert distinct_sample(docs, 300, "id", "t").count() == 300
+    assert distinct_sample(docs.limit(0), 300, "id").count() == 0
+
+
+def test_language_samples_of_copies(spark):
+    """Languages learn all their distinct texts, however many copies there are."""
+    rows = spark.range(20_000).selectExpr("if(id % 2 = 0, 'aa', 'bb') as lang", "if(id % 2 = 0, 'einer wort', 'other worte') as text")
+    for k in range(3):
+        model = langid.train(rows.withColumn("text", F.concat("text", F.lit(f" x{'y' * k}"))), 200)
+        assert model["langs"] == ["aa", "bb"] and len(model["words"]) == 5
+    many = spark.range(100_000).selectExpr("'aa' as lang", "concat('word', translate(cast(id % 50 as string), '0123456789', 'abcdefghij')) as text")
+    assert len(langid.train(many, 60)["words"]) == 50
 
 
 def test_line_dedup(docs, empty, texts):
@@ -312,6 +326,32 @@ def test_pii_reads_whole_spans():
     assert {c for c in map(chr, range(0x110000)) if {*c.lower()} & {*"at()@ "}} == {*"aAtT()@ "}
 
 
+def test_pii_stretches_in_pieces():
+    """A stretch decoded by itself in pieces has the tags it has among others; memory follows the longest text's length, not its product with the number of stretches."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    model = pii.Tagger(pii.Tagger.start(rng))
+    model.p["T"] = rng.normal(size=(pii.TAGS, pii.TAGS)).astype(np.float32)
+    r = random.Random(6)
+    text = "".join(r.choice("0123456789 .-@") for _ in range(9000))
+    texts = [text, "a1 " * 40, "", "call 12 now " + "x" * 400 + " 7", "9" * 3000]
+    assert pii.network_spans(model, texts, cells=150) == pii.network_spans(model, texts)
+    codes = pii.coded(text)
+    windows = np.stack([codes[f * pii.STRIDE : f * pii.STRIDE + pii.SPAN] for f in range(90)])
+    held = dict(enumerate(model.scores(windows)))
+    size = 89 * pii.STRIDE + pii.SPAN
+    whole = model.decode(pii._stitched([(f * pii.STRIDE, held[f]) for f in range(90)], 0, size, 10**6)[None])[0]
+    for piece in (1, 7, 1000):
+        assert (pii._long(model, held, 0, 89, size, 10**6, piece) == whole).all()
+    big = ["".join(r.choice("0123456789 ") for _ in range(200_000))] + ["12 at 7 " * 20] * 400
+    tracemalloc.start()
+    pii.network_spans(model, big)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 350e6, peak
+
+
 def test_pii_gradient():
     rng = np.random.default_rng(0)
     m = pii.Tagger(pii.Tagger.start(rng))

@@ -431,4 +431,4 @@ def spectral_projection(spark, d):
     return matrix.each_matrix(_covs(spark, d), lambda m: [np.round(matrix.pack(matrix.project(m, 2)), 9).tolist()], "family string, cluster_idx int, theta array<double>", ["family", "cluster_idx"])
 
 
-from seqnet.plans import more  # noqa: E402, F401  (adds its queries)
+from seqnet.plans import chains, more  # noqa: E402, F401  (add their queries)

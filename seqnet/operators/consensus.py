@@ -136,6 +136,6 @@ def fit_over_tasks(cov: DataFrame, cfg: GlassoConfig, nodes: DataFrame | None =
     def shown(batches):
         for b in batches:
             z = [np.asarray(v.values).reshape(n, n) for v, n in zip(b.column("z0"), b.column("n").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("family"), b.column("cluster_idx"), b.column("lam"), pa.array([density_of(m, cfg.zero, cfg.offset) for m in z], pa.float64()), b.column("converged"), b.column("iterations"), b.column("n"), _lists([pack(m) for m in z])], ["family", "cluster_idx", "lam", "density", "converged", "iterations", "n", "theta"])
+            yield pa.RecordBatch.from_arrays([b.column("family"), b.column("cluster_idx"), b.column("lam"), pa.array([density_of(m, cfg.zero, cfg.offset or 1) for m in z], pa.float64()), b.column("converged"), b.column("iterations"), b.column("n"), _lists([pack(m) for m in z])], ["family", "cluster_idx", "lam", "density", "converged", "iterations", "n", "theta"])
 
     return out.mapInArrow(shown, "family string, cluster_idx int, lam double, density double, converged boolean, iterations int, n int, theta array<double>")

@@ -1,6 +1,6 @@
 """Time-varying graphical lasso: K sparse precision matrices along a chain, fitted by ADMM; one family's problem is one task."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ class GlassoConfig:
     zero: float = 1e-3
     beta_ratio: float = 0.0
     seed: int = 0
-    offset: int = 1  # the off-diagonal from which densities count; 63 for letters: positions 3 apart or more
+    offset: int | None = None  # the off-diagonal from which densities count; where there is none, 1, and in fit_families 63: letters at positions 3 apart or more
     target_shift: float = 0.0
     selected: tuple[int, ...] | None = None  # models whose densities must meet the target; all where there are none
     single: bool = False  # one lambda for all models
@@ -83,16 +83,76 @@ def density_of(m: np.ndarray, zero: float = 1e-3, offset: int = 1) -> float:
     return float((np.abs(m[np.triu_indices(len(m), offset)]) >= zero).mean()) if len(m) > offset else 0.0
 
 
-def inverse_lambda(dens: list[float], lams: list[float], target: float, noise: float = 1e-2) -> float:
-    """Ridge fit of log lambda on density (a Gaussian process with a linear kernel), read at the target."""
-    d, l = np.array(dens), np.log(np.array(lams))
-    a = np.column_stack([np.ones_like(d), d - target])
-    coef = np.linalg.solve(a.T @ a + noise * np.diag([1e-6, d.var() + 1e-9]), a.T @ l)
-    return float(np.clip(np.exp(coef[0]), 1e-7, 10))
+#: Bounds of the kernel's scale, its constant's root and its noise.
+BOUNDS = ((1e-9, 1e9), (1e-7, 1e7), (1e-9, 1e9))
+
+
+def evidence(logs: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
+    """Log marginal likelihood, summed over the columns of y, of Gaussian processes with the kernel scale * (root^2 + x x') + noise on equal points."""
+    scale, root, noise = np.exp(logs)
+    k = scale * (root**2 + x @ x.T) + (noise + 1e-10) * np.eye(len(x))
+    try:
+        low = np.linalg.cholesky(k)
+    except np.linalg.LinAlgError:
+        return -np.inf
+    z = np.linalg.solve(low, y)
+    return float(-0.5 * (z * z).sum() - y.shape[1] * (np.log(np.diag(low)).sum() + 0.5 * len(x) * np.log(2 * np.pi)))
+
+
+def fitted_kernel(x: np.ndarray, y: np.ndarray, rng, starts: int = 5, rounds: int = 250) -> np.ndarray:
+    """Logs of the kernel's scale, root and noise of the largest evidence: simplex searches from ones and from ``starts`` random places within the bounds."""
+    lo, hi = np.log(np.array(BOUNDS)).T
+    value = lambda p: -evidence(np.clip(p, lo, hi), x, y)
+    best = None
+    for start in [np.zeros(3), *rng.uniform(lo, hi, (starts, 3))]:
+        points = np.clip(np.array([start, *(start + np.eye(3) * np.where(start > 0, -2.0, 2.0))]), lo, hi)
+        f = np.array([value(p) for p in points])
+        for _ in range(rounds):
+            by = np.argsort(f)
+            points, f = points[by], f[by]
+            if np.isfinite(f).all() and f[-1] - f[0] < 1e-9 and np.abs(points - points[0]).max() < 1e-5:
+                break
+            mid = points[:-1].mean(0)
+            try_at = lambda t: np.clip(mid + t * (points[-1] - mid), lo, hi)
+            p = try_at(-1.0)
+            v = value(p)
+            if v < f[0]:
+                q = try_at(-2.0)
+                w = value(q)
+                points[-1], f[-1] = (q, w) if w < v else (p, v)
+            elif v < f[-2]:
+                points[-1], f[-1] = p, v
+            else:
+                q = try_at(-0.5 if v < f[-1] else 0.5)
+                w = value(q)
+                if w < min(v, f[-1]):
+                    points[-1], f[-1] = q, w
+                else:
+                    points[1:] = points[0] + 0.5 * (points[1:] - points[0])
+                    f[1:] = [value(p) for p in points[1:]]
+        i = int(np.argmin(f))
+        if best is None or f[i] < best[0]:
+            best = (f[i], np.clip(points[i], lo, hi))
+    if not np.isfinite(best[0]):
+        raise np.linalg.LinAlgError("no kernel fits")
+    return best[1]
+
+
+def inverse_lambda(dens, lams, target: float, rng) -> np.ndarray:
+    """The lambdas (1e-7 to 10) that a Gaussian process on densities, its kernel fitted to the trials (rows; a column for each model), expects where all models have the target density. Both sides are scaled by their means."""
+    x, y = np.atleast_2d(np.array(dens, float)), np.atleast_2d(np.array(lams, float))
+    mx, my = x.mean(), y.mean()
+    if mx <= 0 or my <= 0:
+        raise np.linalg.LinAlgError("nothing to scale by")
+    x, y = x / mx, y / my
+    scale, root, noise = np.exp(fitted_kernel(x, y, rng))
+    k = scale * (root**2 + x @ x.T) + (noise + 1e-10) * np.eye(len(x))
+    at = np.full(x.shape[1], target / mx)
+    return np.clip(scale * (root**2 + at @ x.T) @ np.linalg.solve(k, y) * my, 1e-7, 10)
 
 
 def search(s: list[np.ndarray], cfg: GlassoConfig, weights=None) -> dict:
-    """Searches each model's lambda for the target density (shifted by target_shift): random steps first and on even trials, the fitted inverse on odd ones (a random step of up to 15 % where it can't be fitted); best lambda solved again at the end. Trials start from the last fit."""
+    """Searches each model's lambda for the target density (shifted by target_shift): random steps first and on even trials, the fitted inverse over all models on odd ones (a random step of up to 15 % where it can't be fitted); best lambda solved again at the end. Trials start from the last fit."""
     rng, k = np.random.default_rng(cfg.seed), len(s)
     lam, seen, best, state = expand(cfg.lam, k), [], None, None
     target, chosen = cfg.target_density + cfg.target_shift, [i for i in cfg.selected or range(k) if i < k]
@@ -100,27 +160,28 @@ def search(s: list[np.ndarray], cfg: GlassoConfig, weights=None) -> dict:
         beta = [lam[0] * cfg.beta_ratio] * (k - 1) if cfg.beta_ratio > 0 else expand(cfg.beta, k - 1) if k > 1 else []
         fit = solve(s, lam, beta, cfg.penalty, weights, cfg.max_iters, cfg.rho, cfg.eps_abs, cfg.eps_rel, state)
         state = fit["state"]
-        dens = [density_of(t, cfg.zero, cfg.offset) for t in fit["theta"]]
+        dens = [density_of(t, cfg.zero, cfg.offset or 1) for t in fit["theta"]]
         seen.append((dens, list(lam)))
         gap = max(abs(dens[i] - target) for i in chosen)
         if best is None or gap < best[0]:
             best = (gap, list(lam), list(beta))
         if gap <= cfg.density_tol:
             break
-        for i in range(k):
-            err = (dens[i] - target) / target
-            if trial >= 2 and trial % 2:
-                try:
-                    lam[i] = inverse_lambda([d[i] for d, _ in seen], [l[i] for _, l in seen], target)
-                except np.linalg.LinAlgError:
-                    lam[i] = float(np.clip(lam[i] * rng.uniform(0.85, 1.15), 1e-7, 10))
-            else:
+        if trial >= 2 and trial % 2:
+            own = [0] if cfg.single else range(k)
+            try:
+                lam = (inverse_lambda([[d[i] for i in own] for d, _ in seen], [[v[i] for i in own] for _, v in seen], target, rng) * np.ones(k)).tolist()
+            except np.linalg.LinAlgError:
+                lam = np.clip(np.array(lam) * rng.uniform(0.85, 1.15, k), 1e-7, 10).tolist()
+        else:
+            for i in range(k):
+                err = (dens[i] - target) / target
                 step = rng.uniform(1, 1 + min(4, abs(err)))
                 lam[i] = float(np.clip(lam[i] * step if err > 0 else lam[i] / step, 1e-7, 10))
         if cfg.single:
             lam = [float(np.exp(np.mean(np.log(lam))))] * k
     out = solve(s, best[1], best[2], cfg.penalty, weights, cfg.final_iters, cfg.rho, cfg.eps_abs, cfg.eps_rel)
-    return out | {"lam": best[1], "beta": best[2], "density": [density_of(t, cfg.zero, cfg.offset) for t in out["theta"]], "trials": len(seen)}
+    return out | {"lam": best[1], "beta": best[2], "density": [density_of(t, cfg.zero, cfg.offset or 1) for t in out["theta"]], "trials": len(seen)}
 
 
 FIT = "family string, cluster_idx int, lam double, density double, converged boolean, iterations int, n int, theta array<double>"
@@ -137,7 +198,7 @@ def fit_time_varying_glasso(cov: DataFrame, cfg: GlassoConfig, searching: bool =
         w = list(w / w.min())
         got = search(s, cfg, w) if searching else solve(s, cfg.lam, cfg.beta, cfg.penalty, w, cfg.max_iters, cfg.rho, cfg.eps_abs, cfg.eps_rel)
         lam = got.get("lam", expand(cfg.lam, len(s)))
-        return pd.DataFrame({"family": pdf["family"].astype(str), "cluster_idx": pdf["cluster_idx"].astype("int32"), "lam": lam, "density": [density_of(t, cfg.zero, cfg.offset) for t in got["theta"]], "converged": got["converged"], "iterations": np.int32(got["iterations"]), "n": np.int32(len(s[0])), "theta": [pack(t) for t in got["theta"]]})
+        return pd.DataFrame({"family": pdf["family"].astype(str), "cluster_idx": pdf["cluster_idx"].astype("int32"), "lam": lam, "density": [density_of(t, cfg.zero, cfg.offset or 1) for t in got["theta"]], "converged": got["converged"], "iterations": np.int32(got["iterations"]), "n": np.int32(len(s[0])), "theta": [pack(t) for t in got["theta"]]})
 
     return cov.groupBy("family").applyInPandas(fit, FIT)
 
@@ -162,6 +223,7 @@ def fit_families(msa: DataFrame, clusters: DataFrame, cfg: GlassoConfig, searchi
     from seqnet.functions.residues import normalize
     from seqnet.operators.msa import full_covariance, weights
 
+    cfg = cfg if cfg.offset else replace(cfg, offset=63)
     wts = weights(msa, share)
     own = msa.withColumn("seq", normalize(msa["seq"])).join(clusters, ["family", "seq_id"]).join(wts, ["family", "seq_id"])
     own = own.selectExpr("concat(cluster_idx, ':', family) as family", "seq_id", "seq", "wt")

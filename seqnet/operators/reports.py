@@ -5,14 +5,45 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqnet.operators.tables import written
+
+
+def placed(rows: DataFrame, keys: list[str], order: list[str], weight: Column | None = None) -> DataFrame:
+    """rows with ``place``, the number of rows (or the weight) before each in its key's order. Rows are sorted by ranges and counted in each, so a large group is spread over tasks; a null in a key is a value like others."""
+    weight = F.lit(1) if weight is None else weight
+    parts = written(rows.repartitionByRange(*keys, *order).withColumn("range_", F.spark_partition_id()).withColumn("key_", F.struct(*keys)), "ranges")
+    sizes = parts.groupBy("key_", "range_").agg(F.sum(weight).alias("size"))
+    before = sizes.select("key_", "range_", (F.sum("size").over(Window.partitionBy("key_").orderBy("range_")) - F.col("size")).alias("before"))  # a row for each range that holds a key
+    own = F.sum(weight).over(Window.partitionBy("key_", "range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - weight
+    return parts.withColumn("own", own).join(before, ["key_", "range_"]).withColumn("place", F.col("own") + F.col("before")).drop("key_", "range_", "own", "before")
+
+
+def quantiles(records: DataFrame, keys: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
+    """Exact quantiles (linear): a row for each key, q<percent> for each of qs; null where all values are. Values are counted first, placed in ranges, and those around each quantile's place are taken, so no task holds a group."""
+    counts = records.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c_"))
+    total = records.groupBy(*keys).agg(F.count(value).alias("n_")).withColumn("key_", F.struct(*keys))
+    at = placed(counts, keys, [value], F.col("c_")).select(F.struct(*keys).alias("key_"), F.col(value).cast("double").alias("v_"), "place", "c_")
+    spots = at.join(total.select("key_", "n_"), "key_")
+    taken = []
+    for q in qs:
+        p = F.lit(float(q)) * (F.col("n_") - 1)
+        for side, place in (("lo", F.floor(p)), ("hi", F.ceil(p))):
+            taken.append(F.max(F.when((F.col("place") <= place) & (place < F.col("place") + F.col("c_")), F.col("v_"))).alias(f"{side}{round(100 * q)}"))
+    near = spots.groupBy("key_").agg(*taken)
+    out = total.join(near, "key_", "left")
+    share = lambda q: F.lit(float(q)) * (F.col("n_") - 1) - F.floor(F.lit(float(q)) * (F.col("n_") - 1))
+    return out.select(*keys, *[(F.col(f"lo{(n := round(100 * q))}") + (F.col(f"hi{n}") - F.col(f"lo{n}")) * share(q)).alias(f"q{n}") for q in qs])
+
 
 def quantiles_avg(records: DataFrame, keys: list[str], value: str, qs: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Exact quantiles (linear) and the mean: one row for each key."""
-    return records.groupBy(*keys).agg(*[F.percentile(value, F.lit(q)).alias(f"q{round(100 * q)}") for q in qs], F.avg(value).alias("mean"))
+    found = quantiles(records, keys, value, qs).select(F.struct(*keys).alias("key_"), *[f"q{round(100 * q)}" for q in qs])
+    means = records.groupBy(*keys).agg(F.avg(value).alias("mean")).withColumn("key_", F.struct(*keys))
+    return means.join(found, "key_").select(*keys, *[f"q{round(100 * q)}" for q in qs], "mean")
 
 
 def upper_quartile_mean(records: DataFrame, keys: list[str], over: list[str], value: str) -> DataFrame:
-    return records.groupBy(*keys, *over).agg(F.percentile(value, F.lit(0.75)).alias("q")).groupBy(*keys).agg(F.avg("q").alias("mean_q75"))
+    return quantiles(records, [*keys, *over], value, (0.75,)).groupBy(*keys).agg(F.avg("q75").alias("mean_q75"))
 
 
 def equal_width_buckets(records: DataFrame, x: str, y: str, n: int, keys: list[str] | None = None) -> DataFrame:
@@ -24,20 +55,15 @@ def equal_width_buckets(records: DataFrame, x: str, y: str, n: int, keys: list[s
     return both.groupBy(*keys, b).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("std")).where("n > 1")
 
 
-def equal_count_bins(records: DataFrame, x: str, y: str, tie: str, n: int, keys: list[str], pieces: int = 64) -> DataFrame:
-    """n bins of (nearly) equal counts in the order of x and tie, the first ones taking one more. Places are counted in ``pieces`` ranges of x, so that a large group is not sorted as a whole."""
-    ends = records.groupBy(*keys).agg(F.count("*").alias("total"), F.min(x).alias("x_lo"), F.max(x).alias("x_hi"))
-    width = (F.col("x_hi") - F.col("x_lo")) / pieces
-    rows = records.join(ends, keys).withColumn("piece", F.when(F.col("x_hi") > F.col("x_lo"), F.floor((F.col(x) - F.col("x_lo")) / width)).otherwise(0))
-    counts = rows.groupBy(*keys, "piece").agg(F.count("*").alias("c"))
-    before = counts.select(*keys, "piece", (F.sum("c").over(Window.partitionBy(*keys).orderBy("piece")) - F.col("c")).alias("before"))
-    place = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "piece").orderBy(x, tie)) - 1
+def equal_count_bins(records: DataFrame, x: str, y: str, tie: str, n: int, keys: list[str]) -> DataFrame:
+    """n bins of (nearly) equal counts in the order of x and tie, the first ones taking one more."""
+    totals = records.groupBy(*keys).agg(F.count("*").alias("total"))
+    rows = placed(records, keys, [x, tie]).join(totals, keys)
     # the first total % n bins hold one more than the others
     small, more = F.expr(f"total div {n}"), F.expr(f"total % {n}")
     head = more * (small + 1)
     bin_ = F.when(F.col("place") < head, F.floor(F.col("place") / (small + 1))).otherwise(more + F.floor((F.col("place") - head) / F.greatest(small, F.lit(1)))) + 1
-    binned = rows.join(before, [*keys, "piece"]).withColumn("place", place).withColumn("bin", bin_.cast("int"))
-    return binned.groupBy(*keys, "bin").agg(F.avg(y).alias("mean"), F.min(x).alias("lo"), F.max(x).alias("hi")).withColumn("label", F.concat_ws("-", F.bround("lo", 1).cast("string"), F.bround("hi", 1).cast("string")))
+    return rows.withColumn("bin", bin_.cast("int")).groupBy(*keys, "bin").agg(F.avg(y).alias("mean"), F.min(x).alias("lo"), F.max(x).alias("hi")).withColumn("label", F.concat_ws("-", F.bround("lo", 1).cast("string"), F.bround("hi", 1).cast("string")))
 
 
 def pearson(records: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -70,17 +96,6 @@ def last_by(records: DataFrame, keys: list[str], value: str, order: str) -> Data
     return records.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
-def select_records(kind: str) -> Column:
-    """Conditions on records with model_idx, is_avg, is_target, is_final, s2, ty."""
-    return {
-        "first": (F.col("model_idx") == 0) & F.col("s2").between(0, 1),
-        "target": F.col("is_target"),
-        "other": (F.col("model_idx") > 0) & ~F.col("is_target") & ~F.col("is_avg"),
-        "avg": F.col("is_avg"),
-        "final": F.col("is_final") | F.lower("method").contains("psicov"),
-    }[kind]
-
-
 def where_equal(sheet: DataFrame, values: dict[str, object]) -> DataFrame:
     conds = [F.col(c).cast("string") == str(v) for c, v in values.items()]
     return sheet.where(reduce(lambda a, b: a & b, conds)) if conds else sheet

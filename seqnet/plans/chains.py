@@ -84,7 +84,7 @@ def glasso_rounds(spark, d):
     parts = parts.select("label", "n", F.posexplode(F.concat("s", "q")).alias("k", "v")).groupBy("label", "k").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     rows = parts.groupBy("label").agg(F.max("n").alias("wt"), F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x.getField("v")).alias("m"))
     cov = rows.mapInArrow(_covariances, "family string, cluster_idx int, wt double, theta array<double>")
-    return consensus.fit_over_tasks(cov, glasso.GlassoConfig(lam=0.01, beta=0.005, max_iters=12))
+    return consensus.fit_over_tasks(cov, glasso.GlassoConfig(lam=0.002, beta=0.001, rho=3e-4, max_iters=12))
 
 
 def _moments(batches):

@@ -52,7 +52,9 @@ def ss3(ss8: Column) -> Column:
 
 
 def lookup(values: dict, key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
+    """The value of a key; that of 'X', where there is one, for any other key but null."""
+    found = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
+    return F.when(key.isNotNull(), F.coalesce(found, F.lit(values["X"]))) if "X" in values else found
 
 
 def three_to_one(code: Column) -> Column:

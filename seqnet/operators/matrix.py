@@ -43,6 +43,17 @@ def symmetric_only(m: DataFrame, keys: list[str], tol: float = 1e-9) -> DataFram
     return m.join(good.select(*keys), keys, "left_semi")
 
 
+def definite(packed: DataFrame, keys: list[str], least: float = 0.0) -> DataFrame:
+    """keys, definite of packed matrices (keys, theta): whether all eigenvalues are above ``least``; false where an entry is null or not finite, or there is none. A matrix is a row, repeated keys give one each."""
+
+    def positive(m):
+        return bool(len(m) and np.isfinite(m).all() and np.linalg.eigvalsh(m)[0] > least)
+
+    kinds = ", ".join(f"{k} {packed.schema[k].dataType.simpleString()}" for k in keys)
+    whole = packed.select(*keys, F.transform(F.coalesce("theta", F.array().cast("array<double>")), lambda x: F.coalesce(x, F.lit(float("nan")))).alias("theta"))
+    return each_matrix(whole, lambda m: [positive(m)], f"{kinds}, definite boolean", keys)
+
+
 def remove_positions(cov: DataFrame, bad: DataFrame, on: str = "family") -> DataFrame:
     """cov (family, …, i, j) without pairs that have a position of bad (family, pos) in either place."""
     return cov.join(bad.select(on, F.col("pos").alias("i")), [on, "i"], "left_anti").join(bad.select(on, F.col("pos").alias("j")), [on, "j"], "left_anti")

@@ -176,6 +176,19 @@ def full_covariance(msa: DataFrame, wts: DataFrame, pseudo: float = 1.0) -> Data
     return every.select("family", "i", "j", "a", "b", F.when(F.col("i") == F.col("j"), own).otherwise(pair - F.col("fa") * F.col("fb")).alias("cov"), F.when(F.col("i") == F.col("j"), 1).otherwise(2).alias("times"))
 
 
+def pair_matrix(msa: DataFrame, wts: DataFrame, odds: bool = True, pseudo: float = 1.0) -> DataFrame:
+    """family, i, j, a, b, v for all positions i <= j and all 21 x 21 letters, seen or not: log odds ln pab - ln pa - ln pb, or covariances pab - pa pb. Blocks i = j are counted like others: a letter stands beside itself only."""
+    freq, total = column_freq(cells(msa), wts, pseudo), total_weight(wts)
+    a = freq.select("family", F.col("pos").alias("i"), F.col("aa").alias("a"), F.col("freq").alias("fa"))
+    b = freq.select("family", F.col("pos").alias("j"), F.col("aa").alias("b"), F.col("freq").alias("fb"))
+    every = a.join(b, "family").where("i <= j").join(total, "family").join(_pair_sums(msa.join(wts, ["family", "seq_id"])), ["family", "i", "j", "a", "b"], "left")
+    whole = Q * pseudo + F.col("meff")
+    own = F.when(F.col("a") == F.col("b"), F.col("fa") * whole - pseudo).otherwise(0.0)
+    pair = (pseudo / Q + F.when(F.col("i") == F.col("j"), own).otherwise(F.coalesce("w", F.lit(0.0)))) / whole
+    v = F.ln(pair) - F.ln("fa") - F.ln("fb") if odds else pair - F.col("fa") * F.col("fb")
+    return every.select("family", "i", "j", "a", "b", v.alias("v"))
+
+
 def weighted_covariance(rows: DataFrame, keys: list[str], columns: list[str], weight: str) -> DataFrame:
     """keys, x, y, cov: covariances of columns with reliability weights, sum w (x - mx)(y - my) / (W - sum w^2 / W)."""
     means = rows.groupBy(*keys).agg(F.sum(weight).alias("sum_w"), F.sum(F.col(weight) * F.col(weight)).alias("sum_ww"), *[(F.sum(F.col(weight) * F.col(c)) / F.sum(weight)).alias(f"m_{c}") for c in columns])

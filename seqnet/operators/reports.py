@@ -121,6 +121,13 @@ def of_kind(kind: str, low: float = 0.0, high: float = 1.0) -> Column:
     return {"ALL": F.lit(True), "FIRST": first, "TARGET": target, "NOT FIRST OR TARGET": ~first & ~target & ~F.col("is_avg"), "AVG": F.col("is_avg")}[kind]
 
 
+def bracket_means(records: DataFrame, edges: list[tuple[float, float]], keys: list[str]) -> DataFrame:
+    """method, keys, kind, low, high, mean: for each bracket of s2 and each kind, the mean over targets of a target's upper quartile of precision. Brackets bound the kinds that look at s2."""
+    cases = [F.when(of_kind(k, low, high), F.struct(F.lit(k).alias("kind"), F.lit(low).alias("low"), F.lit(high).alias("high"))) for k in KINDS for low, high in edges]
+    rows = records.withColumn("case", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull()))).select("method", *keys, "target", "case.kind", "case.low", "case.high", "precision")
+    return upper_quartile_mean(rows, ["method", *keys, "kind", "low", "high"], ["target"], "precision").withColumnRenamed("mean_q75", "mean")
+
+
 def gathered(records: DataFrame, keys: list[str], value: str = "precision") -> DataFrame:
     """All values of each key as a sorted list; a key's values are as many as it has models."""
     return records.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("values"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqnet.functions import residues as R
-from seqnet.operators import consensus, evaluation, glasso, msa, structures
-from seqnet.operators.tables import shared_dir
-from seqnet.plans.more import EVAL
+from seqnet.operators import consensus, evaluation, glasso, matrix, msa, reports, structures
+from seqnet.operators.tables import shared_dir, written
+from seqnet.plans.more import EVAL, REC, precision_records
 from seqnet.plans.registry import FREQ, FULL, PHONES, SUP, _msa, _supplier_pairs, phones, query, r6, table
 from seqnet.sources import readers
 
@@ -45,6 +45,76 @@ def a2m_scan(spark, d):
     return readers.a2m(spark, path).select(F.col("family").cast("string").alias("family"), "seq")
 
 
+GROUPS = "g0 as (select 'g' || (seq_id // 512) as grp, seq_id, seq, row_number() over (partition by seq_id // 512 order by seq_id) - 1 as p from msa)"
+
+
+def _groups(spark, d) -> DataFrame:
+    """grp, body: small files' worth of sequences, 512 keys at most in each, as sorted lists."""
+    m = phones(spark, d).withColumn("grp", F.concat(F.lit("g"), F.expr("seq_id div 512")))
+    return m.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("seq_id", "seq"))).alias("body"))
+
+
+def _files(spark, groups: DataFrame, name: str, text) -> str:
+    """A folder with a file for each group (a partition column)."""
+    path = _folder(spark, name)
+    groups.select("grp", text.alias("value")).write.partitionBy("grp").text(path)
+    return path
+
+
+@query("sequence_files", f"""with {PHONES}, {GROUPS}
+select grp, 'first' as what, '' as key, arg_min(seq, seq_id) as value from g0 group by 1
+union all select grp, 'named', 'seq-' || (seq_id % 5), arg_max(seq, seq_id) from g0 group by grp, seq_id % 5
+union all select grp, 'depth', '', count(*)::varchar from g0 group by 1
+union all select grp, 'cluster', 'seq-' || seq_id, (p // 3)::varchar from g0
+union all select grp, 'single', '', arg_min(seq, seq_id) from g0 group by 1""")
+def sequence_files(spark, d):
+    """Small files of several kinds, written and read again: first and named sequences, headers, cluster listings and files of one record."""
+    g = _groups(spark, d)
+    fa = F.array_join(F.transform("body", lambda x: F.concat(F.lit(">seq-"), (x["seq_id"] % 5).cast("string"), F.lit(" of "), x["seq_id"].cast("string"), F.lit("\n"), x["seq"])), "\n")
+    path = _files(spark, g, "fasta", fa)
+    rows = [readers.first_sequence(spark, path).select("grp", F.lit("first").alias("what"), F.lit("").alias("key"), F.col("seq").alias("value"))]
+    rows.append(readers.named_sequences(spark, path).select("grp", F.lit("named"), "name", "seq"))
+    rows.append(readers.depth(spark, path).select("grp", F.lit("depth"), F.lit(""), F.col("depth").cast("string")))
+    listing = F.array_join(F.transform("body", lambda x, i: F.concat(F.when(i % 3 == 0, F.concat(F.lit(">Cluster "), (i / 3).cast("int").cast("string"), F.lit("\n"))).otherwise(""), (i % 3).cast("string"), F.lit("\t15aa, >seq-"), x["seq_id"].cast("string"), F.lit("... at 90%"))), "\n")
+    rows.append(readers.cluster_file(spark, _files(spark, g, "listing", listing)).select("grp", F.lit("cluster"), "name", F.col("cluster_idx").cast("string")))
+    one = F.concat(F.lit(">only\n"), F.substring(F.col("body")[0]["seq"], 1, 7), F.lit("\n"), F.substring(F.col("body")[0]["seq"], 8, 99))
+    rows.append(readers.single_sequence(spark, _files(spark, g, "single", one)).select("grp", F.lit("single"), F.lit(""), "seq"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out.withColumn("grp", F.col("grp").cast("string"))
+
+
+@query("matrix_files", "select (o_custkey % 97)::int as grp, r::int as r, c::int as c, v from (select o_custkey, unnest([0, 0, 1, 1]) as r, unnest([0, 1, 0, 1]) as c, unnest([round(o_totalprice), o_custkey, -o_custkey, round(o_totalprice) / 4])::double as v from (select arg_min(o_custkey, o_orderkey) as o_custkey, arg_min(o_totalprice, o_orderkey) as o_totalprice from orders group by o_custkey % 97))")
+def matrix_files(spark, d):
+    """Marked matrices of numbers in text files, written and read again."""
+    o = table(spark, d, "orders").groupBy((F.col("o_custkey") % 97).cast("int").alias("grp")).agg(F.min_by(F.struct("o_custkey", F.round("o_totalprice").alias("price")), "o_orderkey").alias("x"))
+    line = lambda a, b: F.concat(a.cast("string"), F.lit("  "), b.cast("string"), F.lit("\n"))
+    key, price = F.col("x.o_custkey"), F.col("x.price").cast("double")
+    text = F.concat(F.lit("title 1 2\nthe covariance matrix:\n\n"), line(price, key), line(-key, price / 4), F.lit("\n9 9\n"))
+    return readers.named_matrix(spark, _files(spark, o, "matrix", text), "covariance matrix").select("grp", "r", "c", "v")
+
+
+@query("pair_matrix", f"""with {PHONES}, {FREQ}, pm as (select x.family, x.pos as i, y.pos as j, (x.aa + 1) * (y.aa + 2) as k, x.f as fa, y.f as fb, (1.0::double / 21 + case when x.pos = y.pos then case when x.aa = y.aa then x.f * (21 + meff) - 1 else 0 end else coalesce(pf.f * (21 + meff) - 1.0::double / 21, 0) end) / (21 + meff) as p
+from cf x join cf y on x.family = y.family and x.pos <= y.pos join tot on tot.family = x.family left join pf on pf.family = x.family and pf.i = x.pos and pf.j = y.pos and pf.a = x.aa and pf.b = y.aa)
+select family, i, j, count(*) as n, round(sum((ln(p) - ln(fa) - ln(fb)) * k), 4) as odds, round(sum((p - fa * fb) * k), 4) as cov from pm group by family, i, j""")
+def pair_matrix(spark, d):
+    """Log odds and covariances of all letter pairs at all positions, seen or not; each entry counts with a product of its letters' numbers, so that no two may be swapped."""
+    m, w = _msa(spark, d), written(msa.weights(phones(spark, d)), "weights")
+    k = (F.col("a") + 1) * (F.col("b") + 2)
+    sums = lambda odds: msa.pair_matrix(m, w, odds).groupBy("family", "i", "j").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v") * k), 4).alias("x"))
+    both = sums(True).withColumnRenamed("x", "odds").join(sums(False).select("family", "i", "j", F.col("x").alias("cov")), ["family", "i", "j"])
+    return both.select("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "n", "odds", "cov")
+
+
+@query("definite_matrices", "select l_orderkey as o, l_linenumber as l, l_discount > 0 and l_discount * l_quantity > (l_tax * 10) * (l_tax * 10) + 0.001 as definite from (select l_orderkey, l_linenumber, l_discount, l_tax, l_quantity from lineitem where l_linenumber <= 3) where abs(l_discount * l_quantity - (l_tax * 10) * (l_tax * 10)) > 0.001")
+def definite_matrices(spark, d):
+    """Whether 2 x 2 matrices of discount, tax and quantity are positive definite; those that are nearly singular are left out on both sides."""
+    li = table(spark, d, "lineitem").where("l_linenumber <= 3 and abs(l_discount * l_quantity - (l_tax * 10) * (l_tax * 10)) > 0.001")
+    rows = li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.array(F.col("l_discount").cast("double"), (F.col("l_tax") * 10).cast("double"), F.col("l_quantity").cast("double")).alias("theta"))
+    return matrix.definite(rows, ["o", "l"]).select("o", "l", "definite")
+
+
 def _structures(spark, d) -> tuple[DataFrame, DataFrame]:
     """Sequences (family, seq, file) of 15 letters, one for each customer, and atoms of a structure for each: its chain A lacks every seventh residue of the sequence and numbers them on, chain B is the reverse; coordinates come from the balance."""
     m = phones(spark, d).select(F.col("seq_id").cast("string").alias("family"), F.translate(R.normalize(F.col("seq")), "-", "W").alias("seq"), F.concat(F.lit("s"), "seq_id").alias("file"), "seq_id")
@@ -142,13 +212,24 @@ def flagged_records(spark, d):
     return _flagged(spark, d).select("method", "name", "target", "ty", "min_sep", "max_sep", "cutoff", "k", F.round("precision", 9).alias("precision"), "model_idx", F.round("s2", 9).alias("s2"), "is_target", "is_final", "is_avg")
 
 
-_FIRST, _TARGET = "(s2 between 0 and 1 and model_idx = 0)", "(s2 between 0 and 1 and is_target)"
-_KIND = f"case kind when 'ALL' then true when 'FIRST' then {_FIRST} when 'TARGET' then {_TARGET} when 'AVG' then is_avg else not {_FIRST} and not {_TARGET} and not is_avg end"
+def _inside(low: str, high: str) -> str:
+    """SQL of a kind's condition, s2 between the bounds."""
+    first, target = (f"(s2 between {low} and {high} and {x})" for x in ("model_idx = 0", "is_target"))
+    return f"case kind when 'ALL' then true when 'FIRST' then {first} when 'TARGET' then {target} when 'AVG' then is_avg else not {first} and not {target} and not is_avg end"
+
+
+@query("bracket_means", f"""with {REC}, b as (select * from (values (0.0::double, 0.25::double), (0.25, 0.6), (0.5, 1.0)) v(low, high)), k as (select unnest(['ALL', 'FIRST', 'TARGET', 'NOT FIRST OR TARGET', 'AVG']) as kind),
+q as (select method, target, min_sep, cutoff, kind, low, high, quantile_cont(precision, 0.75) as q from rec, k, b where ty = 'TOP_L' and {_inside("low", "high")} group by method, target, min_sep, cutoff, kind, low, high)
+select method, min_sep, cutoff, kind, low, high, round(avg(q), 6) as mean from q group by method, min_sep, cutoff, kind, low, high""")
+def bracket_means(spark, d):
+    """Means over targets of upper quartiles by method, kind of cluster and separation, for brackets of sparsity."""
+    rows = precision_records(spark, d).where("ty = 'TOP_L'")
+    return reports.bracket_means(rows, [(0.0, 0.25), (0.25, 0.6), (0.5, 1.0)], ["min_sep", "cutoff"]).withColumn("mean", r6("mean"))
 
 
 @query("sheets_from_fits", f"""with {MODELS}, sh as (select * from (values ('TOP_L_final', 'TOP_L', true), ('NORMAL_final', 'NORMAL', true), ('TOP_L', 'TOP_L', false), ('NORMAL', 'NORMAL', false)) s(sheet, sty, fin)),
 kinds as (select unnest(['ALL', 'FIRST', 'TARGET', 'NOT FIRST OR TARGET', 'AVG']) as kind),
-k as (select sheet, rec.*, kind from rec, sh, kinds where ty = sty and (method like '%psicov%' or (is_final = fin and {_KIND}))),
+k as (select sheet, rec.*, kind from rec, sh, kinds where ty = sty and (method like '%psicov%' or (is_final = fin and {_inside('0', '1')}))),
 qs as (select sheet, method, target, kind, min_sep, max_sep, cutoff, [quantile_cont(precision, 0.25), quantile_cont(precision, 0.5), quantile_cont(precision, 0.75), max(precision), avg(precision)] as v from k group by sheet, method, target, kind, min_sep, max_sep, cutoff)
 select sheet, method, target, kind, min_sep::int as min_sep, max_sep::int as max_sep, cutoff, unnest(['q25', 'q50', 'q75', 'q100', 'mean']) as data_type, round(unnest(v), 9) as precision, 40 as seq_len from qs""")
 def sheets_from_fits(spark, d):

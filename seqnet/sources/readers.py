@@ -20,6 +20,11 @@ def _without_place(rows: DataFrame) -> DataFrame:
     return rows.drop("path", "split", "at")
 
 
+def _folders(rows: DataFrame) -> list[str]:
+    """The folder's partition columns of a scan."""
+    return [c for c in rows.columns if c not in ("value", "path", "file", "split", "at", "marked", "seq", "line_no", "name")]
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """file, seq_id (0, 1, ... in each file), name, seq; a sequence's lines are joined, blank lines and headers without a sequence are skipped. A file is cut at records."""
     found = _fasta(spark, path)
@@ -48,20 +53,23 @@ def named_sequences(spark: SparkSession, path: str) -> DataFrame:
     """file, name (seq-<digits> of the header), seq: of each name the last sequence line under it."""
     rows = splits.records(spark, path).where("marked")
     name, body = cluster_name(F.regexp_extract("value", r"^([^\r\n]*)", 1)), F.filter(F.split(F.regexp_replace(F.translate("value", "\r", ""), r"^[^\n]*", ""), r"\n"), lambda x: F.trim(x) != "")
-    last = rows.select("path", "file", name.alias("name"), splits.place().alias("p"), F.trim(F.element_at(body, -1)).alias("seq")).where("name is not null and seq is not null")
-    return last.groupBy("path", "file", "name").agg(F.max_by("seq", "p").alias("seq")).drop("path")
+    own = _folders(rows)
+    last = rows.select("path", "file", *own, name.alias("name"), splits.place().alias("p"), F.trim(F.element_at(body, -1)).alias("seq")).where("name is not null and seq is not null")
+    return last.groupBy("path", "file", *own, "name").agg(F.max_by("seq", "p").alias("seq")).drop("path")
 
 
 def first_sequence(spark: SparkSession, path: str) -> DataFrame:
     """file, seq: each file's first sequence line."""
-    return _sequence_lines(spark, path).groupBy("path", "file").agg(F.min_by("seq", splits.place()).alias("seq")).drop("path")
+    rows = _sequence_lines(spark, path)
+    return rows.groupBy("path", "file", *_folders(rows)).agg(F.min_by("seq", splits.place()).alias("seq")).drop("path")
 
 
 def single_sequence(spark: SparkSession, path: str) -> DataFrame:
     """As fasta(), for files of exactly one record; fails otherwise."""
     found = _fasta(spark, path)
-    one = found.groupBy("path", "file").agg(F.count("*").alias("n"), F.first("name").alias("name"), F.first("seq").alias("seq"))
-    return one.select("file", F.lit(0).alias("seq_id"), "name", F.when(F.col("n") == 1, F.col("seq")).otherwise(F.raise_error(F.lit("more than one record"))).alias("seq"))
+    own = _folders(found)
+    one = found.groupBy("path", "file", *own).agg(F.count("*").alias("n"), F.first("name").alias("name"), F.first("seq").alias("seq"))
+    return one.select("file", *own, F.lit(0).alias("seq_id"), "name", F.when(F.col("n") == 1, F.col("seq")).otherwise(F.raise_error(F.lit("more than one record"))).alias("seq"))
 
 
 def a2m(spark: SparkSession, path: str) -> DataFrame:
@@ -93,21 +101,23 @@ def cluster_file(spark: SparkSession, path: str, name_pattern: str = r"(seq-\d+)
     """Cluster listings (a '>Cluster' line, then its members): file, cluster_idx, name; the last cluster included. Clusters are counted in each split, then over splits, so a cluster may go on over several."""
     rows = splits.counted(splits.lines(spark, path), F.startswith("value", F.lit(">Cluster")))
     rows = splits.with_offsets(rows, "n", "clusters").where("clusters > 0")
-    return rows.select("file", (F.col("clusters") - 1).cast("int").alias("cluster_idx"), F.regexp_extract("value", name_pattern, 1).alias("name")).where("name <> ''")
+    return rows.select("file", *[c for c in _folders(rows) if c != "clusters"], (F.col("clusters") - 1).cast("int").alias("cluster_idx"), F.regexp_extract("value", name_pattern, 1).alias("name")).where("name <> ''")
 
 
 def named_matrix(spark: SparkSession, path: str, marker: str) -> DataFrame:
     """Numbers between the first line with the marker and the first blank line after a row of them, or the end: file, r, c, v."""
-    rows = splits.lines(spark, path).select("path", "file", splits.place().alias("p"), F.trim(F.translate("value", "\t\r", " ")).alias("line"))
+    rows = splits.lines(spark, path)
+    own = _folders(rows)
+    rows = rows.select("path", "file", *own, splits.place().alias("p"), F.trim(F.translate("value", "\t\r", " ")).alias("line"))
     start = rows.where(F.contains("line", F.lit(marker.strip()))).groupBy("path").agg(F.min("p").alias("start"))
     body = rows.join(start, "path").where("p > start")
     first = body.where("line <> ''").groupBy("path").agg(F.min("p").alias("first"))
     last = body.where("line = ''").join(first, "path").where("p > first").groupBy("path").agg(F.min("p").alias("end"))
     body = body.where("line <> ''").join(last, "path", "left").where("end is null or p < end")
-    body = body.select("path", "file", F.col("p.split").alias("split"), F.col("p.at").alias("at"), F.col("line"))
+    body = body.select("path", "file", *own, F.col("p.split").alias("split"), F.col("p.at").alias("at"), F.col("line"))
     ranked = body.withColumn("r", F.row_number().over(Window.partitionBy("path", "split").orderBy("at")))  # within a split
     ranked = splits.with_offsets(ranked, "r", "r").withColumn("r", (F.col("r") - 1).cast("int"))
-    return ranked.select("file", "r", F.posexplode(F.split("line", r"\s+")).alias("c", "v")).select("file", "r", "c", F.col("v").cast("double").alias("v"))
+    return ranked.select("file", *own, "r", F.posexplode(F.split("line", r"\s+")).alias("c", "v")).select("file", *own, "r", "c", F.col("v").cast("double").alias("v"))
 
 
 def atoms(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +234,8 @@ def read_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def depth(spark: SparkSession, path: str) -> DataFrame:
-    return header_counts(splits.lines(spark, path))
+    rows = splits.lines(spark, path)
+    return rows.groupBy("path", "file", *_folders(rows)).agg(F.count_if(F.startswith("value", F.lit(">"))).alias("depth")).drop("path")
 
 
 def header_counts(lines: DataFrame) -> DataFrame:

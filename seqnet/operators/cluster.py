@@ -131,11 +131,11 @@ def _first_match(x: np.ndarray, n: np.ndarray, heads: np.ndarray, identity: floa
     return out
 
 
-def greedy_clusters(msa: DataFrame, identity: float = 0.8, batch: int = 2048) -> DataFrame:
+def greedy_clusters(msa: DataFrame, identity: float = 0.8, batch: int = 1000) -> DataFrame:
     """Longest first: a sequence joins the first cluster whose head it agrees with in ``identity`` of its letters, else it heads a new one.
 
     Rounds over all families at once: the longest ``batch`` sequences that are left of each family are clustered in order, in one task; all others that are left meet the new heads in blocks, spread over the cluster, and join the first that matches. The result is that of going
-    through a family one by one; no task holds more than a batch and a block. A family takes a round for each ``batch`` sequences that match no earlier head."""
+    through a family one by one; a task holds a batch, or a batch's heads and a block. (Spark keeps the longest of each task before they are shuffled up to a batch of 1000, spark.sql.optimizer.windowGroupLimitThreshold.) A family takes a round for each ``batch`` sequences that match no earlier head."""
     left = msa.select("family", "seq_id", "seq", F.length(F.replace("seq", F.lit("-"), F.lit(""))).alias("n"))
     done, base = None, None
     letters = lambda seqs: np.array([[ord(c) for c in s] for s in seqs], np.int32)
@@ -166,7 +166,8 @@ def greedy_clusters(msa: DataFrame, identity: float = 0.8, batch: int = 2048) ->
         rest = left.join(now.select("family", "seq_id"), ["family", "seq_id"], "left_anti")
         sizes = rest.groupBy("family").agg(F.ceil(F.count("*") / 512).alias("of"))
         blocks = rest.join(sizes, "family").withColumn("blk", F.pmod(F.xxhash64("seq_id"), F.col("of"))).groupBy("family", "blk").agg(F.collect_list(F.struct("family", "seq_id", "seq", "n")).alias("block"))
-        met = written(blocks.join(heads, "family").select("heads", "block").mapInPandas(against, "family string, seq_id bigint, seq string, n int, at int"), f"met-{turn}")
+        dealt = heads.join(sizes, "family").select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)).alias("blk"), "heads")
+        met = written(blocks.join(dealt, ["family", "blk"]).select("heads", "block").mapInPandas(against, "family string, seq_id bigint, seq string, n int, at int"), f"met-{turn}")
         more = more.unionByName(met.where("at >= 0").select("family", "at", "seq_id"))
         # places of heads go on after those of earlier rounds
         count = now.where("head").groupBy("family").agg(F.count("*").alias("c"))

@@ -27,13 +27,19 @@ def _letters(seqs: list[str]) -> np.ndarray:
     return np.frombuffer("".join(seqs).encode("utf-32-le"), np.uint32).reshape(len(seqs), -1) if seqs else np.zeros((0, 0), np.uint32)
 
 
-def _neighbours(msa: DataFrame, near) -> DataFrame:
-    """family, seq_id, n: the number of other sequences of the family that are near by near(a, b) -> (rows of a x b). A family is cut in blocks; each pair of blocks is a row, so that its pairs are spread over tasks and compared as matrices."""
-    counts = msa.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+def _block_pairs(msa: DataFrame, block: int) -> DataFrame:
+    """family, ba, bb, sa, sb: pairs of blocks (ba <= bb) of some ``block`` sequences of a family. Each block is dealt to its pairs, and both sides of a pair meet by all three keys, so a large family's pairs are spread over tasks."""
+    counts = msa.groupBy("family").agg(F.ceil(F.count("*") / block).alias("blocks"))
     dealt = msa.join(counts, "family").withColumn("blk", F.pmod(F.xxhash64("seq_id"), F.col("blocks")))
-    blocks = dealt.groupBy("family", "blk").agg(F.collect_list(F.struct("seq_id", "seq")).alias("s"))  # about BLOCK sequences
-    a, b = blocks.select("family", F.col("blk").alias("ba"), F.col("s").alias("sa")), blocks.select("family", F.col("blk").alias("bb"), F.col("s").alias("sb"))
-    pairs = a.join(b, "family").where("ba <= bb")
+    blocks = dealt.groupBy("family", "blk", "blocks").agg(F.collect_list(F.struct("seq_id", "seq")).alias("s"))
+    a = blocks.select("family", F.col("blk").alias("ba"), F.explode(F.sequence("blk", F.col("blocks") - 1)).alias("bb"), F.col("s").alias("sa"))
+    b = blocks.select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), "blk")).alias("ba"), F.col("blk").alias("bb"), F.col("s").alias("sb"))
+    return a.join(b, ["family", "ba", "bb"])
+
+
+def _neighbours(msa: DataFrame, near) -> DataFrame:
+    """family, seq_id, n: the number of other sequences of the family that are near by near(a, b) -> (rows of a x b). A family is cut in blocks; each pair of blocks is a row, compared as matrices."""
+    pairs = _block_pairs(msa, BLOCK)
 
     def each(batches):
         for batch in batches:

@@ -144,7 +144,8 @@ def report(records: DataFrame, meta: DataFrame, cutoffs: list[str], ty: str, fin
     psicov = F.col("method").contains("psicov")
     kinds = own.withColumn("kind", F.explode(F.filter(F.array(*[F.when(of_kind(k) | psicov, k) for k in KINDS]), lambda x: x.isNotNull())))
     keys = ["method", "target", "kind", "min_sep", "max_sep"]
-    q = quantiles_avg(kinds, [*keys, "cutoff"], "precision")
+    kinds = written(kinds.select(*keys, "cutoff", "precision"), "kinds")  # read several times
+    q = written(quantiles_avg(kinds, [*keys, "cutoff"], "precision"), "quantiles")
     tall = q.unpivot([*keys, "cutoff"], ["q25", "q50", "q75", "q100", "mean"], "data_type", "precision")
     return with_metadata(pivot(tall, [*keys, "data_type"], cutoffs), meta)
 

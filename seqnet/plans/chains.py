@@ -234,13 +234,14 @@ qs as (select sheet, method, target, kind, min_sep, max_sep, cutoff, [quantile_c
 select sheet, method, target, kind, min_sep::int as min_sep, max_sep::int as max_sep, cutoff, unnest(['q25', 'q50', 'q75', 'q100', 'mean']) as data_type, round(unnest(v), 9) as precision, 40 as seq_len from qs""")
 def sheets_from_fits(spark, d):
     """The four sheets, a row for each cell of theirs."""
-    rows = _flagged(spark, d)
+    rows = written(_flagged(spark, d), "records")
     about = rows.select("target").distinct().select("target", F.lit(40).alias("seq_len"))
     out = None
     for name, sheet in evaluation.sheets(rows, about).items():
         keys = ["method", "target", "kind", "min_sep", "max_sep", "data_type", "seq_len"]
         cuts = [c for c in sheet.columns if c not in keys]
         tall = sheet.unpivot(keys, cuts, "cutoff", "precision").where("precision is not null").select(F.lit(name).alias("sheet"), *keys, "cutoff", F.round("precision", 9).alias("precision"))
+        tall = written(tall, name)
         out = tall if out is None else out.unionByName(tall)
     return out
 

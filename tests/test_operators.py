@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqnet.functions import residues as R
-from seqnet.operators import cluster, geometry, glasso, matrix, prox
+from seqnet.operators import cluster, geometry, glasso, matrix, msa, prox
 from seqnet.sources import readers
 
 
@@ -142,3 +143,21 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from counts").first()[0] == 6
+
+
+def test_pairs_of_blocks_are_spread(spark):
+    """Of 20 blocks of one family, each pair is compared once, in more than one task where nothing is broadcast."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(400).select(F.lit("f").alias("family"), F.col("id").alias("seq_id"), F.lit("ARND").alias("seq"))
+        pairs = msa._block_pairs(rows, 20)
+        got = pairs.select("ba", "bb", F.size("sa").alias("a"), F.size("sb").alias("b"), F.spark_partition_id().alias("p")).collect()
+        blocks = {r.ba: r.a for r in got}
+        assert len(got) == len(blocks) * (len(blocks) + 1) // 2 == len({(r.ba, r.bb) for r in got}) and sum(blocks.values()) == 400
+        by = {p: sum(r.p == p for r in got) for p in {r.p for r in got}}
+        assert len(by) == 4 and max(by.values()) < len(got) / 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

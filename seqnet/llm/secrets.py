@@ -68,7 +68,7 @@ def blob_id(text_col: str = "text"):
 
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, version: str = VERSION, text_col: str = "text") -> DataFrame:
-    """Ledger rows (blob, version, found) for the contents of docs that the ledger doesn't have under this version."""
+    """Ledger rows (blob, version, found) for the contents of docs that the ledger doesn't have under this version. Null texts have no content, equal ones one row, whatever their number; an empty table gives no rows."""
     # only texts that can hold a span are moved; the others' blobs are entered without
     t = F.col(text_col)
     rows = docs.where(t.isNotNull()).select(blob_id(text_col).alias("blob"), F.when(t.rlike(POSSIBLE), t).alias("t"))
@@ -92,7 +92,9 @@ class Ledger:
         scan_unseen(docs, self.read(), version, text_col).write.mode("append").parquet(self.path)
 
     def findings(self, docs: DataFrame, version: str = VERSION, text_col: str = "text") -> DataFrame:
-        return join_findings(docs, self.read(), version, text_col)
+        """As join_findings(); nothing is found before the first update."""
+        ledger = self.read()
+        return join_findings(docs, self.spark.createDataFrame([], f"blob binary, version string, found {FOUND}") if ledger is None else ledger, version, text_col)
 
 
 def join_findings(docs: DataFrame, ledger: DataFrame, version: str = VERSION, text_col: str = "text", carry: tuple[str, ...] = ("*",)) -> DataFrame:

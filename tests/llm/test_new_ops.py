@@ -211,3 +211,13 @@ def test_bounds_skip_and_stay_exact():
         assert (upper >= d[np.arange(3000), a]).all() and (lower <= d).all()
         old, c = c, np.array([v[a == j].sum(0) // max(1, (a == j).sum()) if (a == j).any() else c[j] for j in range(8)])
     assert computed < 10 * 3000 * 8 / 3
+
+
+def test_findings_before_the_first_update(spark, tmp_path):
+    from seqnet.llm import secrets
+
+    rows = spark.createDataFrame([(1, "password = abcdefabcdef12"), (2, None)], "doc_id bigint, text string")
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    assert [(r.d.doc_id, r.found) for r in ledger.findings(rows).orderBy("d.doc_id").collect()] == [(1, []), (2, [])]
+    ledger.update(rows)
+    assert [len(r.found) for r in ledger.findings(rows).orderBy("d.doc_id").collect()] == [1, 0]

@@ -59,12 +59,12 @@ def balance_bonus(sizes: np.ndarray) -> np.ndarray:
     return b / b.max() if b.max() > 0 else b
 
 
-def agglomerate(d: np.ndarray, k: int, balance_below: int = 100) -> tuple[list[list[int]], np.ndarray]:
-    """Complete linkage down to k groups, and the distances between them; row minima are kept, so a merge costs O(n)."""
+def agglomerate(d: np.ndarray, k: int, balance_below: int = 100, start: list[list[int]] | None = None) -> tuple[list[list[int]], np.ndarray]:
+    """Complete linkage down to k groups, and the distances between them, from single members or from the groups of start; row minima are kept."""
     n = len(d)
     d = d.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    groups: list[list[int] | None] = [[i] for i in range(n)]
+    groups: list[list[int] | None] = [[i] for i in range(n)] if start is None else [list(g) for g in start]
     alive = np.ones(n, bool)
     low = d.min(1) if n > 1 else np.full(n, np.inf)
     left = n
@@ -101,12 +101,11 @@ def ordered(groups: list[list[int]], d: np.ndarray, target: int | None) -> list[
 
 
 def phylo_clusters(msa: DataFrame, k: int | None = None, most: int = 12000) -> DataFrame:
-    """family, cluster_idx, seq_id; k defaults to min(4, max(2, n // 600)). The family's first sequence is the target. Families over ``most`` sequences fail."""
+    """family, cluster_idx, seq_id; k defaults to min(4, max(2, n // 600)). The family's first sequence is the target. A family of up to ``most`` sequences is one task's matrix; larger ones are linked by rounds over rows (linkage.linked_clusters)."""
+    from seqnet.operators.linkage import linked_clusters
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq_id")
-        if len(pdf) > most:
-            raise ValueError(f"{len(pdf)} sequences in a family, {most} at most")
         d = blosum_distance(list(pdf["seq"]))
         n = len(pdf)
         groups, between = agglomerate(d, k or min(4, max(2, n // 600)))
@@ -115,7 +114,9 @@ def phylo_clusters(msa: DataFrame, k: int | None = None, most: int = 12000) -> D
             rows += [(str(pdf["family"].iloc[0]), c, int(ids[i])) for i in g]
         return pd.DataFrame(rows, columns=["family", "cluster_idx", "seq_id"]).astype({"cluster_idx": "int32"})
 
-    return msa.select("family", "seq_id", "seq").groupBy("family").applyInPandas(run, "family string, cluster_idx int, seq_id bigint")
+    large = written(msa.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > most).select("family"), "large")
+    small = msa.join(large, "family", "left_anti").select("family", "seq_id", "seq").groupBy("family").applyInPandas(run, "family string, cluster_idx int, seq_id bigint")
+    return small if large.isEmpty() else small.unionByName(linked_clusters(msa.join(large, "family", "left_semi"), k))
 
 
 def _first_match(x: np.ndarray, n: np.ndarray, heads: np.ndarray, identity: float) -> np.ndarray:

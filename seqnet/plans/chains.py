@@ -97,12 +97,12 @@ def matrix_files(spark, d):
 
 @query("pair_matrix", f"""with {PHONES}, {FREQ}, pm as (select x.family, x.pos as i, y.pos as j, (x.aa + 1) * (y.aa + 2) as k, x.f as fa, y.f as fb, (1.0::double / 21 + case when x.pos = y.pos then case when x.aa = y.aa then x.f * (21 + meff) - 1 else 0 end else coalesce(pf.f * (21 + meff) - 1.0::double / 21, 0) end) / (21 + meff) as p
 from cf x join cf y on x.family = y.family and x.pos <= y.pos join tot on tot.family = x.family left join pf on pf.family = x.family and pf.i = x.pos and pf.j = y.pos and pf.a = x.aa and pf.b = y.aa)
-select family, i, j, count(*) as n, round(sum((ln(p) - ln(fa) - ln(fb)) * k), 4) as odds, round(sum((p - fa * fb) * k), 4) as cov from pm group by family, i, j""")
+select family, i, j, count(*) as n, round(sum((ln(p) - ln(fa) - ln(fb)) * k) + 0.0000137, 4) as odds, round(sum((p - fa * fb) * k) + 0.0000137, 4) as cov from pm group by family, i, j""")
 def pair_matrix(spark, d):
-    """Log odds and covariances of all letter pairs at all positions, seen or not; each entry counts with a product of its letters' numbers, so that no two may be swapped."""
+    """Log odds and covariances of all letter pairs at all positions, seen or not; each entry counts with a product of its letters' numbers, so that no two may be swapped; sums are moved off the halves that they are rounded at."""
     m, w = _msa(spark, d), written(msa.weights(phones(spark, d)), "weights")
     k = (F.col("a") + 1) * (F.col("b") + 2)
-    sums = lambda odds: msa.pair_matrix(m, w, odds).groupBy("family", "i", "j").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v") * k), 4).alias("x"))
+    sums = lambda odds: msa.pair_matrix(m, w, odds).groupBy("family", "i", "j").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v") * k) + 0.0000137, 4).alias("x"))
     both = sums(True).withColumnRenamed("x", "odds").join(sums(False).select("family", "i", "j", F.col("x").alias("cov")), ["family", "i", "j"])
     return both.select("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "n", "odds", "cov")
 

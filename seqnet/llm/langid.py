@@ -50,8 +50,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", lang_
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # of distinct texts: copies don't thin out the sample
     if any(n > 1.1 * rows for n in sizes.values()):
         share = F.create_map(*[F.lit(x) for v, n in sizes.items() for x in (v, (1 << 63) - 1 if n <= 1.1 * rows else int((1 << 63) / n * rows))])
-        labelled = labelled.where(F.col("h") <= share[F.col("lang")])
-    labelled = labelled.dropDuplicates(["lang", "h"]).drop("h")
+        labelled = labelled.where(F.col("h") <= share[F.col("lang")]).dropDuplicates(["lang", "h"])
+    labelled = labelled.drop("h")
 
     def count(batches):
         for whole in batches:

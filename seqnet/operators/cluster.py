@@ -119,45 +119,75 @@ def phylo_clusters(msa: DataFrame, k: int | None = None, most: int = 12000) -> D
     return small if large.isEmpty() else small.unionByName(linked_clusters(msa.join(large, "family", "left_semi"), k))
 
 
-def _first_match(x: np.ndarray, n: np.ndarray, heads: np.ndarray, identity: float) -> np.ndarray:
-    """Of each row of letters x, with n letters, the first row of heads that it agrees with in ``identity`` of them, or -1."""
-    out, at = np.full(len(x), -1), np.arange(len(x))
-    for k in range(0, len(heads), 64):
-        if not len(at):
-            break
-        same = ((x[at, None, :] == heads[None, k : k + 64, :]) & (x[at, None, :] != 45)).sum(2) / np.maximum(1, n[at])[:, None] >= identity
-        hit = same.any(1)
-        out[at[hit]] = k + same[hit].argmax(1)
-        at = at[~hit]
-    return out
+class Columns:
+    """Heads of aligned sequences; a sequence matches a head that it agrees with in ``identity`` of its own letters, column by column."""
+
+    def __init__(self, identity: float):
+        self.identity, self.n, self.x = identity, 0, None
+
+    def add(self, seq: str) -> None:
+        row = self._letters([seq])
+        if self.x is None:
+            self.x = row
+        elif self.n == len(self.x):
+            self.x = np.concatenate([self.x, np.zeros_like(self.x)])
+        self.x[self.n] = row
+        self.n += 1
+
+    def first(self, seqs: list[str]) -> np.ndarray:
+        """The first head that each sequence matches, or -1."""
+        out, at = np.full(len(seqs), -1), np.arange(len(seqs))
+        if not self.n:
+            return out
+        x = self._letters(seqs)
+        n = np.maximum(1, (x != 45).sum(1))
+        for k in range(0, self.n, 64):
+            if not len(at):
+                break
+            heads = self.x[k : min(k + 64, self.n)]
+            same = ((x[at, None, :] == heads[None]) & (x[at, None, :] != 45)).sum(2) / n[at][:, None] >= self.identity
+            hit = same.any(1)
+            out[at[hit]] = k + same[hit].argmax(1)
+            at = at[~hit]
+        return out
+
+    @staticmethod
+    def _letters(seqs: list[str]) -> np.ndarray:
+        return np.array([[ord(c) for c in s] for s in seqs], np.int32)
 
 
 def greedy_clusters(msa: DataFrame, identity: float = 0.8, batch: int = 1000) -> DataFrame:
-    """Longest first: a sequence joins the first cluster whose head it agrees with in ``identity`` of its letters, else it heads a new one.
+    """Longest first: a sequence joins the first cluster whose head it agrees with in ``identity`` of its letters, else it heads a new one. Sequences are aligned; words.greedy_word_clusters takes unaligned ones."""
+    return greedy_rounds(msa.select("family", "seq_id", "seq", F.length(F.replace("seq", F.lit("-"), F.lit(""))).alias("n")), lambda: Columns(identity), batch)
+
+
+def greedy_rounds(left: DataFrame, matcher, batch: int = 1000) -> DataFrame:
+    """family, cluster_idx, seq_id of sequences (family, seq_id, seq, n: their length), longest first: each joins the first head that it matches, else it heads a new cluster. ``matcher()`` makes an empty set of heads with add(seq) and first(seqs).
 
     Rounds over all families at once: the longest ``batch`` sequences that are left of each family are clustered in order, in one task; all others that are left meet the new heads in blocks, spread over the cluster, and join the first that matches. The result is that of going
     through a family one by one; a task holds a batch, or a batch's heads and a block. (Spark keeps the longest of each task before they are shuffled up to a batch of 1000, spark.sql.optimizer.windowGroupLimitThreshold.) A family takes a round for each ``batch`` sequences that match no earlier head."""
-    left = msa.select("family", "seq_id", "seq", F.length(F.replace("seq", F.lit("-"), F.lit(""))).alias("n"))
     done, base = None, None
-    letters = lambda seqs: np.array([[ord(c) for c in s] for s in seqs], np.int32)
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "seq_id"], ascending=[False, True])
-        x, n, heads, out = letters(pdf["seq"]), pdf["n"].to_numpy(), [], []
-        for i in range(len(x)):
-            hit = int(_first_match(x[i : i + 1], n[i : i + 1], x[heads], identity)[0]) if heads else -1
+        heads, is_head, out, known = matcher(), [], [], 0
+        for seq in pdf["seq"]:
+            hit = int(heads.first([seq])[0])
+            is_head.append(hit < 0)
             if hit < 0:
-                heads.append(i)
-                hit = len(heads) - 1
+                heads.add(seq)
+                hit, known = known, known + 1
             out.append(hit)
-        return pd.DataFrame({"family": pdf["family"].astype(str), "at": np.array(out, np.int32), "seq_id": pdf["seq_id"], "seq": pdf["seq"], "head": np.isin(np.arange(len(x)), heads)})
+        return pd.DataFrame({"family": pdf["family"].astype(str), "at": np.array(out, np.int32), "seq_id": pdf["seq_id"], "seq": pdf["seq"], "head": is_head})
 
     def against(batches):
         for pdf in batches:
             for heads, block in zip(pdf["heads"], pdf["block"]):
-                x, n = letters([v["seq"] for v in block]), np.array([v["n"] for v in block])
-                hit = _first_match(x, n, letters([h["seq"] for h in heads]), identity)
-                yield pd.DataFrame({"family": [v["family"] for v in block], "seq_id": [v["seq_id"] for v in block], "seq": [v["seq"] for v in block], "n": n.astype("int32"), "at": hit.astype("int32")})
+                known = matcher()
+                for h in heads:
+                    known.add(h["seq"])
+                hit = known.first([v["seq"] for v in block])
+                yield pd.DataFrame({"family": [v["family"] for v in block], "seq_id": [v["seq_id"] for v in block], "seq": [v["seq"] for v in block], "n": np.array([v["n"] for v in block], np.int32), "at": hit.astype("int32")})
 
     order = Window.partitionBy("family").orderBy(F.desc("n"), "seq_id")
     for turn in range(1 << 30):

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqnet.functions import residues as R
-from seqnet.operators import consensus, evaluation, glasso, matrix, msa, reports, structures
+from seqnet.operators import consensus, evaluation, glasso, matrix, msa, reports, structures, words
 from seqnet.operators.tables import shared_dir, written
 from seqnet.plans.more import EVAL, REC, precision_records
 from seqnet.plans.registry import FREQ, FULL, PHONES, SUP, _msa, _supplier_pairs, phones, query, r6, table
 from seqnet.sources import readers
+from seqnet.streaming import moments
 
 
 def _folder(spark, name: str) -> str:
@@ -267,3 +268,44 @@ def evaluate_folder(spark, d):
     if first.join(second, ["method", "name"]).count():
         raise ValueError("a fit was evaluated twice")
     return evaluation.stored_records(spark, path).select("method", "name", "target", "ty", "min_sep", "max_sep", "cutoff", "k", F.round("precision", 9).alias("precision"), F.round("s1", 9).alias("s1"), F.round("s2", 9).alias("s2"), "model_idx", "is_target", "is_final", "is_avg")
+
+
+@query("word_clusters")
+def word_clusters(spark, d):
+    """Greedy clusters of unaligned sequences, one for each customer: the 32 digits of the hash of five neighbouring keys, as letters, from which up to eight are cut, and the balance at the end."""
+    c = table(spark, d, "customer")
+    key, cut = F.col("c_custkey"), F.col("c_custkey") % 5 * 2
+    stem = F.md5((key - key % 5).cast("string"))
+    cents = F.lpad((F.round(F.col("c_acctbal") * 100).cast("long") + 10000000).cast("string"), 8, "0")
+    text = F.concat(F.substring(stem, F.lit(1), (cut + 8).cast("int")), F.substring(stem, (cut * 2 + 9).cast("int"), F.lit(32)), F.when(key % 3 == 0, cents).otherwise(F.lit("")))
+    rows = c.select(((key - key % 5) % 25).cast("string").alias("family"), key.alias("seq_id"), F.translate(text, "0123456789abcdef", "ARNDCQEGHILKMFPS").alias("seq"))
+    return words.greedy_word_clusters(rows, 0.7, 0.7, 4)
+
+
+WAYS = ["value", "hour", "failed", "member"]
+EVENT_ROWS = "ev as (select event_type as family, date_trunc('day', ts) as start, value, hour(ts)::double as hour, case when event_type = 'error' then value / 2 else -value end + user_id % 3 as failed, (user_id % 7)::double as member from events where value is not null)"
+
+
+def _event_rows(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    failed = F.when(F.col("event_type") == "error", F.col("value") / 2).otherwise(-F.col("value")) + F.col("user_id") % 3
+    return e.select("ts", "event_type", "value", F.hour("ts").cast("double").alias("hour"), failed.alias("failed"), (F.col("user_id") % 7).cast("double").alias("member"))
+
+
+@query("window_covariance", f"""with {EVENT_ROWS}, x as (select unnest(range(0, 10)) as k, unnest(['value', 'value', 'value', 'value', 'hour', 'hour', 'hour', 'failed', 'failed', 'member']) as x, unnest(['value', 'hour', 'failed', 'member', 'hour', 'failed', 'member', 'failed', 'member', 'member']) as y),
+c as (select family, start, count(*) as n, [{', '.join(f'covar_samp({x}, {y})' for i, x in enumerate(WAYS) for y in WAYS[i:])}] as v from ev group by all having count(*) > 1)
+select family, strftime(start, '%Y-%m-%d') as day, n, x, y, round(v[k + 1] + 0.0000037, 5) as cov from c, x""")
+def window_covariance(spark, d):
+    """Covariances of four numbers of events by type and day, moved off the halves that they are rounded at."""
+    m = moments.window_moments(_event_rows(spark, d), WAYS, "1 day", family="event_type")
+    names = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in moments.pairs(WAYS)])
+    tall = moments.window_covariances(m).select("family", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.explode(F.arrays_zip(names.alias("names"), F.col("theta"))).alias("c"))
+    return tall.select("family", "day", "n", F.col("c.names.x").alias("x"), F.col("c.names.y").alias("y"), F.round(F.col("c.theta") + 0.0000037, 5).alias("cov"))
+
+
+@query("window_fits")
+def window_fits(spark, d):
+    """Joint fits of days of events, by type: each type's days are the nodes of one chain."""
+    m = moments.window_moments(_event_rows(spark, d), WAYS, "1 day", family="event_type")
+    fits = moments.fit_windows(m, glasso.GlassoConfig(lam=0.05, beta=0.02, penalty="laplacian", max_iters=60), ridge=0.01)
+    return fits.select("family", F.date_format("start", "yyyy-MM-dd").alias("day"), "cluster_idx", "n", r6("density").alias("density"), F.transform("theta", lambda v: F.round(v, 6)).alias("theta"))

@@ -134,14 +134,14 @@ class Columns:
         self.x[self.n] = row
         self.n += 1
 
-    def first(self, seqs: list[str]) -> np.ndarray:
-        """The first head that each sequence matches, or -1."""
+    def first(self, seqs: list[str], since: int = 0) -> np.ndarray:
+        """The first head, from number ``since`` on, that each sequence matches, or -1."""
         out, at = np.full(len(seqs), -1), np.arange(len(seqs))
-        if not self.n:
+        if self.n <= since:
             return out
         x = self._letters(seqs)
         n = np.maximum(1, (x != 45).sum(1))
-        for k in range(0, self.n, 64):
+        for k in range(since, self.n, 64):
             if not len(at):
                 break
             heads = self.x[k : min(k + 64, self.n)]
@@ -161,8 +161,12 @@ def greedy_clusters(msa: DataFrame, identity: float = 0.8, batch: int = 1000) ->
     return greedy_rounds(msa.select("family", "seq_id", "seq", F.length(F.replace("seq", F.lit("-"), F.lit(""))).alias("n")), lambda: Columns(identity), batch)
 
 
+#: Sequences of a batch that meet the heads before them together.
+TOGETHER = 64
+
+
 def greedy_rounds(left: DataFrame, matcher, batch: int = 1000) -> DataFrame:
-    """family, cluster_idx, seq_id of sequences (family, seq_id, seq, n: their length), longest first: each joins the first head that it matches, else it heads a new cluster. ``matcher()`` makes an empty set of heads with add(seq) and first(seqs).
+    """family, cluster_idx, seq_id of sequences (family, seq_id, seq, n: their length), longest first: each joins the first head that it matches, else it heads a new cluster. ``matcher()`` makes an empty set of heads with add(seq) and first(seqs, since).
 
     Rounds over all families at once: the longest ``batch`` sequences that are left of each family are clustered in order, in one task; all others that are left meet the new heads in blocks, spread over the cluster, and join the first that matches. The result is that of going
     through a family one by one; a task holds a batch, or a batch's heads and a block. (Spark keeps the longest of each task before they are shuffled up to a batch of 1000, spark.sql.optimizer.windowGroupLimitThreshold.) A family takes a round for each ``batch`` sequences that match no earlier head."""
@@ -170,14 +174,17 @@ def greedy_rounds(left: DataFrame, matcher, batch: int = 1000) -> DataFrame:
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "seq_id"], ascending=[False, True])
-        heads, is_head, out, known = matcher(), [], [], 0
-        for seq in pdf["seq"]:
-            hit = int(heads.first([seq])[0])
-            is_head.append(hit < 0)
-            if hit < 0:
-                heads.add(seq)
-                hit, known = known, known + 1
-            out.append(hit)
+        heads, is_head, out, known, seqs = matcher(), [], [], 0, list(pdf["seq"])
+        for k in range(0, len(seqs), TOGETHER):
+            part, since = seqs[k : k + TOGETHER], known
+            for seq, hit in zip(part, heads.first(part).tolist()):
+                if hit < 0:  # no earlier part's head; the heads of this part come after those
+                    hit = int(heads.first([seq], since)[0])
+                is_head.append(hit < 0)
+                if hit < 0:
+                    heads.add(seq)
+                    hit, known = known, known + 1
+                out.append(hit)
         return pd.DataFrame({"family": pdf["family"].astype(str), "at": np.array(out, np.int32), "seq_id": pdf["seq_id"], "seq": pdf["seq"], "head": is_head})
 
     def against(batches):
@@ -190,14 +197,15 @@ def greedy_rounds(left: DataFrame, matcher, batch: int = 1000) -> DataFrame:
                 yield pd.DataFrame({"family": [v["family"] for v in block], "seq_id": [v["seq_id"] for v in block], "seq": [v["seq"] for v in block], "n": np.array([v["n"] for v in block], np.int32), "at": hit.astype("int32")})
 
     order = Window.partitionBy("family").orderBy(F.desc("n"), "seq_id")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given stays, however few bytes there are
     for turn in range(1 << 30):
-        now = written(left.withColumn("place", F.row_number().over(order)).where(f"place <= {batch}").drop("place").groupBy("family").applyInPandas(within, "family string, at int, seq_id bigint, seq string, head boolean"), f"batch-{turn}")
+        now = written(left.withColumn("place", F.row_number().over(order)).where(f"place <= {batch}").drop("place").repartition(tasks, "family").groupBy("family").applyInPandas(within, "family string, at int, seq_id bigint, seq string, head boolean"), f"batch-{turn}")
         heads = now.where("head").groupBy("family").agg(F.sort_array(F.collect_list(F.struct("at", "seq"))).alias("heads"))  # batch at most
         more = now.select("family", "at", "seq_id")
         rest = left.join(now.select("family", "seq_id"), ["family", "seq_id"], "left_anti")
         sizes = rest.groupBy("family").agg(F.ceil(F.count("*") / 512).alias("of"))
-        blocks = rest.join(sizes, "family").withColumn("blk", F.pmod(F.xxhash64("seq_id"), F.col("of"))).groupBy("family", "blk").agg(F.collect_list(F.struct("family", "seq_id", "seq", "n")).alias("block"))
-        dealt = heads.join(sizes, "family").select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)).alias("blk"), "heads")
+        blocks = rest.join(sizes, "family").withColumn("blk", F.pmod(F.xxhash64("seq_id"), F.col("of"))).repartition(tasks, "family", "blk").groupBy("family", "blk").agg(F.collect_list(F.struct("family", "seq_id", "seq", "n")).alias("block"))
+        dealt = heads.join(sizes, "family").select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)).alias("blk"), "heads").repartition(tasks, "family", "blk")
         met = written(blocks.join(dealt, ["family", "blk"]).select("heads", "block").mapInPandas(against, "family string, seq_id bigint, seq string, n int, at int"), f"met-{turn}")
         more = more.unionByName(met.where("at >= 0").select("family", "at", "seq_id"))
         # places of heads go on after those of earlier rounds

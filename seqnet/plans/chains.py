@@ -278,7 +278,7 @@ def word_clusters(spark, d):
     stem = F.md5((key - key % 5).cast("string"))
     cents = F.lpad((F.round(F.col("c_acctbal") * 100).cast("long") + 10000000).cast("string"), 8, "0")
     text = F.concat(F.substring(stem, F.lit(1), (cut + 8).cast("int")), F.substring(stem, (cut * 2 + 9).cast("int"), F.lit(32)), F.when(key % 3 == 0, cents).otherwise(F.lit("")))
-    rows = c.select(((key - key % 5) % 25).cast("string").alias("family"), key.alias("seq_id"), F.translate(text, "0123456789abcdef", "ARNDCQEGHILKMFPS").alias("seq"))
+    rows = c.select(((key - key % 5) % 125).cast("string").alias("family"), key.alias("seq_id"), F.translate(text, "0123456789abcdef", "ARNDCQEGHILKMFPS").alias("seq"))
     return words.greedy_word_clusters(rows, 0.7, 0.7, 4)
 
 

@@ -203,17 +203,18 @@ def fit_time_varying_glasso(cov: DataFrame, cfg: GlassoConfig, searching: bool =
     return cov.groupBy("family").applyInPandas(fit, FIT)
 
 
-def packed(cov: DataFrame, keys: list[str], q: int = 21) -> DataFrame:
-    """keys, theta: the packed upper triangle of each full covariance (keys, i, j, a, b, cov; i <= j from 1), which one task for each matrix lays out."""
+def packed(blocks: DataFrame, keys: list[str], q: int = 21) -> DataFrame:
+    """keys, theta: the packed upper triangle of each full covariance from its blocks (keys, i, j, cov: q x q numbers, row by row; i <= j from 1), which one task for each matrix lays out."""
 
     def lay(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["j"].max()) * q
-        m = np.zeros((n, n))
-        m[((pdf["i"] - 1) * q + pdf["a"]).to_numpy(int), ((pdf["j"] - 1) * q + pdf["b"]).to_numpy(int)] = pdf["cov"].to_numpy(float)
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"theta": [pack(m)]})
+        n = int(pdf["j"].max())
+        m = np.zeros((n, q, n, q))
+        for i, j, c in zip(pdf["i"], pdf["j"], pdf["cov"]):
+            m[i - 1, :, j - 1] = np.asarray(c).reshape(q, q)
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"theta": [pack(m.reshape(n * q, n * q))]})
 
-    kinds = {f.name: f.dataType.simpleString() for f in cov.schema}
-    return cov.groupBy(*keys).applyInPandas(lay, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", theta array<double>")
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    return blocks.groupBy(*keys).applyInPandas(lay, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", theta array<double>")
 
 
 def fit_families(msa: DataFrame, clusters: DataFrame, cfg: GlassoConfig, searching: bool = True, share: float = 0.62) -> DataFrame:
@@ -221,13 +222,13 @@ def fit_families(msa: DataFrame, clusters: DataFrame, cfg: GlassoConfig, searchi
 
     Weights are those of the whole family, by sequence. lambda and beta are sized by the clusters that there are. Results go to Parquet by family with write_fits."""
     from seqnet.functions.residues import normalize
-    from seqnet.operators.msa import full_covariance, weights
+    from seqnet.operators.msa import covariance_blocks, weights
 
     cfg = cfg if cfg.offset else replace(cfg, offset=63)
     wts = weights(msa, share)
     own = msa.withColumn("seq", normalize(msa["seq"])).join(clusters, ["family", "seq_id"]).join(wts, ["family", "seq_id"])
     own = own.selectExpr("concat(cluster_idx, ':', family) as family", "seq_id", "seq", "wt")
-    cov = packed(full_covariance(own.select("family", "seq_id", "seq"), own.select("family", "seq_id", "wt")), ["family"])
+    cov = packed(covariance_blocks(own.select("family", "seq_id", "seq"), own.select("family", "seq_id", "wt")), ["family"])
     total = own.groupBy("family").agg({"wt": "sum"}).withColumnRenamed("sum(wt)", "wt")
     both = cov.join(total, "family").selectExpr("substring(family, instr(family, ':') + 1) as family", "cast(substring_index(family, ':', 1) as int) as cluster_idx", "wt", "theta")
     return fit_time_varying_glasso(both, cfg, searching)

@@ -171,15 +171,105 @@ def pair_freq(msa: DataFrame, wts: DataFrame, pseudo: float = 1.0) -> DataFrame:
     return seen.join(total_weight(wts), "family").select("family", "i", "j", "a", "b", ((pseudo / Q + F.col("w")) / (Q * pseudo + F.col("meff"))).alias("freq"))
 
 
+#: Numbers that a task sums up before it passes them on; a longer family's sums are passed on for each Arrow batch.
+HELD = 24_000_000
+#: What is summed for a pair of positions: 21 x 21 letter pairs, the letters of either, and all sequences.
+WIDTH = Q * Q + 2 * Q + 1
+
+
+def _position_sums(seqs: DataFrame) -> DataFrame:
+    """family, i, j, v: for positions i <= j the WIDTH summed weights of rows (family, seq, wt), a row for each task's share."""
+
+    def out(family, i, sums, letters, total):
+        """Rows of position i with all from i on."""
+        n = len(sums)
+        v = np.concatenate([sums.reshape(n, Q * Q), np.broadcast_to(letters[i], (n, Q)), letters[i:], np.full((n, 1), total)], 1)
+        at = pa.array(np.arange(0, (n + 1) * WIDTH, WIDTH, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array([family] * n, pa.string()), pa.array(np.full(n, i + 1, np.int32)), pa.array(np.arange(i + 1, i + 1 + n, dtype=np.int32)), pa.ListArray.from_arrays(at, pa.array(v.ravel()))], ["family", "i", "j", "v"])
+
+    def flush(held):
+        for family, (parts, letters, total) in held.items():
+            for i, sums in enumerate(parts):
+                yield out(family, i, sums, letters, total)
+        held.clear()
+
+    def each(batches):
+        code = np.full(0x110000, -1, np.int64)
+        code[[ord(c) for c in ALPHABET]] = np.arange(Q)
+        held, size = {}, 0
+        for batch in batches:
+            for family, part in batch.to_pandas().groupby("family"):
+                x, w = code[_letters(list(part["seq"]))], part["wt"].to_numpy(float)
+                length, known = x.shape[1], x >= 0
+                x = np.where(known, x, 0)
+                letters = np.bincount((x + np.arange(length) * Q).ravel(), weights=(w[:, None] * known).ravel(), minlength=length * Q).reshape(length, Q)
+                few = length * (length + 1) // 2 * Q * Q <= HELD
+                if few and family not in held:
+                    size += length * (length + 1) // 2 * Q * Q
+                    if size > HELD:
+                        yield from flush(held)
+                        size = length * (length + 1) // 2 * Q * Q
+                    held[family] = [[np.zeros((length - i, Q * Q)) for i in range(length)], np.zeros((length, Q)), 0.0]
+                for i in range(length):
+                    rest = length - i
+                    sums = np.bincount((x[:, i, None] * Q + x[:, i:] + np.arange(rest) * (Q * Q)).ravel(), weights=(w[:, None] * (known[:, i, None] & known[:, i:])).ravel(), minlength=rest * Q * Q).reshape(rest, Q * Q)
+                    if few:
+                        held[family][0][i] += sums
+                    else:
+                        yield out(family, i, sums, letters, w.sum())
+                if few:
+                    held[family][1] += letters
+                    held[family][2] += w.sum()
+        yield from flush(held)
+
+    return seqs.select("family", "seq", "wt").mapInArrow(each, "family string, i int, j int, v array<double>")
+
+
+def covariance_blocks(msa: DataFrame, wts: DataFrame, pseudo: float = 1.0) -> DataFrame:
+    """family, i, j, cov: for positions i <= j their 21 x 21 covariances pab - pa pb, row by row, as one array; pairs that are never seen have the pseudo count alone; blocks i = j hold pa - pa pa on their diagonal and 0 beside it.
+
+    Sequences of a family are equally long. Each task sums what it reads; the shares of a pair of positions meet sorted and are added as they stream by, so no task holds more than a batch of them. A position without a letter of the alphabet has no rows."""
+    share = _position_sums(msa.join(wts, ["family", "seq_id"]))
+    tasks = int(msa.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cov(keys, v):
+        n = len(v)
+        pair, fa, fb, total = v[:, : Q * Q].reshape(n, Q, Q), v[:, Q * Q : Q * Q + Q], v[:, Q * Q + Q : -1], v[:, -1]
+        seen = (fa.sum(1) > 0) & (fb.sum(1) > 0)
+        fa, fb = ((pseudo + f) / (Q * pseudo + f.sum(1, keepdims=True)) for f in (fa, fb))
+        c = (pseudo / Q + pair) / (Q * pseudo + total)[:, None, None] - fa[:, :, None] * fb[:, None, :]
+        same = np.array([i == j for _, i, j in keys], bool)
+        c[same] = (fa[same] - fa[same] ** 2)[:, :, None] * np.eye(Q)
+        keys, c = [k for k, s in zip(keys, seen) if s], c[seen].reshape(-1)
+        at = pa.array(np.arange(0, len(c) + 1, Q * Q, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.ListArray.from_arrays(at, pa.array(c))], ["family", "i", "j", "cov"])
+
+    def added(batches):
+        key, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(batch.column("family").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist()))
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+            first = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+            sums, keys = np.add.reduceat(v, first, 0), [keys[k] for k in first]
+            if key == keys[0]:
+                sums[0] += last
+            elif key is not None:
+                yield cov([key], last[None])
+            if len(keys) > 1:
+                yield cov(keys[:-1], sums[:-1])
+            key, last = keys[-1], sums[-1].copy()
+        if key is not None:
+            yield cov([key], last[None])
+
+    return share.repartition(tasks, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(added, "family string, i int, j int, cov array<double>")
+
+
 def full_covariance(msa: DataFrame, wts: DataFrame, pseudo: float = 1.0) -> DataFrame:
-    """family, i, j, a, b, cov and times (how often the entry stands in the symmetric matrix) for all positions i <= j and all 21 x 21 letters: pairs that are never seen have the pseudo count alone; blocks i = j hold pa - pa pa on their diagonal and 0 beside it."""
-    freq, total = column_freq(cells(msa), wts, pseudo), total_weight(wts)
-    a = freq.select("family", F.col("pos").alias("i"), F.col("aa").alias("a"), F.col("freq").alias("fa"))
-    b = freq.select("family", F.col("pos").alias("j"), F.col("aa").alias("b"), F.col("freq").alias("fb"))
-    every = a.join(b, "family").where("i <= j").join(total, "family").join(_pair_sums(msa.join(wts, ["family", "seq_id"])), ["family", "i", "j", "a", "b"], "left")
-    pair = (pseudo / Q + F.coalesce("w", F.lit(0.0))) / (Q * pseudo + F.col("meff"))
-    own = F.when(F.col("a") == F.col("b"), F.col("fa") - F.col("fa") * F.col("fa")).otherwise(0.0)
-    return every.select("family", "i", "j", "a", "b", F.when(F.col("i") == F.col("j"), own).otherwise(pair - F.col("fa") * F.col("fb")).alias("cov"), F.when(F.col("i") == F.col("j"), 1).otherwise(2).alias("times"))
+    """The cells of covariance_blocks: family, i, j, a, b, cov and times (how often the entry stands in the symmetric matrix)."""
+    tall = covariance_blocks(msa, wts, pseudo).select("family", "i", "j", F.posexplode("cov").alias("k", "cov"))
+    return tall.select("family", "i", "j", F.expr(f"k div {Q}").cast("int").alias("a"), (F.col("k") % Q).alias("b"), "cov", F.when(F.col("i") == F.col("j"), 1).otherwise(2).alias("times"))
 
 
 def pair_matrix(msa: DataFrame, wts: DataFrame, odds: bool = True, pseudo: float = 1.0) -> DataFrame:

@@ -256,7 +256,7 @@ def evaluate_folder(spark, d):
     """Packed covariances of alignments as fits, evaluated into a folder in two runs, the second of which finds half of them done; the folder's records."""
     path, m = _folder(spark, "evaluated"), _msa(spark, d)
     wt = m.select("family", "seq_id", F.lit(1.0).alias("wt"))
-    theta = glasso.packed(msa.full_covariance(m, wt), ["family"])
+    theta = glasso.packed(msa.covariance_blocks(m, wt), ["family"])
     fits = theta.select(F.lit("covariance").alias("method"), F.concat("family", F.lit("_final")).alias("name"), "family", F.lit(0).alias("cluster_idx"), "theta")
     sizes = m.groupBy("family").agg(F.count("*").alias("n")).select("family", F.lit(0).alias("cluster_idx"), "n")
     targets = sizes.select("family", "cluster_idx", F.lit(False).alias("is_target"))

@@ -158,10 +158,18 @@ FULL = """fc as (select x.family, x.pos as i, y.pos as j, x.aa as a, y.aa as b,
 from cf x join cf y on x.family = y.family and x.pos <= y.pos join tot on tot.family = x.family left join pf on pf.family = x.family and pf.i = x.pos and pf.j = y.pos and pf.a = x.aa and pf.b = y.aa)"""
 
 
-@query("covariance_full", f"with {PHONES}, {FREQ}, {FULL} select family, i, j, count(*) as n, round(sum(cov), 6) as total, round(sum(abs(cov)), 6) as size, round(max(cov), 6) as most, round(min(cov), 6) as least from fc group by family, i, j")
+#: A sum in which each cell of a block has a number of its own, so that no two may be swapped; moved off the halves that it is rounded at.
+PLACES = "round(sum(cov * (a * 21 + b + 1)) + 0.0000137, 4) as places"
+
+
+def _places():
+    return F.round(F.sum(F.col("cov") * (F.col("a") * 21 + F.col("b") + 1)) + 0.0000137, 4).alias("places")
+
+
+@query("covariance_full", f"with {PHONES}, {FREQ}, {FULL} select family, i, j, count(*) as n, round(sum(cov), 6) as total, round(sum(abs(cov)), 6) as size, round(max(cov), 6) as most, round(min(cov), 6) as least, {PLACES} from fc group by family, i, j")
 def covariance_full(spark, d):
     c = _full(spark, d)
-    return c.groupBy("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.count("*").alias("n"), r6(F.sum("cov")).alias("total"), r6(F.sum(F.abs("cov"))).alias("size"), r6(F.max("cov")).alias("most"), r6(F.min("cov")).alias("least"))
+    return c.groupBy("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.count("*").alias("n"), r6(F.sum("cov")).alias("total"), r6(F.sum(F.abs("cov"))).alias("size"), r6(F.max("cov")).alias("most"), r6(F.min("cov")).alias("least"), _places())
 
 
 def _bad(spark, d):
@@ -171,11 +179,11 @@ def _bad(spark, d):
 BAD = "bad as (select family as bf, pos as bp from cf where aa = 20 and f > 0.09)"
 
 
-SUMS = "count(*) as n, round(sum(cov), 6) as total, round(sum(abs(cov)), 6) as size"
+SUMS = f"count(*) as n, round(sum(cov), 6) as total, round(sum(abs(cov)), 6) as size, {PLACES}"
 
 
 def _sums(df):
-    return df.groupBy("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.count("*").alias("n"), r6(F.sum("cov")).alias("total"), r6(F.sum(F.abs("cov"))).alias("size"))
+    return df.groupBy("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.count("*").alias("n"), r6(F.sum("cov")).alias("total"), r6(F.sum(F.abs("cov"))).alias("size"), _places())
 
 
 @query("gap_remove", f"with {PHONES}, {FREQ}, {FULL}, {BAD} select family, i, j, {SUMS} from fc where not exists (select 1 from bad where bf = family and (bp = i or bp = j)) group by family, i, j")
@@ -183,7 +191,7 @@ def gap_remove(spark, d):
     return _sums(matrix.remove_positions(_full(spark, d), _bad(spark, d)))
 
 
-@query("gap_mask", f"with {PHONES}, {FREQ}, {FULL}, {BAD}, m as (select family, i, j, case when i <> j and exists (select 1 from bad where bf = family and (bp = i or bp = j)) then 0 else cov end as cov from fc) select family, i, j, {SUMS} from m group by family, i, j")
+@query("gap_mask", f"with {PHONES}, {FREQ}, {FULL}, {BAD}, m as (select family, i, j, a, b, case when i <> j and exists (select 1 from bad where bf = family and (bp = i or bp = j)) then 0 else cov end as cov from fc) select family, i, j, {SUMS} from m group by family, i, j")
 def gap_mask(spark, d):
     masked = matrix.mask_positions(_full(spark, d).withColumnRenamed("cov", "v"), _bad(spark, d))
     return _sums(masked.withColumnRenamed("v", "cov"))

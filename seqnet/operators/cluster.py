@@ -197,9 +197,9 @@ def greedy_rounds(left: DataFrame, matcher, batch: int = 1000) -> DataFrame:
                 yield pd.DataFrame({"family": [v["family"] for v in block], "seq_id": [v["seq_id"] for v in block], "seq": [v["seq"] for v in block], "n": np.array([v["n"] for v in block], np.int32), "at": hit.astype("int32")})
 
     order = Window.partitionBy("family").orderBy(F.desc("n"), "seq_id")
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given stays, however few bytes there are
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given stays, however few bytes there are, unless the rows are dealt so already
     for turn in range(1 << 30):
-        now = written(left.withColumn("place", F.row_number().over(order)).where(f"place <= {batch}").drop("place").repartition(tasks, "family").groupBy("family").applyInPandas(within, "family string, at int, seq_id bigint, seq string, head boolean"), f"batch-{turn}")
+        now = written(left.withColumn("place", F.row_number().over(order)).where(f"place <= {batch}").drop("place").repartition(tasks + 1, "family").groupBy("family").applyInPandas(within, "family string, at int, seq_id bigint, seq string, head boolean"), f"batch-{turn}")
         heads = now.where("head").groupBy("family").agg(F.sort_array(F.collect_list(F.struct("at", "seq"))).alias("heads"))  # batch at most
         more = now.select("family", "at", "seq_id")
         rest = left.join(now.select("family", "seq_id"), ["family", "seq_id"], "left_anti")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import os
 import random
 import re
@@ -9,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +268,42 @@ def test_bpe(docs, empty):
     e.chunks = bpe.Chunks(e.chunk, bpe.CACHE_BYTES)
 
 
+def test_bpe_in_batches(spark, monkeypatch):
+    """Texts of a batch are cut together, but never across texts, and new words take a fraction of what they take one by one."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_path())
+    e = bpe.encoder(bpe.default_path())
+    r = random.Random(31)
+    some = ["it'", "s", "it'r", "e", "", None, "'", "'s", "caf", "\u0301e", "a\u0301", "\u0301", "É", "×", " ", "x<|endoftext|>", "<|startoftext|><|endoftext|>y", "<|endof", "text|>", "A\u2003B\u00a0C\x85d", "\x00\x1f '\x1d"]
+    some += ["".join(r.choice("aB'sTrev lL0 É×\u0301µ漢\u2028\n\x1c") for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in some]
+    for block, merged in ((bpe.BLOCK, bpe.MERGED), (20, 5)):  # the second cuts all texts at white space and merges few pieces at once
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        monkeypatch.setattr(bpe, "MERGED", merged)
+        ids, ends = e.encode_all(pa.array(some).slice(1))
+        assert [ids[i:j].tolist() for i, j in zip([0, *ends], ends)] == want[1:]
+    monkeypatch.undo()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "doc_id long, text string").coalesce(1)
+    assert {x.d.doc_id: x.ids for x in bpe.encode(rows).collect()} == dict(enumerate(want))
+
+    vocab, merges = (spec := json.load(open(bpe.default_path(), encoding="utf-8"))["model"])["vocab"], spec["merges"]
+    rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(merges)}
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(6, 14))) for _ in range(40_000)]
+    began = time.process_time()
+    plain = []
+    for w in words:
+        s = [*w[:-1], w[-1] + "</w>"]
+        while len(s) > 1 and (least := min((rank.get(p, 1 << 30), i) for i, p in enumerate(zip(s, s[1:]))))[0] < 1 << 30:
+            s[least[1] : least[1] + 2] = [s[least[1]] + s[least[1] + 1]]
+        plain += [vocab[x] for x in s]
+    plainly, began = time.process_time() - began, time.process_time()
+    got = e.encode(" ".join(words))
+    assert [*struct.unpack(f"<{len(got) // 4}I", got)] == plain and time.process_time() - began < plainly / 2
+
+
 def test_pii(docs, empty):
     model = pii.train(["some text to write numbers into, and more of it"], steps=3)
     out = pii.find(docs, model, ["doc_id", "text"]).collect()

@@ -2,11 +2,12 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from seqnet.operators import geometry, pairs
+from seqnet.operators import cluster, geometry, pairs
 
 
 def test_every_pair_once_and_in_several_tasks(spark):
@@ -51,3 +52,22 @@ def test_orientations_of_several_blocks(spark, monkeypatch):
         four = [spot(x, 1) if x < 30 else None for x in (i, i + 1, j, j + 1)]
         want = 0.0 if i == j else dihedral(*four) if all(four) else None
         assert ca[i, j].d1234 is None if want is None else abs(ca[i, j].d1234 - want) < 1e-9
+
+
+def test_linkage_of_thousands_takes_seconds():
+    x = np.random.default_rng(2).normal(size=(3000, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    began = time.process_time()
+    groups, _ = cluster.agglomerate(d, 4)
+    assert sorted(m for g in groups for m in g) == list(range(3000))
+    assert time.process_time() - began < 6  # all minima anew at each merge take several times that
+
+
+def test_substitution_distances_in_several_tasks(spark):
+    rng = np.random.default_rng(4)
+    seqs = ["".join(rng.choice(list("ARNDCQEG-"), 15)) for _ in range(600)]
+    made = cluster.blosum_pairs(spark.createDataFrame([("f", k, s) for k, s in enumerate(seqs)], "family string, seq_id bigint, seq string"))
+    assert made.groupBy(F.spark_partition_id()).count().count() > 1
+    want = cluster.blosum_distance(seqs)
+    got = {(r.i, r.j): r.d for r in made.collect()}
+    assert len(got) == 600 * 599 // 2 and all(got[i, j] == want[i, j] for i, j in got)

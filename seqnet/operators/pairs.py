@@ -17,11 +17,11 @@ PAIRS, TASKS = 8_000_000, 4000
 CELL = ["ba_", "bb_"]
 
 
-def _blocks(rows: DataFrame, key: str, block: int | None = None) -> tuple[DataFrame, int]:
+def _blocks(rows: DataFrame, key: str, block: int | None = None, each: int | None = None) -> tuple[DataFrame, int]:
     """key, of_ (its number of blocks), and the number of tasks."""
     sizes = rows.groupBy(key).agg(F.count("*").alias("rows_"))
     pairs = sizes.agg(F.sum(F.col("rows_").cast("double") * F.col("rows_"))).first()[0] or 0
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(TASKS, int(pairs // PAIRS)))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(TASKS, int(pairs // (each or PAIRS))))
     return sizes.select(key, F.least(F.lit(BLOCKS), F.ceil(F.col("rows_") / (block or BLOCK))).cast("int").alias("of_")), tasks
 
 
@@ -57,11 +57,11 @@ def rounded(c: Column, digits: int) -> Column:
     return F.when((t < 1e11) & (F.abs(t - F.floor(t) - 0.5) > 1e-4), whole).otherwise(F.round(c, digits))
 
 
-def block_pairs(rows: DataFrame, key: str, name: str, what: list[str], half: bool = False, block: int | None = None) -> DataFrame:
-    """key, CELL, a, b: pairs of blocks of rows, as arrays of structs ``what``. With half, each pair of blocks once (ba_ <= bb_), and a block with itself."""
-    sizes, tasks = _blocks(rows, key, block)
+def block_pairs(rows: DataFrame, key: str, name: str, what: list[str], half: bool = False, block: int | None = None, each: int | None = None) -> DataFrame:
+    """key, CELL, a, b: pairs of blocks of rows, as arrays of structs ``what``, some ``each`` pairs of rows a task. With half, each pair of blocks once (ba_ <= bb_), and a block with itself."""
+    sizes, tasks = _blocks(rows, key, block, each)
     dealt = rows.join(sizes, key).withColumn("blk_", F.pmod(F.xxhash64(name), F.col("of_")).cast("int"))
-    blocks = dealt.groupBy(key, "blk_", "of_").agg(F.collect_list(F.struct(*what)).alias("s"))
+    blocks = dealt.repartition(tasks, key, "blk_").groupBy(key, "blk_", "of_").agg(F.collect_list(F.struct(*what)).alias("s"))
     a = blocks.select(key, F.col("blk_").alias("ba_"), F.explode(F.sequence("blk_" if half else F.lit(0), F.col("of_") - 1)).alias("bb_"), F.col("s").alias("a"))
     b = blocks.select(key, F.explode(F.sequence(F.lit(0), "blk_" if half else F.col("of_") - 1)).alias("ba_"), F.col("blk_").alias("bb_"), F.col("s").alias("b"))
     return a.repartition(tasks, key, *CELL).join(b.repartition(tasks, key, *CELL).hint("merge"), [key, *CELL])

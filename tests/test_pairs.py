@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from seqnet.operators import cluster, geometry, pairs
+from seqnet.operators import cluster, geometry, msa, pairs
 
 
 def test_every_pair_once_and_in_several_tasks(spark):
@@ -71,3 +71,20 @@ def test_substitution_distances_in_several_tasks(spark):
     want = cluster.blosum_distance(seqs)
     got = {(r.i, r.j): r.d for r in made.collect()}
     assert len(got) == 600 * 599 // 2 and all(got[i, j] == want[i, j] for i, j in got)
+
+
+def test_weights_meet_sequences_without_a_broadcast(spark):
+    rows = spark.createDataFrame([("f", 1, "AR-X"), ("f", 2, "ARND"), ("g", 1, "-AAA"), ("g", 3, "QAAA"), ("g", 4, "")], "family string, seq_id bigint, seq string")
+    wt = spark.createDataFrame([("f", 1, 0.5), ("f", 2, 1.0), ("g", 1, 0.25), ("g", 3, 1.0)], "family string, seq_id bigint, wt double")
+    for df in (msa.weighted_freq(rows, wt), msa.pair_freq(rows, wt), msa.covariance_blocks(rows, wt)):
+        assert "SortMergeJoin [family" in df._jdf.queryExecution().executedPlan().toString().replace("(skew=true)", "")
+    key = lambda r: (r.family, r.pos, r.aa)
+    got, want = ({key(r): r.freq for r in df.collect()} for df in (msa.weighted_freq(rows, wt), msa.column_freq(msa.cells(rows), wt)))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_equal_letters_by_products():
+    rng = np.random.default_rng(6)
+    x, y = (msa._letters(["".join(rng.choice(list("ARND-"), 9)) for _ in range(n)]) for n in (40, 30))
+    assert (msa._equal(x, y) == (x[:, None] == y[None]).sum(2)).all()
+    assert (msa._equal(x, y, "-") == ((x[:, None] == y[None]) & (x[:, None] != 45)).sum(2)).all()

@@ -68,6 +68,88 @@ def with_flags(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("is_target", F.coalesce(F.col("t") & ~F.col("is_avg") & (F.col("model_idx") > 0), F.lit(False))).withColumn("is_final", F.contains("name", F.lit("final")) | F.col("clustered").isNull()).drop("t", "clustered")
 
 
+BANDS = [(ty, lo, hi) for ty, of in (("NORMAL", NORMAL), ("TOP_L", TOP)) for lo, hi in of]
+
+
+def best_of_models(pairs: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """Of pairs (family, i, j, hit, scores: an array with a score for each of the family's models, the same number in all rows): family, at (the model's place), band (of BANDS), i, j, score, hit of those that are among the k first of their model and band in their task, by score (to ``digits`` digits), then place; and a row without a band for each model and task, whose hit is the number of scores from 0.1 on."""
+
+    def each(batches):
+        held: dict[tuple, list] = {}
+        last: dict[tuple, tuple] = {}
+        dense: dict[tuple, int] = {}
+
+        def first(key):
+            s, i, j, hit = (np.concatenate(x) for x in zip(*held[key]))
+            at = np.lexsort((j, i, -s))[:k]
+            held[key] = [(s[at], i[at], j[at], hit[at])]
+            if len(at) == k:
+                last[key] = (s[at[-1]], i[at[-1]], j[at[-1]])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            families = batch.column("family").dictionary_encode()
+            place = families.indices.to_numpy()
+            i_, j_, hit_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "hit"))
+            scores = batch.column("scores").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for f, family in enumerate(families.dictionary.to_pylist()):
+                own = slice(None) if len(families.dictionary) == 1 else place == f
+                i, j, hit, step, values = i_[own], j_[own], hit_[own], (j_ - i_)[own], np.ascontiguousarray(scores[own].T)
+                inside = [(step >= lo) & (step <= hi) if hi is not None else step >= lo for _, lo, hi in BANDS]
+                for m, raw in enumerate(values):
+                    dense[family, m] = dense.get((family, m), 0) + int((raw >= 0.1).sum())
+                    score = np.round(raw, digits)
+                    for b, ok in enumerate(inside):
+                        key = (family, m, b)
+                        if key in last:
+                            s, x, y = last[key]
+                            at = np.flatnonzero(ok & (score >= s))
+                            at = at[(score[at] > s) | (i[at] < x) | ((i[at] == x) & (j[at] <= y))]
+                        else:
+                            at = np.flatnonzero(ok)
+                        if len(at):
+                            held.setdefault(key, []).append((score[at], i[at], j[at], hit[at]))
+                            if key not in last and sum(len(x[0]) for x in held[key]) >= k or sum(len(x[0]) for x in held[key]) > 2 * k + 64:
+                                first(key)
+        columns = [[], [], [], [], [], [], []]
+        for (family, m), n in dense.items():
+            for c, v in zip(columns, (family, m, None, None, None, None, n)):
+                c.append(v)
+        for family, m, b in held:
+            first((family, m, b))
+            for s, i, j, hit in zip(*(x.tolist() for x in held[family, m, b][0])):
+                for c, v in zip(columns, (family, m, b, i, j, s, hit)):
+                    c.append(v)
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["family", "at", "band", "i", "j", "score", "hit"])
+
+    rows = pairs.select("family", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("hit").cast("bigint").alias("hit"), "scores")
+    return rows.mapInArrow(each, "family string, at int, band int, i bigint, j bigint, score double, hit bigint")
+
+
+def records_of_pairs(pairs: DataFrame, models_: DataFrame, targets: DataFrame, lengths: DataFrame, digits: int = 9) -> DataFrame:
+    """records() of pairs (family, i, j, dist, valid, scores: an array with a score for each of the family's models) and models (method, name, family, at: the place in the array, model_idx, is_avg, s1). A pair is a row, however many models there are, and tasks pass on the best of each model and band alone."""
+    longest = lengths.agg(F.max("seq_len")).first()[0] or 0
+    hit = native_contact(F.col("dist"), F.col("valid")).cast("int")
+    best = written(best_of_models(pairs.withColumn("hit", hit), max(*FIXED, int(longest)), digits), "best")
+    about = best.where("band is null").groupBy("family", "at").agg(F.sum("hit").alias("n2"))
+    about = about.join(models_, ["family", "at"]).join(lengths, "family").withColumn("s2", 2 * F.col("n2") / F.pow(F.col("seq_len"), F.lit(2)))
+    bands = F.array(*[F.struct(F.lit(ty).alias("ty"), F.lit(lo).alias("min_sep"), F.lit(hi).cast("int").alias("max_sep")) for ty, lo, hi in BANDS])
+    rows = best.where("band is not null").join(lengths, "family").withColumn("x", F.get(bands, F.col("band"))).select("family", "at", "i", "j", "score", "hit", "seq_len", "x.*")
+    hits = _hits(rows, ["family", "at"])
+    out = with_flags(hits.join(about, ["family", "at"]), targets).withColumnRenamed("family", "target")
+    return out.select("method", "name", "target", "ty", "min_sep", "max_sep", "cutoff", "k", "precision", "seq_len", "model_idx", "s1", "s2", "is_target", "is_final", "is_avg")
+
+
+def _hits(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ty, min_sep, max_sep, cutoff, k, precision of ranked rows (keys, i, j, score, hit, seq_len, ty, min_sep, max_sep)."""
+    fixed = F.array(*[F.struct(F.lit(str(k)).alias("cutoff"), F.lit(k).cast("long").alias("k")) for k in FIXED])
+    share = F.array(*[F.struct(F.lit(n).alias("cutoff"), F.floor(F.col("seq_len") / d).alias("k")) for n, d in SHARES])
+    best = ranked(rows, [*keys, "ty", "min_sep", "max_sep"]).withColumn("c", F.explode(F.when(F.col("ty") == "NORMAL", fixed).otherwise(share))).where("rank <= c.k")
+    return best.groupBy(*keys, "ty", "min_sep", "max_sep", F.col("c.cutoff").alias("cutoff"), F.col("c.k").alias("k")).agg((F.sum("hit") / F.first("c.k")).alias("precision"))
+
+
 def records(scores: DataFrame, native: DataFrame, targets: DataFrame, lengths: DataFrame, digits: int = 9) -> DataFrame:
     """Long records of scores (as scored() gives them): method, name, target (the family), ty, min_sep, max_sep, cutoff, k, precision, seq_len, model_idx, s1, s2, is_target, is_final, is_avg.
 
@@ -77,12 +159,9 @@ def records(scores: DataFrame, native: DataFrame, targets: DataFrame, lengths: D
     scores = scores.join(lengths, "family")
     about = scores.groupBy(*keys, "is_avg", "s1", "seq_len").agg((2 * F.count_if(F.col("score") >= 0.1) / F.pow(F.col("seq_len"), F.lit(2))).alias("s2"))
     both = scores.withColumn("score", F.round("score", digits)).join(native, ["family", "i", "j"]).withColumn("hit", native_contact(F.col("dist"), F.col("valid")).cast("int"))
-    bands = [F.struct(F.lit(ty).alias("ty"), F.lit(lo).alias("min_sep"), F.lit(hi).cast("int").alias("max_sep")) for ty, of in (("NORMAL", NORMAL), ("TOP_L", TOP)) for lo, hi in of]
+    bands = [F.struct(F.lit(ty).alias("ty"), F.lit(lo).alias("min_sep"), F.lit(hi).cast("int").alias("max_sep")) for ty, lo, hi in BANDS]
     rows = both.withColumn("x", F.explode(F.array(*bands))).where("j - i >= x.min_sep and (x.max_sep is null or j - i <= x.max_sep)").select(*keys, "i", "j", "score", "hit", "seq_len", "x.ty", "x.min_sep", "x.max_sep")
-    fixed = F.array(*[F.struct(F.lit(str(k)).alias("cutoff"), F.lit(k).cast("long").alias("k")) for k in FIXED])
-    share = F.array(*[F.struct(F.lit(n).alias("cutoff"), F.floor(F.col("seq_len") / d).alias("k")) for n, d in SHARES])
-    best = ranked(rows, [*keys, "ty", "min_sep", "max_sep"]).withColumn("c", F.explode(F.when(F.col("ty") == "NORMAL", fixed).otherwise(share))).where("rank <= c.k")
-    hits = best.groupBy(*keys, "ty", "min_sep", "max_sep", F.col("c.cutoff").alias("cutoff"), F.col("c.k").alias("k")).agg((F.sum("hit") / F.first("c.k")).alias("precision"))
+    hits = _hits(rows, keys)
     out = with_flags(hits.join(about, keys), targets).withColumnRenamed("family", "target")
     return out.select("method", "name", "target", "ty", "min_sep", "max_sep", "cutoff", "k", "precision", "seq_len", "model_idx", "s1", "s2", "is_target", "is_final", "is_avg")
 

@@ -96,18 +96,26 @@ def best_of_models(pairs: DataFrame, k: int, digits: int = 9) -> DataFrame:
             for f, family in enumerate(families.dictionary.to_pylist()):
                 own = slice(None) if len(families.dictionary) == 1 else place == f
                 i, j, hit, step, values = i_[own], j_[own], hit_[own], (j_ - i_)[own], np.ascontiguousarray(scores[own].T)
-                inside = [(step >= lo) & (step <= hi) if hi is not None else step >= lo for _, lo, hi in BANDS]
+                inside = [np.flatnonzero((step >= lo) & (step <= hi) if hi is not None else step >= lo) for _, lo, hi in BANDS]
+                wide = [b for b, at in enumerate(inside) if 4 * len(at) > len(step)]
                 for m, raw in enumerate(values):
                     dense[family, m] = dense.get((family, m), 0) + int((raw >= 0.1).sum())
                     score = np.round(raw, digits)
+                    # what may be among the best of a band that most pairs are in is found once for all of these
+                    high = np.flatnonzero(score >= min(last[family, m, b][0] for b in wide)) if wide and all((family, m, b) in last for b in wide) else None
                     for b, ok in enumerate(inside):
                         key = (family, m, b)
                         if key in last:
                             s, x, y = last[key]
-                            at = np.flatnonzero(ok & (score >= s))
+                            if b in wide and high is not None:
+                                lo, hi = BANDS[b][1:]
+                                at = high[(step[high] >= lo) & (step[high] <= hi)] if hi is not None else high[step[high] >= lo]
+                            else:
+                                at = ok
+                            at = at[score[at] >= s]
                             at = at[(score[at] > s) | (i[at] < x) | ((i[at] == x) & (j[at] <= y))]
                         else:
-                            at = np.flatnonzero(ok)
+                            at = ok
                         if len(at):
                             held.setdefault(key, []).append((score[at], i[at], j[at], hit[at]))
                             if key not in last and sum(len(x[0]) for x in held[key]) >= k or sum(len(x[0]) for x in held[key]) > 2 * k + 64:

@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from seqnet.operators import cluster, geometry, msa, pairs
+from seqnet.operators import cluster, evaluation, geometry, msa, pairs
 
 
 def test_every_pair_once_and_in_several_tasks(spark):
@@ -88,3 +88,19 @@ def test_equal_letters_by_products():
     x, y = (msa._letters(["".join(rng.choice(list("ARND-"), 9)) for _ in range(n)]) for n in (40, 30))
     assert (msa._equal(x, y) == (x[:, None] == y[None]).sum(2)).all()
     assert (msa._equal(x, y, "-") == ((x[:, None] == y[None]) & (x[:, None] != 45)).sum(2)).all()
+
+
+def test_best_of_models_are_those_of_all_pairs(spark):
+    """Ties, several batches and bands that few pairs are in: the records are those that ranking every pair gives."""
+    n = 230
+    ids = spark.createDataFrame([(f, k) for f in "ab" for k in range(n)], "family string, n bigint")
+    p = pairs.id_pairs(ids, "family", "n").select("family", "i", "j", ((F.col("i") * 31 + F.col("j") * 17) % 23).cast("double").alias("dist"), ((F.col("i") + F.col("j")) % 19 != 0).alias("valid"))
+    score = lambda m: ((F.col("i") * 7 + F.col("j") * (m + 3)) % 13) / F.lit(13.0)
+    names = spark.createDataFrame([("m", f + "_final", f, m, m, m == 1, 0.0) for f in "ab" for m in range(2)], "method string, name string, family string, at int, model_idx int, is_avg boolean, s1 double")
+    targets = spark.createDataFrame([("a", 0, False), ("a", 1, True)], "family string, cluster_idx int, is_target boolean")
+    lengths = spark.createDataFrame([("a", 60), ("b", 40)], "family string, seq_len int")
+    got = evaluation.records_of_pairs(p.withColumn("scores", F.array(score(0), score(1))), names, targets, lengths)
+    rows = p.join(names, "family").withColumn("score", F.when(F.col("at") == 0, score(0)).otherwise(score(1)))
+    want = evaluation.records(rows.select("method", "name", "family", "model_idx", "is_avg", "s1", "i", "j", "score"), p, targets, lengths)
+    key = lambda r: tuple(str(r[c]) for c in sorted(want.columns))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))

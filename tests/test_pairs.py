@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from seqnet.operators import cluster, evaluation, geometry, msa, pairs
+from seqnet.operators import cluster, contacts, evaluation, geometry, matrix, msa, pairs
 
 
 def test_every_pair_once_and_in_several_tasks(spark):
@@ -104,3 +104,44 @@ def test_best_of_models_are_those_of_all_pairs(spark):
     want = evaluation.records(rows.select("method", "name", "family", "model_idx", "is_avg", "s1", "i", "j", "score"), p, targets, lengths)
     key = lambda r: tuple(str(r[c]) for c in sorted(want.columns))
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_pruned_rows_hold_the_best(spark):
+    """Ties, scores that are no numbers or null, and keys in several tasks and batches."""
+    score = F.when(F.col("i") % 37 == 0, None).when(F.col("i") % 91 == 0, float("nan")).otherwise((F.col("i") * 7 % 5).cast("double"))
+    rows = spark.range(25000).select((F.col("id") % 3).cast("string").alias("f"), (F.col("id") * 31 % 25000).alias("i"), (F.col("id") % 11).alias("j")).withColumn("score", score).repartition(3)
+    few = contacts.pruned(rows, ["f"], 150)
+    assert few.count() <= 3 * 3 * 150
+    want, got = (contacts.ranked(df, ["f"]).where("rank <= 150").collect() for df in (rows, few))
+    assert sorted(map(repr, want)) == sorted(map(repr, got))
+
+
+def test_entries_of_a_cell_are_grouped_where_they_are(spark):
+    """Neither the mean model nor the check for symmetry moves a row for each entry; results are those without cells."""
+    ids = spark.createDataFrame([(f, k) for f in "ab" for k in range(300)], "family string, n bigint")
+    p = pairs.id_pairs(ids, "family", "n").select("family", *pairs.CELL, F.col("i").alias("r"), F.col("j").alias("c"), (F.col("i") * F.col("j") % 7).cast("double").alias("v"))
+    m = matrix.unpack_long(p, ["family"], pairs.CELL).withColumn("v", F.when((F.col("family") == "b") & (F.col("r") == 5) & (F.col("c") == 9), -1.0).otherwise(F.col("v")))
+    assert {r.family for r in matrix.symmetric_only(m, ["family"], within=pairs.CELL).select("family").distinct().collect()} == {"a"}
+    ij = pairs.all_pairs(ids.withColumnRenamed("n", "i"), ids.withColumnRenamed("n", "j"), "family", F.expr("i div 3"), F.col("j")).where("i < j")
+    fits = ij.select("family", *pairs.CELL, (F.col("i") % 3).cast("int").alias("model_idx"), F.expr("i div 3").alias("i"), F.lit(0).alias("a"), "j", F.lit(0).alias("b"), (F.col("i") + F.col("j") / 7).alias("v"))
+    sizes = fits.groupBy("family", "model_idx").agg(F.count("*").alias("n"))
+    with_cells, without = (contacts.with_mean_model(fits, sizes, within).where("is_avg") for within in (pairs.CELL, ()))
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(family")
+    assert exchanges(with_cells) < exchanges(without)
+    key = lambda df: sorted((r.family, r.model_idx, r.i, r.j, round(r.v, 9)) for r in df.collect())
+    assert key(with_cells) == key(without)
+
+
+def test_linkage_of_groups_that_are_known(spark):
+    s = spark.createDataFrame([("f", k, k % 4) for k in range(60)], "family string, n bigint, g bigint")
+    p = pairs.id_pairs(s, "family", "n", ("g",)).withColumn("d", (F.col("i") * F.col("j") % 9).cast("double"))
+    known = cluster.linkage(p.select("family", F.col("g_i").alias("ga"), F.col("g_j").alias("gb"), "d"))
+    joined = cluster.linkage(p.select("family", "i", "j", "d"), s.withColumnRenamed("n", "seq_id"))
+    own = {}
+    for i in range(60):
+        for j in range(i + 1, 60):
+            if i % 4 != j % 4:
+                own.setdefault(tuple(sorted((i % 4, j % 4))), []).append(i * j % 9)
+    for out in (known, joined):
+        got = {(r.ga, r.gb): (r.largest, r.q80, r["mean"]) for r in out.collect()}
+        assert got.keys() == own.keys() and all(np.allclose(got[k], (max(v), np.quantile(v, 0.8), np.mean(v))) for k, v in own.items())
